@@ -91,7 +91,7 @@ def anchors(docs: DataFrame, hot) -> DataFrame:
                             out.append((np.full(len(s.first), d), s.gram.view(np.int64), s.whole.view(np.int64), (s.first + offset) << 16 | (s.last - s.first) << 8 | (s.anchor - s.first)))
                 if out:
                     d, g, w, a = map(np.concatenate, zip(*out))
-                    yield pd.DataFrame({"gram": g, "salt": np.where(np.isin(g, heavy), w % SALTS, 0).astype(np.int32) if len(heavy) else np.zeros(len(g), np.int32), "whole": w, "doc_id": d, "at": a})
+                    yield pd.DataFrame({"gram": g, "salt": np.where(np.isin(g, heavy), 1 + w % SALTS, 0).astype(np.int32) if len(heavy) else np.zeros(len(g), np.int32), "whole": w, "doc_id": d, "at": a})
 
     return docs.select("doc_id", "text").mapInPandas(run, "gram long, salt int, whole long, doc_id long, at long")
 
@@ -104,7 +104,10 @@ def _hot(docs: DataFrame):
 
 
 def _told_apart(batches):
-    """Sorted stretches to what repeats: kind 0 spans that an earlier whole stretch equals, kind 1 stretches that differ."""
+    """Sorted stretches to what repeats: kind 0 spans that an earlier whole stretch equals, kind 1 stretches that differ.
+
+    A spread anchor's stretches are of kind 1 always: those that differ may be in other tasks.
+    """
     prev = held = None  # the last row; the last first-of-its-kind row, with whether it has been put out
     for pdf in batches:
         if not len(pdf):
@@ -122,7 +125,7 @@ def _told_apart(batches):
             fg, fd, fa, fs, done = (np.concatenate(([x], y)) for x, y in zip(held, (fg, fd, fa, fs, done)))
         if len(fg):
             twin = (fg[1:] == fg[:-1]) & (fs[1:] == fs[:-1])
-            put = (fs < 0) | np.concatenate(([False], twin)) | np.concatenate((twin, [False]))
+            put = (fs > 0) | np.concatenate(([False], twin)) | np.concatenate((twin, [False]))
             k = np.flatnonzero(put & ~done)
             out.append(pd.DataFrame({"kind": 1, "gram": fg[k], "doc_id": fd[k], "at": fa[k]}))
             held = (fg[-1], fd[-1], fa[-1], fs[-1], bool(put[-1] or done[-1]))

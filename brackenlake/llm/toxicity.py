@@ -17,9 +17,9 @@ FIT_ROWS = 4000
 #: Word starts of these lengths, and whole words, are tried as patterns.
 STARTS = (3, 4, 5, 6)
 BEGIN = min(STARTS)
-#: A pattern votes if it stands in so many fit rows of the toxic class, and is so many times likelier there.
-MIN_HITS, MIN_LIFT = 12, 8.0
-MAX_VOTERS = 400
+#: A pattern votes if it stands in so many fit rows of the toxic class, in this share of them, and is so many times likelier there.
+MIN_HITS, MIN_SHARE, MIN_LIFT = 6, 0.015, 50.0
+MAX_VOTERS = 160
 #: Insults that vote from the outset, whatever the labelled rows hold.
 LEXICON = ("idiot", "stupid", "moron", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown")
 _WORD = re.compile(r"\w+")
@@ -73,18 +73,20 @@ class LabelModel:
         self.share, self.posterior = share, p
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 600, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights of a logistic regression on soft labels, by Nesterov's descent; voters only speak for toxic."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    vw, vb = w, b
-    step = 4 / (1 + (x**2).sum(1).mean())
-    for k in range(rounds):
-        g = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30))) - y
-        nw = np.maximum(vw - step * (x.T @ g / len(y) + l2 * vw), 0)
-        nb = vb - step * g.mean()
-        m = k / (k + 3)
-        vw, vb, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
-    return w, float(b)
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights of a ridge logistic regression on soft labels, by damped Newton steps."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(x.shape[1])
+    pull = np.full(len(w), ridge)
+    pull[-1] = 1e-6
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(pull)
+        step = np.linalg.solve(h, x.T @ (p - y) + pull * w)
+        w = w - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w[:-1], float(w[-1])
 
 
 class Model:
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
         return Model(dict.fromkeys(LEXICON, 6.0), -4.0)
     counted = rows.mapInPandas(count, "pattern string, pos long, neg long").groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     lift = (F.col("pos") + 0.0) / n_pos / ((F.col("neg") + 1.0) / n_neg)
-    best = counted.where(F.col("pos") >= min(MIN_HITS, max(2, n_pos // 20))).where(lift >= MIN_LIFT)
+    best = counted.where(F.col("pos") >= max(MIN_HITS, MIN_SHARE * n_pos)).where(lift >= MIN_LIFT)
     found = best.orderBy(F.desc("pos"), F.length("pattern"), "pattern").limit(MAX_VOTERS).collect()
     voters = sorted({r["pattern"] for r in found} | set(LEXICON))
     probe = Model(dict.fromkeys(voters, 1.0), 0.0)
@@ -145,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     seed = 0.05 + 0.9 * np.array([r["toxic"] for r in got], np.float64)
     label = LabelModel(v, seed)
     w, b = _logistic(np.hstack([v, v.any(1, keepdims=True)]).astype(np.float64), label.posterior)
-    return Model({p: float(x) for p, x in zip(voters, w) if x > 1e-6}, b, float(w[-1]))
+    return Model({p: float(x) for p, x in zip(voters, w) if abs(x) > 1e-9}, b, float(w[-1]))
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, carry: list[str] | None = None) -> DataFrame:
