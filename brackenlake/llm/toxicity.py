@@ -56,21 +56,19 @@ class LabelModel:
         v = np.hstack([votes, ~votes.any(1, keepdims=True)]).astype(np.float64)
         p = seed.astype(np.float64)
         odds = np.log(p.mean() / (1 - p.mean()))  # the balance of classes is that of the fit rows
-        share = np.ones(v.shape[1])
-        for k in range(rounds):
+        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        for _ in range(rounds):
             a, b = p.sum() + 1.0, (1 - p).sum() + 1.0
             self.hit = np.clip((p @ v + 0.05) / a, 1e-6, 1 - 1e-6)
             self.miss = np.clip(((1 - p) @ v + 0.05) / b, 1e-6, 1 - 1e-6)
-            if k % 5 == 0:  # correlations left within the classes
-                r = (v - self.hit) * np.sqrt(p)[:, None]
-                s = (v - self.miss) * np.sqrt(1 - p)[:, None]
-                c = r.T @ r + s.T @ s
-                d = np.sqrt(np.clip(np.diag(c), 1e-9, None))
-                corr = c / d[:, None] / d[None, :]
-                share = 1 / np.maximum(1, np.where(corr > 0.3, corr, 0).sum(1))
-            self.fire = share * np.log(self.hit / self.miss)
-            p = 1 / (1 + np.exp(-np.clip(odds + v @ self.fire, -30, 30)))
-        self.share, self.posterior = share, p
+            p = sigmoid(odds + v @ np.log(self.hit / self.miss))
+        r = (v - self.hit) * np.sqrt(p)[:, None]
+        s = (v - self.miss) * np.sqrt(1 - p)[:, None]
+        c = r.T @ r + s.T @ s
+        d = np.sqrt(np.clip(np.diag(c), 1e-9, None))
+        self.correlation = c / d[:, None] / d[None, :]
+        self.share = 1 / np.maximum(1, np.where(self.correlation > 0.3, self.correlation, 0).sum(1))
+        self.posterior = sigmoid(odds + v @ (self.share * np.log(self.hit / self.miss)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 0.1) -> tuple[np.ndarray, float]:
