@@ -49,7 +49,7 @@ def compile_pattern(pattern: str) -> tuple[str, list[str]]:
 
 
 def _literal(s: str) -> str:
-    return r"\s*".join(r"\s+".join(re.escape(w) for w in part.split(" ") if w) if part.strip() else "" for part in re.split(r"\s{2,}", s)) if s.strip() else (r"\s+" if s else "")
+    return re.sub(r"(?:\\\s|\s)+", r"\\s+", re.escape(s))
 
 
 def validate_pattern(pattern: str) -> bool:
