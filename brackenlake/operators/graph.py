@@ -56,9 +56,11 @@ def impact(edges: DataFrame, start: DataFrame, rounds: int = 100) -> DataFrame:
     """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", tempfile.mkdtemp(prefix="brackenlake-")))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brackenlake-"))
     seen = front = dependents(edges, start).checkpoint()
     for _ in range(rounds):
         front = dependents(edges, front).join(seen, "path", "left_anti").checkpoint()
@@ -68,6 +70,12 @@ def impact(edges: DataFrame, start: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError("impact did not settle")
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """(path, n_out, n_in) of every file with an edge: what it depends on and what depends on it."""
+    ends = F.array(F.struct(F.col("src").alias("path"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("path"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    return edges.select(F.explode(ends).alias("e")).groupBy("e.path").agg(F.sum("e.o").alias("n_out"), F.sum("e.i").alias("n_in"))
+
+
 def graph_boost(ranked: DataFrame, edges: DataFrame, factor: float = 1.2, anchors: int = 3) -> DataFrame:
     """Scores of files that an edge joins to one of the first files, raised. ranked: (path, score, rank)."""
     top = ranked.where(F.col("rank") <= anchors).select(F.col("path").alias("anchor"))

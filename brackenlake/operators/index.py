@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
@@ -28,11 +30,13 @@ def postings(fields_: DataFrame) -> DataFrame:
     return fields_.select("repository_id", "path", "field", F.explode("terms").alias("term")).groupBy("repository_id", "path", "field", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
+def bm25(corpus: DataFrame, queries: DataFrame, k: int = 50, only: Column | None = None) -> DataFrame:
     """(query_id, repository_id, path, score): the best k files of each query over all repositories.
 
     queries: (query_id, term), a table of bounded size that is sent to the tasks; only terms asked
     for leave the scan, so that what is shuffled grows with the matches and not with the corpus.
+    only, a condition on repository_id and path, picks the files that may be found; the statistics
+    are those of all files all the same.
     """
     f = fields(corpus)
     wanted = F.broadcast(queries.select("term").distinct())
@@ -43,11 +47,35 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     j = tf.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field")  # at most terms asked for * fields
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("len") / F.col("avg_len")))
+    j = j if only is None else j.where(only)
     hits = j.withColumn("s", boost[F.col("field")] * idf * norm).join(F.broadcast(queries), "term")
     score = hits.groupBy("query_id", "repository_id", "path").agg(F.sum("s").alias("score"))
     return top_k(score, ["query_id"], k)
 
 
+def document_frequency(corpus: DataFrame, terms: DataFrame) -> DataFrame:
+    """(field, term, n_docs, n_found) of the terms asked for, a table of bounded size: files that hold each, and how often."""
+    f = fields(corpus).select("repository_id", "path", "field", F.explode("terms").alias("term"))
+    each = f.join(F.broadcast(terms.select("term").distinct()), "term").groupBy("field", "term", "repository_id", "path").agg(F.count("*").alias("tf"))
+    return each.groupBy("field", "term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_found"))
+
+
+def phrase_matches(corpus: DataFrame, phrase: str) -> DataFrame:
+    """(repository_id, path, n): files whose content holds the phrase as consecutive terms, and how often (no overlaps).
+
+    Files without one of its words are left out before any text is analysed.
+    """
+    words = [w for w in re.split(r"[\W_]+", phrase.lower()) if w]
+    if not words:
+        return corpus.select("repository_id", "path", F.lit(0).cast("long").alias("n")).limit(0)
+    for w in words:
+        corpus = corpus.where(F.contains(F.lower("content"), F.lit(w)))
+    line = F.concat(F.lit(" "), F.array_join(text.analyse(F.col("content")), "  "), F.lit(" "))
+    sought = " " + "  ".join(words) + " "
+    n = ((F.length(line) - F.length(F.replace(line, F.lit(sought), F.lit("")))) / len(sought)).cast("long")
+    return corpus.select("repository_id", "path", n.alias("n")).where("n > 0")
+
+
 def top_k(scored: DataFrame, by: list[str], k: int, score: str = "score") -> DataFrame:
     """The best k rows of each key by score, then repository and path; a window's own limit keeps k rows a task first."""
     from pyspark.sql.window import Window

@@ -11,7 +11,7 @@ from .functions import vocabulary as V
 from .operators import context, graph, index, knowledge, metrics
 from .operators import symbols as sym
 from .plans import retrieve
-from .sources.corpus import CORPUS_SQL, corpus, diff, grep, table, upsert
+from .sources.corpus import CORPUS_SQL, corpus, diff, grep, grep_files, line_range, table, upsert
 from .streaming import events as ev
 
 QUERIES: dict = {}
@@ -377,3 +377,131 @@ def expansion_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     of = lambda f: li.where(F.col("l_returnflag") == f).groupBy(F.col("l_partkey").cast("string").alias("path")).agg(F.max("l_extendedprice").alias("score"))
     return index.gap_fill(of("A"), of("N"))
+
+
+# --- more of the index, the graph, context and upkeep ------------------------------------------
+
+
+@query("SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x), '#')), lambda x: trim(regexp_replace(trim(x), '^#+', ''))), ' ') AS headings FROM documents WHERE contains(text, '#')")
+def all_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("#")))
+    return d.select("doc_id", text.headings(F.col("text")).alias("headings"))
+
+
+@query(CORPUS + f"SELECT doc_id, array_to_string(list_sort({_PATH_TOKENS}), ' ') AS tokens FROM corpus")
+def path_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("doc_id", F.array_join(F.sort_array(text.path_tokens(F.col("path"))), " ").alias("tokens"))
+
+
+@query(f"SELECT doc_id, len(t)::INT AS n_terms, len(list_distinct(t))::INT AS n_distinct, sha256(array_to_string(t, ' ')) AS hash FROM (SELECT doc_id, {_ANALYSE.format(x='text')} AS t FROM documents)")
+def analyze_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").select("doc_id", text.analyse(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_terms"), F.size(F.array_distinct("t")).alias("n_distinct"), F.sha2(F.array_join("t", " "), 256).alias("hash"))
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda t: strlen(t) >= 2 AND NOT list_contains({list(V.STOP_WORDS)}, t)))), ' ') AS terms FROM conversations")
+def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.sort_array(text.query_tokens(F.col("text"))), " ").alias("terms"))
+
+
+_FOUND = " SELECT query_id::INT AS query_id, repository_id, path, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20"
+
+
+@query(_BM25.replace("FROM s)", "FROM s WHERE repository_id = 'src1')") + _FOUND)
+def bm25_in_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index.bm25(corpus(spark, sf_dir), retrieve.terms(asked(spark)), 20, F.col("repository_id") == "src1")
+    return found.select("query_id", "repository_id", "path", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_BM25.replace("FROM s)", f"FROM s WHERE (CASE {_NAME_CASES} {_LANG_CASES} END) = 'python')") + _FOUND)
+def bm25_in_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index.bm25(corpus(spark, sf_dir), retrieve.terms(asked(spark)), 20, paths.language(F.col("path")) == "python")
+    return found.select("query_id", "repository_id", "path", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_FIELDS + f", {_TERMS}, u AS (SELECT repository_id, path, field, unnest(terms) AS term FROM f) SELECT field, term, count(DISTINCT repository_id || '/' || path) AS n_docs, count(*) AS n_found FROM u WHERE term IN (SELECT term FROM qt) GROUP BY ALL")
+def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.document_frequency(corpus(spark, sf_dir), retrieve.terms(asked(spark)))
+
+
+@query(_FIELDS + f", {_TERMS}, u AS (SELECT DISTINCT repository_id, path, unnest(terms) AS term FROM f) SELECT query_id::INT AS query_id, count(DISTINCT repository_id || '/' || path) AS n FROM u JOIN qt USING (term) GROUP BY 1")
+def count_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that hold any term of each query in any field, whatever k."""
+    u = index.fields(corpus(spark, sf_dir)).select("repository_id", "path", F.explode("terms").alias("term"))
+    hit = u.join(F.broadcast(retrieve.terms(asked(spark))), "term").select("query_id", "repository_id", "path").distinct()
+    return hit.groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+@query(CORPUS + f", t AS (SELECT repository_id, path, ' ' || array_to_string({_ANALYSE.format(x='content')}, '  ') || ' ' AS line FROM corpus), n AS (SELECT repository_id, path, (length(line) - length(replace(line, ' licensed  under ', ''))) // 17 AS n FROM t) SELECT * FROM n WHERE n > 0")
+def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.phrase_matches(corpus(spark, sf_dir), "licensed under")
+
+
+@query(CORPUS + ", l AS (SELECT repository_id, path, unnest(string_split(content, chr(10))) AS line FROM corpus) SELECT repository_id, path, count(*)::INT AS n_lines FROM l WHERE regexp_matches(line, '(?i)[a-z0-9]+@[a-z0-9]+') GROUP BY ALL")
+def grep_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grep_files(corpus(spark, sf_dir), "[a-z0-9]+@[a-z0-9]+")
+
+
+@query(CORPUS + "SELECT doc_id, array_to_string(list_slice(string_split(content, chr(10)), 2, 4), chr(10)) AS snippet FROM corpus")
+def line_window_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("doc_id", line_range(F.col("content"), 2, 4).alias("snippet"))
+
+
+@query(f"WITH k AS ({_KNOW}) SELECT category, key, repository_id, value, confidence FROM k WHERE (key ILIKE '%12%' OR value ILIKE '%12%') AND confidence >= 0.3 AND repository_id = '2' ORDER BY confidence DESC, repository_id, category, key LIMIT 20")
+def knowledge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surest 20 rows that hold a text, a limited lookup."""
+    return knowledge.retrieve(_knowledge(spark, sf_dir), "12", repository="2").select("category", "key", "repository_id", "value", "confidence")
+
+
+@query("WITH e AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey), x AS (SELECT src AS path, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) SELECT path, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM x GROUP BY path")
+def edge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    e = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").cast("string").alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
+    return graph.degrees(e)
+
+
+FUNCTIONS = [("util.rs", "run", 1, 3), ("util.rs", "helper", 4, 4), ("src/main.rs", "main", 4, 6), ("main.py", "hello", 4, 5), ("src/app.ts", "boot", 4, 4), ("lib/index.ts", "a", 1, 1)]
+
+
+@query("SELECT * FROM (VALUES ('src/main.rs', 'main', 'util.rs', 'run'), ('util.rs', 'run', 'util.rs', 'helper'), ('src/main.rs', 'main', 'src/main.rs', 'main'), ('util.rs', 'run', 'util.rs', 'run'), ('util.rs', 'helper', 'util.rs', 'helper'), ('main.py', 'hello', 'main.py', 'hello'), ('src/app.ts', 'boot', 'src/app.ts', 'boot'), ('src/app.ts', 'boot', 'lib/index.ts', 'a')) t(caller_path, caller, callee_path, callee)")
+def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of a small tree of code, each in the function that holds its line; a definition's own line counts too."""
+    lines = code(spark).select("path", F.posexplode(F.split("content", "\n")).alias("line", "content")).withColumn("line", F.col("line") + 1)
+    functions = spark.createDataFrame(FUNCTIONS, "path string, name string, start int, end int")
+    return graph.call_edges(graph.calls(lines), functions)
+
+
+@query("SELECT event_type AS path, user_id AS source, CAST(event_id % 3 AS VARCHAR) AS retriever, max(value) AS score, min(event_id) AS pos FROM events GROUP BY ALL")
+def provenance_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("path"), F.col("user_id").alias("source"), (F.col("event_id") % 3).cast("string").alias("retriever"), F.col("value").alias("score"), F.col("event_id").alias("pos"))
+    return context.provenance(e)
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'Hit' WHEN l_linestatus = 'F' THEN 'IndexMiss' WHEN l_quantity > 40 THEN 'SymbolMiss' WHEN l_tax > 0.05 THEN 'GraphMiss' WHEN l_linenumber = 1 THEN 'VocabularyMiss' ELSE 'RankingMiss' END AS miss FROM lineitem")
+def miss_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    expected = F.when(F.col("l_linenumber") == 1, F.array().cast("array<int>")).otherwise(F.array("l_linenumber"))
+    miss = metrics.miss_type(F.col("l_returnflag") == "A", expected, F.col("l_linestatus") != "F", F.col("l_tax") > 0.05, F.col("l_quantity") > 40)
+    return li.select("l_orderkey", "l_linenumber", miss.alias("miss"))
+
+
+@query("SELECT p_brand AS category, count(*) AS n, round(avg(p_retailprice), 6) AS mean FROM part GROUP BY 1")
+def category_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 6).alias("mean"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+def counter_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang AS language, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY lang")
+def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("n"))  # one row a language
+    return n.select("language", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6).alias("share"))
+
+
+@query()
+def debounce_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
+    return ev.debounce_events(e.select("user_id", (F.col("us") / 1e6).alias("at")), "user_id", 60.0)

@@ -63,6 +63,12 @@ def grep(corpus_: DataFrame, pattern: str, most: int) -> DataFrame:
     return lines.where(F.col("content").rlike(f"(?i){pattern}")).withColumn("line", F.col("line") + 1).orderBy("repository_id", "path", "line").limit(most)
 
 
+def grep_files(corpus_: DataFrame, pattern: str) -> DataFrame:
+    """(repository_id, path, n_lines): files with lines that match, without regard to case, and how many."""
+    hit = F.size(F.filter(F.split("content", "\n"), lambda x: x.rlike(f"(?i){pattern}")))
+    return corpus_.where(F.col("content").rlike(f"(?i){pattern}")).select("repository_id", "path", hit.alias("n_lines")).where("n_lines > 0")
+
+
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, status): new, changed, unchanged or deleted, by path and hash; one full outer join."""
     j = old.select("path", F.col("hash").alias("h0")).join(new.select("path", F.col("hash").alias("h1")), "path", "full_outer")

@@ -50,6 +50,23 @@ def debounce(times: list[float], wait: float = DEBOUNCE) -> list[float]:
     return out
 
 
+def debounce_events(events: DataFrame, key: str, wait: float = DEBOUNCE) -> DataFrame:
+    """(key, fired): when changes (key, at in seconds) are acted on, key by key.
+
+    Events further apart than the wait can't share a burst, so a key is split there and each
+    stretch is dealt out by itself.
+    """
+    w = Window.partitionBy(key).orderBy("at")
+    apart = F.coalesce((F.col("at") - F.lag("at").over(w) > wait).cast("int"), F.lit(1))
+    e = events.select(key, "at").distinct().withColumn("apart", apart).withColumn("stretch", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        fired = debounce(pdf["at"].tolist(), wait)
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(fired), "fired": fired})
+
+    return e.select(key, "stretch", "at").groupBy(key, "stretch").applyInPandas(run, f"{key} {events.schema[key].dataType.simpleString()}, fired double")
+
+
 def head_changes(commits: DataFrame) -> DataFrame:
     """Rows (repository_id, ts, oid) whose commit is not that of the row before."""
     w = Window.partitionBy("repository_id").orderBy("ts")

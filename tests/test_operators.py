@@ -104,3 +104,28 @@ def test_streams(spark, tmp_path):
     q = events.keep_indexed(events.first_blocks(stream), lambda df: df.write.mode("append").parquet(str(out)), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(out)).count() == 2
+
+
+def test_debounce_by_key(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice([0.0, 0.25, 0.5]) + rng.randrange(40) / 4) for k in (1, 2) for _ in range(30)] + [(3, 1.0), (3, 1.0)]
+    got = events.debounce_events(spark.createDataFrame(rows, "k long, at double"), "k", 0.5).collect()
+    want = [(k, t) for k in (1, 2, 3) for t in events.debounce([a for j, a in set(rows) if j == k], 0.5)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_filtered_search_keeps_statistics(spark):
+    c = spark.createDataFrame([("a", "x.rs", "rust", "alpha beta"), ("b", "y.rs", "rust", "alpha"), ("b", "z.py", "python", "gamma")], "repository_id string, path string, language string, content string")
+    q = spark.createDataFrame([(1, "alpha")], "query_id int, term string")
+    every = {(r["repository_id"], r["path"]): r["score"] for r in index.bm25(c, q).collect()}
+    some = {(r["repository_id"], r["path"]): r["score"] for r in index.bm25(c, q, only=F.col("repository_id") == "b").collect()}
+    assert len(every) == 2 and some == {("b", "y.rs"): every["b", "y.rs"]}
+    assert {tuple(r) for r in index.document_frequency(c, q).collect()} == {("content", "alpha", 2, 2)}
+
+
+def test_phrase_and_empty_phrase(spark):
+    c = spark.createDataFrame([("a", "x", "Licensed, under licensed under"), ("a", "y", "under licensed"), ("a", "z", None)], "repository_id string, path string, content string")
+    assert [tuple(r) for r in index.phrase_matches(c, "licensed under").collect()] == [("a", "x", 2)]
+    assert index.phrase_matches(c, " ,").count() == 0
