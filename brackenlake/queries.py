@@ -158,11 +158,11 @@ def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep(corpus(spark, sf_dir), "licen[sc]ed? under", 200)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%part%' AND p_name ILIKE '%1%' ORDER BY p_partkey LIMIT 100")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%WIDGET%' AND p_name ILIKE '%col%' ORDER BY p_partkey LIMIT 100")
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A limited lookup by part of a name, in key order."""
     p = table(spark, sf_dir, "part")
-    return p.where(F.col("p_name").ilike("%part%") & F.col("p_name").ilike("%1%")).select("p_partkey", "p_name").orderBy("p_partkey").limit(100)
+    return p.where(F.col("p_name").ilike("%WIDGET%") & F.col("p_name").ilike("%col%")).select("p_partkey", "p_name").orderBy("p_partkey").limit(100)
 
 
 # --- joins, sets, incremental ------------------------------------------------------------------
@@ -177,10 +177,10 @@ def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff(old, new)
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
+    return c.join(o.where("o_orderpriority = '1-URGENT'"), c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT o_orderkey, c_name, coalesce(n, 0) AS n_lines FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
@@ -407,9 +407,9 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOUND = " SELECT query_id::INT AS query_id, repository_id, path, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20"
 
 
-@query(_BM25.replace("FROM s)", "FROM s WHERE repository_id = 'src1')") + _FOUND)
+@query(_BM25.replace("FROM s)", "FROM s WHERE repository_id = 'src12')") + _FOUND)
 def bm25_in_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = index.bm25(corpus(spark, sf_dir), retrieve.terms(asked(spark)), 20, F.col("repository_id") == "src1")
+    found = index.bm25(corpus(spark, sf_dir), retrieve.terms(asked(spark)), 20, F.col("repository_id") == "src12")
     return found.select("query_id", "repository_id", "path", F.round("score", 6).alias("score"), "rank")
 
 
