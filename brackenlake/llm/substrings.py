@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import base
 
@@ -30,7 +31,7 @@ GROUP = 3000
 ARRAY_BYTES = 1 << 20
 #: Ids of documents up to which they are sent to all executors to leave out the other texts before a join.
 SENT_IDS = 1_000_000
-#: Anchors of so many documents in a sample of one in SAMPLE are spread over SALTS tasks.
+#: Anchors of so many stretches in a sample of one document in SAMPLE are spread over SALTS tasks.
 SAMPLE, HOT, SALTS = 64, 40, 64
 
 _POS = np.uint64((1 << 24) - 1)
@@ -91,7 +92,7 @@ def anchors(docs: DataFrame, hot) -> DataFrame:
                             out.append((np.full(len(s.first), d), s.gram.view(np.int64), s.whole.view(np.int64), (s.first + offset) << 16 | (s.last - s.first) << 8 | (s.anchor - s.first)))
                 if out:
                     d, g, w, a = map(np.concatenate, zip(*out))
-                    yield pd.DataFrame({"gram": g, "salt": np.where(np.isin(g, heavy), 1 + w % SALTS, 0).astype(np.int32) if len(heavy) else np.zeros(len(g), np.int32), "whole": w, "doc_id": d, "at": a})
+                    yield pd.DataFrame({"gram": g, "salt": np.where(np.isin(g, heavy), 1 + (w + d) % SALTS, 0).astype(np.int32) if len(heavy) else np.zeros(len(g), np.int32), "whole": w, "doc_id": d, "at": a})
 
     return docs.select("doc_id", "text").mapInPandas(run, "gram long, salt int, whole long, doc_id long, at long")
 
@@ -106,7 +107,8 @@ def _hot(docs: DataFrame):
 def _told_apart(batches):
     """Sorted stretches to what repeats: kind 0 spans that an earlier whole stretch equals, kind 1 stretches that differ.
 
-    A spread anchor's stretches are of kind 1 always: those that differ may be in other tasks.
+    A spread anchor's stretches differ from some in other tasks, and equal ones are in several
+    tasks too: the first that a task has of them is of kind 2, with the stretch's hash.
     """
     prev = held = None  # the last row; the last first-of-its-kind row, with whether it has been put out
     for pdf in batches:
@@ -118,20 +120,28 @@ def _told_apart(batches):
         same[0] = prev is not None and prev == (g[0], w[0], s[0])
         prev = (g[-1], w[-1], s[-1])
         k = np.flatnonzero(same)
-        out = [pd.DataFrame({"kind": 0, "gram": g[k], "doc_id": d[k], "at": a[k]})]
+        out = [pd.DataFrame({"kind": 0, "whole": 0, "doc_id": d[k], "at": a[k]})]
         k = np.flatnonzero(~same)
-        fg, fd, fa, fs, done = g[k], d[k], a[k], s[k], np.zeros(len(k), bool)
+        first, done = [x[k] for x in (g, w, d, a, s)], np.zeros(len(k), bool)
         if held is not None:
-            fg, fd, fa, fs, done = (np.concatenate(([x], y)) for x, y in zip(held, (fg, fd, fa, fs, done)))
+            *first, done = (np.concatenate(([x], y)) for x, y in zip(held, (*first, done)))
+        fg, fw, fd, fa, fs = first
         if len(fg):
             twin = (fg[1:] == fg[:-1]) & (fs[1:] == fs[:-1])
             put = (fs > 0) | np.concatenate(([False], twin)) | np.concatenate((twin, [False]))
             k = np.flatnonzero(put & ~done)
-            out.append(pd.DataFrame({"kind": 1, "gram": fg[k], "doc_id": fd[k], "at": fa[k]}))
-            held = (fg[-1], fd[-1], fa[-1], fs[-1], bool(put[-1] or done[-1]))
+            out.append(pd.DataFrame({"kind": np.where(fs[k] > 0, 2, 1), "whole": np.where(fs[k] > 0, fw[k], 0), "doc_id": fd[k], "at": fa[k]}))
+            held = (*(x[-1] for x in first), bool(put[-1] or done[-1]))
         yield pd.concat(out)
 
 
+def _first_of_spread(told: DataFrame) -> DataFrame:
+    """Stretches told apart (kind, doc_id, at): of the SALTS equal ones at most of kind 2 the first becomes kind 1, the others kind 0."""
+    nth = F.row_number().over(Window.partitionBy("whole").orderBy("doc_id", "at"))
+    again = told.where("kind = 2").select(F.when(nth == 1, 1).otherwise(0).alias("kind"), "doc_id", "at")
+    return told.where("kind < 2").select("kind", "doc_id", "at").unionByName(again)
+
+
 def _halves(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ats) to (key, doc_id, start, bytes): the two halves of each stretch, by anchor and bytes beside it."""
 
@@ -329,7 +339,7 @@ def removed_runs(docs: DataFrame, group: int = GROUP) -> DataFrame:
     dealt = anchors(docs, _hot(docs))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "gram", "salt").sortWithinPartitions("gram", "salt", "whole", "doc_id", "at")
-    told = base.cut(dealt.mapInPandas(_told_apart, "kind int, gram long, doc_id long, at long"))
+    told = base.cut(_first_of_spread(base.cut(dealt.mapInPandas(_told_apart, "kind int, whole long, doc_id long, at long"))))
     equal = told.where("kind = 0").select("doc_id", F.shiftright("at", 16).alias("s"), (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255) + SPAN).alias("e"))
     ats = told.where("kind = 1").groupBy("doc_id").agg(F.collect_list("at").alias("ats"))  # of one document
     halves = base.cut(_halves(_only(docs, told.where("kind = 1").select("doc_id").distinct()).join(ats, "doc_id")))

@@ -89,6 +89,16 @@ def test_repeated_substrings(spark, rows, group):
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == substring_brute(rows)
 
 
+def test_repeated_substrings_of_spread_anchors(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 1)
+    monkeypatch.setattr(substrings, "SAMPLE", 1)
+    line = "the same line of many words stands here again and again, as often as it will, and then once more.\n"
+    rows = [(i, f"{i} begins " * (i % 3 + 1) + line * (2 + i % 4) + f"ends {i}", None, None, 1, 2, "l") for i in range(30)]
+    docs = make(spark, rows)
+    assert substrings._hot(docs).value
+    assert {r[0]: tuple(r)[1:] for r in substrings.deduplicate(docs).collect()} == substring_brute(rows)
+
+
 def test_maximal_repeats_hold_all_copies():
     parts = [b"xx" + b"q" * 3 + bytes(range(65, 91)) * 5, bytes(range(65, 91)) * 5 + b"end", b"zz" + bytes(range(65, 91)) * 5]
     s = substrings.SuffixArray(parts)
