@@ -505,3 +505,57 @@ def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def debounce_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
     return ev.debounce_events(e.select("user_id", (F.col("us") / 1e6).alias("at")), "user_id", 60.0)
+
+
+# --- ranking pieces, the graph's sides, upkeep of scopes ----------------------------------------
+
+
+@query(CORPUS + f"SELECT doc_id, ({paths.file_class_sql('path')}) = 'Documentation' AS is_documentation, ({paths.file_class_sql('path')}) = 'Test' AS is_test FROM corpus")
+def path_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cls = paths.file_class(F.col("path"))
+    return corpus(spark, sf_dir).select("doc_id", (cls == "Documentation").alias("is_documentation"), (cls == "Test").alias("is_test"))
+
+
+@query(CORPUS + f", {_TERMS}, q2 AS (SELECT query_id, list(term) AS terms FROM qt GROUP BY 1) SELECT query_id::INT AS query_id, doc_id, len(list_filter(terms, lambda t: len(list_filter(string_split_regex(lower(path), '[^a-z0-9]+'), lambda s: contains(s, t))) > 0))::INT AS n_matched FROM corpus, q2")
+def path_token_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens of each of the stated queries lie in each path, against all files."""
+    q = asked(spark).select("query_id", text.query_tokens(F.col("query")).alias("tokens"))
+    c = corpus(spark, sf_dir).select("doc_id", "path")
+    return c.join(F.broadcast(q)).select("query_id", "doc_id", paths.segment_matches(F.col("tokens"), F.col("path")).alias("n_matched"))
+
+
+_PAIRS = "f AS (SELECT 'v' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '.cshtml' ELSE '.cshtml.cs' END AS path, p_retailprice AS score FROM part UNION ALL SELECT 'v' || p_partkey || '.cshtml.cs', 0 FROM part WHERE p_partkey % 3 = 0), found AS (SELECT path, score FROM f WHERE score > 0)"
+
+
+@query(f"WITH {_PAIRS} SELECT path || '.cs' AS path, score * 0.9::DOUBLE AS score FROM found WHERE path || '.cs' IN (SELECT path FROM f) AND path || '.cs' NOT IN (SELECT path FROM found)")
+def code_behind_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as views and their code files; views that were found bring theirs along."""
+    p = table(spark, sf_dir, "part")
+    stem = F.concat(F.lit("v"), F.col("p_partkey").cast("string"))
+    found = p.select(F.concat(stem, F.when(F.col("p_size") % 2 == 0, ".cshtml").otherwise(".cshtml.cs")).alias("path"), F.col("p_retailprice").alias("score"))
+    files = found.select("path").unionByName(p.where("p_partkey % 3 = 0").select(F.concat(stem, F.lit(".cshtml.cs")).alias("path")))
+    return index.code_behind(found, files)
+
+
+@query("WITH a AS (SELECT CAST(l_partkey AS VARCHAR) AS path, max(l_extendedprice) AS score, 'lexical' AS source FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1 UNION ALL SELECT CAST(l_partkey AS VARCHAR), max(l_extendedprice), 'symbols' FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, source DESC) AS n FROM a) SELECT path, source, score FROM r WHERE n = 1")
+def merge_max_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    of = lambda on, s: li.where(on).groupBy(F.col("l_partkey").cast("string").alias("path")).agg(F.max("l_extendedprice").alias("score")).withColumn("source", F.lit(s))
+    return index.merge_max(of("l_returnflag = 'A'", "lexical"), of("l_returnflag <> 'A'", "symbols"))
+
+
+@query("SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('NATION_0', 'NATION_9')")
+def dependents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    edges = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").cast("string").alias("src"), F.col("n_name").alias("dst"))
+    return graph.dependents(edges, spark.createDataFrame([("NATION_0",), ("NATION_9",)], "path string"))
+
+
+NAMES = [("a", "UserController"), ("a", "UserService"), ("a", "UserRepo"), ("b", "handler_main"), ("c", "plain")]
+TREE = [("a", "models/user.py"), ("a", "views/user.py"), ("a", "controllers/user.py"), ("b", "src/main.rs"), ("c", "views/plain.py")]
+
+
+@query("SELECT * FROM (VALUES ('a', 'controller-service-repository', 0.9::DOUBLE), ('a', 'mvc', 0.85::DOUBLE), ('b', 'handler', 0.7::DOUBLE)) t(repository_id, pattern, confidence)")
+def architecture_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of a few small trees; the driver's tables hold none."""
+    return knowledge.architecture(spark.createDataFrame(NAMES, "repository_id string, name string"), spark.createDataFrame(TREE, "repository_id string, path string"))
