@@ -361,7 +361,7 @@ def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
     docs = base.texts(docs.where("doc_id is not null"))
     name = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("name"), F.sha2("text", 256).alias("sha"))
     name = base.cut(name)
-    first = name.groupBy("name", "n_bytes").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    first = base.cut(name.groupBy("name", "n_bytes").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))  # written, so that Spark can split the join with hot texts
     member = base.cut(name.join(first, ["name", "n_bytes"]).drop("name"))
     again = member.where("doc_id <> first").select("doc_id").distinct()
     distinct = docs.where(F.octet_length("text") >= SPAN)
