@@ -3,9 +3,10 @@
 Copies of one shingle set are put together first. SIDE keys from one small hash collection and SIDE
 from another are combined pairwise to SIDE * SIDE table keys, at the cost of 2 * SIDE keys' hashes.
 Texts that share a table key are candidates; the groups of candidates are found as components. A
-small group is compared in one task. A large one is compared with hubs first; what is not linked to
-a hub is searched by prefix filtering, which loses no link, so that no task holds a large group
-and no step makes all its pairs.
+small group is compared in one task. A large one is compared with hubs first; texts that hubs leave
+in different components are searched by prefix filtering, which loses no link between them, so that
+no task holds a large group. Pairs within a component are not made; of components that share
+prefixes but no link, all pairs that pass the filter are.
 """
 
 from __future__ import annotations
@@ -188,6 +189,11 @@ def _prefixes(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, cluster long, n long, prefix array<long>")
 
 
+def _mixed(of: DataFrame) -> DataFrame:
+    """(cluster, shingle) that texts of several labels have in their prefixes."""
+    return of.groupBy("cluster", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster", "shingle")
+
+
 def _large(docs: DataFrame, members: DataFrame, reps: DataFrame) -> DataFrame:
     """(doc_id, label) of groups that no task may hold. members: (doc_id, cluster, n)."""
     members = base.cut(members)
@@ -213,16 +219,25 @@ def _large(docs: DataFrame, members: DataFrame, reps: DataFrame) -> DataFrame:
     parts = base.components(links.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
     named = prefix.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     of = named.select("doc_id", "cluster", "n", F.coalesce("label", "doc_id").alias("label"), F.posexplode("prefix").alias("at", "shingle"))
-    mixed = of.groupBy("cluster", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster", "shingle")
-    of = base.cut(of.join(mixed, ["cluster", "shingle"]).join(rest.select("doc_id", F.lit(True).alias("alone")), "doc_id", "left"))
-    x = of.where("alone").select("cluster", "shingle", F.col("doc_id").alias("x"), F.col("label").alias("xl"), F.col("n").alias("xn"), F.col("at").alias("xat"))
-    y = of.select("cluster", "shingle", F.col("doc_id").alias("y"), F.col("label").alias("yl"), F.col("n").alias("yn"), F.col("at").alias("yat"), F.coalesce("alone", F.lit(False)).alias("both"))
+    of = base.cut(of.join(_mixed(of), ["cluster", "shingle"]))
     # of two texts of such sizes so many shingles must be common that one is within each one's first n - common + 1
     common = f"ceil({PERCENT} * (xn + yn) / {100 + PERCENT})"
-    fits = f"xl <> yl and (not both or x < y) and xat <= xn - {common} and yat <= yn - {common}"
-    pairs = base.cut(x.join(y, ["cluster", "shingle"]).where(fits).select("x", "y").distinct())
-    two = pairs.join(text.select(F.col("doc_id").alias("x"), "text"), "x").join(text.select(F.col("doc_id").alias("y"), F.col("text").alias("hub_text")), "y")
-    more = _against_hub(two.select(F.col("x").alias("doc_id"), F.col("y").alias("hub"), "text", "hub_text"))
+    fits = f"xl <> yl and xat <= xn - {common} and yat <= yn - {common}"
+    names = ("label", "l"), ("doc_id", ""), ("n", "n"), ("at", "at")
+    side = lambda rows, s: rows.select("cluster", "shingle", *[F.col(c).alias(s + k) for c, k in names])
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = base.cut(pairs.select("x", "y").distinct())
+        two = pairs.join(text.select(F.col("doc_id").alias("x"), "text"), "x").join(text.select(F.col("doc_id").alias("y"), F.col("text").alias("hub_text")), "y")
+        return base.cut(_against_hub(two.select(F.col("x").alias("doc_id"), F.col("y").alias("hub"), "text", "hub_text")))
+
+    # first each shingle's texts against one of its texts, so that what this links needs no pairs; then all pairs of different labels
+    one = base.cut(of.groupBy("cluster", "shingle").agg(F.min(F.struct("label", "doc_id", "n", "at")).alias("o")).select("cluster", "shingle", "o.*"))
+    links = links.unionByName(confirmed(side(one, "x").join(side(of, "y"), ["cluster", "shingle"]).where(fits)))
+    parts = base.components(links.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    of = of.drop("label").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    of = base.cut(of.join(_mixed(of), ["cluster", "shingle"]))
+    more = confirmed(side(of, "x").join(side(of, "y"), ["cluster", "shingle"]).where(f"x < y and {fits}"))
     label = base.components(links.unionByName(more).select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
     return members.select("doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
 

@@ -69,6 +69,22 @@ def test_near_duplicates(spark, rows, group):
     assert all(v["kept"] == (k == v["component_id"]) for k, v in got.items())
 
 
+def test_near_duplicates_linked_between_hubs(spark):
+    def put(words, at, n, by):
+        return words[:at] + [f"{by}{k}" for k in range(n)] + words[at + n :]
+
+    first = [f"a{k}" for k in range(200)]
+    u = put(first, 190, 10, "c")
+    v = put(u, 50, 8, "d")
+    last = put(v, 100, 8, "e")
+    texts = [put(w, 0, 1, f"x{i}y") for i, w in enumerate([first] * 30 + [last] * 30 + [u, v])]
+    rows = [(i, " ".join(w), None, None, 1, 2, "l") for i, w in enumerate(texts)]
+    want = near_brute(rows)
+    assert {c for _, c in want.values()} == {0}
+    got = by_id(neardup.near_duplicates(make(spark, rows), 2))
+    assert {k: (v["n_shingles"], v["component_id"]) for k, v in got.items()} == want
+
+
 def substring_brute(rows):
     seen, out = set(), {}
     for d, t in sorted((r[0], (r[1] or "").encode()) for r in rows):
