@@ -19,13 +19,19 @@ KINDS = ("email", "phone", "card", "ssn", "ip", "date", "secret")
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}"
 CARD = r"\d(?:[ -]?\d){12,18}(?![\d])"
+#: Usual groups of a card number, looked for at each group of a run of digits: 4-4-4-4-3, 4-4-4-4, 4-6-5, unbroken.
+USUAL = tuple(rf"{x}(?!\d)" for x in (r"(?:\d{4}[ -]){4}\d{3}", r"(?:\d{4}[ -]){3}\d{4}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d{13,19}"))
 SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
 IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
 DATE = r"\d{4}-\d{2}-\d{2}(?![\d-])|\d{2}/\d{2}/\d{4}(?![\d/])"
 SECRET_NAME = r"(?:[Pp]assword|[Tt]oken|[Ss]ecret|[Aa]pi_?[Kk]ey)\s{0,3}[=:]\s{0,3}[\x22']?"
 SECRET = rf"AKIA[0-9A-Z]{{16}}(?![0-9A-Za-z])|{SECRET_NAME}[A-Za-z0-9_-]{{8,128}}"
 #: Finds start at the beginning of a run of such characters, so a long run is looked at once.
-FINDS = rf"(?<![A-Za-z0-9._%+-])(?:{EMAIL}|{DATE}|{SSN}|{IP}|{CARD}|{PHONE}|{SECRET})"
+BEFORE = r"(?<![A-Za-z0-9._%+-])"
+FINDS = rf"{BEFORE}(?:{EMAIL}|{DATE}|{SSN}|{IP}|{CARD}|{PHONE}|{SECRET})"
+#: A card may also follow groups of digits and hyphens that start so.
+INNER = rf"(?<=\d-)(?<={BEFORE}\d[\d-]{{0,60}}-)"
+NO_CARD = "[^\\s\\S]"
 
 
 def _number(key: str, *parts: Column) -> Column:
@@ -87,6 +93,21 @@ def _card(x: Column, key: str) -> Column:
     return _refill(x, F.concat(body, ((10 - _luhn(body, 0) % 10) % 10).cast("string")))
 
 
+def _finds(t: Column) -> Column:
+    """The pattern of all finds of a text, with its valid card numbers in place of CARD.
+
+    The check digit is tested first, on the usual groups at each start and on whole runs, so that
+    digits that are no card number take nothing from what stands before, in or after them.
+    """
+    valid = lambda found: F.filter(found, lambda x: _luhn(_digits(x), 1) % 10 == 0)
+    usual = F.concat(*[F.regexp_extract_all(t, F.lit(rf"(?:{BEFORE}|{INNER})(?=({x}))"), F.lit(1)) for x in USUAL])
+    runs = F.filter(F.regexp_extract_all(t, F.lit(f"({FINDS})"), F.lit(1)), lambda x: x.rlike(f"^(?:{CARD})$") & ~x.rlike(f"^(?:{DATE}|{SSN}|{IP})$"))
+    cards = F.array_distinct(F.concat(valid(usual), valid(runs)))
+    either = F.when(F.size(cards) > 0, F.concat(F.lit("(?:"), F.array_join(cards, "|"), F.lit(r")(?!\d)"))).otherwise(F.lit(NO_CARD))
+    start = F.concat(F.lit(f"(?:{BEFORE}(?:{EMAIL}|{DATE}|{SSN}|{IP}|"), either, F.lit(f"|{PHONE}|{SECRET})"))
+    return F.concat(start, F.when(F.size(cards) > 0, F.concat(F.lit(f"|{INNER}"), either)).otherwise(F.lit("")), F.lit(")"))
+
+
 def _ip(x: Column, key: str) -> Column:
     o = F.split(x, r"\.")
     n = F.aggregate(o, F.lit(0).cast("long"), lambda s, c: s * 256 + c.cast("long"))
@@ -146,7 +167,8 @@ def _find(x: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
     """All columns of docs with the text rewritten, and n_<kind> for each kind and n_pii.
 
-    Card numbers must pass their check digit (which is made anew), dates must exist (1900 to 2299,
+    Card numbers must pass their check digit (which is made anew); in longer runs of digits they are
+    found in their usual groups (USUAL). Dates must exist (1900 to 2299,
     where their pseudonyms lie), octets of addresses must be under 256; numbers that fail stay as
     they are. Domains of addresses, country codes and all other text stay. A null text stays null,
     with counts of 0; empty texts stay empty; repeated rows come out each, alike; columns named as
@@ -155,11 +177,12 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") ->
     found = docs.drop(*[c for c in docs.columns if c.startswith("n_") and c[2:] in (*KINDS, "pii")])
     t = F.col(text)
     might = t.rlike("[0-9@]")
-    hits = F.when(might, F.regexp_extract_all(t, F.lit(f"({FINDS})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    found = found.withColumn("__finds", F.when(might, _finds(t)))
+    hits = F.when(might, F.regexp_extract_all(t, F.concat(F.lit("("), F.col("__finds"), F.lit(")")), F.lit(1))).otherwise(F.array().cast("array<string>"))
     found = found.withColumn("__hits", F.transform(hits, lambda x: _find(x, key)))
-    parts = F.split(t, FINDS, -1)
+    parts = F.split(t, F.col("__finds"), -1)
     new = F.array_join(F.zip_with(parts, F.col("__hits.new"), lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
     found = found.withColumn(text, F.when(F.size("__hits") > 0, new).otherwise(t))
     n = lambda k: F.size(F.filter(F.col("__hits.kind"), lambda x: x == k)).cast("long")
     counted = found.withColumns({f"n_{k}": F.greatest(n(k), F.lit(0)).cast("long") for k in KINDS})
-    return counted.withColumn("n_pii", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long"))).drop("__hits")
+    return counted.withColumn("n_pii", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long"))).drop("__hits", "__finds")

@@ -237,6 +237,16 @@ def test_pseudonyms(spark):
     assert got[5]["text"] is None and got[6]["text"] == "" and got[7]["text"] == texts[7] and got[7]["n_pii"] == 0
 
 
+def test_pseudonyms_of_cards_beside_digits(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 12/26", f"{card} 123", f"123 {card}", f"12-{card}", "4111111111111111 10.0.0.25", "3782 822463 10005 99", f"{card} 2024-02-29", "4111-11111111-1111", "4111 1111 1111 1112 123"]
+    got = by_id(pii.pseudonymise(make(spark, [(i, t, None, None, 0, 0, "") for i, t in enumerate(texts)])))
+    assert [got[i]["n_card"] for i in range(9)] == [1] * 8 + [0] and got[8]["text"] == texts[8]
+    assert not any(x in got[i]["text"] for i in range(8) for x in (card, card.replace(" ", ""), "3782 822463 10005", "4111-11111111-1111"))
+    assert got[0]["text"].endswith(" 12/26") and got[1]["text"].endswith(" 123") and got[2]["text"].startswith("123 ") and got[3]["text"].startswith("12-")
+    assert got[4]["n_ip"] == 1 and "10.0.0.25" not in got[4]["text"] and got[6]["n_date"] == 1 and "2024-02-29" not in got[6]["text"]
+
+
 def test_permutations_are_one_to_one(spark):
     n = 189 * 773
     out = spark.range(n).select(pii.permute(F.col("id"), 189, 773, "k", "d").alias("p"))
