@@ -24,7 +24,7 @@ USUAL = tuple(rf"{x}(?!\d)" for x in (r"(?:\d{4}[ -]){4}\d{3}", r"(?:\d{4}[ -]){
 SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
 IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
 DATE = r"\d{4}-\d{2}-\d{2}(?![\d-])|\d{2}/\d{2}/\d{4}(?![\d/])"
-SECRET_NAME = r"(?:[Pp]assword|[Tt]oken|[Ss]ecret|[Aa]pi_?[Kk]ey)\s{0,3}[=:]\s{0,3}[\x22']?"
+SECRET_NAME = r"(?i:password|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\x22']?"
 SECRET = rf"AKIA[0-9A-Z]{{16}}(?![0-9A-Za-z])|{SECRET_NAME}[A-Za-z0-9_-]{{8,128}}"
 #: Finds start at the beginning of a run of such characters, so a long run is looked at once.
 BEFORE = r"(?<![A-Za-z0-9._%+-])"
@@ -176,7 +176,7 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") ->
     """
     found = docs.drop(*[c for c in docs.columns if c.startswith("n_") and c[2:] in (*KINDS, "pii")])
     t = F.col(text)
-    might = t.rlike("[0-9@]")
+    might = t.rlike("[0-9@]|AKIA|(?i:password|token|secret|api_?key)")  # a secret may be letters only
     found = found.withColumn("__finds", F.when(might, _finds(t)))
     hits = F.when(might, F.regexp_extract_all(t, F.concat(F.lit("("), F.col("__finds"), F.lit(")")), F.lit(1))).otherwise(F.array().cast("array<string>"))
     found = found.withColumn("__hits", F.transform(hits, lambda x: _find(x, key)))
