@@ -14,6 +14,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from . import base
 
 #: Tokens of a run, and pages it must stand in, to count as boilerplate.
 RUN, RUN_PAGES = 4, 2
-#: Pages of a host that are compared with each other; a larger host is split by page_id.
+#: Pages of a host that one task compares; of a larger host the runs are found by an aggregation.
 HOST_PAGES = 500
 #: Hosts of more pages than that up to which their table is sent to all executors; more are joined by shuffle.
 SENT_HOSTS = 100_000
@@ -168,6 +169,22 @@ def covered(streams: list[list[list[str]]]) -> list[list[np.ndarray]]:
     return [[next(inside) for _ in x] for x in streams]
 
 
+def _grams(blocks_: list[list[str]]) -> list[np.ndarray]:
+    """Of each block the 64-bit hashes of its RUN consecutive tokens."""
+    return [np.array([xxhash.xxh64_intdigest(" ".join(b[i : i + RUN]).encode("utf-8", "surrogatepass")) - (1 << 63) for i in range(len(b) - RUN + 1)], np.int64) for b in blocks_]
+
+
+def covered_by(stream: list[list[str]], often: np.ndarray) -> list[np.ndarray]:
+    """Of each block of a page which tokens lie in one of these runs, as covered() tells for whole hosts."""
+    out = []
+    for b, g in zip(stream, _grams(stream)):
+        gone = np.zeros(len(b), bool)
+        for k in np.flatnonzero(np.isin(g, often)):
+            gone[k : k + RUN] = True
+        out.append(gone)
+    return out
+
+
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)"
 
 
@@ -175,14 +192,15 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_boilerplate) of every page.
 
     Pages are parsed where they are read; what goes to the tasks of a host is the kept text and
-    the other blocks. A host of more than HOST_PAGES pages is split, so no task holds a whole hot
-    host. Null or empty html has the text ''; a null or odd url belongs to the host ''; repeated
+    the other blocks. Of a host of more than HOST_PAGES pages no task holds all: pages are counted
+    for each hash of RUN tokens, which gives the same runs. Null or empty html has the text ''; a null or odd url belongs to the host ''; repeated
     rows come out each (each other's boilerplate only if unmarked); other columns are left out.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit("")))
     p = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    parts = base.cut(p.groupBy("host").agg(F.ceil(F.count("*") / HOST_PAGES).alias("parts")).where("parts > 1"))
-    parts = F.broadcast(parts) if parts.count() <= SENT_HOSTS else parts
+    big = base.cut(p.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > HOST_PAGES).select("host"))
+    n_big = big.count()
+    big = F.broadcast(big) if n_big <= SENT_HOSTS else big
 
     def parse(batches):
         for pdf in batches:
@@ -197,13 +215,12 @@ def extract(pages: DataFrame) -> DataFrame:
                     "others": [[t for z, t in b if z != CONTENT] for b in found],
                 })
 
-    parsed = p.mapInPandas(parse, "page_id long, url string, host string, content string, zones array<int>, others array<string>")
-    dealt = parsed.join(parts, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1).cast("long"))))
+    parsed = "page_id long, url string, host string, content string, zones array<int>, others array<string>"
+    done = "page_id long, url string, text string, n_chars long, n_boilerplate long"
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        streams = [[t.split(" ") for t in b] for b in pdf["others"]]
+    def verdict(pdf: pd.DataFrame, streams: list, covers: list) -> pd.DataFrame:
         rows = []
-        for content, zones, stream, cover in zip(pdf["content"], pdf["zones"], streams, covered(streams)):
+        for content, zones, stream, cover in zip(pdf["content"], pdf["zones"], streams, covers):
             text = content
             if text is None:
                 text = " ".join(w for z, words, gone in zip(zones, stream, cover) if z == UNMARKED for w, g in zip(words, gone) if not g)
@@ -213,4 +230,27 @@ def extract(pages: DataFrame) -> DataFrame:
         out.insert(1, "url", pdf["url"].to_numpy())
         return out
 
-    return dealt.groupBy("host", "part").applyInPandas(judge, "page_id long, url string, text string, n_chars long, n_boilerplate long")
+    def split(pdf: pd.DataFrame) -> list[list[list[str]]]:
+        return [[t.split(" ") for t in b] for b in pdf["others"]]
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        streams = split(pdf)
+        return verdict(pdf, streams, covered(streams))
+
+    def runs(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"row": pdf["row"], "host": pdf["host"], "grams": [np.unique(np.concatenate([np.empty(0, np.int64), *_grams(x)])) for x in split(pdf)]})
+
+    def judge_rows(batches):
+        for pdf in batches:
+            streams = split(pdf)
+            yield verdict(pdf, streams, [covered_by(x, np.array([] if o is None else o, np.int64)) for x, o in zip(streams, pdf["often"])])
+
+    if not n_big:
+        return p.mapInPandas(parse, parsed).groupBy("host").applyInPandas(judge, done)
+    small = p.join(big, "host", "left_anti").select(p.columns).mapInPandas(parse, parsed).groupBy("host").applyInPandas(judge, done)
+    hot = base.cut(p.join(big, "host", "left_semi").select(p.columns).mapInPandas(parse, parsed).withColumn("row", F.monotonically_increasing_id()))
+    grams = base.cut(hot.select("row", "host", "others").mapInPandas(runs, "row long, host string, grams array<long>").select("row", "host", F.explode("grams").alias("gram")))
+    often = base.cut(grams.groupBy("host", "gram").agg(F.count("*").alias("n")).where(F.col("n") >= RUN_PAGES).select("host", "gram"))
+    mine = base.cut(grams.join(often, ["host", "gram"]).groupBy("row").agg(F.collect_list("gram").alias("often")))  # a page's own runs
+    return small.unionByName(hot.join(mine, "row", "left").select("page_id", "url", "content", "zones", "others", "often").mapInPandas(judge_rows, done))

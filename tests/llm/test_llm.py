@@ -281,6 +281,16 @@ def test_pages(spark):
     assert got[4] == ("", 0) and got[5] == ("", 0) and got[6][0] == "unclosed & plain"
 
 
+def test_pages_of_a_large_host(spark, monkeypatch):
+    html = "<body><div>Own words {0} of page {0}</div><div>A line that only pair {1} has here</div><nav>Menu of all pages here</nav><p>Short {2}</p></body>"
+    rows = [(i, "http://big.x/1", html.format(i, i // 2, i)) for i in range(40)] + [(90, "http://big.x/2", "<article>In full</article><p>A line that only pair 3 has here</p>"), (91, "http://other.x/", html.format(1, 1, 1)), (92, "http://big.x/3", None), (5, "http://big.x/1", html.format(5, 2, 5))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(tuple, pages.extract(table).collect()))
+    assert any("of page 8" in r[2] and "only pair" not in r[2] for r in whole)
+    monkeypatch.setattr(pages, "HOST_PAGES", 4)
+    assert sorted(map(tuple, pages.extract(table).collect())) == whole
+
+
 def test_empty_tables(spark):
     none = make(spark, [])
     bench = make(spark, [], "item_id long, text string")
