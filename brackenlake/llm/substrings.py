@@ -2,10 +2,10 @@
 
 Suffixes can't all be shuffled, so texts are cut where their content says. Of every SPAN bytes the
 least GRAM-gram is the anchor; equal spans have equal anchors at equal places. Neighbouring spans
-with one anchor make a stretch. A stretch that stands elsewhere as a whole is told by its hash. Only
-stretches that share the anchor but differ somewhere send their bytes: split in the half that reaches
-left of the anchor and the half that reaches right, they meet by the anchor and the bytes beside it,
-and a suffix array over them with a stack scan of its intervals yields the repeats.
+with one anchor make a stretch. Of equal stretches two send their bytes, all further copies are removed
+as the second is; stretches whose anchor stands nowhere else send nothing. Split in the half that
+reaches left of the anchor and the half that reaches right, they meet by the anchor and the bytes
+beside it, and a suffix array over them with a stack scan of its intervals yields the repeats.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ GUARD = SPAN - GRAM + 1
 BESIDE = (SPAN - GRAM) // 2
 #: Bytes of a text that are scanned at once; longer texts are scanned in pieces that overlap by a span.
 PIECE = 2 << 20
-#: Stretches of one group that a suffix array takes; those of larger groups are told apart span by span, over all tasks.
+#: Pieces of one group that one task takes; larger groups are first freed of equal pieces, then split by more bytes beside the anchor.
 GROUP = 3000
 #: Bytes of stretches that one suffix array takes.
 ARRAY_BYTES = 1 << 20
@@ -105,68 +105,88 @@ def _hot(docs: DataFrame):
 
 
 def _told_apart(batches):
-    """Sorted stretches to what repeats: kind 0 spans that an earlier whole stretch equals, kind 1 stretches that differ.
+    """Sorted stretches to what may repeat: kind 1 stretches for the suffix arrays, kind 0 copies beyond the second of one stretch.
 
     A spread anchor's stretches differ from some in other tasks, and equal ones are in several
-    tasks too: the first that a task has of them is of kind 2, with the stretch's hash.
+    tasks too: the first two that a task has of them are of kind 2, with the stretch's hash.
     """
-    prev = held = None  # the last row; the last first-of-its-kind row, with whether it has been put out
+    held = None  # of the last kind of stretch its first two rows, with whether each has been put out
     for pdf in batches:
         if not len(pdf):
             continue
-        g, w, d, a, s = (pdf[c].to_numpy() for c in ("gram", "whole", "doc_id", "at", "salt"))
-        same = np.zeros(len(g), bool)
-        same[1:] = (g[1:] == g[:-1]) & (w[1:] == w[:-1]) & (s[1:] == s[:-1])
-        same[0] = prev is not None and prev == (g[0], w[0], s[0])
-        prev = (g[-1], w[-1], s[-1])
-        k = np.flatnonzero(same)
-        out = [pd.DataFrame({"kind": 0, "whole": 0, "doc_id": d[k], "at": a[k]})]
-        k = np.flatnonzero(~same)
-        first, done = [x[k] for x in (g, w, d, a, s)], np.zeros(len(k), bool)
+        g, w, s, d, a = (pdf[c].to_numpy() for c in ("gram", "whole", "salt", "doc_id", "at"))
+        done = np.zeros(len(g), bool)
         if held is not None:
-            *first, done = (np.concatenate(([x], y)) for x, y in zip(held, (*first, done)))
-        fg, fw, fd, fa, fs = first
-        if len(fg):
-            twin = (fg[1:] == fg[:-1]) & (fs[1:] == fs[:-1])
-            put = (fs > 0) | np.concatenate(([False], twin)) | np.concatenate((twin, [False]))
-            k = np.flatnonzero(put & ~done)
-            out.append(pd.DataFrame({"kind": np.where(fs[k] > 0, 2, 1), "whole": np.where(fs[k] > 0, fw[k], 0), "doc_id": fd[k], "at": fa[k]}))
-            held = (*(x[-1] for x in first), bool(put[-1] or done[-1]))
-        yield pd.concat(out)
+            g, w, s, d, a, done = (np.concatenate((x, y)) for x, y in zip(held, (g, w, s, d, a, done)))
+        fresh = np.concatenate(([True], (g[1:] != g[:-1]) | (w[1:] != w[:-1]) | (s[1:] != s[:-1])))
+        start = np.flatnonzero(fresh)
+        size = np.diff(np.append(start, len(g)))
+        nth = np.arange(len(g)) - np.repeat(start, size)
+        twin = (g[start[1:]] == g[start[:-1]]) & (s[start[1:]] == s[start[:-1]])
+        put = (s[start] > 0) | (size > 1) | np.concatenate(([False], twin)) | np.concatenate((twin, [False]))
+        go = nth == 1
+        go[start] = put
+        k = np.flatnonzero((go | (nth > 1)) & ~done)
+        spread = (s[k] > 0) & (nth[k] < 2)
+        yield pd.DataFrame({"kind": np.where(nth[k] > 1, 0, np.where(spread, 2, 1)), "whole": np.where(spread, w[k], 0), "doc_id": d[k], "at": a[k]})
+        last = slice(start[-1], start[-1] + min(2, size[-1]))
+        held = (g[last], w[last], s[last], d[last], a[last], (done | go)[last])
 
 
 def _first_of_spread(told: DataFrame) -> DataFrame:
-    """Stretches told apart (kind, doc_id, at): of the SALTS equal ones at most of kind 2 the first becomes kind 1, the others kind 0."""
+    """Stretches told apart (kind, doc_id, at): of the 2 * SALTS equal ones at most of kind 2 the first two become kind 1, the others kind 0."""
     nth = F.row_number().over(Window.partitionBy("whole").orderBy("doc_id", "at"))
-    again = told.where("kind = 2").select(F.when(nth == 1, 1).otherwise(0).alias("kind"), "doc_id", "at")
+    again = told.where("kind = 2").select(F.when(nth <= 2, 1).otherwise(0).alias("kind"), "doc_id", "at")
     return told.where("kind < 2").select("kind", "doc_id", "at").unionByName(again)
 
 
+def _key(b: bytes, anchor: int, near: int, far: int) -> int:
+    """What all spans that begin near to far bytes before the anchor have in common, as a number."""
+    beside = b[anchor - near : anchor - far + SPAN]
+    return int.from_bytes(hashlib.blake2b(beside, digest_size=8, salt=bytes((near, far))).digest(), "little", signed=True)
+
+
+_PIECE = "key long, doc_id long, start long, off long, near int, far int, bytes binary"
+
+
+def _pieces_of(rows: list, halves: list[tuple[int, int]]):
+    """rows (doc_id, start, off, bytes), anchors off bytes after the start, cut to the spans of each range: a _PIECE table."""
+    out = []
+    for d, start, off, b in rows:
+        for near, far in halves:  # spans that begin near to far bytes before the anchor
+            lo, hi = max(0, off - far), min(len(b) - SPAN, off - near)
+            if lo <= hi:
+                out.append((_key(b, off, near, far), d, start + lo, off - lo, near, far, b[lo : hi + SPAN]))
+    return pd.DataFrame(out, columns=["key", "doc_id", "start", "off", "near", "far", "bytes"])
+
+
 def _halves(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ats) to (key, doc_id, start, bytes): the two halves of each stretch, by anchor and bytes beside it."""
+    """docs (doc_id, text, ats) to pieces: the two halves of each stretch, by anchor and bytes beside it."""
 
     def run(batches):
         for pdf in batches:
             for i in range(0, len(pdf), 64):
-                key, ids, starts, data = [], [], [], []
+                rows = []
                 for d, text, ats in zip(pdf["doc_id"][i : i + 64], pdf["text"][i : i + 64], pdf["ats"][i : i + 64]):
                     b = text.encode("utf-8", "surrogatepass")
-                    at = np.sort(np.asarray(ats, np.int64))
-                    first, spans, place = at >> 16, (at >> 8) & 255, at & 255
-                    anchor, last = first + place, first + spans
-                    for left in (True, False):  # spans that begin BESIDE bytes or more before the anchor, and the others
-                        lo = first if left else np.maximum(first, anchor - BESIDE + 1)
-                        hi = np.minimum(last, anchor - BESIDE) if left else last
-                        k = np.flatnonzero(lo <= hi)
-                        for x, y, c in zip(lo[k].tolist(), hi[k].tolist(), anchor[k].tolist()):
-                            beside = b[c - BESIDE : c + GRAM] if left else b[c : c + GRAM + BESIDE]
-                            key.append(int.from_bytes(hashlib.blake2b(beside, digest_size=8, salt=b"l" if left else b"r").digest(), "little", signed=True))
-                            ids.append(d)
-                            starts.append(x)
-                            data.append(b[x : y + SPAN])
-                yield pd.DataFrame({"key": np.array(key, np.int64), "doc_id": np.array(ids, np.int64), "start": np.array(starts, np.int64), "bytes": data})
-
-    return docs.select("doc_id", "text", "ats").mapInPandas(run, "key long, doc_id long, start long, bytes binary")
+                    for at in sorted(map(int, ats)):
+                        first, spans, place = at >> 16, (at >> 8) & 255, at & 255
+                        rows.append((d, first, place, b[first : first + spans + SPAN]))
+                yield _pieces_of(rows, [(0, BESIDE - 1), (BESIDE, SPAN - GRAM)])
+
+    return docs.select("doc_id", "text", "ats").mapInPandas(run, _PIECE)
+
+
+def _narrower(pieces: DataFrame) -> DataFrame:
+    """Pieces split in two by where their spans begin; each part has a key of more bytes, in the end of a whole span."""
+
+    def run(batches):
+        for pdf in batches:
+            for (near, far), some in pdf.groupby(["near", "far"]):
+                mid = (near + far) // 2
+                yield _pieces_of(list(zip(some["doc_id"], some["start"], some["off"], some["bytes"])), [(int(near), int(mid)), (int(mid) + 1, int(far))] if near < far else [(int(near), int(far))])
+
+    return pieces.mapInPandas(run, _PIECE)
 
 
 class SuffixArray:
@@ -189,7 +209,7 @@ class SuffixArray:
         rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
         rank = np.unique(rank << 4 | np.minimum(self.left, 8), return_inverse=True)[1].astype(np.int64)
         levels, h = [(8, rank)], 8
-        while h < 2 * SPAN:
+        while h < sizes.max(initial=0):
             far = np.zeros(n, np.int64)
             far[:-h or None] = rank[h:] + 1
             far[self.left <= h] = 0
@@ -201,7 +221,7 @@ class SuffixArray:
         self.shared = np.zeros(n, np.int64)  # with the suffix before
         most = np.minimum(self.left[a], self.left[b]) if n > 1 else np.zeros(0, np.int64)
         got = np.zeros(len(a), np.int64)
-        for h, rank in reversed(levels):
+        for h, rank in reversed(levels):  # as often as the longest part may need
             x, y = np.minimum(a + got, n - 1), np.minimum(b + got, n - 1)
             got += np.where((got + h <= most) & (rank[x] == rank[y]), h, 0)
         for _ in range(7):
@@ -211,11 +231,16 @@ class SuffixArray:
         before = np.where(self.at > 0, buf[np.arange(n) - 1] if n else 0, 0).astype(np.int64)
         self.before = np.where(self.at > 0, before, 256 + self.part)  # at a string's start: like no other
 
-    def maximal_repeats(self, least: int):
-        """(length, suffixes) of each interval of suffixes that share `least` bytes or more and differ before.
+    def intervals(self, least: int):
+        """Of each group of maximal repeats (length, first suffix, children's firsts) from the innermost interval out.
 
-        A stack scan over the shared lengths; a run of suffixes that all have one byte before them
-        is skipped whole, as is any interval in it: a longer repeat to the left holds it.
+        A stack scan over the shared lengths. An interval's suffixes share `length` bytes; it is
+        left-diverse if they don't all have one byte before them, else a longer repeat to the left
+        holds it and it yields nothing. Its children are intervals in it and single suffixes, each
+        told by the one that comes first in (document, place): all occurrences of the interval's
+        repeat are those of its children, of which all but one come later than its first. So every
+        suffix is in one yield as a later one at most, and all yields together are no longer than
+        the array. self.rank must hold the order of suffixes in (document, place).
         """
         if self.n < 2:
             return
@@ -225,38 +250,64 @@ class SuffixArray:
         lo, hi = np.minimum.reduceat(before, starts), np.maximum.reduceat(before, starts)
         for r in np.flatnonzero((size > 1) & (lo != hi)).tolist():
             a, b = int(starts[r]), int(starts[r] + size[r])
-            stack: list[list] = [[0, a]]  # shared length, first suffix
-            shared = self.shared[a:b].tolist()
-            for i in range(a + 1, b + 1):
-                s = shared[i - a] if i < b else 0
-                begin = i - 1
+            shared, byte, rank = self.shared[a:b].tolist(), before[a:b].tolist(), self.rank[self.order[a:b]].tolist()
+            stack: list[list] = [[0, -1, []]]  # shared length, the byte before all of it (-2: several), firsts of what is in it
+            for i in range(1, b - a + 1):
+                s = shared[i] if i < b - a else 0
+                child = [byte[i - 1], rank[i - 1]]  # the byte before, the first
                 while stack[-1][0] > s:
-                    length, begin = stack.pop()
-                    own = before[begin:i]
-                    if own.min() != own.max():
-                        yield length, self.order[begin:i]
+                    length, own, firsts = stack.pop()
+                    own = child[0] if own in (-1, child[0]) else -2
+                    firsts.append(child[1])
+                    first = min(firsts)
+                    if own == -2:
+                        yield length, first, firsts
+                    child = [own, first]
                 if stack[-1][0] < s:
-                    stack.append([s, begin])
+                    stack.append([s, child[0], [child[1]]])
+                else:
+                    top = stack[-1]
+                    top[1] = child[0] if top[1] in (-1, child[0]) else -2
+                    top[2].append(child[1])
 
 
-def repeats(ids: np.ndarray, starts: np.ndarray, parts: list[bytes]) -> list[tuple[int, int, int]]:
-    """(doc_id, from, to) of every copy of a repeat of SPAN bytes or more but the first."""
+def repeats(ids: np.ndarray, starts: np.ndarray, parts: list[bytes]) -> pd.DataFrame:
+    """(doc_id, s, e): of every repeat of SPAN bytes or more all copies but the first, as runs that don't touch."""
     s = SuffixArray(parts)
-    out = []
-    for length, some in s.maximal_repeats(SPAN):
-        d = ids[s.part[some]]
-        p = starts[s.part[some]] + s.at[some]
-        k = np.lexsort((p, d))
-        first = (d[k[0]], p[k[0]])
-        out += [(x, y, y + length) for x, y in zip(d[k].tolist(), p[k].tolist()) if (x, y) != first]
-    return list(set(out))
+    d, p = ids[s.part], starts[s.part] + s.at
+    order = np.lexsort((p, d))
+    fresh = np.ones(len(order), bool)  # one place may stand in two parts
+    fresh[1:] = (d[order[1:]] != d[order[:-1]]) | (p[order[1:]] != p[order[:-1]])
+    s.rank = np.empty(len(order), np.int64)
+    s.rank[order] = np.cumsum(fresh) - 1
+    place = order[fresh]
+    at, n = [], []
+    for length, first, firsts in s.intervals(SPAN):
+        for x in firsts:
+            if x != first:
+                at.append(x)
+                n.append(length)
+    return _merged(d[place[at]], p[place[at]], np.array(n, np.int64)) if at else pd.DataFrame({"doc_id": [], "s": [], "e": []}, dtype=np.int64)
+
+
+def _merged(d: np.ndarray, s: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """Runs of n bytes from s on, put together where they meet."""
+    order = np.lexsort((s, d))
+    d, s, e = d[order], s[order], (s + n)[order]
+    doc = np.cumsum(np.concatenate(([0], d[1:] != d[:-1])))
+    far = np.int64(e.max() + 1)
+    to = np.maximum.accumulate(doc * far + e)
+    new = np.concatenate(([True], doc[1:] * far + s[1:] > to[:-1]))
+    new[1:] |= doc[1:] != doc[:-1]
+    k = np.flatnonzero(new)
+    return pd.DataFrame({"doc_id": d[k], "s": s[k], "e": to[np.append(k[1:], len(d)) - 1] - doc[k] * far})
 
 
 def _by_array(batches):
-    """Sorted halves (key, doc_id, start, bytes) to removed runs; groups are put together to arrays of ARRAY_BYTES."""
+    """Sorted pieces (key, doc_id, start, bytes) to removed runs; groups are put together to arrays of ARRAY_BYTES."""
 
     def solve(pdf):
-        return pd.DataFrame(repeats(pdf["doc_id"].to_numpy(), pdf["start"].to_numpy(), pdf["bytes"].tolist()), columns=["doc_id", "s", "e"])
+        return repeats(pdf["doc_id"].to_numpy(), pdf["start"].to_numpy(), pdf["bytes"].tolist())
 
     held = None
     for pdf in batches:
@@ -277,32 +328,33 @@ def _by_array(batches):
         yield solve(held)
 
 
-def _by_span(rows: DataFrame) -> DataFrame:
-    """Halves of large groups to removed runs: every span's first place is found by an aggregation over all tasks."""
+def _arrays(pieces: DataFrame) -> DataFrame:
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = pieces.select("key", "doc_id", "start", "bytes").repartition(n, "key").sortWithinPartitions("key")
+    return some.mapInPandas(_by_array, "doc_id long, s long, e long")
 
-    def run(batches):
-        for pdf in batches:
-            for i in range(0, len(pdf), 1000):
-                h, d, p = [], [], []
-                for x, s, b in zip(pdf["doc_id"][i : i + 1000], pdf["start"][i : i + 1000], pdf["bytes"][i : i + 1000]):
-                    n = len(b) - SPAN + 1
-                    h.append(Scan.hash(_Sums(b), np.arange(n), SPAN))
-                    d.append(np.full(n, x))
-                    p.append(s + np.arange(n))
-                yield pd.DataFrame({"h": np.concatenate(h).view(np.int64), "doc_id": np.concatenate(d), "p": np.concatenate(p)})
-
-    spans = base.cut(rows.select("doc_id", "start", "bytes").mapInPandas(run, "h long, doc_id long, p long"))
-    first = spans.groupBy("h").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    late = spans.join(first, "h").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("p") != F.col("first.p")))
-    return late.select("doc_id", F.col("p").alias("s"), (F.col("p") + SPAN).alias("e"))
 
+def _large(pieces: DataFrame, group: int) -> DataFrame:
+    """Pieces of groups that no task may hold to removed runs.
 
-class _Sums:
-    def __init__(self, b: bytes):
-        buf = np.frombuffer(b, np.uint8)
-        up, self.down = base._power(len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(base._BYTE_CASED[buf] * up[: len(buf)], out=self.sums[1:])
+    Of equal pieces of a group the first goes on, the others are removed whole. A group that is
+    still large is split by where spans begin, which makes its keys longer: after seven rounds at
+    most a key is a whole span, of which only one piece can be left.
+    """
+    out = []
+    while True:
+        first = base.cut(pieces.groupBy("key", "bytes").agg(F.min(F.struct("doc_id", "start", "off", "near", "far")).alias("o"), F.count("*").alias("m")))
+        late = pieces.join(first.where("m > 1"), ["key", "bytes"]).where((F.col("doc_id") != F.col("o.doc_id")) | (F.col("start") != F.col("o.start")))
+        out.append(base.cut(late.select("doc_id", F.col("start").alias("s"), (F.col("start") + F.octet_length("bytes")).alias("e"))))
+        one = first.select("key", "bytes", "o.*")
+        size = base.cut(one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        out.append(_arrays(one.join(size.where(F.col("n") <= group).select("key"), "key")))
+        pieces = base.cut(_narrower(one.join(size.where(F.col("n") > group).select("key"), "key").select(pieces.columns)))
+        if pieces.isEmpty():
+            break
+    for x in out[1:]:
+        out[0] = out[0].unionByName(x)
+    return out[0]
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -343,11 +395,12 @@ def removed_runs(docs: DataFrame, group: int = GROUP) -> DataFrame:
     equal = told.where("kind = 0").select("doc_id", F.shiftright("at", 16).alias("s"), (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255) + SPAN).alias("e"))
     ats = told.where("kind = 1").groupBy("doc_id").agg(F.collect_list("at").alias("ats"))  # of one document
     halves = base.cut(_halves(_only(docs, told.where("kind = 1").select("doc_id").distinct()).join(ats, "doc_id")))
-    size = halves.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    size = base.cut(size)
-    few = halves.join(size.where(F.col("m") <= group).select("key"), "key").repartition(n, "key").sortWithinPartitions("key")
-    many = halves.join(size.where(F.col("m") > group).select("key"), "key")
-    return equal.unionByName(few.mapInPandas(_by_array, "doc_id long, s long, e long")).unionByName(_by_span(many))
+    size = base.cut(halves.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    runs = equal.unionByName(_arrays(halves.join(size.where(F.col("m") <= group).select("key"), "key")))
+    many = size.where(F.col("m") > group).select("key")
+    if many.isEmpty():
+        return runs
+    return runs.unionByName(_large(base.cut(halves.join(many, "key").select(halves.columns)), group))
 
 
 def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -355,9 +408,11 @@ def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
     A text equal to that of a smaller doc_id goes as a whole if it has SPAN bytes, and is compared
     with nothing else. Null and empty texts have 0 bytes; texts under SPAN bytes lose nothing;
-    repeated rows with one doc_id and text come out each, alike, and count as one document; rows
-    of a null doc_id are left out, as are other columns.
+    repeated rows with one doc_id and text come out each, alike, and count as one document; a row
+    of a null doc_id has no place in the order, so it loses nothing and no other loses by it. Other
+    columns are left out.
     """
+    nameless = base.texts(docs.where("doc_id is null"))
     docs = base.texts(docs.where("doc_id is not null"))
     name = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("name"), F.sha2("text", 256).alias("sha"))
     name = base.cut(name)
@@ -375,4 +430,6 @@ def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
     out = member.join(cut_, "doc_id", "left")
     whole = (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= SPAN)
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("r", zero)).alias("n_removed"), F.when(whole, zero + 1).otherwise(F.coalesce("k", zero)).alias("n_spans"), F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("h", "sha")).alias("kept_sha256"))
+    nameless = nameless.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    out = out.select("doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("r", zero)).alias("n_removed"), F.when(whole, zero + 1).otherwise(F.coalesce("k", zero)).alias("n_spans"), F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("h", "sha")).alias("kept_sha256"))
+    return out.unionByName(nameless)

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -115,12 +116,48 @@ def test_repeated_substrings_of_spread_anchors(spark, monkeypatch):
     assert {r[0]: tuple(r)[1:] for r in substrings.deduplicate(docs).collect()} == substring_brute(rows)
 
 
-def test_maximal_repeats_hold_all_copies():
+def test_intervals_hold_all_copies():
     parts = [b"xx" + b"q" * 3 + bytes(range(65, 91)) * 5, bytes(range(65, 91)) * 5 + b"end", b"zz" + bytes(range(65, 91)) * 5]
+    got = substrings.repeats(np.array([7, 8, 9]), np.array([0, 100, 0]), parts)
+    assert sorted(map(tuple, got.to_numpy())) == [(7, 31, 135), (8, 100, 230), (9, 2, 132)]
+    whole = [(n, len(x)) for n, _, x in _intervals(parts) if n == 130]
+    assert whole == [(130, 3)]
+
+
+def _intervals(parts):
     s = substrings.SuffixArray(parts)
-    best = max(s.maximal_repeats(100), key=lambda x: (len(x[1]), x[0]))
-    whole = [x for x in s.maximal_repeats(100) if x[0] == 130]
-    assert best[0] >= 100 and sorted((int(s.part[i]), int(s.at[i])) for i in whole[0][1]) == [(0, 5), (1, 0), (2, 2)]
+    s.rank = np.arange(s.n)
+    return list(s.intervals(100))
+
+
+def test_repeats_of_long_parts_and_of_nested_lengths():
+    r = random.Random(5)
+    long = bytes(r.randrange(97, 123) for _ in range(2000))
+    got = substrings.repeats(np.array([1, 2]), np.array([0, 0]), [b"A" + long, b"B" + long])
+    assert list(map(tuple, got.to_numpy())) == [(2, 1, 2001)]
+    sizes = {}
+    for n in (50, 100, 200):  # one passage shared to n different lengths: rows must not grow with the square
+        parts = [long[: 300 + 2 * i] + bytes([1 + i % 90, 1]) for i in range(n)]
+        got = substrings.repeats(np.arange(n), np.zeros(n, np.int64), parts)
+        sizes[n] = sum(len(x) for _, _, x in _intervals(parts))
+        assert [tuple(x) for x in got.to_numpy()] == [(i, 0, 300 + 2 * (i - 1)) for i in range(1, n)]
+    assert sizes[200] <= 4.2 * sizes[50]
+
+
+def test_repeated_substrings_of_a_hot_group(spark):
+    """Very many unlike texts share one short line: groups are split by longer keys, with the same result."""
+    r = random.Random(9)
+    line = "this one short line of some words stands in all of them, with unlike words on both of its sides"
+    rows = [(i, "".join(r.choice("abcdef ") for _ in range(r.choice([60, 90]))) * (1 + i % 2) + line + "".join(r.choice("abcdef ") for _ in range(60)) + ("tail " * 30 if i % 5 == 0 else ""), None, None, 1, 2, "l") for i in range(120)]
+    for group in (3000, 7):
+        got = substrings.deduplicate(make(spark, rows), group)
+        assert {x[0]: tuple(x)[1:] for x in got.collect()} == substring_brute(rows)
+
+
+def test_repeated_substrings_without_ids(spark):
+    rows = [(None, "x" * 300, None, None, 1, 2, "l"), (None, "x" * 300, None, None, 1, 2, "l"), (2**53 + 1, "y" * 250, None, None, 1, 2, "l"), (2**53 + 1, "y" * 250, None, None, 1, 2, "l"), (2**53 + 3, "y" * 250, None, None, 1, 2, "l")]
+    got = sorted(((r["doc_id"] or 0), r["n_bytes"], r["n_removed"]) for r in substrings.deduplicate(make(spark, rows)).collect())
+    assert got == [(0, 300, 0), (0, 300, 0), (2**53 + 1, 250, 150), (2**53 + 1, 250, 150), (2**53 + 3, 250, 250)]
 
 
 def test_token_counts(spark, rows):
