@@ -190,48 +190,64 @@ def _narrower(pieces: DataFrame) -> DataFrame:
 
 
 class SuffixArray:
-    """Suffixes of some byte strings in order, with the lengths that neighbours share; no match goes over a string's end."""
+    """Suffixes of `least` bytes or more of some byte strings in order, with the lengths that neighbours share.
 
-    def __init__(self, parts: list[bytes]):
-        joined = b"".join(parts)
-        buf = np.frombuffer(joined + bytes(8), np.uint8)
-        n = self.n = len(joined)
+    Shorter ones hold no repeat of that length. Suffixes are sorted by their first `least` bytes,
+    then those that are still equal by WIDTH bytes more at a time, to the strings' ends; no match
+    goes over an end.
+    """
+
+    WIDTH = 64
+
+    def __init__(self, parts: list[bytes], least: int):
+        self.least = least
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.part = np.repeat(np.arange(len(parts)), sizes)
-        self.at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.left = np.repeat(sizes, sizes) - self.at  # bytes to the string's end
-        word = np.zeros(n, np.uint64)
-        for k in range(8):
-            word = word << np.uint64(8) | buf[k : k + n]
-        for k in range(1, 8):  # bytes past the string's end count as none
-            over = self.left == k
-            word[over] &= ~np.uint64((1 << (64 - 8 * k)) - 1)
-        rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
-        rank = np.unique(rank << 4 | np.minimum(self.left, 8), return_inverse=True)[1].astype(np.int64)
-        levels, h = [(8, rank)], 8
-        while h < sizes.max(initial=0):
-            far = np.zeros(n, np.int64)
-            far[:-h or None] = rank[h:] + 1
-            far[self.left <= h] = 0
-            rank = np.unique(rank << 32 | far, return_inverse=True)[1].astype(np.int64)
-            h *= 2
-            levels.append((h, rank))
-        self.order = np.argsort(rank, kind="stable")
-        a, b = self.order[:-1].copy(), self.order[1:].copy()
+        count = np.maximum(sizes - least + 1, 0)
+        n = self.n = int(count.sum())
+        self.part = np.repeat(np.arange(len(parts)), count)
+        self.at = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
+        pos = (np.cumsum(sizes) - sizes)[self.part] + self.at
+        left = sizes[self.part] - self.at  # bytes to the string's end
+        buf = np.frombuffer(b"".join(parts) + bytes(max(least, self.WIDTH)), np.uint8)
+        key, some, off, width = np.zeros(n, np.int64), np.arange(n), 0, least
+        while len(some):  # key: where the suffixes equal so far begin in the order
+            rows = self._bytes(buf, pos[some] + off, left[some] - off, width)
+            block = np.unique(rows.view(f"S{width}").ravel(), return_inverse=True)[1]
+            take = np.minimum(left[some] - off, width)
+            order = np.lexsort((take, block, key[some]))
+            some, block, take = some[order], block[order], take[order]
+            old = np.concatenate(([True], key[some[1:]] != key[some[:-1]]))
+            new = old.copy()
+            new[1:] |= (block[1:] != block[:-1]) | (take[1:] != take[:-1])
+            at = np.arange(len(some))
+            start = np.maximum.accumulate(np.where(new, at, 0))
+            key[some] += start - np.maximum.accumulate(np.where(old, at, 0))
+            off, width = off + width, self.WIDTH
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(some)))
+            some = some[np.repeat((size > 1) & (np.maximum.reduceat(left[some], first) > off), size)]
+        self.order = np.argsort(key, kind="stable")
+        a, b = pos[self.order[:-1]], pos[self.order[1:]]
+        most = np.minimum(left[self.order[:-1]], left[self.order[1:]]) if n > 1 else np.zeros(0, np.int64)
         self.shared = np.zeros(n, np.int64)  # with the suffix before
-        most = np.minimum(self.left[a], self.left[b]) if n > 1 else np.zeros(0, np.int64)
-        got = np.zeros(len(a), np.int64)
-        for h, rank in reversed(levels):  # as often as the longest part may need
-            x, y = np.minimum(a + got, n - 1), np.minimum(b + got, n - 1)
-            got += np.where((got + h <= most) & (rank[x] == rank[y]), h, 0)
-        for _ in range(7):
-            x, y = np.minimum(a + got, n - 1), np.minimum(b + got, n - 1)
-            got += (got < most) & (buf[x] == buf[y])
-        self.shared[1:] = got
-        before = np.where(self.at > 0, buf[np.arange(n) - 1] if n else 0, 0).astype(np.int64)
-        self.before = np.where(self.at > 0, before, 256 + self.part)  # at a string's start: like no other
-
-    def intervals(self, least: int):
+        some, off = np.arange(len(a)), 0
+        while len(some):
+            same = self._bytes(buf, a[some] + off, most[some] - off, self.WIDTH) == self._bytes(buf, b[some] + off, most[some] - off, self.WIDTH)
+            run = np.where(same.all(1), self.WIDTH, np.argmin(same, 1))
+            self.shared[1 + some] = np.minimum(off + run, most[some])
+            off += self.WIDTH
+            some = some[(run == self.WIDTH) & (most[some] > off)]
+        self.before = np.where(self.at > 0, buf[np.maximum(pos - 1, 0)].astype(np.int64), 256 + self.part)  # at a string's start: like no other
+
+    @staticmethod
+    def _bytes(buf: np.ndarray, at: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
+        """Rows of `width` bytes from each place on; past the `left` ones they are 0."""
+        rows = np.lib.stride_tricks.sliding_window_view(buf, width)[np.minimum(at, len(buf) - width)]
+        if (left < width).any():
+            rows[np.arange(width) >= left[:, None]] = 0
+        return rows
+
+    def intervals(self):
         """Of each group of maximal repeats (length, first suffix, children's firsts) from the innermost interval out.
 
         A stack scan over the shared lengths. An interval's suffixes share `length` bytes; it is
@@ -245,7 +261,7 @@ class SuffixArray:
         if self.n < 2:
             return
         before = self.before[self.order]
-        starts = np.flatnonzero(self.shared < least)
+        starts = np.flatnonzero(self.shared < self.least)
         size = np.diff(np.append(starts, self.n))
         lo, hi = np.minimum.reduceat(before, starts), np.maximum.reduceat(before, starts)
         for r in np.flatnonzero((size > 1) & (lo != hi)).tolist():
@@ -273,7 +289,7 @@ class SuffixArray:
 
 def repeats(ids: np.ndarray, starts: np.ndarray, parts: list[bytes]) -> pd.DataFrame:
     """(doc_id, s, e): of every repeat of SPAN bytes or more all copies but the first, as runs that don't touch."""
-    s = SuffixArray(parts)
+    s = SuffixArray(parts, SPAN)
     d, p = ids[s.part], starts[s.part] + s.at
     order = np.lexsort((p, d))
     fresh = np.ones(len(order), bool)  # one place may stand in two parts
@@ -282,7 +298,7 @@ def repeats(ids: np.ndarray, starts: np.ndarray, parts: list[bytes]) -> pd.DataF
     s.rank[order] = np.cumsum(fresh) - 1
     place = order[fresh]
     at, n = [], []
-    for length, first, firsts in s.intervals(SPAN):
+    for length, first, firsts in s.intervals():
         for x in firsts:
             if x != first:
                 at.append(x)
