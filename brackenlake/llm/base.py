@@ -24,6 +24,13 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
+def by_batch(df: DataFrame, run, schema: str, key: str = "doc_id") -> DataFrame:
+    """df.mapInPandas(run, key and schema) with the key handed over as text: numbers beside a null would come as floats and lose digits."""
+    kind = dict(df.dtypes)[key]
+    out = df.withColumn(key, F.col(key).cast("string")).mapInPandas(run, f"`{key}` string, {schema}")
+    return out.withColumn(key, F.col(key).cast(kind))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (tests, local mode) a temporary one."""
     conf = spark.sparkContext.getConf()
