@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from collections import Counter
-from operator import mul
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import base
 
-#: Distinct pieces of text that a Python worker keeps in mind; beyond it the memory starts anew.
-KEPT = 400_000
+#: Characters of distinct units that a Python worker keeps in mind; beyond it the memory starts anew.
+KEPT = 8_000_000
+#: Pre-tokens whose counts are sent to all executors, and bytes of one at most: 16 MB together.
+HOT_PIECES, HOT_BYTES = 65_536, 256
 
 _loaded: dict = {}
 
@@ -47,7 +50,6 @@ class PieceCounter:
         self.split = regex.compile(public_tokenizers.PATTERN)
         added = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.pieces: dict[str, int] = {}
 
     def frequencies(self, text: str) -> tuple[Counter, int]:
         """Pre-tokens of a text with how often each occurs, and how many special strings stand in it."""
@@ -57,45 +59,74 @@ class PieceCounter:
             found.update(self.split.findall(part))
         return found, len(parts) - 1
 
-    def learn(self, wanted: set[str]) -> None:
-        if len(self.pieces) > KEPT:
-            self.pieces.clear()
-        new = [w for w in wanted if w not in self.pieces]
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            self.pieces.update(zip(some, (len(e) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+    def count(self, pieces: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id") -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", hot: int = HOT_PIECES) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) of every whole text.
 
-    Per Arrow batch: pre-token frequencies of each document, the batch's distinct pre-tokens counted
-    once (a worker remembers up to KEPT of them between batches), joined to the frequencies and
-    summed. No ids are made and nothing is shuffled. A null text is empty; an empty text has 0
-    tokens; repeated rows are counted each; other columns are left out.
+    Each document's distinct pre-tokens and how often it has them are written first. Their distinct
+    values over all documents are counted in tokens once each. The counts are joined to the
+    frequencies: those of the `hot` pre-tokens that stand in most documents are sent to the tasks
+    (of at most HOT_BYTES each), the others, which no large share of documents has, are joined by
+    shuffle. Sums of both are the documents' counts; no ids of a document are made. A null text is
+    empty; an empty text has 0 tokens; repeated rows and null keys are counted each; other columns
+    are left out.
     """
+    kind = dict(docs.dtypes)[key]
 
-    def run(batches):
+    def frequencies(batches):
         counter = _once(("count", path), lambda: PieceCounter(path))
-        for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                found = [counter.frequencies(t) for t in part["text"]]
-                counter.learn(set().union(*(f for f, _ in found)))
-                get = counter.pieces.__getitem__
-                n = [sum(map(mul, map(get, f.keys()), f.values())) + s for f, s in found]
-                yield pd.DataFrame({key: part[key], "n_bytes": [len(t.encode()) for t in part["text"]], "n_tokens": n, "over_limit": [x > limit for x in n]})
-
-    kind = dict(docs.dtypes)[key]
-    return base.texts(docs, key).mapInPandas(run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                texts = some.column(1).to_pylist()
+                found = [counter.frequencies(t) for t in texts]
+                ends = pa.array(np.cumsum([0, *(len(f) for f, _ in found)]), pa.int32())
+                pieces = pa.ListArray.from_arrays(ends, pa.array([w for f, _ in found for w in f], pa.string()))
+                times = pa.ListArray.from_arrays(ends, pa.array([n for f, _ in found for n in f.values()], pa.int64()))
+                plain = [pa.array(x, pa.int64()) for x in ([len(t.encode()) for t in texts], [n for _, n in found])]
+                yield pa.RecordBatch.from_arrays([some.column(0), *plain, pieces, times], names=[key, "n_bytes", "n", "pieces", "times"])
+
+    found = base.texts(docs, key).mapInArrow(frequencies, f"`{key}` {kind}, n_bytes long, n long, pieces array<string>, times array<long>")
+    found = base.cut(found.withColumn("__row", F.monotonically_increasing_id()))
+
+    def take_apart(batches):
+        counter = _once(("count", path), lambda: PieceCounter(path))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counter.count(batch.column(0).to_pylist()), pa.int64())], names=["piece", "docs", "k"])
+
+    each = found.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("docs"))
+    counted = base.cut(each.mapInArrow(take_apart, "piece string, docs long, k long"))
+    top = counted.where(F.octet_length("piece") <= HOT_BYTES).orderBy(F.desc("docs"), "piece").limit(hot).select("piece", "k").toPandas()
+    send = docs.sparkSession.sparkContext.broadcast((top["piece"].tolist(), top["k"].to_numpy(np.int64)))
+
+    def add_up(batches):
+        known, k = pa.array(send.value[0], pa.string()), np.append(send.value[1], 0)
+        for batch in batches:
+            first, ends = batch.column(3), batch.column(3).offsets.to_numpy()
+            pieces, times = first.values.slice(ends[0], ends[-1] - ends[0]), batch.column(4).flatten().to_numpy()
+            at = pc.index_in(pieces, value_set=known).fill_null(len(k) - 1).to_numpy()
+            sums = np.concatenate(([0], np.cumsum(k[at] * times)))
+            ends = ends - ends[0]
+            late = at == len(k) - 1
+            left = pa.array(np.concatenate(([0], np.cumsum(late)))[ends], pa.int32())
+            rest = pa.ListArray.from_arrays(left, pieces.filter(pa.array(late)))
+            n = batch.column(2).to_numpy() + sums[ends[1:]] - sums[ends[:-1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), rest, pa.ListArray.from_arrays(left, pa.array(times[late])), batch.column(5)], names=[key, "n_bytes", "n", "pieces", "times", "__row"])
+
+    some = base.cut(found.select(key, "n_bytes", "n", "pieces", "times", "__row").mapInArrow(add_up, found.select(key, "n_bytes", "n", "pieces", "times", "__row").schema))
+    rest = some.select("__row", F.explode(F.arrays_zip("pieces", "times")).alias("p")).select("__row", F.col("p.pieces").alias("piece"), F.col("p.times").alias("times"))
+    more = rest.join(counted.select("piece", "k"), "piece").groupBy("__row").agg(F.sum(F.col("k") * F.col("times")).alias("more"))
+    n = F.col("n") + F.coalesce("more", F.lit(0))
+    return some.drop("pieces", "times").join(more, "__row", "left").select(key, "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
 # --- op7: merge rounds ------------------------------------------------------------------------------
 
 _SPACE = "▁"
 _NONE = 1 << 40
-#: Symbols of a unit from which an exact queue takes the place of rounds if merges must go one at a time.
-LONG_UNIT = 256
 
 
 class MergeModel:
@@ -138,7 +169,8 @@ class MergeModel:
         self.keys = np.array([r[0] for r in rows] + [1 << 62], np.int64)
         self.rank = np.array([r[1] for r in rows] + [_NONE], np.int64)
         self.to = np.array([r[2] for r in rows] + [0], np.int64)
-        self.table = {r[0]: (r[1], r[2]) for r in rows}
+        inside = {ord(a) << 32 | ord(b) for i in plain for a, b in zip(pieces[i], pieces[i][1:])}
+        self.inside = np.array(sorted(inside) + [1 << 62], np.int64)  # neighbours within some piece; no merge goes over others
         self.single = np.zeros(len(self.names), bool)
         self.single[list(better)] = True
         crossing = re.compile(f"[^{_SPACE}]{_SPACE}")
@@ -147,6 +179,7 @@ class MergeModel:
         self.id_text = list(map(str, range(len(self.names))))
         self.last_byte = max(self.bytes.values())
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.kept = 0
 
     def units(self, text: str) -> list[str]:
         """Parts of a text that no merge joins: white space with what follows it."""
@@ -157,9 +190,11 @@ class MergeModel:
         return self.unit.findall(s) if self.unit else [s]
 
     def learn(self, wanted: set[str]) -> None:
-        if len(self.known) > KEPT:
+        if self.kept > KEPT:
             self.known.clear()
+            self.kept = 0
         new = [w for w in wanted if w not in self.known]
+        self.kept += sum(map(len, new))
         for i in range(0, len(new), 8_000):
             some = new[i : i + 8_000]
             for w, ids in zip(some, self.merge(some)):
@@ -193,13 +228,15 @@ class MergeModel:
             out.append(held.decode("utf-8", "replace"))
         return "".join(out).replace(_SPACE, " ")
 
-    def _start(self, units: list[str]) -> np.ndarray:
+    def _start(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The first symbol of each character of the units, and whether the next one can ever be merged with it."""
         code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.int32).astype(np.int64)
         low = code < len(self.char)
         sym = self.char[np.where(low, code, 0)]
         for i in np.flatnonzero(~low):
             sym[i] = self.symbols.get(chr(code[i]), -code[i] - 1)
-        return sym
+        both = code[:-1] << 32 | code[1:]
+        return sym, self.inside[np.searchsorted(self.inside, both)] == both
 
     def _pairs(self, left: np.ndarray, right: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pair = np.where((left >= 0) & (right >= 0) & same, left << 32 | np.maximum(right, 0), -1)
@@ -209,14 +246,18 @@ class MergeModel:
     def merge(self, units: list[str]) -> list[list[int]]:
         """Symbols of each unit once no pair can be merged; an unknown character c is -ord(c) - 1.
 
-        A round finds each unit's best pair, merges its occurrences that don't overlap, leftmost
+        Units are cut where no piece has both neighbours, as no merge goes over such a place. A
+        round finds each part's best pair, merges its occurrences that don't overlap, leftmost
         first, and closes the gaps; only pairs beside a merge are looked up again. Where a merge
-        makes a pair at least as good as itself, the unit has one merge a round, so that the
-        order is that of merging one by one.
+        makes a pair at least as good as itself, that pair comes before the occurrences further
+        right: these wait for a later round, so that the order is that of merging one by one.
         """
-        sym = self._start(units)
-        word = np.repeat(np.arange(len(units)), np.fromiter(map(len, units), np.int64, len(units)))
-        done: list[list[int] | None] = [None] * len(units)
+        sym, joined = self._start(units)
+        unit = np.repeat(np.arange(len(units)), np.fromiter(map(len, units), np.int64, len(units)))
+        cuts = np.concatenate(([True], (unit[1:] != unit[:-1]) | ~joined))[: len(sym)]
+        word = np.cumsum(cuts) - 1
+        of = unit[cuts]
+        done: list[list[int]] = [[] for _ in range(len(of))]
         nxt = np.append(sym[1:], -1)
         rank, to = self._pairs(sym, nxt, np.append(word[1:] == word[:-1], False))
         while len(sym):
@@ -226,24 +267,19 @@ class MergeModel:
             nth = np.repeat(np.arange(len(starts)), size)
             over = best >= _NONE
             go = np.flatnonzero((rank == best[nth]) & ~over[nth])
-            risky = np.zeros(len(starts), bool)
-            risky[nth[go[self.single[to[go]]]]] = True
-            slow = risky & (size > LONG_UNIT)
-            for j in np.flatnonzero(slow):  # rare: an exact queue for long units that would have one merge a round
-                done[word[starts[j]]] = self._queue(sym[starts[j] : starts[j] + size[j]].tolist())
             ended = np.flatnonzero(over)
-            keep = ~(over | slow)[nth]
+            keep = ~over[nth]
             if len(ended):
-                flat = sym[over[nth]].tolist()
+                flat = sym[~keep].tolist()
                 ends = np.cumsum(size[ended]).tolist()
                 for w, a, b in zip(word[starts[ended]].tolist(), [0, *ends], ends):
                     done[w] = flat[a:b]
-            go = go[keep[go]]
             if len(go):
                 fresh = np.concatenate(([True], np.diff(go) > 1))  # overlapping pairs in a row: every other one, from the left
                 first = np.maximum.accumulate(np.where(fresh, go, 0))
-                leads = np.concatenate(([True], nth[go[1:]] != nth[go[:-1]]))
-                go = go[np.where(risky[nth[go]], leads, (go - first) % 2 == 0)]
+                go = go[(go - first) % 2 == 0]
+                if self.single[to[go]].any():
+                    go = go[~self._too_early(sym, word, rank, to, go, nth)]
                 sym[go] = to[go]
                 keep[go + 1] = False
             place = np.cumsum(keep) - 1
@@ -255,32 +291,24 @@ class MergeModel:
                 d = np.flatnonzero(changed)
                 e = np.minimum(d + 1, len(sym) - 1)
                 rank[d], to[d] = self._pairs(sym[d], sym[e], (word[d] == word[e]) & (d != e))
-        return done
-
-    def _queue(self, s: list[int]) -> list[int]:
-        """Merges one by one, best rank first and leftmost among equals."""
-        after, before = list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
-        heap: list = []
-
-        def push(i):
-            j = after[i]
-            if j < len(s) and s[i] >= 0 and s[j] >= 0 and (m := self.table.get(s[i] << 32 | s[j])):
-                heapq.heappush(heap, (m[0], i, j, s[i], s[j], m[1]))
-
-        alive = [True] * len(s)
-        for i in range(len(s) - 1):
-            push(i)
-        while heap:
-            _, i, j, a, b, to = heapq.heappop(heap)
-            if not (alive[i] and j < len(s) and alive[j] and after[i] == j and s[i] == a and s[j] == b):
-                continue
-            s[i], alive[j], after[i] = to, False, after[j]
-            if after[j] < len(s):
-                before[after[j]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return [x for x, k in zip(s, alive) if k]
+        out: list[list[int]] = [[] for _ in units]
+        for u, ids in zip(of.tolist(), done):
+            out[u] += ids
+        return out
+
+    def _too_early(self, sym, word, rank, to, go, nth) -> np.ndarray:
+        """Of merges in order which come after one of their part that makes a pair as good as itself or better."""
+        last = len(sym) - 1
+        l, r = np.maximum(go - 1, 0), np.minimum(go + 2, last)
+        beside = np.concatenate(([False], go[1:] == go[:-1] + 2))  # the merge before has just made the left neighbour
+        left = np.where(beside, to[go[np.maximum(np.arange(len(go)) - 1, 0)]], sym[l])
+        before = self._pairs(left, to[go], (go > 0) & (word[l] == word[go]))[0]
+        after = self._pairs(to[go], sym[r], (go + 2 <= last) & (word[r] == word[go]))[0]
+        stop = np.minimum(before, after) <= rank[go]
+        part = nth[go]
+        new = np.concatenate(([True], part[1:] != part[:-1]))
+        n = np.cumsum(stop) - stop  # stops before each merge
+        return n > np.maximum.accumulate(np.where(new, n, 0))
 
     def encode(self, text: str) -> list[int]:
         u = self.units(text)
@@ -292,7 +320,7 @@ def encode_digests(docs: DataFrame, path: str, key: str = "doc_id", keep_text: b
     """(key, n_tokens, ids_sha256, decoded_sha256[, decoded]) of every whole text.
 
     Distinct units of a batch are encoded together by merge rounds over flat arrays and remembered
-    (up to KEPT a worker). A null or empty text has no ids; repeated rows come out each; other
+    (up to KEPT characters a worker, and those of one batch). A null or empty text has no ids; repeated rows come out each; other
     columns are left out. Nothing is shuffled.
     """
 
@@ -313,5 +341,4 @@ def encode_digests(docs: DataFrame, path: str, key: str = "doc_id", keep_text: b
                 out.insert(0, key, part[key].to_numpy())
                 yield out if keep_text else out.drop(columns="decoded")
 
-    kind = dict(docs.dtypes)[key]
-    return base.texts(docs, key).mapInPandas(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string" * keep_text)
+    return base.by_batch(base.texts(docs, key), run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string" * keep_text, key)
