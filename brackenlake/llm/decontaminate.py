@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,67 +40,71 @@ def winnow(w: base.Words) -> tuple[np.ndarray, np.ndarray]:
     return g[keep], at[keep]
 
 
+def windows(w: base.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, words, text) of every window of some items: SPAN words in a row, or all words of an item of fewer."""
+    out = []
+    for n in np.unique(np.minimum(w.count, SPAN)):
+        if n:
+            g, at = w.grams(int(n))
+            row = w.row[at]
+            k = np.flatnonzero(w.count[row] == n) if n < SPAN else np.arange(len(g))
+            out.append((g[k], np.full(len(k), n), row[k]))
+    return tuple(map(np.concatenate, zip(*out))) if out else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _near(w: base.Words, at: np.ndarray) -> np.ndarray:
+    """Where windows of SPAN words start that hold one of the k-grams at these words."""
+    start = np.unique((at[:, None] - np.arange(GUARD)).ravel())
+    start = start[start >= 0]
+    row = w.row[start]
+    return start[(start + SPAN <= w.first[row + 1])]
+
+
 class Benchmark:
-    """Items as words, with their fingerprints sorted; items under SPAN words by whole hashes for each length."""
+    """Sorted fingerprints of the items, and every distinct window with the items that hold it."""
 
     def __init__(self, ids: list[str], texts: list[str]):
-        rows = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        w = base.Words(rows, base.ALNUM)
-        self.ids, self.hash, self.row, self.first, self.count = ids, w.hash, w.row, w.first, w.count
-        f, at = winnow(w)
-        order = np.argsort(f, kind="stable")
-        self.prints, self.at = f[order], at[order]
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for n in range(1, SPAN):
-            some = np.flatnonzero(w.count == n)
-            if len(some):
-                g, a = w.grams(n)
-                of = dict(zip(a.tolist(), g.tolist()))
-                for i in some.tolist():
-                    self.short.setdefault(n, {}).setdefault(of[int(w.first[i])], []).append(i)
-
-    def search(self, w: base.Words) -> tuple[np.ndarray, list[set[int]]]:
-        """Which words of the texts are hit, and the items that occur in each text."""
+        w = base.Words([t.encode("utf-8", "surrogatepass") for t in texts], base.ALNUM)
+        self.ids = ids
+        self.prints = np.unique(winnow(w)[0])
+        g, n, row = windows(w)
+        self.short = [int(x) for x in np.unique(n) if x < SPAN]
+        order = np.lexsort((row, g))
+        g, row = g[order], row[order]
+        fresh = np.concatenate(([True], (g[1:] != g[:-1]) | (row[1:] != row[:-1])))[: len(g)]
+        g, self.items = g[fresh], row[fresh]
+        self.windows, first = np.unique(g, return_index=True)
+        self.bounds = np.append(first, len(g))
+
+    def search(self, w: base.Words) -> tuple[np.ndarray, list[set[str]]]:
+        """Which words of the texts are hit, and the ids of the items that occur in each text.
+
+        Shared fingerprints are extended: each window around one is looked up among the items'
+        windows, once a window and not once a pair. Items under SPAN words have no fingerprint;
+        their few lengths are looked up everywhere.
+        """
         hit = np.zeros(len(w.hash) + 1, np.int64)
-        items: list[set[int]] = [set() for _ in w.count]
+        items: list[set[str]] = [set() for _ in w.count]
+        if not len(self.windows):
+            return hit[:-1] > 0, items
         f, at = winnow(w)
-        lo, hi = np.searchsorted(self.prints, f, "left"), np.searchsorted(self.prints, f, "right")
-        n = hi - lo
-        some = np.flatnonzero(n)
-        if len(some):
-            p = np.repeat(at[some], n[some])
-            k = np.repeat(lo[some] - np.concatenate(([0], np.cumsum(n[some])[:-1])), n[some]) + np.arange(n[some].sum())
-            q = self.at[k]
-            # one start a diagonal run: hits of one diagonal that touch are extended once
-            order = np.lexsort((p, p - q))
-            last: tuple[int, int] | None = None
-            for a, b in zip(p[order].tolist(), q[order].tolist()):
-                if last and last[0] == a - b and a < last[1]:
-                    continue
-                r, i = int(w.row[a]), int(self.row[b])
-                back = min(a - int(w.first[r]), b - int(self.first[i]))
-                fore = min(int(w.first[r + 1]) - a, int(self.first[i + 1]) - b)
-                x = w.hash[a - back : a][::-1] != self.hash[b - back : b][::-1]
-                y = w.hash[a : a + fore] != self.hash[b : b + fore]
-                start = a - (int(x.argmax()) if x.any() else back)
-                end = a + (int(y.argmax()) if y.any() else fore)
-                last = (a - b, max(end, a + 1))
-                if end - start >= SPAN:
-                    hit[start] += 1
-                    hit[end] -= 1
-                    items[r].add(i)
-        for n_, table in self.short.items():
-            g, a = w.grams(n_)
-            known = np.fromiter(table, np.uint64, len(table))
-            for j in np.flatnonzero(np.isin(g, known)):
-                start = int(a[j])
-                hit[start] += 1
-                hit[start + n_] -= 1
-                items[int(w.row[start])].update(table[int(g[j])])
+        at = at[np.isin(f, self.prints)]
+        tries = [(n, None) for n in self.short] + ([(SPAN, _near(w, at))] if len(at) else [])
+        for n, near in tries:
+            g, start = w.grams(n)
+            if near is not None:
+                k = np.searchsorted(start, near)
+                g, start = g[k], near
+            k = np.minimum(np.searchsorted(self.windows, g), len(self.windows) - 1)
+            found = np.flatnonzero(self.windows[k] == g)
+            hit[start[found]] += 1
+            hit[start[found] + n] -= 1
+            for r, x in np.unique(np.stack((w.row[start[found]], k[found]), 1), axis=0).tolist():
+                items[r].update(self.ids[i] for i in self.items[self.bounds[x] : self.bounds[x + 1]].tolist())
         return np.cumsum(hit)[:-1] > 0, items
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def _rows(ids, w: base.Words, hit: np.ndarray, items: list[set[str]]) -> pd.DataFrame:
@@ -108,90 +113,107 @@ def _rows(ids, w: base.Words, hit: np.ndarray, items: list[set[str]]) -> pd.Data
     return pd.DataFrame({"doc_id": ids, "n_words": w.count, "n_hit": n, "n_items": list(map(len, items)), "items_sha256": sha, "contaminated": n > 0})
 
 
-def _scan(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def _items(bench: DataFrame) -> DataFrame:
+    """(item_id, text) as strings; a null id is '', a null text too; repeated rows once."""
+    return bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+
+
+def _send(spark, bench: DataFrame, sent_bytes: int):
+    """The items for all executors, or None if they have more bytes than that."""
+    n = bench.agg(F.sum(F.octet_length("text") + F.octet_length("item_id") + 16)).first()[0] or 0
+    if n > sent_bytes:
+        return None
     got = bench.toPandas()
-    send = docs.sparkSession.sparkContext.broadcast((got["item_id"].astype(str).tolist(), got["text"].tolist()))
+    return spark.sparkContext.broadcast((got["item_id"].tolist(), got["text"].tolist()))
+
 
+def _scan(docs: DataFrame, send) -> DataFrame:
     def run(batches):
         b = Benchmark(*send.value)
         for pdf in batches:
             ids = pdf["doc_id"].to_numpy()
             for first, rows in base.blocks(pdf["text"].tolist()):
                 w = base.Words(rows, base.ALNUM)
-                hit, items = b.search(w)
-                yield _rows(ids[first : first + len(rows)], w, hit, [{b.ids[i] for i in x} for x in items])
+                yield _rows(ids[first : first + len(rows)], w, *b.search(w))
 
-    return base.texts(docs).mapInPandas(run, SCHEMA)
+    return base.by_batch(base.texts(docs), run, SCHEMA)
 
 
-def _prints(df: DataFrame, key: str, name: str) -> DataFrame:
-    """(name, print): the distinct fingerprints of each text, and grams of 1 to 9 words of texts that short."""
+def _words_of(df: DataFrame, key: str, make, schema: str) -> DataFrame:
+    """make(ids, words) of each block of texts."""
 
     def run(batches):
         for pdf in batches:
             ids = pdf[key].to_numpy()
             for first, rows in base.blocks(pdf["text"].tolist()):
-                w = base.Words(rows, base.ALNUM)
-                f, at = winnow(w)
-                out = [pd.DataFrame({name: ids[first + w.row[at]], "print": f.view(np.int64)})]
-                if key == "item_id":
-                    for n in range(1, SPAN):
-                        g, at = w.grams(n)
-                        keep = w.count[w.row[at]] == n
-                        out.append(pd.DataFrame({name: ids[first + w.row[at[keep]]], "print": g[keep].view(np.int64)}))
-                yield pd.concat(out).drop_duplicates()
+                yield make(ids[first : first + len(rows)], base.Words(rows, base.ALNUM))
 
-    return df.select(F.col(key).cast("long") if key == "doc_id" else F.col(key).cast("string"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"{name} {'long' if key == 'doc_id' else 'string'}, print long")
+    return df.select(key, "text").mapInPandas(run, schema)
 
 
-def _joined(docs: DataFrame, bench: DataFrame, short: list[int]) -> DataFrame:
-    """The same result by a shuffle join of fingerprints, for a benchmark too large to send.
+def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The same result by shuffle joins, for a benchmark too large to send. docs: (row, text), each row another.
 
-    Pairs that share a fingerprint are joined to both texts, checked one by one, and summed up
-    by document; a frequent fingerprint is split by Spark's skew join.
+    Fingerprints are joined first; of documents with hits the windows around them (and all of the
+    short lengths that items have) are joined with the items' windows, and both are summed up by
+    row. A frequent fingerprint or window is split by Spark's skew join.
     """
-    kinds = [(base.texts(docs), "doc_id")]
-    d = _prints(*kinds[0], "doc")
-    if short:  # every gram of the short lengths that items have
-
-        def grams(batches):
-            for pdf in batches:
-                ids = pdf["doc_id"].to_numpy()
-                for first, rows in base.blocks(pdf["text"].tolist()):
-                    w = base.Words(rows, base.ALNUM)
-                    yield pd.concat([pd.DataFrame({"doc": ids[first + w.row[a]], "print": g.view(np.int64)}) for g, a in map(w.grams, short)]).drop_duplicates()
-
-        d = d.unionByName(base.texts(docs).mapInPandas(grams, "doc long, print long"))
-    pairs = base.cut(d.join(_prints(bench, "item_id", "item"), "print").select("doc", "item").distinct())
-    items = bench.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("item_text"))
-    both = pairs.join(items, "item").join(base.texts(docs).withColumnRenamed("doc_id", "doc"), "doc")
-
-    def check(batches):
+    signed = lambda g: g.view(np.int64)
+    prints = _words_of(bench, "item_id", lambda ids, w: pd.DataFrame({"print": np.unique(signed(winnow(w)[0]))}), "print long").distinct()
+
+    def of_item(ids, w):
+        g, n, row = windows(w)
+        return pd.DataFrame({"item": ids[row], "n": n, "gram": signed(g)}).drop_duplicates()
+
+    known = base.cut(_words_of(bench, "item_id", of_item, "item string, n int, gram long").distinct())
+    short = [r[0] for r in known.where(F.col("n") < SPAN).select("n").distinct().collect()]  # SPAN - 1 numbers at most
+
+    def of_doc(ids, w):
+        f, at = winnow(w)
+        return pd.DataFrame({"row": ids[w.row[at]], "print": signed(f), "at": at - w.first[w.row[at]]})
+
+    near = base.cut(_words_of(docs, "row", of_doc, "row long, print long, at long")).join(base.cut(prints), "print", "left_semi")
+    near = docs.join(near.groupBy("row").agg(F.collect_list("at").alias("ats")), "row")  # of one document
+
+    def around(batches):
         for pdf in batches:
-            out = []
-            for doc, item, item_text, text in zip(pdf["doc"], pdf["item"], pdf["item_text"], pdf["text"]):
+            for r, text, ats in zip(pdf["row"], pdf["text"], pdf["ats"]):
                 w = base.Words([text.encode("utf-8", "surrogatepass")], base.ALNUM)
-                hit, found = Benchmark([item], [item_text]).search(w)
-                if found[0]:
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-                    out += [(doc, item, int(s), int(e)) for s, e in zip(edge[::2], edge[1::2])]
-            yield pd.DataFrame(out, columns=["doc", "item", "s", "e"])
-
-    runs = base.cut(both.select("doc", "item", "item_text", "text").mapInPandas(check, "doc long, item string, s long, e long"))
-    by_item = runs.select("doc", "item").distinct().groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    spans = runs.select("doc", "s", "e").distinct().groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("runs"))
-    covered = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), r["e"] - F.greatest(r["s"], a["to"]))).alias("n"), F.greatest(a["to"], r["e"]).alias("to")), lambda a: a["n"])
-    found = by_item.join(spans.select("doc", covered.alias("n_hit")), "doc").select(F.col("doc").alias("doc_id"), "items", "n_hit")
-
-    def count(batches):
-        for pdf in batches:
-            ids = pdf["doc_id"].to_numpy()
-            for first, rows in base.blocks(pdf["text"].tolist()):
-                yield pd.DataFrame({"doc_id": ids[first : first + len(rows)], "n_words": base.Words(rows, base.ALNUM).count})
+                start = _near(w, np.asarray(ats, np.int64))
+                g, at = w.grams(SPAN)
+                yield pd.DataFrame({"row": r, "start": start, "n": SPAN, "gram": signed(g[np.searchsorted(at, start)])})
 
-    words = base.texts(docs).mapInPandas(count, "doc_id long, n_words long")
+    tried = near.select("row", "text", "ats").mapInPandas(around, "row long, start long, n int, gram long")
+    if short:
+
+        def few(ids, w):
+            out = []
+            for n in short:
+                g, at = w.grams(n)
+                out.append(pd.DataFrame({"row": ids[w.row[at]], "start": at - w.first[w.row[at]], "n": n, "gram": signed(g)}))
+            return pd.concat(out)
+
+        tried = tried.unionByName(_words_of(docs, "row", few, "row long, start long, n int, gram long"))
+    found = base.cut(base.cut(tried).join(known.select("gram", "n").distinct(), ["gram", "n"], "left_semi"))
+    names = found.select("row", "gram", "n").distinct().join(known, ["gram", "n"]).select("row", "item").distinct()
+    by_item = names.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    spans = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e")))).alias("runs"))
+    zero = F.lit(0).cast("long")
+    step = lambda a, r: F.struct((a["n"] + F.greatest(zero, r["e"] - F.greatest(r["s"], a["to"]))).alias("n"), F.greatest(a["to"], r["e"]).alias("to"))
+    covered = F.aggregate("runs", F.struct(zero.alias("n"), zero.alias("to")), step, lambda a: a["n"])
+    hits = by_item.join(spans.select("row", covered.alias("n_hit")), "row")
+    words = _words_of(docs, "row", lambda ids, w: pd.DataFrame({"row": ids, "n_words": w.count}), "row long, n_words long")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
-    return words.join(found, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+    return words.join(hits, "row", "left").select("row", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a column __row, written so that it stays."""
+    return base.cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def _by_row(numbered: DataFrame, bench: DataFrame) -> DataFrame:
+    return _joined(numbered.select(F.col("__row").alias("row"), F.coalesce("text", F.lit("")).alias("text")), bench).withColumnRenamed("row", "__row")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
@@ -199,15 +221,35 @@ def contamination(docs: DataFrame, bench: DataFrame, sent_bytes: int = SENT_BYTE
 
     A window is SPAN words of an item in a row, or a whole item of fewer; words of a document in
     an occurrence are hit. The benchmark is measured first: up to sent_bytes it goes to every
-    executor and documents are scanned in place, beyond it fingerprints are joined by shuffle.
-    Null or empty texts have no words; an item without words occurs nowhere; repeated items count
-    once an id; an empty benchmark hits nothing; repeated documents come out each (by shuffle:
-    their doc_ids must differ). Other columns are left out.
+    executor and documents are scanned in place, beyond it fingerprints and windows are joined by
+    shuffle, row by row, with the same result. Null or empty texts have no words; an item without
+    words occurs nowhere; repeated items count once an id, a null item_id is ''; an empty benchmark
+    hits nothing; repeated documents and null doc_ids come out each. Other columns are left out.
     """
-    bench = bench.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    n = bench.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    if n <= sent_bytes:
-        return _scan(docs, bench)
-    plain = F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
-    counts = bench.select(F.size(F.filter(F.split(plain, " "), lambda x: x != "")).alias("n")).where(f"n between 1 and {SPAN - 1}").distinct()
-    return _joined(docs, bench, sorted(r[0] for r in counts.collect()))
+    bench = _items(bench)
+    send = _send(docs.sparkSession, bench, sent_bytes)
+    if send is not None:
+        return _scan(docs, send)
+    rows = _numbered(docs.select("doc_id", "text"))
+    return rows.select("doc_id", "__row").join(_by_row(rows, bench), "__row").drop("__row")
+
+
+def clean(docs: DataFrame, bench: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """Rows of docs, with all columns, whose text has no word in a window of an item; a null text has none."""
+    bench = _items(bench)
+    send = _send(docs.sparkSession, bench, sent_bytes)
+    if send is None:
+        rows = _numbered(docs)
+        return rows.join(_by_row(rows, bench).where("contaminated").select("__row"), "__row", "left_anti").select(docs.columns)
+
+    @F.pandas_udf("boolean")
+    def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        b = Benchmark(*send.value)
+        for texts in batches:
+            out = []
+            for _, rows in base.blocks(texts.tolist()):
+                w = base.Words(rows, base.ALNUM)
+                out += map(bool, np.bincount(w.row[b.search(w)[0]], minlength=len(rows)))
+            yield pd.Series(out, dtype=bool)
+
+    return docs.where(~hit(F.coalesce("text", F.lit(""))))
