@@ -8,11 +8,14 @@ unequal pseudonyms.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A stand-in for a secret of the deployment; pass your own.
-DEFAULT_KEY = "brackenlake-demo-key"
+#: The setting that holds the key of a deployment.
+KEY_SETTING = "spark.brackenlake.pii.key"
+_drawn: dict[str, str] = {}
 ROUNDS = 8
 KINDS = ("email", "phone", "card", "ssn", "ip", "date", "secret")
 
@@ -34,6 +37,16 @@ INNER = rf"(?<=\d-)(?<={BEFORE}\d[\d-]{{0,60}}-)"
 NO_CARD = "[^\\s\\S]"
 
 
+def key_of(spark: SparkSession) -> str:
+    """The key that the session is set to, else one drawn at random for this application and kept nowhere.
+
+    So no key is known beforehand; without the setting equal values are linked within one
+    application only.
+    """
+    app = spark.sparkContext.applicationId
+    return spark.conf.get(KEY_SETTING, None) or _drawn.setdefault(app, secrets.token_hex(16))
+
+
 def _number(key: str, *parts: Column) -> Column:
     """A keyed pseudo-random number of 48 bits from some values."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256), 1, 12), 16, 10).cast("long")
@@ -115,8 +128,19 @@ def _ip(x: Column, key: str) -> Column:
     return F.concat_ws(".", *[(F.floor(out / 256**k) % 256).cast("long").cast("string") for k in (3, 2, 1, 0)])
 
 
-#: 400 years from 1900 on: 146,097 days, 189 times 773.
-FIRST_DAY, DAYS = "1900-01-01", (189, 773)
+def _ssn(x: Column, key: str) -> Column:
+    """Areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999: a permutation of the numbers that pass the check."""
+    area, group, serial = (F.get(F.split(x, "-"), k).cast("long") for k in range(3))
+    n = ((area - 1 - (area > 666).cast("long")) * 99 + group - 1) * 9999 + serial - 1
+    out = permute(n, 898 * 99, 9999, key, "ssn")
+    area = F.floor(out / (99 * 9999)).cast("long") + 1
+    parts = (area + (area >= 666).cast("long"), 3), (F.floor(out / 9999).cast("long") % 99 + 1, 2), (out % 9999 + 1, 4)
+    return F.concat_ws("-", *[F.lpad(p.cast("string"), n, "0") for p, n in parts])
+
+
+#: 400 years from 1900 on: 146,097 days, 189 times 773; without the first 12 days of each month 88,497, 9 times 9,833.
+FIRST_DAY, DAYS, LATE_DAYS = "1900-01-01", (189, 773), (9, 9833)
+_MONTHS = 4800
 
 
 def _day(x: Column) -> Column:
@@ -128,16 +152,35 @@ def _as_iso(x: Column, order: tuple[int, int, int]) -> Column:
     return F.concat_ws("-", *[F.get(p, k) for k in order])
 
 
+def _after(n: Column) -> Column:
+    return F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+
+
+def _month(day: Column) -> Column:
+    return (F.year(day) - 1900) * 12 + F.month(day) - 1
+
+
+def _late(day: Column, n: Column, key: str) -> Column:
+    """Another day after the 12th of its month: such days are numbered, permuted, and found again from about the right month."""
+    out = permute((n - 12 * (_month(day) + 1)).cast("long"), *LATE_DAYS, key, "late date")
+    guess = F.floor(out * _MONTHS / (LATE_DAYS[0] * LATE_DAYS[1]))
+    tries = F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda i: F.struct((guess + i).alias("m"), _after(out + 12 * (guess + i + 1)).alias("d")))
+    return F.get(F.filter(tries, lambda t: (_month(t["d"]) == t["m"]) & (F.dayofmonth(t["d"]) > 12)), 0)["d"]
+
+
 def _date(x: Column, key: str) -> tuple[Column, Column]:
-    """(valid, pseudonym): of yyyy-mm-dd, of dd/mm/yyyy, or, if that is no date, of mm/dd/yyyy."""
+    """(valid, pseudonym): of yyyy-mm-dd, of dd/mm/yyyy, or, if that is no date, of mm/dd/yyyy.
+
+    Each of the three has its own range: pseudonyms of the third have days over 12, so that they
+    are no dates of the second.
+    """
     slash = F.contains(x, F.lit("/"))
     a, b, c = (_day(_as_iso(x, o)) for o in ((0, 1, 2), (2, 1, 0), (2, 0, 1)))
     day = F.when(~slash, a).otherwise(F.coalesce(b, c))
     n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
     valid = day.isNotNull() & n.between(0, DAYS[0] * DAYS[1] - 1)
-    out = F.date_add(F.lit(FIRST_DAY).cast("date"), permute(n.cast("long"), *DAYS, key, "date").cast("int"))
-    as_ = lambda f: F.date_format(out, f)
-    return valid, F.when(~slash, as_("yyyy-MM-dd")).when(b.isNotNull(), as_("dd/MM/yyyy")).otherwise(as_("MM/dd/yyyy"))
+    out = _after(permute(n.cast("long"), *DAYS, key, "date"))
+    return valid, F.when(~slash, F.date_format(out, "yyyy-MM-dd")).when(b.isNotNull(), F.date_format(out, "dd/MM/yyyy")).otherwise(F.date_format(_late(day, n, key), "MM/dd/yyyy"))
 
 
 def _find(x: Column, key: str) -> Column:
@@ -156,7 +199,7 @@ def _find(x: Column, key: str) -> Column:
     return (
         F.when(F.contains(x, F.lit("@")), of("email", F.concat(permute_text(local, key, "email"), F.substr(x, F.length(local) + 1))))
         .when(whole(DATE), F.when(valid, of("date", day)).otherwise(nothing))
-        .when(whole(SSN), F.when(~x.rlike("^(?:000|666|9)") & ~x.rlike("-00-|-0000$"), of("ssn", _refill(x, permute_text(d, key, "ssn")))).otherwise(nothing))
+        .when(whole(SSN), F.when(~x.rlike("^(?:000|666|9)") & ~x.rlike("-00-|-0000$"), of("ssn", _ssn(x, key))).otherwise(nothing))
         .when(whole(IP), F.when(F.forall(F.split(x, r"\."), lambda o: o.cast("int") <= 255), of("ip", _ip(x, key))).otherwise(nothing))
         .when(whole(CARD), F.when(_luhn(d, 1) % 10 == 0, of("card", _card(x, key))).otherwise(nothing))
         .when(x.rlike("^[+(]"), of("phone", F.concat(code, _refill(rest, permute_text(_digits(rest), key, "phone")))))
@@ -164,7 +207,7 @@ def _find(x: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All columns of docs with the text rewritten, and n_<kind> for each kind and n_pii.
 
     Card numbers must pass their check digit (which is made anew); in longer runs of digits they are
@@ -172,17 +215,19 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") ->
     where their pseudonyms lie), octets of addresses must be under 256; numbers that fail stay as
     they are. Domains of addresses, country codes and all other text stay. A null text stays null,
     with counts of 0; empty texts stay empty; repeated rows come out each, alike; columns named as
-    the counts are replaced. No shuffle, no Python.
+    the counts are replaced. The key is a secret of the deployment (key_of). No shuffle, no Python.
     """
+    if not key:
+        raise ValueError("a key is needed")
     found = docs.drop(*[c for c in docs.columns if c.startswith("n_") and c[2:] in (*KINDS, "pii")])
     t = F.col(text)
     might = t.rlike("[0-9@]|AKIA|(?i:password|token|secret|api_?key)")  # a secret may be letters only
-    found = found.withColumn("__finds", F.when(might, _finds(t)))
-    hits = F.when(might, F.regexp_extract_all(t, F.concat(F.lit("("), F.col("__finds"), F.lit(")")), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    found = found.withColumn("__hits", F.transform(hits, lambda x: _find(x, key)))
-    parts = F.split(t, F.col("__finds"), -1)
-    new = F.array_join(F.zip_with(parts, F.col("__hits.new"), lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
-    found = found.withColumn(text, F.when(F.size("__hits") > 0, new).otherwise(t))
-    n = lambda k: F.size(F.filter(F.col("__hits.kind"), lambda x: x == k)).cast("long")
+    found = found.withColumn("__pii_finds", F.when(might, _finds(t)))
+    hits = F.when(might, F.regexp_extract_all(t, F.concat(F.lit("("), F.col("__pii_finds"), F.lit(")")), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    found = found.withColumn("__pii_hits", F.transform(hits, lambda x: _find(x, key)))
+    parts = F.split(t, F.col("__pii_finds"), -1)
+    new = F.array_join(F.zip_with(parts, F.col("__pii_hits.new"), lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
+    found = found.withColumn(text, F.when(F.size("__pii_hits") > 0, new).otherwise(t))
+    n = lambda k: F.size(F.filter(F.col("__pii_hits.kind"), lambda x: x == k)).cast("long")
     counted = found.withColumns({f"n_{k}": F.greatest(n(k), F.lit(0)).cast("long") for k in KINDS})
-    return counted.withColumn("n_pii", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long"))).drop("__hits", "__finds")
+    return counted.withColumn("n_pii", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long"))).drop("__pii_hits", "__pii_finds")

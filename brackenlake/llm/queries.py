@@ -47,7 +47,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents")).drop("lang", "source", "n_chars")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.key_of(spark)).drop("lang", "source", "n_chars")
 
 
 def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
