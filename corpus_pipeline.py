@@ -16,26 +16,29 @@ from pyspark.sql import functions as F
 from brackenlake.llm import base, decontaminate, neardup, pii, tokens, toxicity
 
 
+#: Percent of shared shingles from which two documents are near duplicates.
+SIMILAR = 80
+
+
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bad = toxicity.score(docs, base.table(spark, sf_dir, "labels"), carry=docs.columns)
-    return bad.where("predicted = 0").select(docs.columns)
+    return toxicity.clean(docs, base.table(spark, sf_dir, "labels"))
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    gone = neardup.near_duplicates(docs, percent=SIMILAR).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hit = decontaminate.contamination(docs, base.table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.clean(docs, base.table(spark, sf_dir, "benchmark"))
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    new = pii.pseudonymise(docs)
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("n_pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return new.select(docs.columns)
+    new = pii.pseudonymise(docs.select("text", F.struct(*docs.columns).alias("__doc")), pii.key_of(spark))
+    own = {c: F.col("__doc")[c] for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_pii") > 0, F.length("text").cast("long")).otherwise(own["n_chars"])
+    return new.select([x.alias(c) for c, x in own.items()])
 
 
 def stage_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
