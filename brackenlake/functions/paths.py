@@ -43,21 +43,22 @@ def class_boost(cls: Column) -> Column:
 def directory_boost(path: Column) -> Column:
     p = F.lower(path)
     ends = F.lit(False)
-    for e in ("readme.md", "contributing.md", "contributing", "claude.md", "agents.md"):
+    for e in V.README_ENDINGS:
         ends = ends | p.endswith(e)
-    return F.when(ends, 1.3).when(any_of(p, "/docs/", "/.github/"), 1.2).when(p.startswith("types/") | any_of(p, "/types/"), 1.15).when(any_of(p, "pnpm-workspace.yaml", "lerna.json", "nx.json"), 1.1).otherwise(1.0)
+    b = V.DIRECTORY_BOOST
+    return F.when(ends, b["ending"]).when(any_of(p, "/docs/", "/.github/"), b["docs"]).when(p.startswith("types/") | any_of(p, "/types/"), b["types"]).when(any_of(p, "pnpm-workspace.yaml", "lerna.json", "nx.json"), b["workspace"]).otherwise(1.0)
 
 
 def authority_boost(path: Column) -> Column:
     p, name = F.lower(path), F.lower(filename(path))
-    md = p.endswith(".md")
+    md, b = p.endswith(".md"), V.AUTHORITY_BOOST
     return (
-        F.when(name == "readme.md", 1.5)
-        .when(name.startswith("readme.") & name.endswith(".md"), 1.1)
-        .when(p.endswith("docs/index.md"), 1.3)
-        .when((any_of(p, "/docs/") | p.startswith("docs/")) & md, 1.2)
-        .when((any_of(p, "/.github/") | p.startswith(".github/")) & md, 1.1)
-        .when(~any_of(p, "/") & md, 1.2)
+        F.when(name == "readme.md", b["readme"])
+        .when(name.startswith("readme.") & name.endswith(".md"), b["readme.x"])
+        .when(p.endswith("docs/index.md"), b["index"])
+        .when((any_of(p, "/docs/") | p.startswith("docs/")) & md, b["docs"])
+        .when((any_of(p, "/.github/") | p.startswith(".github/")) & md, b["github"])
+        .when(~any_of(p, "/") & md, b["root"])
         .otherwise(1.0)
     )
 
@@ -77,6 +78,55 @@ def segment_matches(tokens: Column, path: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: F.exists(segments, lambda s: F.contains(s, t))))
 
 
+def segment_holds(path: Column, token: Column) -> Column:
+    """Whether a token lies within one run of letters and digits of the path."""
+    return F.exists(F.split(F.lower(path), "[^a-z0-9]+"), lambda s: F.contains(s, token))
+
+
+def symbol_boost(tokens: Column, path: Column, content: Column) -> Column:
+    """1 and more by the share of tokens that the path or the content holds."""
+    low = F.lower(content)
+    matched = F.size(F.filter(tokens, lambda t: segment_holds(path, t) | F.contains(low, t)))
+    return 1 + F.when(F.size(tokens) > 0, matched / F.greatest(F.size(tokens), F.lit(1))).otherwise(0.0) * V.SYMBOL_WEIGHT
+
+
+def combined_boost(intent: Column, query: Column, path: Column, cls: Column) -> Column:
+    """Intent weight, test multiplier, directory and authority in one factor."""
+    return intent_weight(intent, cls) * test_multiplier(query, cls) * directory_boost(path) * authority_boost(path)
+
+
+def language_of(name: Column) -> Column:
+    """The language that a name or an alias of it stands for, in any case; null if there is none."""
+    names = {**V.LANGUAGE_ALIASES, **{k: k for k in V.LANGUAGES}}
+    return _map(names)[F.lower(name)]
+
+
+def class_of_language(language_: Column) -> Column:
+    return F.when(language_.isin("markdown", "text"), "Documentation").when(language_.isin("yaml", "toml", "json", "xml"), "Config").otherwise("Source")
+
+
+def indexable(path: Column) -> Column:
+    """Whether a file is indexed: its language is known, or its ending or name stands for text."""
+    last = F.substring_index(path, ".", -1)
+    return language(path).isNotNull() | last.isin(V.TEXT_EXTENSIONS) | F.lower(filename(path)).isin(V.TEXT_NAMES)
+
+
+def binary_by_name(path: Column) -> Column:
+    return F.lower(extension(path)).isin(V.BINARY_EXTENSIONS)
+
+
+def valid_path(path: Column) -> Column:
+    """Whether a text may be a path: five bytes or more, none of some words, with a separator or a dot."""
+    return (F.octet_length(path) >= 5) & ~F.lower(path).isin(V.NO_PATHS) & any_of(path, "/", "\\", ".")
+
+
+def unsafe_root(path: Column) -> Column:
+    """Whether a text is no folder to index: a root, a bare drive, the root of a share."""
+    bare = F.regexp_replace(path, r"[/\\]+$", "")
+    share = path.startswith("\\\\") & (F.size(F.filter(F.split(path, r"[/\\]+"), lambda x: ~x.isin("", "?"))) <= 2)
+    return (bare == "") | bare.rlike("^[A-Za-z]:$") | share
+
+
 def repository_id(path: Column) -> Column:
     return F.substring(F.sha2(path, 256), 1, 12)
 

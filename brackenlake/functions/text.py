@@ -22,9 +22,11 @@ def split_identifier(name: Column) -> Column:
 
 
 def preprocess(content: Column) -> Column:
-    """Each word with the parts of its identifier."""
-    words = F.filter(F.split(content, "[^A-Za-z0-9_]+"), lambda t: t != "")
-    return F.flatten(F.transform(words, lambda w: F.concat(F.array(F.lower(w)), F.filter(split_identifier(w), lambda p: p != F.lower(w)))))
+    """Each word in lower case with the parts of its identifier, if it has several."""
+    words = F.filter(F.split(content, r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+    composed = lambda w: w.rlike("_|[a-z][^_]*[A-Z]|[A-Z].*[A-Z].*[a-z]")
+    parts = lambda w: F.concat(F.array(F.lower(w)), F.filter(split_identifier(w), lambda p: p != F.lower(w)))
+    return F.flatten(F.transform(words, lambda w: F.when(composed(w), parts(w)).otherwise(F.array(F.lower(w)))))
 
 
 def path_tokens(path: Column) -> Column:
@@ -77,40 +79,103 @@ def any_of(text: Column, *parts: str) -> Column:
     return out
 
 
+def _intent_rules(has, both) -> list:
+    """(intent, condition) in order, from what tells that one phrase of a list occurs and what joins conditions by and, or."""
+    p = {k: both("and", has(v[0]), has(v[1])) if isinstance(v, tuple) else has(v) for k, v in V.INTENT_PHRASES.items()}
+    configured = both("or", p["configure"], p["workspace"])
+    return [
+        ("Testing", both("or", p["testing"], p["tested"], p["test package"], p["are tested"])),
+        ("Procedural", both("or", p["how"], p["how add"])),
+        ("Debugging", p["debug"]),
+        ("Architecture", both("and", configured, p["organised"])),
+        ("Configuration", configured),
+        ("Structural", p["structural"]),
+        ("Navigation", p["place"]),
+        ("Architecture", both("or", p["organised"], p["architecture"])),
+        ("Implementation", p["build"]),
+        ("Testing", p["running"]),
+    ]
+
+
 def intent(query: Column) -> Column:
     """One of nine intents; the first rule that holds decides."""
     q = F.lower(query)
-    has = lambda *p: any_of(q, *p)
-    organised = has("organiz", "structure", "layout")
-    rules = [
-        (has("dtslint") | (has("test") & has("how", "run", "coverage", "spec")) | (has("testing") & has("package")) | (has("how are") & has("tested")), "Testing"),
-        (has("how do i", "how to", "steps to", "getting started", "set up", "setup", "add a new package", "create a new package", "create a package", "add package") | (has("how") & has("add", "create", "install")), "Procedural"),
-        (has("why does", "why is", "fail", "error", "bug", "broken", "fix"), "Debugging"),
-    ]
-    configured = has("configure", "configuration", "pnpm-workspace") | (has("workspace") & has("organiz"))
-    rules += [
-        (configured & organised, "Architecture"),
-        (configured, "Configuration"),
-        (has("(", "find all function", "find all class", "find all method", "show all function", "find all struct", "find all enum", "show all class", "show all struct", "list all function", "list all class"), "Structural"),
-        (has("where is", "where are", "located", "find ", "locate"), "Navigation"),
-        (organised | has("architecture"), "Architecture"),
-        (has("implement", "build", "develop"), "Implementation"),
-        (has(" running tests"), "Testing"),
-    ]
-    out = F.when(*[rules[0][0], F.lit(rules[0][1])])
-    for cond, name in rules[1:]:
-        out = out.when(cond, F.lit(name))
+
+    def both(how: str, *conditions: Column) -> Column:
+        out = conditions[0]
+        for c in conditions[1:]:
+            out = out & c if how == "and" else out | c
+        return out
+
+    out = None
+    for name, condition in _intent_rules(lambda phrases: any_of(q, *phrases), both):
+        out = F.when(condition, F.lit(name)) if out is None else out.when(condition, F.lit(name))
     return out.otherwise("Informational")
 
 
 def intent_sql(q: str) -> str:
-    h = lambda *p: "(" + " OR ".join(f"contains({q}, '{x}')" for x in p) + ")"
-    conf = f"({h('configure', 'configuration', 'pnpm-workspace')} OR ({h('workspace')} AND {h('organiz')}))"
-    org = h("organiz", "structure", "layout")
-    return f"""CASE WHEN {h('dtslint')} OR ({h('test')} AND {h('how', 'run', 'coverage', 'spec')}) OR ({h('testing')} AND {h('package')}) OR ({h('how are')} AND {h('tested')}) THEN 'Testing'
-WHEN {h('how do i', 'how to', 'steps to', 'getting started', 'set up', 'setup', 'add a new package', 'create a new package', 'create a package', 'add package')} OR ({h('how')} AND {h('add', 'create', 'install')}) THEN 'Procedural'
-WHEN {h('why does', 'why is', 'fail', 'error', 'bug', 'broken', 'fix')} THEN 'Debugging'
-WHEN {conf} AND {org} THEN 'Architecture' WHEN {conf} THEN 'Configuration'
-WHEN {h('(', 'find all function', 'find all class', 'find all method', 'show all function', 'find all struct', 'find all enum', 'show all class', 'show all struct', 'list all function', 'list all class')} THEN 'Structural'
-WHEN {h('where is', 'where are', 'located', 'find ', 'locate')} THEN 'Navigation' WHEN {org} OR {h('architecture')} THEN 'Architecture'
-WHEN {h('implement', 'build', 'develop')} THEN 'Implementation' WHEN {h(' running tests')} THEN 'Testing' ELSE 'Informational' END"""
+    has = lambda phrases: "(" + " OR ".join(f"contains({q}, '{x}')" for x in phrases) + ")"
+    both = lambda how, *c: "(" + f" {how.upper()} ".join(c) + ")"
+    return "CASE " + " ".join(f"WHEN {c} THEN '{name}'" for name, c in _intent_rules(has, both)) + " ELSE 'Informational' END"
+
+
+# --- queries ---------------------------------------------------------------------------------------
+
+
+def search_terms(query: Column) -> Column:
+    """Terms of a search request: words without stop words, each split as an identifier, with their aliases; distinct, in order.
+
+    Without any the words as they stand, or the request itself if it has none.
+    """
+    plain = F.regexp_replace(query, r"[:+\-()\"~*?\\^]", " ")
+    words = F.filter(F.split(plain, r"\s+"), lambda t: t != "")
+    bare = F.filter(F.transform(words, lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")), lambda t: (F.octet_length(t) >= 2) & ~F.lower(t).isin(V.STOP_WORDS))
+    aliases = F.create_map(*[x for k, v in V.QUERY_ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    parts = lambda t: F.concat(F.filter(split_identifier(t), lambda p: F.octet_length(p) >= 2), F.coalesce(aliases[F.lower(t)], F.array().cast("array<string>")))
+    found = F.array_distinct(F.flatten(F.transform(bare, parts)))
+    return F.when(F.size(found) > 0, found).when(F.size(words) > 0, words).otherwise(F.array(query))
+
+
+def sanitise(query: Column) -> Column:
+    """A request as terms joined by OR; a request without terms stays as it is, without special characters."""
+    terms = search_terms(query)
+    plain = F.trim(F.regexp_replace(F.regexp_replace(query, r"[:+\-()\"~*?\\^]", " "), r"\s+", " "))
+    joined = F.array_join(terms, " OR ")
+    none = F.size(F.filter(F.split(plain, " "), lambda t: (F.octet_length(F.regexp_replace(t, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")) >= 2) & ~F.lower(F.regexp_replace(t, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")).isin(V.STOP_WORDS))) == 0
+    return F.when(~none, joined).when(plain != "", plain).otherwise(query)
+
+
+def scan_pattern(query: Column) -> Column:
+    """A regular expression of any of a request's words; a request of stop words alone stands for itself, letter by letter."""
+    words = F.transform(F.filter(F.split(query, r"\s+"), lambda t: t != ""), lambda t: F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}_]", "")))
+    kept = F.filter(words, lambda t: (F.octet_length(t) >= 2) & ~t.isin(V.SCAN_STOP_WORDS))
+    literal = F.regexp_replace(query, r"([\\.+*?()|\[\]{}^$#&\-~])", r"\\$1")
+    return F.when(F.size(kept) > 0, F.array_join(kept, "|")).otherwise(literal)
+
+
+def expanded_query(query: Column) -> Column:
+    """The expanded terms joined by OR if they are more than the query's tokens, else null: there is nothing to add."""
+    tokens = query_tokens(query)
+    more = expand(tokens)
+    return F.when((F.size(tokens) > 0) & (F.size(more) > F.size(tokens)), F.array_join(more, " OR "))
+
+
+def preview(payload: Column, most: int) -> Column:
+    """A text on one line, cut after so many characters with the number of those left out."""
+    line = F.replace(F.replace(payload, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("\\n"))
+    cut = F.concat(F.substr(line, F.lit(1), F.lit(most)), F.lit("… (+"), (F.length(line) - most).cast("string"), F.lit(" chars)"))
+    return F.when(F.length(line) <= most, line).otherwise(cut)
+
+
+def within_limit(text: Column, most: int = 100 * 1024) -> Column:
+    return F.octet_length(text) <= most
+
+
+def wants_enumeration(query: Column) -> Column:
+    return any_of(F.lower(query), *V.ENUMERATION_WORDS)
+
+
+def title_boost(title_: Column, tokens: Column) -> Column:
+    """1 to 2, by the share of tokens that a title holds."""
+    matched = F.size(F.filter(tokens, lambda t: F.contains(F.lower(title_), t)))
+    return F.when((F.size(tokens) == 0) | (title_ == ""), 1.0).otherwise(1 + matched / F.greatest(F.size(tokens), F.lit(1)))

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import paths
 from ..functions import text as T
+from .store import spill_key
+
+FILE = ["repository_id", "path"]
 
 DOCS_SHARE = 0.45
 
@@ -22,13 +26,67 @@ def snippet_window(n: int, most: int) -> tuple[int, int]:
 
 
 def truncate(snippets: DataFrame, budget: int, reserve: int = 5) -> DataFrame:
-    """(path, text, n_tokens, cut): whole lines of each text while their tokens, one more a line, fit the budget less a reserve."""
-    lines = snippets.select("path", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("tokens", T.token_estimate(F.col("line")) + 1)
-    w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    run = lines.withColumn("run", F.sum("tokens").over(w))
-    kept = F.col("run") <= budget - reserve
-    out = run.groupBy("path").agg(F.array_sort(F.collect_list(F.when(kept, F.struct("n", "line")))).alias("l"), F.coalesce(F.max(F.when(kept, F.col("run"))), F.lit(0)).alias("n_tokens"), F.max(~kept).alias("cut"))
-    return out.select("path", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"), F.col("n_tokens").cast("long").alias("n_tokens"), "cut")
+    """(all columns but text, text, n_tokens, cut): whole lines of each text while their tokens, one more a line, fit the budget less a reserve.
+
+    A text within the budget stays as it is. What is cut ends in a line that names the key of the
+    full text (store.spill), at `reserve` tokens. All in the row.
+    """
+    lines = F.split("text", "\n")
+    cost = lambda x: T.token_estimate(x) + 1
+    start = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+    step = lambda s, x: F.struct(F.when(s["on"] & (s["run"] + cost(x) <= budget - reserve), s["run"] + cost(x)).otherwise(s["run"]).alias("run"), (s["n"] + (s["on"] & (s["run"] + cost(x) <= budget - reserve)).cast("int")).alias("n"), (s["on"] & (s["run"] + cost(x) <= budget - reserve)).alias("on"))
+    own = T.token_estimate(F.col("text"))
+    rest = [c for c in snippets.columns if c != "text"]
+    s = snippets.select(*rest, "text", own.alias("__own"), lines.alias("__lines")).withColumn("__kept", F.aggregate("__lines", start, step))
+    cut = F.col("__own") > budget
+    pointer = F.concat(F.lit("... [truncated, full text at "), spill_key(F.col("text")), F.lit("]"))
+    short = F.concat(F.array_join(F.slice("__lines", 1, F.col("__kept.n")), "\n"), F.when(F.col("__kept.n") > 0, "\n").otherwise(""), pointer)
+    return s.select(*rest, F.when(cut, short).otherwise(F.col("text")).alias("text"), F.when(cut, F.col("__kept.run") + reserve).otherwise(F.col("__own")).alias("n_tokens"), cut.alias("cut"))
+
+
+def snippets(evidence: DataFrame, files: DataFrame, most_lines: int, hints: DataFrame | None = None) -> DataFrame:
+    """(query_id, repository_id, path, rank, docs, text): the lines around each piece of evidence (query_id, repository_id, path, line, rank), as one part of a pack.
+
+    The window is narrower the more evidence a query has. Files that a request names (hints:
+    query_id, repository_id, path) follow with their first lines. Evidence of files that are not
+    stored is left out. Documentation is told from code by the path.
+    """
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    below = min(most_lines, 15)
+    total = F.least(F.greatest(F.floor(F.lit(20 * (8 + below)) / F.col("__n")) - 3, F.lit(6)), F.lit(5 + below))
+    above = F.when(F.col("__n") <= 20, 5).otherwise(F.greatest(F.floor(total * 5 / (5 + below)), F.lit(2)))
+    under = F.when(F.col("__n") <= 20, below).otherwise(total - above)
+    e = evidence.withColumn("__n", n).select("query_id", *FILE, "rank", "line", F.greatest(F.col("line") - above, F.lit(1)).cast("int").alias("__from"), (F.col("line") + under).cast("int").alias("__to"))
+    if hints is not None:
+        e = e.unionByName(hints.select("query_id", *FILE, F.lit(None).cast("int").alias("rank"), F.lit(1).alias("line"), F.lit(1).alias("__from"), F.lit(most_lines).alias("__to")))
+    j = e.join(files.select(*FILE, "content"), FILE)
+    lines = F.split("content", "\n")
+    body = F.array_join(F.slice(lines, F.col("__from"), F.greatest(F.least(F.size(lines), F.col("__to")) - F.col("__from") + 1, F.lit(0))), "\n")
+    head = F.concat(F.lit("// "), F.col("path"), F.when(F.col("rank").isNotNull(), F.concat(F.lit(":"), F.col("line").cast("string"))).otherwise(""))
+    return j.select("query_id", *FILE, "rank", (paths.file_class(F.col("path")) == "Documentation").alias("docs"), F.concat(head, F.lit("\n"), body).alias("text"))
+
+
+def pack(snippets_: DataFrame, budget: int) -> DataFrame:
+    """(query_id, docs_text, code_text, docs_tokens, code_tokens, remaining): documentation in its share of the budget, code in the rest, by rank; hints last.
+
+    The rows of a query are its bounded evidence, so its parts are joined in one row.
+    """
+    part = lambda docs: F.array_join(F.transform(F.filter("__all", lambda x: x["docs"] == F.lit(docs)), lambda x: x["text"]), "\n\n")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("rank"), *FILE, "docs", "text")))
+    both = snippets_.groupBy("query_id").agg(order.alias("__all")).select("query_id", part(True).alias("docs"), part(False).alias("code"))
+    share = int(budget * DOCS_SHARE)
+    docs = truncate(both.select("query_id", F.col("docs").alias("text")), share).select("query_id", F.col("text").alias("docs_text"), F.col("n_tokens").alias("docs_tokens"))
+    code = truncate(both.select("query_id", F.col("code").alias("text")), budget - share).select("query_id", F.col("text").alias("code_text"), F.col("n_tokens").alias("code_tokens"))
+    out = docs.join(code, "query_id")
+    return out.withColumn("remaining", F.greatest(F.lit(budget) - F.col("docs_tokens") - F.col("code_tokens"), F.lit(0)))
+
+
+def labels(evidence: DataFrame) -> DataFrame:
+    """evidence (path, source, score, ...) with path cleaned and the retriever and reason of its source."""
+    s = F.col("source")
+    retriever = F.when(s == "structural", "ast-grep").when(s == "scan", "ripgrep").otherwise("index")
+    reason = F.when(s == "lexical", "bm25").when(s == "expanded", "bm25 of expanded terms").when(s == "code-behind", "code-behind").when(s == "scan", "text match").otherwise("symbol match")
+    return evidence.withColumn("path", clean_path(F.col("path"))).withColumn("retriever", retriever).withColumn("reason", reason)
 
 
 def first_in_session(blocks: DataFrame) -> DataFrame:
@@ -46,8 +104,8 @@ def fill_budget(evidence: DataFrame, budget: int) -> DataFrame:
 
 
 def provenance(rows: DataFrame) -> DataFrame:
-    """Of each path, source and retriever the best score, at the place of the first."""
-    return rows.groupBy("path", "source", "retriever").agg(F.max("score").alias("score"), F.min("pos").alias("pos")).orderBy("pos")
+    """Of each path, source and retriever the best score, with the place of the first (pos)."""
+    return rows.groupBy("path", "source", "retriever").agg(F.max("score").alias("score"), F.min("pos").alias("pos"))
 
 
 def clean_path(path: Column) -> Column:
@@ -56,24 +114,18 @@ def clean_path(path: Column) -> Column:
     return F.regexp_replace(p, r"^[a-z]+:(?=(?:/|[A-Za-z]:[\\/]))", "")
 
 
-def reserve_docs(ranked: list[tuple[str, str]], k: int, slots: int) -> list[tuple[str, str]]:
-    """A ranked list (path, class) whose first k hold `slots` documents at least, if there are so many.
+def preview_json(row: Column) -> Column:
+    """A row as JSON with all its fields, null ones too."""
+    return F.to_json(row, {"ignoreNullFields": "false"})
 
-    Places for them are the last of the first k; a document that stands above those is moved into
-    them before one from below is promoted, so a leading document may fall, and its own place and
-    the displaced row change over.
-    """
-    out = list(ranked)
-    k = min(k, len(out))
-    for place in range(max(0, k - slots), k):
-        if out[place][1] == "Documentation":
-            continue
-        tail = max(0, k - slots)
-        donors = [i for i in range(tail) if out[i][1] == "Documentation"] + [i for i in range(k, len(out)) if out[i][1] == "Documentation"]
-        if donors:
-            out[place], out[donors[0]] = out[donors[0]], out[place]
-    return out
-
-
-def yaml_block(row: dict) -> str:
-    return "\n".join(f"{k}: {v}" for k, v in row.items())
+
+def yaml_block(columns: list[str]) -> Column:
+    """Columns as lines of YAML; texts are quoted as JSON strings, which YAML reads alike."""
+    value = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1)
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), value(c)) for c in columns])
+
+
+def enrich(request: Column, docs: Column, code: Column, tokens: Column) -> Column:
+    """A request with its context after a delimiter, or as it came if there is none (fail open)."""
+    found = F.concat_ws("\n\n", F.nullif(docs, F.lit("")), F.nullif(code, F.lit("")))
+    return F.when(F.coalesce(tokens, F.lit(0)) > 0, F.concat(request, F.lit("\n\n---\n"), found)).otherwise(request)

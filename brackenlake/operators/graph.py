@@ -1,102 +1,185 @@
-"""Imports, dependency and call graphs, impact."""
+"""Imports, dependency and call graphs, impact. Every file is named by repository_id and path."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as V
+from . import store
+
+FILE = ["repository_id", "path"]
 #: Endings that an import of each language is tried with, best first; {p} is the path that it names.
 CANDIDATES = {
     "rust": ["{p}.rs", "{p}/mod.rs"],
-    "typescript": ["{p}", "{p}.ts", "{p}.tsx", "{p}.js", "{p}.jsx", "{p}.mts", "{p}.cts", "{p}/index.ts", "{p}/index.tsx", "{p}/index.js", "{p}/index.jsx"],
+    "script": ["{p}", "{p}.ts", "{p}.tsx", "{p}.js", "{p}.jsx", "{p}.mts", "{p}.cts", "{p}/index.ts", "{p}/index.tsx", "{p}/index.js", "{p}/index.jsx"],
     "python": ["{p}/__init__.py", "{p}.py"],
 }
+SCRIPTS = ("typescript", "javascript", "tsx", "jsx")
 
 
 def imports(corpus: DataFrame) -> DataFrame:
-    """(path, language, source): what files import: use and mod of Rust, import and from of scripts, by line."""
-    lines = corpus.select("path", "language", F.explode(F.split("content", "\n")).alias("line")).withColumn("line", F.trim("line"))
+    """(repository_id, path, language, source): what files import: use and mod of Rust, import and from of scripts and Python, by line."""
+    lines = corpus.select(*FILE, "language", F.explode(F.split("content", "\n")).alias("line")).withColumn("line", F.trim("line"))
     rust = F.regexp_extract("line", r"^(?:pub )?use ([A-Za-z0-9_:]+)", 1)
     mod = F.regexp_extract("line", r"^(?:pub )?mod ([A-Za-z0-9_]+)\s*;", 1)
     script = F.regexp_extract("line", r"^(?:import|export)\b.*?[\"']([^\"']+)[\"']", 1)
     py = F.coalesce(F.nullif(F.regexp_extract("line", r"^from ([A-Za-z0-9_.]+) import", 1), F.lit("")), F.regexp_extract("line", r"^import ([A-Za-z0-9_.]+)", 1))
-    source = F.when(F.col("language") == "rust", F.when(mod != "", mod).otherwise(rust)).when(F.col("language") == "python", py).otherwise(script)
-    return lines.select("path", "language", source.alias("source")).where("source <> ''").distinct()
+    source = F.when(F.col("language") == "rust", F.when(mod != "", mod).otherwise(rust)).when(F.col("language") == "python", py).when(F.col("language").isin(*SCRIPTS), script)
+    return lines.select(*FILE, "language", source.alias("source")).where("source <> ''").distinct()
 
 
 def resolve(imports_: DataFrame, files: DataFrame) -> DataFrame:
-    """(src, dst): each import to the best of the repository's files that it may name; outer modules name none.
+    """(repository_id, path, source, dst): each import to the first file of its own repository that it may name; outer modules name none.
 
-    Candidates are tried by one join, the longest path first, then by ending.
+    Candidates are tried by one join, the longest path first, then by ending; the least of those
+    that exist is the import's only target.
     """
-    parts = F.when(F.col("language") == "rust", F.split(F.regexp_replace("source", "^(?:(?:crate|self|super)::)+", ""), "::")).otherwise(F.split("source", r"\."))
+    rust, python = F.col("language") == "rust", F.col("language") == "python"
+    inner = F.regexp_replace("source", "^(?:(?:crate|self|super)::)+", "")
+    parts = F.when(rust, F.split(inner, "::")).otherwise(F.split("source", r"\."))
     outer = F.col("source").rlike("^(?:std|core|alloc)(?:::|$)")
     bare = F.regexp_replace("source", r"^(?:\./)*(?:\.\./)*", "")
     path_like = F.array(F.struct(F.lit(0).alias("n"), bare.alias("p")))
-    dotted = F.transform(F.reverse(F.sequence(F.lit(1), F.size(parts))), lambda i: F.struct((F.size(parts) - i).alias("n"), F.array_join(F.slice(parts, 1, i), "/").alias("p")))
-    script = ~F.col("language").isin("rust", "python")
-    tried = imports_.where(~((F.col("language") == "rust") & outer)).where(~script | F.col("source").rlike(r"^[./]"))
-    tried = tried.select("path", "language", F.explode(F.when(script, path_like).otherwise(dotted)).alias("c"))
+    dotted = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct((F.size(parts) - i).alias("n"), F.array_join(F.slice(parts, 1, i), "/").alias("p")))
+    tried = imports_.where(~(rust & outer)).where(rust | python | F.col("source").rlike(r"^[./]"))
+    tried = tried.select(*FILE, "source", "language", F.explode(F.when(rust | python, dotted).otherwise(path_like)).alias("c"))
     endings = F.create_map(*[x for k, v in CANDIDATES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    kind = F.when(F.col("language").isin("rust", "python"), F.col("language")).otherwise("typescript")
-    tried = tried.select("path", F.col("c.n").alias("n"), F.col("c.p").alias("p"), F.posexplode(endings[kind]).alias("k", "e"))
+    kind = F.when(rust | python, F.col("language")).otherwise("script")
+    tried = tried.select(*FILE, "source", F.col("c.n").alias("n"), F.col("c.p").alias("p"), F.posexplode(endings[kind]).alias("k", "e"))
     tried = tried.withColumn("dst", F.replace("e", F.lit("{p}"), F.col("p")))
-    found = tried.join(files.select(F.col("path").alias("dst")).distinct(), "dst")
-    return found.groupBy(F.col("path").alias("src"), "p").agg(F.min_by("dst", F.struct("n", "k")).alias("dst")).select("src", "dst").where("src <> dst").distinct()
+    found = tried.join(files.select("repository_id", F.col("path").alias("dst")).distinct(), ["repository_id", "dst"])
+    return found.groupBy(*FILE, "source").agg(F.min_by("dst", F.struct("n", "k")).alias("dst"))
+
+
+def dependencies(corpus: DataFrame) -> DataFrame:
+    """(repository_id, src, dst): the files that each file imports, itself aside."""
+    found = resolve(imports(corpus), corpus)
+    return found.where("path <> dst").select("repository_id", F.col("path").alias("src"), "dst").distinct()
 
 
 def dependents(edges: DataFrame, of: DataFrame) -> DataFrame:
-    return edges.join(of.select(F.col("path").alias("dst")), "dst", "left_semi").select(F.col("src").alias("path")).distinct()
+    """(repository_id, path) of files with an edge to one of these."""
+    ends = of.select("repository_id", F.col("path").alias("dst"))
+    return edges.join(ends, ["repository_id", "dst"], "left_semi").select("repository_id", F.col("src").alias("path")).distinct()
+
+
+def dependencies_of(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """(repository_id, path) of files that these have an edge to."""
+    starts = of.select("repository_id", F.col("path").alias("src"))
+    return edges.join(starts, ["repository_id", "src"], "left_semi").select("repository_id", F.col("dst").alias("path")).distinct()
 
 
 def impact(edges: DataFrame, start: DataFrame, rounds: int = 100) -> DataFrame:
     """Files that depend on the start files, directly or not; a start file only if a cycle leads back.
 
-    Frontiers are joined until none is new; each is cut from its lineage by a checkpoint.
+    Frontiers are joined until none is new; each is cut from its lineage by a checkpoint. Chains of
+    more than `rounds` imports are an error and not cut off.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brackenlake-"))
-    seen = front = dependents(edges, start).checkpoint()
+    edges = store.cut(edges)
+    seen = front = store.cut(dependents(edges, start))
     for _ in range(rounds):
-        front = dependents(edges, front).join(seen, "path", "left_anti").checkpoint()
+        front = store.cut(dependents(edges, front).join(seen, FILE, "left_anti"))
         if front.isEmpty():
             return seen
-        seen = seen.unionByName(front).checkpoint()
+        seen = store.cut(seen.unionByName(front))
     raise RuntimeError("impact did not settle")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """(path, n_out, n_in) of every file with an edge: what it depends on and what depends on it."""
+    """(repository_id, path, n_out, n_in) of every file with an edge: what it depends on and what depends on it."""
     ends = F.array(F.struct(F.col("src").alias("path"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("path"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    return edges.select(F.explode(ends).alias("e")).groupBy("e.path").agg(F.sum("e.o").alias("n_out"), F.sum("e.i").alias("n_in"))
+    return edges.select("repository_id", F.explode(ends).alias("e")).groupBy("repository_id", "e.path").agg(F.sum("e.o").alias("n_out"), F.sum("e.i").alias("n_in"))
+
+
+def graph_boost(ranked: DataFrame, edges: DataFrame, factor: float = V.GRAPH_BOOST, anchors: int = 3) -> DataFrame:
+    """Scores of files that an edge joins to one of the first files of their query, raised; those first files stay.
+
+    ranked: (query_id, repository_id, path, score, rank), a bounded number of rows a query; a query
+    of one file raises nothing, as its file is the anchor.
+    """
+    key = ["query_id", *FILE]
+    top = ranked.where(F.col("rank") <= anchors).select("query_id", "repository_id", F.col("path").alias("src"))
+    both = edges.select("repository_id", "src", "dst").unionByName(edges.select("repository_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = both.join(top, ["repository_id", "src"]).select("query_id", "repository_id", F.col("dst").alias("path")).distinct().withColumn("near", F.lit(True))
+    raised = F.when(F.col("near") & (F.col("rank") > anchors), F.col("score") * factor).otherwise(F.col("score"))
+    return ranked.join(near, key, "left").withColumn("score", raised).drop("near")
+
+
+def store_edges(edges: DataFrame, path: str) -> None:
+    """The graph as a table of edges, by repository; the repositories that edges has are replaced."""
+    edges.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(path)
+
 
+def load_edges(spark: SparkSession, path: str, repository: str | None = None) -> DataFrame:
+    """Stored edges, of one repository's partition or of all."""
+    edges = spark.read.schema("src string, dst string, repository_id string").parquet(path)
+    return edges if repository is None else edges.where(F.col("repository_id") == repository)
 
-def graph_boost(ranked: DataFrame, edges: DataFrame, factor: float = 1.2, anchors: int = 3) -> DataFrame:
-    """Scores of files that an edge joins to one of the first files, raised. ranked: (path, score, rank)."""
-    top = ranked.where(F.col("rank") <= anchors).select(F.col("path").alias("anchor"))
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    near = both.join(F.broadcast(top), both.src == top.anchor).select(F.col("dst").alias("path")).distinct().withColumn("near", F.lit(True))
-    return ranked.join(near, "path", "left").withColumn("score", F.when(F.col("near"), F.col("score") * factor).otherwise(F.col("score"))).drop("near")
 
+# --- functions and calls ---------------------------------------------------------------------------
 
-KEYWORDS = "if for while switch match return fn def function class struct enum catch sizeof new".split()
+#: Beginnings of definitions in several languages; the one group is the name.
+DEFINITIONS = (
+    r"\bfn\s+(\w+)\s*\(",
+    r"\bdef\s+(\w+)\s*\(",
+    r"\bfunction\s+(\w+)\s*\(",
+    r"\b(?:public|private|protected|internal)\s+(?:static\s+)?(?:async\s+|final\s+)?(?:void|bool|boolean|int|long|float|double|string|String|var|IEnumerable|Task|ValueTask|IActionResult|ActionResult|ObjectResult)\s+(\w+)\s*\(",
+)
+MOST_LINES = 2000
 
 
-def calls(lines: DataFrame) -> DataFrame:
-    """(path, line, callee): names before a bracket in each line (path, line, content), keywords aside."""
-    name = F.explode(F.regexp_extract_all("content", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)))
-    return lines.select("path", "line", name.alias("callee")).where(~F.col("callee").isin(KEYWORDS))
+def definitions(corpus: DataFrame) -> DataFrame:
+    """(repository_id, path, name, start, end): functions with their lines, from 1, both included.
+
+    A function ends on the line where the braces that it opens are closed; without braces, or if
+    they stay open, on the file's last line; 2000 lines after its start at most. All in the file's row.
+    """
+    lines = F.split("content", "\n")
+    named = lambda p: F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, p, 1).alias("name")))
+    names = F.flatten(F.array(*map(named, DEFINITIONS)))
+    braces = F.flatten(F.transform(lines, lambda x, i: F.transform(F.filter(F.split(x, ""), lambda c: c.isin("{", "}")), lambda c: F.struct(i.alias("i"), F.when(c == "{", 1).otherwise(-1).alias("d")))))
+    f = corpus.select(*FILE, F.size(lines).alias("n"), F.filter(names, lambda x: x["name"] != "").alias("found"), braces.alias("braces"))
+    f = f.select(*FILE, "n", "braces", F.explode("found").alias("f")).select(*FILE, "n", "f.name", F.col("f.i").alias("i"), F.filter("braces", lambda b: b["i"] >= F.col("f.i")).alias("braces"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("end"))
+    step = lambda s, b: F.when(s["end"].isNotNull(), s).otherwise(F.struct((s["depth"] + b["d"]).alias("depth"), F.when((b["d"] < 0) & (s["depth"] == 1), b["i"]).alias("end")))
+    end = F.aggregate("braces", start, step, lambda s: s["end"])
+    last = F.least(F.coalesce(end + 1, F.col("n")), F.col("i") + 1 + MOST_LINES)
+    return f.select(*FILE, "name", (F.col("i") + 1).alias("start"), last.alias("end")).distinct()
+
+
+def calls(corpus: DataFrame) -> DataFrame:
+    """(repository_id, path, line, callee): names of two letters or more before a bracket, keywords aside; not those of definitions."""
+    lines = corpus.select(*FILE, F.posexplode(F.split("content", "\n")).alias("i", "text"))
+    defined = F.array(*[F.regexp_extract("text", p, 1) for p in DEFINITIONS])
+    name = F.explode(F.array_except(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)), defined))
+    return lines.select(*FILE, (F.col("i") + 1).alias("line"), name.alias("callee")).where(~F.col("callee").isin(V.CALL_KEYWORDS) & (F.length("callee") > 1))
 
 
 def call_edges(calls_: DataFrame, functions: DataFrame) -> DataFrame:
-    """(caller_path, caller, callee_path, callee): calls in the function that holds their line (path, name, start, end), to the first definition by path."""
-    f = functions.select("path", F.col("name").alias("caller"), "start", "end")
-    inside = calls_.join(f, "path").where("line between start and end")
-    inner = inside.groupBy("path", "line", "callee").agg(F.max_by("caller", F.struct("start", "caller")).alias("caller"))
-    first = functions.groupBy(F.col("name").alias("callee")).agg(F.min("path").alias("callee_path"))
-    return inner.join(first, "callee").select(F.col("path").alias("caller_path"), "caller", "callee_path", "callee").distinct()
+    """(repository_id, caller_path, caller, callee_path, callee): calls, in the innermost function that holds their line, to the first definition of their name.
+
+    A call outside of functions has the caller 'unknown'; of definitions of one name the first by
+    path and line counts; calls of names that the repository does not define are left out.
+    """
+    f = functions.select(*FILE, F.col("name").alias("caller"), "start", "end")
+    inside = calls_.distinct().join(f, FILE, "left").where("start is null or line between start and end")
+    inner = inside.groupBy(*FILE, "line", "callee").agg(F.max_by("caller", F.struct("start", "caller")).alias("caller"))
+    all_ = calls_.distinct().join(inner, [*FILE, "line", "callee"], "left").withColumn("caller", F.coalesce("caller", F.lit("unknown")))
+    first = functions.groupBy("repository_id", F.col("name").alias("callee")).agg(F.min("path").alias("callee_path"))
+    out = all_.join(first, ["repository_id", "callee"])
+    return out.select("repository_id", F.col("path").alias("caller_path"), "caller", "callee_path", "callee").distinct()
+
+
+def callers_of(edges: DataFrame, name: Column | str) -> DataFrame:
+    return edges.where(F.col("callee") == name).select("repository_id", "caller_path", "caller").distinct()
+
+
+def callees_of(edges: DataFrame, name: Column | str) -> DataFrame:
+    return edges.where(F.col("caller") == name).select("repository_id", "callee_path", "callee").distinct()
+
+
+def definitions_in(functions: DataFrame, path: Column | str) -> DataFrame:
+    return functions.where(F.col("path") == path)
+
+

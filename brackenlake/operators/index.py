@@ -4,60 +4,163 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import paths, text
 from ..functions import vocabulary as V
+from . import store as store_
+from . import symbols
 
+FILE = ["repository_id", "path"]
+#: Buckets of terms that stored postings are dealt to; a search reads those of its terms.
+BUCKETS = 64
 
-def fields(corpus: DataFrame) -> DataFrame:
-    """(repository_id, path, field, terms) of each file: path, file name stem, title of documentation, content."""
+
+def _identifier_terms(names: Column) -> Column:
+    return F.flatten(F.transform(names, lambda n: text.analyse(F.array_join(F.concat(F.array(n), F.filter(text.split_identifier(n), lambda p: p != F.lower(n))), " "))))
+
+
+def field_terms(corpus: DataFrame) -> DataFrame:
+    """(repository_id, path, and of each field its terms): all in the file's row.
+
+    path and filename are split; title is that of documentation; content has each word with the
+    parts of its identifier, and all headings of titled documentation before; symbols has names and
+    their parts, symbol_name the names alone.
+    """
     stem = F.regexp_replace(paths.filename(F.col("path")), r"\.[^.]*$", "")
     doc = paths.file_class(F.col("path")) == "Documentation"
-    of = {
-        "path": text.analyse(F.array_join(text.path_tokens(F.col("path")), " ")),
-        "filename": text.analyse(stem),
-        "title": text.analyse(F.when(doc, text.title(F.col("content"))).otherwise("")),
-        "content": text.analyse(F.col("content")),
-    }
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("terms")) for k, v in of.items()]))
-    return corpus.select("repository_id", "path", each.alias("f")).select("repository_id", "path", "f.field", "f.terms")
+    named = corpus.withColumn("__names", symbols.names(F.col("content"))).withColumn("__title", F.when(doc, F.coalesce(text.title(F.col("content")), F.lit(""))).otherwise(""))
+    heads = F.when(F.col("__title") != "", text.analyse(text.headings(F.col("content")))).otherwise(F.array().cast("array<string>"))
+    content = F.coalesce("content", F.lit(""))
+    return named.select(
+        *FILE,
+        text.analyse(F.array_join(text.path_tokens(F.col("path")), " ")).alias("path_terms"),
+        text.analyse(stem).alias("filename"),
+        text.analyse(F.col("__title")).alias("title"),
+        F.concat(heads, text.analyse(F.array_join(text.preprocess(content), " "))).alias("content"),
+        _identifier_terms(F.col("__names")).alias("symbols"),
+        F.flatten(F.transform("__names", lambda n: text.analyse(n))).alias("symbol_name"),
+    )
+
+
+FIELDS = {"path": "path_terms", "filename": "filename", "title": "title", "content": "content", "symbols": "symbols", "symbol_name": "symbol_name"}
+
+
+def fields(corpus: DataFrame) -> DataFrame:
+    """(repository_id, path, field, terms) of each file, a row for each of the six fields."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(c).alias("terms")) for k, c in FIELDS.items()]))
+    return field_terms(corpus).select(*FILE, each.alias("f")).select(*FILE, "f.field", "f.terms")
 
 
 def postings(fields_: DataFrame) -> DataFrame:
-    """(repository_id, path, field, term, tf), with map-side counting."""
-    return fields_.select("repository_id", "path", "field", F.explode("terms").alias("term")).groupBy("repository_id", "path", "field", "term").agg(F.count("*").alias("tf"))
+    """(repository_id, path, field, len, term, tf): runs of equal terms are counted within the row, so nothing is shuffled."""
+    s = fields_.select(*FILE, "field", F.size("terms").alias("len"), F.array_sort("terms").alias("s")).where("len > 0")
+    new = lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1))
+    s = s.withColumn("at", F.filter(F.sequence(F.lit(0), F.col("len") - 1), new))
+    each = F.transform("at", lambda a, j: F.struct(F.get("s", a).alias("term"), (F.coalesce(F.get("at", j + 1), F.col("len")) - a).cast("long").alias("tf")))
+    return s.select(*FILE, "field", "len", F.explode(each).alias("t")).select(*FILE, "field", "len", "t.term", "t.tf")
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int = 50, only: Column | None = None) -> DataFrame:
-    """(query_id, repository_id, path, score): the best k files of each query over all repositories.
+def field_stats(fields_: DataFrame) -> DataFrame:
+    """(field, n, total): files and terms of each field, over all repositories."""
+    return fields_.groupBy("field").agg(F.count("*").alias("n"), F.sum(F.size("terms")).cast("long").alias("total"))
 
-    queries: (query_id, term), a table of bounded size that is sent to the tasks; only terms asked
-    for leave the scan, so that what is shuffled grows with the matches and not with the corpus.
-    only, a condition on repository_id and path, picks the files that may be found; the statistics
-    are those of all files all the same.
-    """
+
+# --- the stored index ------------------------------------------------------------------------------
+
+
+def _bucket(term) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def store(corpus: DataFrame, path: str) -> None:
+    """Write postings by bucket of their term, and the lengths of each file's fields, as Parquet under a path."""
     f = fields(corpus)
-    wanted = F.broadcast(queries.select("term").distinct())
-    tf = f.select("repository_id", "path", "field", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(wanted, "term").groupBy("repository_id", "path", "field", "len", "term").agg(F.count("*").alias("tf"))
-    stats = f.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg_len"))
-    df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
+    p = postings(f).withColumn("bucket", _bucket("term"))
+    p.repartition("bucket", F.pmod(F.xxhash64(*FILE), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    f.select(*FILE, "field", F.size("terms").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of a stored index."""
+    p = spark.read.schema("repository_id string, path string, field string, len int, term string, tf long, bucket int").parquet(f"{path}/postings")
+    return p, spark.read.schema("repository_id string, path string, field string, len int").parquet(f"{path}/lengths")
+
+
+def replace_files(spark: SparkSession, path: str, changed: DataFrame, deleted: DataFrame, out: str) -> None:
+    """A stored index without the changed and deleted files, and with the changed ones anew, under another path."""
+    gone = changed.select(*FILE).unionByName(deleted.select(*FILE)).distinct()
+    p, n = load(spark, path)
+    f = fields(changed)
+    kept = p.join(gone, FILE, "left_anti").unionByName(postings(f).withColumn("bucket", _bucket("term")))
+    kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/postings")
+    n.join(gone, FILE, "left_anti").unionByName(f.select(*FILE, "field", F.size("terms").alias("len"))).write.mode("overwrite").parquet(f"{out}/lengths")
+
+
+def validate(spark: SparkSession, path: str) -> str:
+    """'missing', 'empty' or 'ok'."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/lengths")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return "missing"
+    return "empty" if load(spark, path)[1].isEmpty() else "ok"
+
+
+# --- search ----------------------------------------------------------------------------------------
+
+
+def score(postings_: DataFrame, stats: DataFrame, queries: DataFrame, only: Column | None = None) -> DataFrame:
+    """(query_id, repository_id, path, score): BM25 of postings of the terms asked for, summed over terms and fields.
+
+    queries: (query_id, term), bounded by the batch of queries; so are the tables of terms by field
+    and of fields that go to all tasks.
+    """
+    df = postings_.groupBy("field", "term").agg(F.count("*").alias("df"))
     boost = F.create_map(*[F.lit(x) for kv in V.FIELD_BOOSTS.items() for x in kv])
-    j = tf.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field")  # at most terms asked for * fields
+    j = postings_.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("len") / F.col("avg_len")))
+    norm = F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("len") / (F.col("total") / F.col("n"))))
     j = j if only is None else j.where(only)
     hits = j.withColumn("s", boost[F.col("field")] * idf * norm).join(F.broadcast(queries), "term")
-    score = hits.groupBy("query_id", "repository_id", "path").agg(F.sum("s").alias("score"))
-    return top_k(score, ["query_id"], k)
+    return hits.groupBy("query_id", *FILE).agg(F.sum("s").alias("score"))
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, k: int = 50, only: Column | None = None) -> DataFrame:
+    """(query_id, repository_id, path, score, rank): the best k files of each query over all repositories, analysed anew.
+
+    only, a condition on repository_id and path, picks the files that may be found; the statistics
+    are those of all files all the same. The corpus is analysed once: of each field its length and
+    the terms asked for (the batch of queries is bounded) are kept, the rest never leaves the row.
+    """
+    wanted = sorted({r[0] for r in queries.select("term").distinct().collect()})
+    hits = lambda terms: F.filter(terms, lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(c).alias("len"), hits(F.col(c)).alias("hits")) for f, c in FIELDS.items()]))
+    f = store_.cut(field_terms(corpus).select(*FILE, each.alias("f")).select(*FILE, "f.*"))
+    stats = f.groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
+    tf = f.where(F.size("hits") > 0).select(*FILE, "field", "len", F.explode("hits").alias("term")).groupBy(*FILE, "field", "len", "term").agg(F.count("*").alias("tf"))
+    return top_k(score(tf, stats, queries, only), ["query_id"], k)
+
+
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 50, only: Column | None = None) -> DataFrame:
+    """As bm25, from a stored index: reads the buckets of the terms asked for, and the lengths."""
+    p, lengths = load(spark, path)
+    buckets = [r[0] for r in queries.select(_bucket("term").alias("b")).distinct().collect()]  # BUCKETS at most
+    tf = p.where(F.col("bucket").isin(buckets)).drop("bucket").join(F.broadcast(queries.select("term").distinct()), "term", "left_semi")
+    stats = lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
+    return top_k(score(tf, stats, queries, only), ["query_id"], k)
 
 
 def document_frequency(corpus: DataFrame, terms: DataFrame) -> DataFrame:
     """(field, term, n_docs, n_found) of the terms asked for, a table of bounded size: files that hold each, and how often."""
-    f = fields(corpus).select("repository_id", "path", "field", F.explode("terms").alias("term"))
-    each = f.join(F.broadcast(terms.select("term").distinct()), "term").groupBy("field", "term", "repository_id", "path").agg(F.count("*").alias("tf"))
-    return each.groupBy("field", "term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_found"))
+    p = postings(fields(corpus)).join(F.broadcast(terms.select("term").distinct()), "term")
+    return p.groupBy("field", "term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_found"))
+
+
+def count_hits(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, n): files that hold any term of each query (query_id, term) in any field, whatever k."""
+    p = postings(fields(corpus)).join(F.broadcast(queries), "term")
+    return p.select("query_id", *FILE).distinct().groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 def phrase_matches(corpus: DataFrame, phrase: str) -> DataFrame:
@@ -67,42 +170,76 @@ def phrase_matches(corpus: DataFrame, phrase: str) -> DataFrame:
     """
     words = [w for w in re.split(r"[\W_]+", phrase.lower()) if w]
     if not words:
-        return corpus.select("repository_id", "path", F.lit(0).cast("long").alias("n")).limit(0)
+        return corpus.select(*FILE, F.lit(0).cast("long").alias("n")).limit(0)
     for w in words:
         corpus = corpus.where(F.contains(F.lower("content"), F.lit(w)))
     line = F.concat(F.lit(" "), F.array_join(text.analyse(F.col("content")), "  "), F.lit(" "))
     sought = " " + "  ".join(words) + " "
     n = ((F.length(line) - F.length(F.replace(line, F.lit(sought), F.lit("")))) / len(sought)).cast("long")
-    return corpus.select("repository_id", "path", n.alias("n")).where("n > 0")
+    return corpus.select(*FILE, n.alias("n")).where("n > 0")
 
 
-def top_k(scored: DataFrame, by: list[str], k: int, score: str = "score") -> DataFrame:
-    """The best k rows of each key by score, then repository and path; a window's own limit keeps k rows a task first."""
-    from pyspark.sql.window import Window
-
-    order = [F.desc(F.round(score, 9)), *[c for c in ("repository_id", "path") if c in scored.columns]]
+def top_k(scored: DataFrame, by: list[str], k: int, score: str = "score", then: tuple[str, ...] = ("repository_id", "path")) -> DataFrame:
+    """The best k rows of each key by score, then by columns that it has; a window's own limit keeps k rows a task first."""
+    order = [F.desc(F.round(score, 9)), *[c for c in then if c in scored.columns]]
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+# --- lists of candidates, by what names a file in both ----------------------------------------------
+
+
+def _keys(*parts: DataFrame) -> list[str]:
+    return [c for c in ("query_id", *FILE) if all(c in p.columns for p in parts)]
+
+
 def merge_max(*parts: DataFrame) -> DataFrame:
-    """Candidate lists (path, score, source) put together: of each path the best score, then the source by name."""
+    """Candidate lists ([query_id, repository_id,] path, score, source) put together: of each file the best score, then the source by name."""
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return both.groupBy("path").agg(F.max_by("source", F.struct(F.col("score"), F.col("source"))).alias("source"), F.max("score").alias("score"))
+    return both.groupBy(*_keys(*parts)).agg(F.max_by("source", F.struct(F.col("score"), F.col("source"))).alias("source"), F.max("score").alias("score"))
 
 
-def gap_fill(found: DataFrame, expanded: DataFrame, damp: float = 0.5) -> DataFrame:
+def gap_fill(found: DataFrame, expanded: DataFrame, damp: float = V.EXPANSION_WEIGHT) -> DataFrame:
     """Found rows, and those of the expanded query that were not found, damped."""
-    return found.unionByName(expanded.join(found.select("path"), "path", "left_anti").withColumn("score", F.col("score") * damp))
+    k = _keys(found, expanded)
+    return found.unionByName(expanded.join(found.select(*k), k, "left_anti").withColumn("score", F.col("score") * damp))
 
 
-def code_behind(found: DataFrame, files: DataFrame, factor: float = 0.9) -> DataFrame:
-    """Rows added for files named like a found one with .cs after it, unless found themselves."""
-    pair = found.select(F.concat("path", F.lit(".cs")).alias("path"), (F.col("score") * factor).alias("score"))
-    return pair.join(files.select("path").distinct(), "path", "left_semi").join(found.select("path"), "path", "left_anti")
+def code_behind(found: DataFrame, files: DataFrame, factor: float = V.CODE_BEHIND) -> DataFrame:
+    """Rows added for files named like a found view (.cshtml, .razor) with .cs after it, unless found themselves."""
+    k = _keys(found)
+    views = found.where(F.col("path").endswith(".cshtml") | F.col("path").endswith(".razor"))
+    pair = views.select(*[c for c in k if c != "path"], F.concat("path", F.lit(".cs")).alias("path"), (F.col("score") * factor).alias("score"))
+    own = _keys(pair, files)
+    return pair.join(files.select(*own).distinct(), own, "left_semi").join(found.select(*k), k, "left_anti")
 
 
 def merge_evidence(lexical: DataFrame, structural: DataFrame, w1: float, w2: float) -> DataFrame:
-    j = lexical.select("path", F.col("score").alias("l")).join(structural.select("path", F.col("score").alias("s")), "path", "full_outer")
-    return j.select("path", F.greatest(F.coalesce(F.col("l") * w1, F.lit(0.0)), F.coalesce(F.col("s") * w2, F.lit(0.0))).alias("score"))
+    k = _keys(lexical, structural)
+    j = lexical.select(*k, F.col("score").alias("l")).join(structural.select(*k, F.col("score").alias("s")), k, "full_outer")
+    return j.select(*k, F.greatest(F.coalesce(F.col("l") * w1, F.lit(0.0)), F.coalesce(F.col("s") * w2, F.lit(0.0))).alias("score"))
+
+
+def reserve_docs(ranked: DataFrame, k: int | Column, slots: int = V.DOC_SLOTS) -> DataFrame:
+    """The first k of each query's ranked rows (query_id, rank, file_class, ...), of which `slots` are documentation if there is so much.
+
+    The last `slots` of the k are for documents. A document that stands above those fills a place
+    first, and changes over with the row there; only then documents from below come in, for the
+    rows at the later places. Ranks stay, so this is about who is in.
+    """
+    w = Window.partitionBy("query_id")
+    rank, doc = F.col("rank"), F.col("file_class") == "Documentation"
+    n = F.count("*").over(w)
+    k = F.least(F.lit(k) if isinstance(k, int) else k, n)
+    r = ranked.withColumn("__k", k).withColumn("__part", F.when(rank <= F.col("__k") - slots, "head").when(rank <= F.col("__k"), "tail").otherwise("below"))
+    count = lambda on: F.count(F.when(on, 1)).over(w)
+    part = F.col("__part")
+    r = r.withColumn("__need", F.lit(slots) - count(doc & (part == "tail"))).withColumn("__own", F.least(F.col("__need"), count(doc & (part == "head"))))
+    r = r.withColumn("__in", F.least(F.col("__need") - F.col("__own"), count(doc & (part == "below"))))
+    nth = F.row_number().over(Window.partitionBy("query_id", "__part", doc).orderBy("rank"))
+    r = r.withColumn("__nth", nth)
+    out = (part == "tail") & ~doc & F.col("__nth").between(F.col("__own") + 1, F.col("__own") + F.col("__in"))
+    into = (part == "below") & doc & (F.col("__nth") <= F.col("__in"))
+    kept = F.when(F.col("__k") > slots, into | (part != "below") & ~out).otherwise(part != "below")
+    return r.where(kept).drop("__k", "__part", "__need", "__own", "__in", "__nth")

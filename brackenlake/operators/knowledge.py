@@ -55,3 +55,21 @@ def domain_terms(symbols: DataFrame) -> DataFrame:
     each = symbols.select("repository_id", F.explode(F.filter(terms, lambda t: F.contains(F.lower(F.col("name")), t))).alias("term"))
     n = each.groupBy("repository_id", "term").agg(F.count("*").alias("n")).where("n >= 2")
     return n.withColumn("confidence", F.least(F.col("n") / 10, F.lit(0.9)))
+
+
+def delete(knowledge: DataFrame, category: str, key: str, repository: str | None = None) -> DataFrame:
+    """Rows without those of a category and key, in one repository or in all."""
+    hit = (F.col("category") == category) & (F.col("key") == key)
+    hit = hit if repository is None else hit & (F.col("repository_id") == repository)
+    return knowledge.where(~hit)
+
+
+def is_initialised(knowledge: DataFrame, repository: str) -> bool:
+    return not knowledge.where(F.col("repository_id") == repository).isEmpty()
+
+
+def extract(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(repository_id, category, key, confidence): conventions, architecture and terms of repositories as knowledge."""
+    of = lambda df, category, key: df.select("repository_id", F.lit(category).alias("category"), F.col(key).alias("key"), F.col("confidence").cast("double").alias("confidence"))
+    parts = of(naming(symbols), "convention", "convention"), of(architecture(symbols, files), "architecture", "pattern"), of(domain_terms(symbols), "domain", "term")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

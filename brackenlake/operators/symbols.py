@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _VIS = r"(?:(?:pub|public|private|protected|internal)\s+)?"
 _MOD = r"(?:(?:export|declare|default|async|static|abstract|sealed)\s+)*"
@@ -21,6 +22,12 @@ PATTERNS = {
 }
 
 
+def names(content) -> Column:
+    """Distinct names of all symbols of a text, in order."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in PATTERNS.values()]))
+    return F.array_sort(F.array_distinct(F.coalesce(found, F.array().cast("array<string>"))))
+
+
 def symbols(corpus: DataFrame) -> DataFrame:
     """(repository_id, path, name, kind) found by the patterns; a name comes out once a kind and file."""
     kinds = F.array(*[F.struct(F.lit("function" if k == "arrow" else k).alias("kind"), F.regexp_extract_all("content", F.lit(p), F.lit(1)).alias("names")) for k, p in PATTERNS.items()])
@@ -36,6 +43,20 @@ def find(symbols_: DataFrame, words: list[str], most: int) -> DataFrame:
     return symbols_.where(F.lower("name").rlike("|".join(re.escape(w.lower()) for w in some))).orderBy("repository_id", "path", "name", "kind").limit(most)
 
 
+def find_each(symbols_: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """(query_id, repository_id, path, name, kind, n): of each query (query_id, words) the first `most` symbols that find() gives.
+
+    The batch of queries is bounded and goes to all tasks; each symbol's name is tried with each query's words.
+    """
+    some = F.slice(F.filter("words", lambda w: F.octet_length(w) >= 3), 1, 6)
+    q = queries.select("query_id", F.transform(some, lambda w: F.lower(w)).alias("words"))
+    all_words = q.select(F.explode("words").alias("word"), "query_id")
+    hit = symbols_.join(F.broadcast(all_words), F.contains(F.lower(symbols_["name"]), F.col("word")))
+    w = Window.partitionBy("query_id").orderBy("repository_id", "path", "name", "kind")
+    found = hit.select("query_id", "repository_id", "path", "name", "kind").distinct()
+    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+
+
 def compile_pattern(pattern: str) -> tuple[str, list[str]]:
     """A structural pattern as a regular expression, and its placeholders' names: $NAME is one token or bracketed part, $$$NAME anything."""
     out, names, at = [], [], 0
@@ -73,6 +94,12 @@ def structural(corpus: DataFrame, pattern: str) -> DataFrame:
     return hit.select("repository_id", "path", line.alias("line"), "matched", captures.alias("captures"), score.alias("score"))
 
 
+def structural_in(corpus: DataFrame, candidates: DataFrame, pattern: str) -> DataFrame:
+    """structural() in candidate files (repository_id, path) alone; others are not searched."""
+    key = ["repository_id", "path"]
+    return structural(corpus.join(candidates.select(*key).distinct(), key, "left_semi"), pattern)
+
+
 #: Words of a request, in order of trial, with the kind that they ask for and its patterns by language.
 KIND_WORDS = [("function", "function"), ("method", "method"), ("class", "class"), ("struct", "struct"), ("enum", "enum"), ("trait", "trait"), ("interface", "interface"), ("import", "import"), ("impl", "impl"), ("call", "call"), ("type", "type")]
 KIND_PATTERNS = {

@@ -40,3 +40,39 @@ def max_evidence(files: int, both: bool) -> int:
 
 def graph_allowed(wanted: bool, hits: int, docs: int, files: int) -> bool:
     return wanted and hits >= 2 and (docs <= 5000 or files <= 5000)
+
+
+#: Files and matches of an exhaustive structural request.
+EXHAUSTIVE = (500, 500)
+_EXHAUSTIVE_WORDS = ("all ", "every ", "list all", "find all", "show all")
+
+
+def exhaustive(intent: str, query: str) -> tuple[int, int] | None:
+    """Limits of a structural request that asks for everything, else None."""
+    return EXHAUSTIVE if intent == "Structural" and any(w in query.lower() for w in _EXHAUSTIVE_WORDS) else None
+
+
+def structural_stop(files: int) -> int:
+    """Matches after which a structural search may stop."""
+    return 2 * files
+
+
+def skip_tests(intent: str, query: str) -> bool:
+    return intent != "Testing" and "test" not in query.lower()
+
+
+def validate(settings: dict) -> list[str]:
+    """What is wrong with settings: limits must be positive, weights between 0 and 10, the share of documentation between 0 and 1."""
+    out = [f"{k} must be 1 or more" for k in ("max_files", "candidate_k", "max_lines", "token_budget") if k in settings and settings[k] < 1]
+    out += [f"{k} must be between 0 and 10" for k in ("lexical_weight", "structural_weight") if k in settings and not 0 <= settings[k] <= 10]
+    if not 0 <= settings.get("docs_share", 0.45) <= 1:
+        out.append("docs_share must be between 0 and 1")
+    return out
+
+
+def merge_settings(*layers: dict) -> dict:
+    """Layers of sections put together: a later layer's section takes the whole place of an earlier one's."""
+    out: dict = {}
+    for layer in layers:
+        out |= layer
+    return out

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions import vocabulary as V
-from ..operators import index
+from ..operators import graph, index, store, symbols
+from . import planner
+
+FILE = ["repository_id", "path"]
+KEY = ["query_id", *FILE]
 
 
 def terms(queries: DataFrame) -> DataFrame:
@@ -15,31 +19,119 @@ def terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(text.query_tokens(F.col("query"))).alias("term"))
 
 
-def rank(corpus: DataFrame, queries: DataFrame, k: int = 20, pool: int = 200) -> DataFrame:
-    """(query_id, repository_id, path, file_class, score, rank): the best k files of each query.
+def prepare(queries: DataFrame) -> DataFrame:
+    """(query_id, query, tokens, expanded, more, intent, terms, words) of queries (query_id, query).
 
-    BM25 over the fields gives a pool; class, test, directory, path-token, intent and authority
-    factors multiply; documentation of which no token is in the path is damped; classes of no
-    weight go after the pool is taken, so fewer than k may be left.
+    terms are those of the search, analysed as the fields are; expanded has synonyms too, more tells
+    if they add any; words are what symbols' names are tried with.
     """
-    hits = index.bm25(corpus, terms(queries), pool).drop("rank")
     q = queries.select("query_id", "query", text.query_tokens(F.col("query")).alias("tokens"), text.intent(F.col("query")).alias("intent"))
-    j = hits.join(F.broadcast(q), "query_id")  # the batch of queries is bounded
-    j = j.withColumn("file_class", paths.file_class(F.col("path")))
+    q = q.withColumn("expanded", text.expand(F.col("tokens"))).withColumn("more", (F.size("tokens") > 0) & (F.size("expanded") > F.size("tokens")))
+    analysed = lambda x: F.array_distinct(text.analyse(F.array_join(x, " ")))
+    plain = F.filter(F.split(F.lower("query"), "[^a-z0-9_]+"), lambda t: t != "")
+    return q.select(
+        "query_id", "query", "tokens", "expanded", "more", "intent",
+        analysed(text.search_terms(F.col("query"))).alias("terms"),
+        analysed(F.col("expanded")).alias("more_terms"),
+        F.when(F.col("more"), F.col("expanded")).otherwise(plain).alias("words"),
+    )
+
+
+def _by_class(hits: DataFrame, q: DataFrame) -> DataFrame:
+    """Hits with their file class, times class, test and directory factors; classes of no weight go."""
+    j = hits.join(F.broadcast(q.select("query_id", "query")), "query_id").withColumn("file_class", paths.file_class(F.col("path")))
+    cls = F.col("file_class")
+    j = j.withColumn("score", F.col("score") * paths.class_boost(cls) * paths.test_multiplier(F.col("query"), cls) * paths.directory_boost(F.col("path")))
+    return j.where((paths.class_boost(cls) > 0) & paths.valid_path(F.col("path"))).drop("query")
+
+
+def _path_boost(tokens: Column, path: Column) -> Column:
+    return 1 + V.SYMBOL_WEIGHT * paths.segment_matches(tokens, path) / F.greatest(F.size(tokens), F.lit(1))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    return index.top_k(rows, ["query_id"], 1 << 30)
+
+
+def lexical(corpus: DataFrame, q: DataFrame, most: int, pool: int) -> DataFrame:
+    """(query_id, repository_id, path, score, source) by text: the search's own hits, and where they are fewer than `most` those of the expanded terms, damped.
+
+    Both searches are one pass over the corpus: a query's two lists of terms are two queries of one batch.
+    """
+    lists = F.array(F.struct(F.lit(0).alias("variant"), F.col("terms").alias("t")), F.struct(F.lit(1).alias("variant"), F.when(F.col("more"), F.col("more_terms")).alias("t")))
+    asked = q.select("query_id", F.explode(lists).alias("v")).select(F.struct("query_id", "v.variant").alias("query_id"), F.explode("v.t").alias("term"))
+    hits = index.bm25(corpus, asked, pool).drop("rank").select("query_id.query_id", "query_id.variant", *FILE, "score")
+    scored = store.cut(_by_class(hits, q))  # a bounded number of rows a query
+    own = scored.where("variant = 0").select(*KEY, "score", F.lit("lexical").alias("source"))
+    few = own.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("query_id")
+    more = scored.where("variant = 1").join(few, "query_id", "left_anti").select(*KEY, "score", F.lit("expanded").alias("source"))
+    found = index.gap_fill(own, more)
+    tokens = q.select("query_id", F.when(F.col("more"), F.col("expanded")).otherwise(F.col("tokens")).alias("t"))
+    boosted = found.join(F.broadcast(tokens), "query_id").withColumn("score", F.col("score") * _path_boost(F.col("t"), F.col("path")))
+    return boosted.drop("t")
+
+
+def by_symbols(corpus: DataFrame, q: DataFrame, most: int) -> DataFrame:
+    """(query_id, repository_id, path, score, source) of files with a symbol whose name holds a word, all alike."""
+    hit = symbols.find_each(symbols.symbols(corpus), q.select("query_id", "words"), 2 * most)
+    return hit.select(*KEY).distinct().withColumn("score", F.lit(1.0)).withColumn("source", F.lit("symbols"))
+
+
+def with_graph(rows: DataFrame, corpus: DataFrame, q: DataFrame, n_files: int) -> DataFrame:
+    """Scores raised for files beside a query's first three, for queries whose plan asks for it; the graph is built only if there is one."""
+    wanted = [i for i in V.INTENT_WEIGHTS if planner.plan(i).graph]
+    of = q.where(F.col("intent").isin(wanted)).select("query_id")
+    if not planner.graph_allowed(True, 2, n_files, n_files) or of.isEmpty():
+        return rows
+    edges = store.cut(graph.dependencies(corpus))
+    r = _ranked(rows.join(F.broadcast(of), "query_id", "left_semi"))
+    return graph.graph_boost(r, edges).drop("rank").unionByName(rows.join(F.broadcast(of), "query_id", "left_anti"))
+
+
+def adjusted(rows: DataFrame, q: DataFrame) -> DataFrame:
+    """Rows times what their class weighs for the intent against its common weight, authority, expansion, and the damping of documentation that no token's path names."""
+    j = rows.join(F.broadcast(q.select("query_id", "tokens", "intent", "more")), "query_id").withColumn("file_class", paths.file_class(F.col("path")))
     cls, path = F.col("file_class"), F.col("path")
     base = paths.class_boost(cls)
-    matched = paths.segment_matches(F.col("tokens"), path)
     delta = paths.intent_weight(F.col("intent"), cls) / F.when(base == 0, 1.0).otherwise(base)
-    score = (
-        F.col("score")
-        * base
-        * paths.test_multiplier(F.col("query"), cls)
-        * paths.directory_boost(path)
-        * (1 + 1.5 * matched / F.greatest(F.size("tokens"), F.lit(1)))
-        * F.when(F.abs(delta - 1) > 0.01, delta).otherwise(1.0)
-        * paths.authority_boost(path)
-        * F.when((cls == "Documentation") & (matched == 0), 0.1).otherwise(1.0)
-        * V.SCORE_SCALE
-    )
-    scored = j.withColumn("score", score).where(base > 0).select("query_id", "repository_id", "path", "file_class", "score")
-    return index.top_k(scored, ["query_id"], k)
+    generic = (cls == "Documentation") & (F.size("tokens") > 0) & (paths.segment_matches(F.col("tokens"), path) == 0)
+    score = F.col("score") * F.when(F.abs(delta - 1) > 0.01, delta).otherwise(1.0) * paths.authority_boost(path) * F.when(F.col("more"), V.EXPANDED_BOOST).otherwise(1.0) * F.when(generic, V.DAMPING).otherwise(1.0)
+    return j.withColumn("score", score).select(*KEY, "file_class", "score", "source")
+
+
+def rank(corpus: DataFrame, queries: DataFrame, most: int | None = None, wanted: int | None = None) -> DataFrame:
+    """(query_id, repository_id, path, file_class, score, source, rank): the files of each query's answer.
+
+    Search and gap fill, symbols, the greater score of each file, files behind views, graph, intent
+    and authority, damping, places for documentation among the first `most`, then by score again.
+    How many files and candidates there are is decided from the number of files unless given.
+    """
+    n = corpus.count()
+    most = planner.max_files(n, most)
+    q = prepare(queries)
+    found = store.cut(index.merge_max(lexical(corpus, q, most, planner.candidates(n, most, wanted)), by_symbols(corpus, q, most)))
+    behind = index.code_behind(found.select(*KEY, "score"), corpus).withColumn("source", F.lit("code-behind"))
+    found = found.select(*KEY, "score", "source").unionByName(behind.select(*KEY, "score", "source"))
+    found = adjusted(with_graph(found, corpus, q, n), q)
+    kept = index.reserve_docs(_ranked(store.cut(found)), most)
+    scaled = kept.drop("rank").withColumn("score", F.col("score") * V.SCORE_SCALE)
+    return _ranked(scaled)
+
+
+def search_or_scan(corpus: DataFrame, query: str, most: int = 50) -> tuple[str, DataFrame]:
+    """('Found' or 'FallbackUsed', rows): the search of one request, or, if it finds nothing, lines that hold one of its words."""
+    spark = corpus.sparkSession
+    asked = spark.createDataFrame([(1, query)], "query_id int, query string")
+    hits = index.bm25(corpus, prepare(asked).select("query_id", F.explode("terms").alias("term")), most)
+    if not hits.isEmpty():
+        return "Found", hits.select(*FILE, F.lit(1).alias("line"), "score")
+    from ..sources.corpus import grep
+
+    pattern = asked.select(text.scan_pattern(F.col("query"))).first()[0]
+    return "FallbackUsed", grep(corpus, pattern, most).select(*FILE, "line", F.lit(1.0).alias("score"))
+
+
+def explain(rows: DataFrame) -> DataFrame:
+    """rows with a line of text that says where each stands and why."""
+    line = F.format_string("%s score:%.2f class:%s source:%s rank:%d", "path", F.col("score").cast("double"), "file_class", "source", "rank")
+    return rows.withColumn("explained", line)

@@ -4,31 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import paths, text
 from .functions import vocabulary as V
-from .operators import context, graph, index, knowledge, metrics
+from .operators import context, graph, index, knowledge, metrics, store
 from .operators import symbols as sym
 from .plans import retrieve
+from .registry import ORACLE, QUERIES, query
 from .sources.corpus import CORPUS_SQL, corpus, diff, grep, grep_files, line_range, table, upsert
 from .streaming import events as ev
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
 CORPUS = f"WITH corpus AS ({CORPUS_SQL}) "
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 ASKED = {
     1: "how to install the package and configure settings",
     2: "where is the guide module for tests",
@@ -78,9 +66,9 @@ def split_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", F.array_join(F.concat(parts, F.array(F.lower(stem))), " ").alias("parts"))
 
 
-@query(r"SELECT doc_id, trim(regexp_extract(text, '(?m)^[ \t]*#{1,2} +(.+)$', 1)) AS title FROM documents WHERE contains(text, '# ')")
+@query(r"SELECT doc_id, trim(regexp_extract(text, '(?m)^[ \t]*#{1,2} +(.+)$', 1)) AS title FROM documents")
 def markdown_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("# ")))
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", text.title(F.col("text")).alias("title"))
 
 
@@ -110,21 +98,33 @@ def hashes_and_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PATH_TOKENS = f"list_distinct(flatten(list_transform(list_filter(string_split_regex(path, '[/\\\\._-]+'), lambda p: p <> ''), lambda p: {_SPLIT.format(n='p')} || [lower(p)])))"
 _ANALYSE = "list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '' AND strlen(t) <= 40)"
-_FIELDS = CORPUS + f""", f AS (SELECT repository_id, path, 'path' AS field, {_ANALYSE.format(x=f"array_to_string({_PATH_TOKENS}, ' ')")} AS terms FROM corpus
+_WORD_PARTS = f"CASE WHEN regexp_matches(w, '_|[a-z][^_]*[A-Z]|[A-Z].*[A-Z].*[a-z]') THEN [lower(w)] || list_filter({_SPLIT.format(n='w')}, lambda p: p <> lower(w)) ELSE [lower(w)] END"
+_WORDS = f"flatten(list_transform(list_filter(string_split_regex(content, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> ''), lambda w: {_WORD_PARTS}))"
+_TITLE = f"CASE WHEN ({paths.file_class_sql('path')}) = 'Documentation' THEN trim(regexp_extract(content, '(?m)^[ \\t]*#{{1,2}} +(.+)$', 1)) ELSE '' END"
+_HEADINGS = "array_to_string(list_transform(list_filter(string_split(content, chr(10)), lambda x: starts_with(trim(x), '#')), lambda x: trim(regexp_replace(trim(x), '^#+', ''))), ' ')"
+_NAMES = "list_distinct(flatten([" + ", ".join("regexp_extract_all(content, '" + p.replace("'", "''") + "', 1)" for p in sym.PATTERNS.values()) + "]))"
+_NAME_PARTS = f"list_transform({_NAMES}, lambda n: array_to_string([n] || list_filter({_SPLIT.format(n='n')}, lambda p: p <> lower(n)), ' '))"
+#: The terms of the six fields of each file in `corpus`.
+FIELDS_SQL = f"""f AS (SELECT repository_id, path, 'path' AS field, {_ANALYSE.format(x=f"array_to_string({_PATH_TOKENS}, ' ')")} AS terms FROM corpus
 UNION ALL SELECT repository_id, path, 'filename', {_ANALYSE.format(x=_STEM)} FROM corpus
-UNION ALL SELECT repository_id, path, 'title', {_ANALYSE.format(x=f"CASE WHEN ({paths.file_class_sql('path')}) = 'Documentation' THEN trim(regexp_extract(content, '(?m)^[ \\t]*#{{1,2}} +(.+)$', 1)) ELSE '' END")} FROM corpus
-UNION ALL SELECT repository_id, path, 'content', {_ANALYSE.format(x='content')} FROM corpus)"""
+UNION ALL SELECT repository_id, path, 'title', {_ANALYSE.format(x=_TITLE)} FROM corpus
+UNION ALL SELECT repository_id, path, 'content', (CASE WHEN ({_TITLE}) <> '' THEN {_ANALYSE.format(x=_HEADINGS)} ELSE [] END) || {_ANALYSE.format(x=f"array_to_string({_WORDS}, ' ')")} FROM corpus
+UNION ALL SELECT repository_id, path, 'symbols', {_ANALYSE.format(x=f"array_to_string({_NAME_PARTS}, ' ')")} FROM corpus
+UNION ALL SELECT repository_id, path, 'symbol_name', {_ANALYSE.format(x=f"array_to_string({_NAMES}, ' ')")} FROM corpus)"""
+_FIELDS = CORPUS + ", " + FIELDS_SQL
 
 
 @query(_FIELDS + " SELECT repository_id, field, count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM f GROUP BY ALL")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.fields(corpus(spark, sf_dir)).groupBy("repository_id", "field").agg(F.count("*").alias("n_docs"), F.sum(F.size("terms")).cast("long").alias("n_terms"))
+    f = index.fields(corpus(spark, sf_dir))
+    return f.groupBy("repository_id", "field").agg(F.count("*").alias("n_docs"), F.sum(F.size("terms")).cast("long").alias("n_terms"))
 
 
 @query(_FIELDS + ", t AS (SELECT repository_id, path, unnest(terms) AS term FROM f WHERE field = 'content'), p AS (SELECT repository_id, path, term, count(*) AS tf FROM t GROUP BY ALL) SELECT repository_id, count(*) AS n_postings, sum(tf)::BIGINT AS total_tf, max(tf) AS max_tf, count(DISTINCT term) AS n_terms FROM p GROUP BY ALL")
 def postings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = index.postings(index.fields(corpus(spark, sf_dir)).where("field = 'content'"))
-    return p.groupBy("repository_id").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("total_tf"), F.max("tf").alias("max_tf"), F.countDistinct("term").alias("n_terms"))
+    by_term = p.groupBy("repository_id", "term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"), F.max("tf").alias("most"))
+    return by_term.groupBy("repository_id").agg(F.sum("n").alias("n_postings"), F.sum("tf").alias("total_tf"), F.max("most").alias("max_tf"), F.count("*").alias("n_terms"))
 
 
 _TERMS = f"""q(query_id, query) AS (VALUES {_VALUES}), qt AS (SELECT query_id, unnest(list_distinct(list_filter(string_split_regex(lower(query), '[^a-z0-9_]+'), lambda t: strlen(t) >= 2 AND NOT list_contains({list(V.STOP_WORDS)}, t)))) AS term FROM q)"""
@@ -141,15 +141,9 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "repository_id", "path", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
-def ranked_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = retrieve.rank(corpus(spark, sf_dir), asked(spark))
-    return r.select("query_id", "repository_id", "path", "file_class", F.round("score", 4).alias("score"), "rank")
-
-
 @query(CORPUS + "SELECT repository_id, count(*) AS n_files, sum(strlen(content))::BIGINT AS n_bytes FROM corpus GROUP BY repository_id")
 def repository_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).groupBy("repository_id").agg(F.count("*").alias("n_files"), F.sum(F.octet_length("content")).cast("long").alias("n_bytes"))
+    return store.count_files(corpus(spark, sf_dir))
 
 
 @query(CORPUS + ", l AS (SELECT repository_id, path, unnest(string_split(content, chr(10))) AS content, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM corpus) SELECT repository_id, path, line::INT AS line, content FROM l WHERE regexp_matches(content, '(?i)licen[sc]ed? under') ORDER BY repository_id, path, line LIMIT 200")
@@ -158,11 +152,10 @@ def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep(corpus(spark, sf_dir), "licen[sc]ed? under", 200)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%WIDGET%' AND p_name ILIKE '%col%' ORDER BY p_partkey LIMIT 100")
+@query("SELECT p_name, p_partkey FROM part WHERE p_name ILIKE '%WIDGET%' AND p_name ILIKE '%b%' ORDER BY p_name, p_partkey LIMIT 100")
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A limited lookup by part of a name, in key order."""
-    p = table(spark, sf_dir, "part")
-    return p.where(F.col("p_name").ilike("%WIDGET%") & F.col("p_name").ilike("%col%")).select("p_partkey", "p_name").orderBy("p_partkey").limit(100)
+    """A limited lookup by parts of a name, in order of names."""
+    return store.search_names(table(spark, sf_dir, "part").select("p_name", "p_partkey"), "p_name", ["WIDGET", "B"], 100)
 
 
 # --- joins, sets, incremental ------------------------------------------------------------------
@@ -179,16 +172,8 @@ def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return c.join(o.where("o_orderpriority = '1-URGENT'"), c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
-
-
-@query("SELECT o_orderkey, c_name, coalesce(n, 0) AS n_lines FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
-def file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parent rows with the count of their children: the shape of files with their symbols."""
-    o, c, li = (table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
-    n = li.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return o.join(c, o.o_custkey == c.c_custkey).join(n, o.o_orderkey == n.l_orderkey, "left").select("o_orderkey", "c_name", F.coalesce("n", F.lit(0)).alias("n_lines"))
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return store.orphans(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), o, ["c_custkey"])
 
 
 _KNOW = "SELECT event_type AS category, CAST(user_id AS VARCHAR) AS key, CAST(event_id % 5 AS VARCHAR) AS repository_id, value AS confidence, CAST(event_id AS VARCHAR) AS value, event_id AS updated_at FROM events"
@@ -215,19 +200,19 @@ def decay_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.decay(_knowledge(spark, sf_dir), 5000, 0.25)
 
 
-@query(f"WITH RECURSIVE e AS (SELECT DISTINCT n_name AS src, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT DISTINCT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey), i(path) AS (SELECT src FROM e WHERE dst IN ('ASIA', 'EUROPE') UNION SELECT src FROM e JOIN i ON e.dst = i.path) SELECT path FROM i")
+@query(f"WITH RECURSIVE e AS (SELECT DISTINCT n_name AS src, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT DISTINCT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey), i(path) AS (SELECT src FROM e WHERE dst IN ('ASIA', 'EUROPE') UNION SELECT src FROM e JOIN i ON e.dst = i.path) SELECT 'r' AS repository_id, path FROM i")
 def impact_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r, c = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
     e = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst")).unionByName(c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_mktsegment").alias("src"), F.col("n_name").alias("dst"))).distinct()
-    return graph.impact(e, spark.createDataFrame([("ASIA",), ("EUROPE",)], "path string"))
+    return graph.impact(e.withColumn("repository_id", F.lit("r")), spark.createDataFrame([("r", "ASIA"), ("r", "EUROPE")], "repository_id string, path string"))
 
 
 # --- aggregations, windows, metrics ------------------------------------------------------------
 
 
-@query("SELECT event_type, le::DOUBLE AS le, count(*) FILTER (value <= le) AS n FROM events, (VALUES (10), (25), (50), (100), (250)) b(le) GROUP BY ALL")
+@query("SELECT event_type, le::DOUBLE AS le, count(*) FILTER (value <= le) AS n, round(sum(value), 4) AS total, count(value) AS count FROM events, (VALUES (10), (25), (50), (100), (250)) b(le) GROUP BY event_type, le")
 def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.histogram(table(spark, sf_dir, "events"), "event_type", "value", [10, 25, 50, 100, 250])
+    return metrics.histogram(table(spark, sf_dir, "events"), "event_type", "value", [10, 25, 50, 100, 250]).withColumn("total", F.round("total", 4))
 
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) FILTER (i = least(floor(n * 0.5), n - 1)) AS p50, max(value) FILTER (i = least(floor(n * 0.95), n - 1)) AS p95 FROM r GROUP BY event_type")
@@ -264,9 +249,14 @@ def session_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOK = "greatest(strlen(line) // 4, floor(len(list_filter(string_split_regex(line, '[ \\t\\n\\r\\x0B\\f]+'), lambda t: t <> '')) * 1.3::DOUBLE)::BIGINT) + 1"
 
 
-@query(CORPUS + f", l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM corpus), r AS (SELECT *, sum({_TOK}) OVER (PARTITION BY path ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM l) SELECT path, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (run <= 195), '') AS text, coalesce(max(run) FILTER (run <= 195), 0)::BIGINT AS n_tokens, bool_or(run > 195) AS cut FROM r GROUP BY path")
+@query(CORPUS + f""", own AS (SELECT doc_id, content, {_TOK.replace('line', 'content')} - 1 AS own FROM corpus),
+l AS (SELECT doc_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM corpus),
+r AS (SELECT *, sum({_TOK}) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM l),
+k AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (run <= 195) || chr(10), '') AS kept, coalesce(max(run) FILTER (run <= 195), 0) + 5 AS t FROM r GROUP BY doc_id)
+SELECT doc_id, CASE WHEN own > 200 THEN kept || '... [truncated, full text at ' || substring(sha256(content), 1, 16) || ']' ELSE content END AS text,
+CASE WHEN own > 200 THEN t ELSE own END::BIGINT AS n_tokens, own > 200 AS cut FROM own JOIN k USING (doc_id)""")
 def truncate_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.truncate(corpus(spark, sf_dir).select("path", F.col("content").alias("text")), 200)
+    return context.truncate(corpus(spark, sf_dir).select("doc_id", F.col("content").alias("text")), 200)
 
 
 @query(f"{CORPUS}, c AS (SELECT doc_id, repository_id, path, ({paths.file_class_sql('path')}) = 'Documentation' AS docs, strlen(content) // 4 AS n_tokens FROM corpus), r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY repository_id, docs ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM c) SELECT repository_id AS query_id, path, n_tokens, used FROM r WHERE used <= CASE WHEN docs THEN 1800 ELSE 2200 END")
@@ -293,21 +283,29 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.windowed(e).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+_ORDERED = "e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"
+
+
+@query(f"""WITH RECURSIVE {_ORDERED}, b AS (
+SELECT user_id, event_id, us, i, 19e6::DOUBLE AS rest, true AS allowed FROM e WHERE i = 1
+UNION ALL SELECT e.user_id, e.event_id, e.us, e.i,
+CASE WHEN least(20e6::DOUBLE, rest + (e.us - b.us) * 10) >= 1e6 THEN least(20e6::DOUBLE, rest + (e.us - b.us) * 10) - 1e6 ELSE least(20e6::DOUBLE, rest + (e.us - b.us) * 10) END,
+least(20e6::DOUBLE, rest + (e.us - b.us) * 10) >= 1e6 FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1)
+SELECT user_id AS session, event_id, allowed FROM b""")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.limit_rate(table(spark, sf_dir, "events"), "user_id")
+    return ev.limit_rate(table(spark, sf_dir, "events"), "user_id").drop("ts")
 
 
 @query("SELECT event_type AS request_type, count(*) AS n, coalesce(sum(event_id), 0)::BIGINT AS input_tokens, round(coalesce(sum(value), 0), 4) AS cost FROM events GROUP BY 1")
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("request_type")).agg(F.count("*").alias("n"), F.coalesce(F.sum("event_id"), F.lit(0)).alias("input_tokens"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("cost"))
+    u = store.usage(table(spark, sf_dir, "events"), "event_type", "event_id", "value")
+    return u.select(F.col("event_type").alias("request_type"), "n", F.col("tokens").alias("input_tokens"), F.round("cost", 4).alias("cost"))
 
 
 @query(CORPUS + f"SELECT {_EXT} AS ext, count(*) AS n FROM corpus GROUP BY 1 ORDER BY n DESC, ext LIMIT 10")
 def top_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-ten report."""
-    return corpus(spark, sf_dir).groupBy(paths.extension(F.col("path")).alias("ext")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ext").limit(10)
+    return store.top(corpus(spark, sf_dir).select(paths.extension(F.col("path")).alias("ext")), "ext", 10)
 
 
 _SYMS = "SELECT mod(p_partkey, 20)::VARCHAR AS repository_id, replace(p_name, ' ', '_') AS name FROM part"
@@ -325,44 +323,12 @@ def domain_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.domain_terms(d)
 
 
-CODE = [
-    ("repo_a", "src/main.rs", "rust", "mod util;\nuse crate::net::client;\n\npub fn main() {\n    run(1);\n}\nstruct Config {\n}\nenum Color { Red }\ntrait Drawable {}\nimpl Config {\n}"),
-    ("repo_a", "util.rs", "rust", "pub fn run(n: i32) {\n    helper(n)\n}\nfn helper(n: i32) {}"),
-    ("repo_a", "net/client.rs", "rust", "use std::io;\npub fn connect() {}"),
-    ("repo_a", "src/app.ts", "typescript", "import { a } from './lib';\nexport interface Shape {}\nexport class App {}\nfunction boot(x) { return a(x) }"),
-    ("repo_a", "lib/index.ts", "typescript", "export const a = (x) => x;"),
-    ("repo_a", "pkg/__init__.py", "python", "import os\n"),
-    ("repo_a", "main.py", "python", "from pkg import thing\nclass Config:\n    pass\ndef hello():\n    return thing()\n"),
-]
-
-
-def code(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CODE, "repository_id string, path string, language string, content string")
-
-
-@query("SELECT * FROM (VALUES ('main.py', 'pkg/__init__.py'), ('src/app.ts', 'lib/index.ts'), ('src/main.rs', 'net/client.rs'), ('src/main.rs', 'util.rs')) t(src, dst)")
-def dependency_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of a small tree of code; the driver's tables hold none."""
-    c = code(spark)
-    return graph.resolve(graph.imports(c), c)
-
-
-@query("SELECT * FROM (VALUES ('App', 'struct'), ('Color', 'enum'), ('Config', 'impl'), ('Config', 'struct'), ('Config', 'struct'), ('Drawable', 'trait'), ('Shape', 'struct'), ('a', 'function'), ('boot', 'function'), ('connect', 'function'), ('hello', 'function'), ('helper', 'function'), ('main', 'function'), ('run', 'function')) t(name, kind)")
-def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sym.symbols(code(spark)).select("name", "kind")
-
-
-@query("SELECT * FROM (VALUES ('net/client.rs', 2, 'connect'), ('src/main.rs', 4, 'main'), ('util.rs', 1, 'run')) t(path, line, name)")
-def structural_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sym.structural(code(spark).where("language = 'rust'"), "fn $NAME($$$ARGS)")
-    return found.select("path", "line", F.col("captures")["NAME"].alias("name"))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_suppkey, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3")
 def ranked_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best three rows of each group, a top-k report."""
-    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
-    return table(spark, sf_dir, "lineitem").withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("l_orderkey", "l_linenumber", "l_suppkey", "rank")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    best = store.best_of(li, ["l_suppkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], 3)
+    return best.select("l_orderkey", "l_linenumber", "l_suppkey", "rank")
 
 
 @query("WITH a AS (SELECT CAST(l_partkey AS VARCHAR) AS path, max(l_extendedprice) AS s FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), n AS (SELECT CAST(l_partkey AS VARCHAR) AS path, max(l_extendedprice) AS s FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) SELECT coalesce(a.path, n.path) AS path, greatest(coalesce(a.s * 1.0::DOUBLE, 0), coalesce(n.s * 0.4::DOUBLE, 0)) AS score FROM a FULL JOIN n ON a.path = n.path")
@@ -382,9 +348,9 @@ def expansion_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- more of the index, the graph, context and upkeep ------------------------------------------
 
 
-@query("SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x), '#')), lambda x: trim(regexp_replace(trim(x), '^#+', ''))), ' ') AS headings FROM documents WHERE contains(text, '#')")
+@query("SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x), '#')), lambda x: trim(regexp_replace(trim(x), '^#+', ''))), ' ') AS headings FROM documents")
 def all_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("#")))
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", text.headings(F.col("text")).alias("headings"))
 
 
@@ -407,9 +373,10 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOUND = " SELECT query_id::INT AS query_id, repository_id, path, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20"
 
 
-@query(_BM25.replace("FROM s)", "FROM s WHERE repository_id = 'src12')") + _FOUND)
+@query(_BM25.replace("FROM s)", "FROM s WHERE repository_id = (SELECT min(source) FROM documents))") + _FOUND)
 def bm25_in_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = index.bm25(corpus(spark, sf_dir), retrieve.terms(asked(spark)), 20, F.col("repository_id") == "src12")
+    first = table(spark, sf_dir, "documents").agg(F.min("source")).first()[0]
+    found = index.bm25(corpus(spark, sf_dir), retrieve.terms(asked(spark)), 20, F.col("repository_id") == first)
     return found.select("query_id", "repository_id", "path", F.round("score", 6).alias("score"), "rank")
 
 
@@ -427,9 +394,7 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FIELDS + f", {_TERMS}, u AS (SELECT DISTINCT repository_id, path, unnest(terms) AS term FROM f) SELECT query_id::INT AS query_id, count(DISTINCT repository_id || '/' || path) AS n FROM u JOIN qt USING (term) GROUP BY 1")
 def count_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that hold any term of each query in any field, whatever k."""
-    u = index.fields(corpus(spark, sf_dir)).select("repository_id", "path", F.explode("terms").alias("term"))
-    hit = u.join(F.broadcast(retrieve.terms(asked(spark))), "term").select("query_id", "repository_id", "path").distinct()
-    return hit.groupBy("query_id").agg(F.count("*").alias("n"))
+    return index.count_hits(corpus(spark, sf_dir), retrieve.terms(asked(spark)))
 
 
 @query(CORPUS + f", t AS (SELECT repository_id, path, ' ' || array_to_string({_ANALYSE.format(x='content')}, '  ') || ' ' AS line FROM corpus), n AS (SELECT repository_id, path, (length(line) - length(replace(line, ' licensed  under ', ''))) // 17 AS n FROM t) SELECT * FROM n WHERE n > 0")
@@ -453,22 +418,11 @@ def knowledge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.retrieve(_knowledge(spark, sf_dir), "12", repository="2").select("category", "key", "repository_id", "value", "confidence")
 
 
-@query("WITH e AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey), x AS (SELECT src AS path, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) SELECT path, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM x GROUP BY path")
+@query("WITH e AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey), x AS (SELECT src AS path, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) SELECT 'r' AS repository_id, path, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM x GROUP BY path")
 def edge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     e = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").cast("string").alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
-    return graph.degrees(e)
-
-
-FUNCTIONS = [("util.rs", "run", 1, 3), ("util.rs", "helper", 4, 4), ("src/main.rs", "main", 4, 6), ("main.py", "hello", 4, 5), ("src/app.ts", "boot", 4, 4), ("lib/index.ts", "a", 1, 1)]
-
-
-@query("SELECT * FROM (VALUES ('src/main.rs', 'main', 'util.rs', 'run'), ('util.rs', 'run', 'util.rs', 'helper'), ('src/main.rs', 'main', 'src/main.rs', 'main'), ('util.rs', 'run', 'util.rs', 'run'), ('util.rs', 'helper', 'util.rs', 'helper'), ('main.py', 'hello', 'main.py', 'hello'), ('src/app.ts', 'boot', 'src/app.ts', 'boot'), ('src/app.ts', 'boot', 'lib/index.ts', 'a')) t(caller_path, caller, callee_path, callee)")
-def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of a small tree of code, each in the function that holds its line; a definition's own line counts too."""
-    lines = code(spark).select("path", F.posexplode(F.split("content", "\n")).alias("line", "content")).withColumn("line", F.col("line") + 1)
-    functions = spark.createDataFrame(FUNCTIONS, "path string, name string, start int, end int")
-    return graph.call_edges(graph.calls(lines), functions)
+    return graph.degrees(e.withColumn("repository_id", F.lit("r")))
 
 
 @query("SELECT event_type AS path, user_id AS source, CAST(event_id % 3 AS VARCHAR) AS retriever, max(value) AS score, min(event_id) AS pos FROM events GROUP BY ALL")
@@ -477,34 +431,29 @@ def provenance_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.provenance(e)
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'Hit' WHEN l_linestatus = 'F' THEN 'IndexMiss' WHEN l_quantity > 40 THEN 'SymbolMiss' WHEN l_tax > 0.05 THEN 'GraphMiss' WHEN l_linenumber = 1 THEN 'VocabularyMiss' ELSE 'RankingMiss' END AS miss FROM lineitem")
-def miss_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    expected = F.when(F.col("l_linenumber") == 1, F.array().cast("array<int>")).otherwise(F.array("l_linenumber"))
-    miss = metrics.miss_type(F.col("l_returnflag") == "A", expected, F.col("l_linestatus") != "F", F.col("l_tax") > 0.05, F.col("l_quantity") > 40)
-    return li.select("l_orderkey", "l_linenumber", miss.alias("miss"))
-
-
 @query("SELECT p_brand AS category, count(*) AS n, round(avg(p_retailprice), 6) AS mean FROM part GROUP BY 1")
 def category_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 6).alias("mean"))
+    return metrics.means(table(spark, sf_dir, "part").withColumnRenamed("p_brand", "category"), "category", "p_retailprice").withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def counter_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return store.counter(table(spark, sf_dir, "events"), "user_id", "event_type")
 
 
 @query("SELECT lang AS language, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY lang")
 def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("n"))  # one row a language
-    return n.select("language", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6).alias("share"))
+    return store.shares(table(spark, sf_dir, "documents").withColumnRenamed("lang", "language"), "language").withColumn("share", F.round("share", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ORDERED}, d AS (SELECT user_id, us / 1e6::DOUBLE AS t, min(i) AS i FROM e GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS k FROM d), b AS (
+SELECT user_id, k, t + 3600 AS until, true AS fires FROM n WHERE k = 1
+UNION ALL SELECT n.user_id, n.k, CASE WHEN n.t > b.until THEN n.t + 3600 ELSE b.until END, n.t > b.until FROM b JOIN n ON n.user_id = b.user_id AND n.k = b.k + 1)
+SELECT user_id, until AS fired FROM b WHERE fires""")
 def debounce_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
-    return ev.debounce_events(e.select("user_id", (F.col("us") / 1e6).alias("at")), "user_id", 60.0)
+    e = table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at"))
+    return ev.debounce_events(e, "user_id", 3600.0)
 
 
 # --- ranking pieces, the graph's sides, upkeep of scopes ----------------------------------------
@@ -518,16 +467,16 @@ def path_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CORPUS + f", {_TERMS}, q2 AS (SELECT query_id, list(term) AS terms FROM qt GROUP BY 1) SELECT query_id::INT AS query_id, doc_id, len(list_filter(terms, lambda t: len(list_filter(string_split_regex(lower(path), '[^a-z0-9]+'), lambda s: contains(s, t))) > 0))::INT AS n_matched FROM corpus, q2")
 def path_token_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many tokens of each of the stated queries lie in each path, against all files."""
-    q = asked(spark).select("query_id", text.query_tokens(F.col("query")).alias("tokens"))
-    c = corpus(spark, sf_dir).select("doc_id", "path")
-    return c.join(F.broadcast(q)).select("query_id", "doc_id", paths.segment_matches(F.col("tokens"), F.col("path")).alias("n_matched"))
+    """How many tokens of each of the stated queries lie in each path; the queries are a constant of the plan."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("query_id"), text.query_tokens(F.lit(v)).alias("tokens")) for k, v in ASKED.items()]))
+    c = corpus(spark, sf_dir).select("doc_id", "path", each.alias("q"))
+    return c.select("q.query_id", "doc_id", paths.segment_matches(F.col("q.tokens"), F.col("path")).alias("n_matched"))
 
 
 _PAIRS = "f AS (SELECT 'v' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '.cshtml' ELSE '.cshtml.cs' END AS path, p_retailprice AS score FROM part UNION ALL SELECT 'v' || p_partkey || '.cshtml.cs', 0 FROM part WHERE p_partkey % 3 = 0), found AS (SELECT path, score FROM f WHERE score > 0)"
 
 
-@query(f"WITH {_PAIRS} SELECT path || '.cs' AS path, score * 0.9::DOUBLE AS score FROM found WHERE path || '.cs' IN (SELECT path FROM f) AND path || '.cs' NOT IN (SELECT path FROM found)")
+@query(f"WITH {_PAIRS} SELECT path || '.cs' AS path, score * 0.8::DOUBLE AS score FROM found WHERE path LIKE '%.cshtml' AND path || '.cs' IN (SELECT path FROM f) AND path || '.cs' NOT IN (SELECT path FROM found)")
 def code_behind_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as views and their code files; views that were found bring theirs along."""
     p = table(spark, sf_dir, "part")
@@ -544,18 +493,12 @@ def merge_max_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.merge_max(of("l_returnflag = 'A'", "lexical"), of("l_returnflag <> 'A'", "symbols"))
 
 
-@query("SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('NATION_0', 'NATION_9')")
+@query("SELECT DISTINCT 'r' AS repository_id, CAST(c_custkey AS VARCHAR) AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('NATION_0', 'NATION_9')")
 def dependents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     edges = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").cast("string").alias("src"), F.col("n_name").alias("dst"))
-    return graph.dependents(edges, spark.createDataFrame([("NATION_0",), ("NATION_9",)], "path string"))
-
-
-NAMES = [("a", "UserController"), ("a", "UserService"), ("a", "UserRepo"), ("b", "handler_main"), ("c", "plain")]
-TREE = [("a", "models/user.py"), ("a", "views/user.py"), ("a", "controllers/user.py"), ("b", "src/main.rs"), ("c", "views/plain.py")]
+    of = spark.createDataFrame([("r", "NATION_0"), ("r", "NATION_9")], "repository_id string, path string")
+    return graph.dependents(edges.withColumn("repository_id", F.lit("r")), of)
 
 
-@query("SELECT * FROM (VALUES ('a', 'controller-service-repository', 0.9::DOUBLE), ('a', 'mvc', 0.85::DOUBLE), ('b', 'handler', 0.7::DOUBLE)) t(repository_id, pattern, confidence)")
-def architecture_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns of a few small trees; the driver's tables hold none."""
-    return knowledge.architecture(spark.createDataFrame(NAMES, "repository_id string, name string"), spark.createDataFrame(TREE, "repository_id string, path string"))
+from . import queries_code, queries_store  # noqa: E402, F401  (they register their queries)

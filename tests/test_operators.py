@@ -43,22 +43,135 @@ def test_windows_and_plans():
     assert planner.plan("Debugging").graph and not planner.plan("Procedural").symbols
 
 
-def test_docs_reserved():
-    rows = [(x, "Source") for x in "abcde"] + [("docs/guide.md", "Documentation"), ("docs/other.md", "Documentation"), ("README.md", "Documentation")]
-    assert [p for p, _ in context.reserve_docs(rows, 5, 2)[:5]] == ["a", "b", "c", "docs/guide.md", "docs/other.md"]
-    assert context.reserve_docs(rows, 5, 0) == rows
+def reserve(ranked, k, slots):
+    """What stands among the first k once documents are promoted into the last places, one swap at a time."""
+    out, k = list(ranked), min(k, len(ranked))
+    if slots == 0 or k <= slots:
+        return set(out[:k])
+    tail = k - slots
+    is_doc = lambda x: x[1] == "Documentation"
+    need = slots - sum(map(is_doc, out[tail:k]))
+    donors = ([i for i in range(tail) if is_doc(out[i])] + [i for i in range(k, len(out)) if is_doc(out[i])])[: max(need, 0)]
+    for i, j in zip(donors, [i for i in range(tail, k) if not is_doc(out[i])]):
+        out[i], out[j] = out[j], out[i]
+    return set(out[:k])
+
+
+def test_docs_reserved(spark):
+    import random
+
+    rng = random.Random(4)
+    lists = [[(f"p{i}", rng.choice(["Source", "Source", "Documentation", "Config"])) for i in range(rng.randrange(1, 12))] for _ in range(60)]
+    rows = [(q, i + 1, p, c) for q, x in enumerate(lists) for i, (p, c) in enumerate(x)]
+    ranked = spark.createDataFrame(rows, "query_id int, rank int, path string, file_class string")
+    for k, slots in ((5, 2), (3, 2), (2, 2), (4, 0)):
+        got = {}
+        for r in index.reserve_docs(ranked, k, slots).collect():
+            got.setdefault(r["query_id"], set()).add((r["path"], r["file_class"]))
+        assert got == {q: reserve(x, k, slots) for q, x in enumerate(lists)}
+
+
+EDGES = "repository_id string, src string, dst string"
 
 
 def test_impact_follows_chains_and_cycles(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "a"), ("c", "d")], "src string, dst string")
-    got = {r[0] for r in graph.impact(edges, spark.createDataFrame([("c",)], "path string")).collect()}
-    assert got == {"a", "b", "c", "d"}
+    edges = spark.createDataFrame([("r", *e) for e in (("a", "b"), ("b", "c"), ("d", "a"), ("c", "d"))] + [("s", "x", "c")], EDGES)
+    got = {tuple(r) for r in graph.impact(edges, spark.createDataFrame([("r", "c")], "repository_id string, path string")).collect()}
+    assert got == {("r", x) for x in "abcd"}
+
+
+CODE = "repository_id string, path string, language string, content string"
+
+
+def test_imports_name_one_file_of_their_repository(spark):
+    rows = [
+        ("r1", "main.rs", "rust", "use crate::net::client::Client;\nmod util;\nuse std::fmt;\nuse super::deep::mod_::x;"),
+        ("r1", "net.rs", "rust", ""), ("r1", "net/client.rs", "rust", ""), ("r1", "util.rs", "rust", ""), ("r1", "util/mod.rs", "rust", ""), ("r1", "deep/mod.rs", "rust", ""),
+        ("r2", "main.rs", "rust", "mod util;\nuse crate::net::client;"), ("r2", "net.rs", "rust", ""),
+        ("r1", "app.py", "python", "from pkg.module import x\nimport pkg\nimport os"), ("r1", "pkg/__init__.py", "python", ""), ("r1", "pkg/module.py", "python", ""), ("r1", "pkg/module/__init__.py", "python", ""),
+        ("r1", "web/a.ts", "typescript", "import { b } from './b';\nimport r from 'react';\nexport * from '../lib'"), ("r1", "b.tsx", "typescript", ""), ("r1", "lib/index.ts", "typescript", ""),
+    ]
+    got = {tuple(r) for r in graph.dependencies(spark.createDataFrame(rows, CODE)).collect()}
+    assert got == {
+        ("r1", "main.rs", "net/client.rs"), ("r1", "main.rs", "util.rs"), ("r1", "main.rs", "deep/mod.rs"), ("r2", "main.rs", "net.rs"),
+        ("r1", "app.py", "pkg/module/__init__.py"), ("r1", "app.py", "pkg/__init__.py"), ("r1", "web/a.ts", "b.tsx"), ("r1", "web/a.ts", "lib/index.ts"),
+    }
 
 
 def test_call_edges(spark):
-    lines = spark.createDataFrame([("a", 2, "  g(x)"), ("a", 6, "if (y) h(z)")], "path string, line int, content string")
-    fs = spark.createDataFrame([("a", "f", 1, 4), ("a", "k", 5, 9), ("b", "g", 1, 2), ("b", "h", 3, 4)], "path string, name string, start int, end int")
-    assert {tuple(r) for r in graph.call_edges(graph.calls(lines), fs).collect()} == {("a", "f", "b", "g"), ("a", "k", "b", "h")}
+    rows = [("r", "a", "rust", "fn f() {\n  gg(x);\n}\n\nfn k() {\n  if (y) { hh(z) }\n}\ngg(top);"), ("r", "b", "rust", "fn gg() {}\nfn hh() {\n}"), ("s", "c", "python", "def f(x):\n  return gg(x)")]
+    c = spark.createDataFrame(rows, CODE)
+    defs = {(r["path"], r["name"], r["start"], r["end"]) for r in graph.definitions(c).collect()}
+    assert defs == {("a", "f", 1, 3), ("a", "k", 5, 7), ("b", "gg", 1, 1), ("b", "hh", 2, 3), ("c", "f", 1, 2)}
+    edges = graph.call_edges(graph.calls(c), graph.definitions(c))
+    assert {tuple(r) for r in edges.collect()} == {("r", "a", "f", "b", "gg"), ("r", "a", "k", "b", "hh"), ("r", "a", "unknown", "b", "gg")}
+    assert {tuple(r) for r in graph.callers_of(edges, "gg").collect()} == {("r", "a", "f"), ("r", "a", "unknown")}
+
+
+def test_graph_is_stored(spark, tmp_path):
+    edges = spark.createDataFrame([("r", "a", "b"), ("s", "a", "c")], EDGES)
+    graph.store_edges(edges, str(tmp_path / "g"))
+    graph.store_edges(spark.createDataFrame([("r", "a", "d")], EDGES), str(tmp_path / "g"))
+    assert {(r["repository_id"], r["dst"]) for r in graph.load_edges(spark, str(tmp_path / "g")).collect()} == {("r", "d"), ("s", "c")}
+    assert graph.load_edges(spark, str(tmp_path / "g"), "s").count() == 1
+
+
+def test_stored_index(spark, tmp_path):
+    c = spark.createDataFrame([("a", "x.rs", "rust", "fn alphaBeta() {}\nalpha beta"), ("b", "y.rs", "rust", "alpha"), ("b", "README.md", "markdown", "# Alpha\n## gamma_ray\ntext")], CODE)
+    q = spark.createDataFrame([(1, "alpha"), (1, "beta"), (2, "gamma"), (3, "none")], "query_id int, term string")
+    at = str(tmp_path / "i")
+    assert index.validate(spark, at) == "missing"
+    index.store(c, at)
+    assert index.validate(spark, at) == "ok"
+    rows = lambda df: {(r["query_id"], r["path"]): (round(r["score"], 9), r["rank"]) for r in df.collect()}
+    assert rows(index.search(spark, at, q)) == rows(index.bm25(c, q)) and len(rows(index.search(spark, at, q))) == 4
+    changed = spark.createDataFrame([("b", "y.rs", "rust", "gamma gamma")], CODE)
+    index.replace_files(spark, at, changed, c.where("path = 'x.rs'"), str(tmp_path / "j"))
+    assert rows(index.search(spark, str(tmp_path / "j"), q)) == rows(index.bm25(c.where("path = 'README.md'").unionByName(changed), q))
+
+
+def test_requests(spark):
+    one = lambda x, f: col(spark, x, f)
+    assert one("where is the CheckoutModel: (types)?", text.sanitise) == "checkout OR model OR checkoutmodel OR types OR index.d.ts"
+    assert one("the of", text.sanitise) == "the of" and one("??", text.sanitise) == "??"
+    assert one("find the parse_tree, please!", text.scan_pattern) == "parse_tree|please" and one("the a.b", text.scan_pattern) == "ab"
+    assert one("to do (it)", text.scan_pattern) == "to\\ do\\ \\(it\\)" or one("to do (it)", text.scan_pattern) == "to do \\(it\\)"
+    assert one("add a package", text.expanded_query) == "add OR create OR new OR package OR workspace" and one("hello", text.expanded_query) is None
+    assert one("a\nb" + "c" * 10, lambda x: text.preview(x, 5)) == "a\\nbc… (+9 chars)"
+
+
+def test_unsafe_roots(spark):
+    got = {x: col(spark, x, paths.unsafe_root) for x in ("/", "C:\\", "c:", "\\\\server\\share", "\\\\?\\C:\\", "/home/a", "C:\\work", "\\\\server\\share\\repo")}
+    assert [k for k, v in got.items() if not v] == ["/home/a", "C:\\work", "\\\\server\\share\\repo"]
+
+
+def test_planner_limits():
+    assert planner.exhaustive("Structural", "find all functions") == (500, 500) and planner.exhaustive("Debugging", "all errors") is None
+    assert planner.structural_stop(20) == 40 and planner.skip_tests("Navigation", "x") and not planner.skip_tests("Navigation", "a Test")
+    assert planner.validate({"max_files": 0, "lexical_weight": 11, "docs_share": 2}) == ["max_files must be 1 or more", "lexical_weight must be between 0 and 10", "docs_share must be between 0 and 1"]
+    assert planner.merge_settings({"a": {"x": 1, "y": 2}}, {"a": {"x": 3}}) == {"a": {"x": 3}}
+    assert planner.max_evidence(20, True) == 30 and not planner.graph_allowed(True, 1, 10, 10)
+
+
+def test_search_falls_back_to_a_scan(spark):
+    from brackenlake.plans import retrieve
+
+    c = spark.createDataFrame([("r", "x.rs", "rust", "one\nfoo_bar9baz")], CODE)
+    how, rows = retrieve.search_or_scan(c, "one thing")
+    assert how == "Found" and rows.count() == 1
+    how, rows = retrieve.search_or_scan(c, "bar9 thing")
+    assert how == "FallbackUsed" and [r["line"] for r in rows.collect()] == [2]
+
+
+def test_truncation_keeps_a_pointer(spark):
+    from brackenlake.operators import store
+
+    long = "\n".join(f"line number {i} of this text" for i in range(50))
+    t = spark.createDataFrame([(1, long), (2, "short"), (3, "x" * 4000)], "id int, text string")
+    got = {r["id"]: r for r in context.truncate(t, 40).collect()}
+    assert not got[2]["cut"] and got[2]["text"] == "short" and got[1]["cut"] and got[1]["n_tokens"] <= 40
+    key = got[1]["text"].rsplit(" ", 1)[1].rstrip("]")
+    assert store.original(store.spill(t.select("text")), key).first()[0] == long and got[3]["text"].startswith("... [truncated")
 
 
 def test_tree_scan_and_lines(spark, tmp_path):
@@ -74,7 +187,7 @@ def test_tree_scan_and_lines(spark, tmp_path):
 def test_code_behind_and_merge(spark):
     found = spark.createDataFrame([("V.cshtml", 2.0), ("W.cshtml", 1.0), ("W.cshtml.cs", 3.0)], "path string, score double")
     files = spark.createDataFrame([("V.cshtml.cs",), ("W.cshtml.cs",)], "path string")
-    assert [tuple(r) for r in index.code_behind(found, files).collect()] == [("V.cshtml.cs", 1.8)]
+    assert [tuple(r) for r in index.code_behind(found, files).collect()] == [("V.cshtml.cs", 1.6)]
 
 
 def test_knowledge(spark):
@@ -106,6 +219,26 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(out)).count() == 2
 
 
+def test_streams_with_state(spark, tmp_path):
+    import time
+
+    src = tmp_path / "in"
+    rows = [(1, i, f"2024-01-01 00:00:0{i // 25}") for i in range(50)] + [(2, 99, "2024-01-01 00:00:00")]
+    spark.createDataFrame(rows, "user_id long, event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(src))
+    stream = lambda: spark.readStream.schema("user_id long, event_id long, ts timestamp").parquet(str(src))
+    q = events.limit_stream(stream(), "user_id").writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start()
+    q.awaitTermination(120)
+    got = {(r["session"], r["event_id"]): r["allowed"] for r in spark.table("limited").collect()}
+    want = {(r["session"], r["event_id"]): r["allowed"] for r in events.limit_rate(spark.read.parquet(str(src)), "user_id").collect()}
+    assert got == want and sum(want.values()) == 31
+    q = events.debounce_stream(stream(), "user_id", 200).writeStream.format("memory").queryName("fired").outputMode("append").trigger(processingTime="100 milliseconds").option("checkpointLocation", str(tmp_path / "c2")).start()
+    end = time.time() + 60
+    while spark.table("fired").count() < 2 and time.time() < end:
+        time.sleep(0.5)
+    q.stop()
+    assert {tuple(r) for r in spark.table("fired").collect()} == {(1, 50), (2, 1)}
+
+
 def test_debounce_by_key(spark):
     import random
 
@@ -123,6 +256,8 @@ def test_filtered_search_keeps_statistics(spark):
     some = {(r["repository_id"], r["path"]): r["score"] for r in index.bm25(c, q, only=F.col("repository_id") == "b").collect()}
     assert len(every) == 2 and some == {("b", "y.rs"): every["b", "y.rs"]}
     assert {tuple(r) for r in index.document_frequency(c, q).collect()} == {("content", "alpha", 2, 2)}
+    n = {r["query_id"]: r["n"] for r in index.count_hits(c, q).collect()}
+    assert n == {1: 2}
 
 
 def test_phrase_and_empty_phrase(spark):
