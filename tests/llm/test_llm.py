@@ -167,11 +167,126 @@ def test_token_counts(spark, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     got = by_id(tokens.count_tokens(make(spark, rows), path))
+    for hot in (0, 40):  # some or all counts come by shuffle
+        assert by_id(tokens.count_tokens(make(spark, rows), path, hot=hot)) == got
     for r in rows:
         n = len(t.encode(r[1] or "", add_special_tokens=False).ids)
         assert (got[r[0]]["n_tokens"], got[r[0]]["n_bytes"], got[r[0]]["over_limit"]) == (n, len((r[1] or "").encode()), n > 1024)
 
 
+def test_repeated_and_null_ids(spark):
+    """Ids of over 53 bits keep their digits beside a null; repeated rows of unlike texts come out each; extra columns don't clash."""
+    rows = [(2**53 + 1, "one two"), (2**53 + 3, "one two three"), (None, "a b c d e f"), (7, "x y"), (7, "nothing")]
+    docs = spark.createDataFrame([(i, t, "h", "l", 1, 2.0, True, 3, 4) for i, t in rows], "doc_id long, text string, source string, lang string, predicted int, score double, held_out boolean, n_tokens long, n int").coalesce(1)
+    bench = spark.createDataFrame([("i1", "x y"), (None, "a b")], "item_id string, text string")
+    labels = spark.createDataFrame([(7, 0, 1)], "doc_id long, quality int, toxic int")
+    path = public_tokenizers.path
+    ids = sorted(i or 0 for i, _ in rows)
+    outs = [tokens.count_tokens(docs, path("byte_bpe_50k.json")), tokens.encode_digests(docs, path("piece_bpe_32k.model")), quality.quality(docs), toxicity.score(docs, labels), neardup.near_duplicates(docs), substrings.deduplicate(docs), decontaminate.contamination(docs, bench), decontaminate.contamination(docs, bench, 0)]
+    for df in outs:
+        assert sorted(r["doc_id"] or 0 for r in df.collect()) == ids
+    hit = [sorted((r["doc_id"] or 0, r["n_hit"]) for r in df.collect()) for df in outs[-2:]]
+    assert hit[0] == hit[1] == [(0, 2), (7, 0), (7, 2), (2**53 + 1, 0), (2**53 + 3, 0)]
+    for sent in (1 << 20, 0):
+        left = decontaminate.clean(docs, bench, sent)
+        assert left.columns == docs.columns and sorted(r["text"] for r in left.collect()) == ["nothing", "one two", "one two three"]
+    assert toxicity.clean(docs, labels).columns == docs.columns
+
+
+def test_one_long_text_each(spark):
+    import time
+
+    r = random.Random(6)
+    words = [f"w{r.randrange(3000)}" for _ in range(150_000)]
+    rows = [(1, " ".join(words)), (2, "same " * 200_000), (3, "q" * 1_000_000), (4, "日本語" * 60_000)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(4)
+    bench = spark.createDataFrame([("i", " ".join(words[500:700])), ("j", "same " * 2000)], "item_id string, text string")
+    t0 = time.time()
+    hit = by_id(decontaminate.contamination(docs, bench))
+    assert (hit[1]["n_hit"], hit[2]["n_hit"], hit[3]["n_hit"]) == (200, 200_000, 0)
+    assert by_id(quality.quality(docs))[2]["n_repeat_words"] == 200_000
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = by_id(tokens.encode_digests(docs, path))
+    assert all(got[i]["n_tokens"] == len(sp.encode(t)) for i, t in rows)
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    counts = by_id(tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    assert all(counts[i]["n_tokens"] == len(tk.encode(t, add_special_tokens=False).ids) for i, t in rows[:2])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for df in (toxicity.score(docs, none), neardup.near_duplicates(docs), licenses.scan(docs), pii.pseudonymise(docs, "k")):
+        df.collect()
+    assert time.time() - t0 < 400
+
+
+def test_merge_rounds_against_the_library():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), tokens.MergeModel(path)
+    r = random.Random(8)
+    pieces = [sp.id_to_piece(i).replace("▁", " ") for i in range(300, 4000)]
+    for _ in range(300):
+        t = "".join(r.choice(pieces).strip() if r.random() < 0.9 else r.choice([" ", "\n", "é", "日", "aa"]) for _ in range(r.choice([3, 40, 400])))
+        assert model.encode(t) == sp.encode(t)
+    for t in ("a" * 3000, "ab" * 1500, "=" * 2000, "-" * 777, "the" * 900, " " * 1000, "\t" * 500, "ha" * 999 + "h"):
+        assert model.encode(t) == sp.encode(t)
+
+
+def test_label_model_against_brute_force():
+    """Without unlabelled rows and ties between voters, one round of EM by sums over rows."""
+    r = np.random.default_rng(3)
+    y = r.random(400) < 0.3
+    votes = np.stack([(r.random(400) < np.where(y, 0.7, 0.05)), (r.random(400) < np.where(y, 0.5, 0.02)), (r.random(400) < np.where(y, 0.1, 0.1))], 1)
+    m = toxicity.LabelModel(votes, y.astype(int), rounds=1, tie=9.0)
+    p = np.where(y, toxicity.LABEL_RIGHT, 1 - toxicity.LABEL_RIGHT)
+    v = np.hstack([votes, ~votes.any(1, keepdims=True)])
+    for i in range(0, 400, 7):
+        odds = np.log((p.sum() + 1) / ((1 - p).sum() + 1)) + (1 if y[i] else -1) * np.log(toxicity.LABEL_RIGHT / (1 - toxicity.LABEL_RIGHT))
+        for j in range(4):
+            if v[i, j]:
+                rates = []
+                for w in (1 - p, p):
+                    own = (sum(w[k] for k in range(400) if v[k, j]) + 0.05) / (w.sum() + 1)
+                    rates.append((sum(w[k] for k in range(400) if v[k, j]) + own) / (w.sum() + 1))
+                odds += np.log(rates[1] / rates[0])
+        assert m.posterior[i] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-6)
+    tied = toxicity.LabelModel(np.hstack([votes, votes[:, :1]]), y.astype(int))
+    assert 3 in (tied.parent[0], tied.parent[3]) or 0 in (tied.parent[3], tied.parent[0])
+    once = toxicity.LabelModel(votes, y.astype(int))
+    assert np.abs(tied.posterior - once.posterior).max() < 0.05  # a voter that stands in twice counts about once
+
+
+def test_quality_verdict_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LINE_DOCS", 2)
+    r = random.Random(12)
+    common = [" ".join(f"c{i}x{k}" for k in range(r.randrange(3, 12))) for i in range(6)]
+    rows = []
+    for i in range(60):
+        lines = [r.choice(common) if r.random() < 0.5 else " ".join(f"u{i}n{k}m{r.randrange(9)}" for k in range(r.randrange(2, 14))) for _ in range(r.randrange(1, 9))]
+        rows.append((i % 50, "\n".join(x.upper() if r.random() < 0.3 else "  " + x for x in lines), "l", r.choice(["h1", "h2", None]), 0, 0, ""))
+    rows += [(100 + i, rows[3][1], "l", rows[3][3], 0, 0, "") for i in range(5)] + [(None, None, "l", None, 0, 0, "")]
+    host = lambda x: x[3] or ""
+    norm = lambda t: [" ".join(x.lower().split()) for x in (t or "").split("\n")]
+    texts, docs = {}, {}
+    for x in rows:
+        docs.setdefault(host(x), set()).add(x[1] or "")
+        for line in {y for y in norm(x[1]) if y}:
+            texts.setdefault((host(x), line), set()).add(x[1])
+    want = []
+    for x in rows:
+        gone = sum(len(y.split()) for y in norm(x[1]) if y and (n := len(texts[host(x), y])) > 2 and n > quality.LINE_SHARE * len(docs[host(x)]))
+        n = len((x[1] or "").split())
+        want.append((x[0] if x[0] is not None else -1, n, gone, gone > 0 and (n - gone < quality.LEFT_WORDS or n - gone < quality.LEFT_SHARE * n)))
+    got = [(g["doc_id"] if g["doc_id"] is not None else -1, g["n_words"], g["n_removed"], not g["kept"]) for g in quality.quality(make(spark, rows)).collect()]
+    base_failed = [(g["doc_id"] if g["doc_id"] is not None else -1, g["n_words"], g["n_removed"], g["base_failed"]) for g in quality.quality(make(spark, rows)).collect()]
+    assert sorted(x[:3] for x in got) == sorted(x[:3] for x in want)
+    assert sorted(x for x, b in zip(got, base_failed) if not b[3]) == sorted(x for x in want if (x[0], x[1], x[2], True) not in base_failed)
+    assert any(x[3] for x in want) and not all(x[3] for x in want)
+
+
 def test_encoding_round_trip(spark, rows):
     import sentencepiece
 
@@ -462,6 +577,90 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on a small table: what must go by brute force goes, what must stay stays with its columns, the digests are those of the rewritten texts."""
+    import corpus_pipeline
+
+    r = random.Random(21)
+    text = lambda i: " ".join(r.choice("ka lo mi ne su ta ri po".split()) + str(r.randrange(400)) for _ in range(60))
+    rows = [(i, text(i), "en", f"s{i % 3}", 7, 9) for i in range(300)]
+    labels = []
+    for i in range(0, 300, 5):
+        rows[i] = (i, rows[i][1] + " idiot idiot gronker", *rows[i][2:])
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(250)]
+    item = " ".join(f"bench{k}" for k in range(14))
+    rows[11] = (11, rows[11][1] + " " + item, *rows[11][2:])
+    rows += [(400, rows[3][1], "en", "s", 7, 9), (401, rows[4][1] + " more", "en", "s", 7, 9), (402, rows[6][1] + " card 4111 1111 1111 1111", "en", "s", 7, 9), (None, text(0), "en", None, 7, 9), (403, None, None, None, None, None), (403, text(1), "en", "s", 1, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, predicted int, n_email int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("i", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.conf.set(pii.KEY_SETTING, "k")
+    at, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns, name
+        seen.append(sorted(tuple(x) for x in at.select("doc_id", "text", "predicted", "n_email").collect() if x["doc_id"] is not None and x["text"] is not None))
+    ids = [[x[0] for x in s] for s in seen]
+    clean = sorted(x[0] for x in rows if x[0] is not None and x[1] is not None and not (x[0] < 300 and x[0] % 5 == 0))
+    assert ids[0] == clean
+    near = near_brute_at([x for x in seen[0]], 80)
+    assert ids[1] == sorted(i for i in clean if near[i] == i) and 400 not in ids[1] and 401 not in ids[1]
+    assert ids[2] == [i for i in ids[1] if i != 11]
+    assert ids[3] == ids[2] and {x[2:] for x in seen[3]} <= {(7, 9), (1, 9)}
+    before = dict((x[0], x[1]) for x in seen[2])
+    assert [x[0] for x in seen[3] if x[1] != before[x[0]]] == ([402] if 402 in before else [])
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    final = sorted((x["doc_id"], x["n_tokens"]) for x in out.collect() if x["doc_id"] is not None and x["doc_id"] != 403)
+    assert final == [(x[0], len(sp.encode(x[1]))) for x in seen[3] if x[0] != 403]
+    assert sum(x["doc_id"] is None for x in out.collect()) == 1 and sum(x["doc_id"] == 403 for x in out.collect()) == 2
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def near_brute_at(rows, percent):
+    """doc_id to the smallest doc_id reachable, over texts whose shingle sets share that percent."""
+    s = [(x[0], sets(x[1])) for x in rows]
+    up = {i: i for i, _ in s}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, (i, a) in enumerate(s):
+        for j, b in s[:k]:
+            n = len(a & b)
+            if n and 100 * n >= percent * len(a | b):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in s}
+
+
+def test_recall_of_candidate_keys():
+    """Pairs at the limit share a table key but for about MISS of them."""
+    r = np.random.default_rng(5)
+    for percent in (85, 80):
+        side, n = neardup.keys_a_side(percent), 4000
+        hit = 0
+        for _ in range(n):
+            union = 100
+            both = r.integers(0, 2**63, percent, dtype=np.uint64)
+            rest = r.integers(0, 2**63, union - percent, dtype=np.uint64)
+            a, b = np.concatenate((both, rest[: len(rest) // 2])), np.concatenate((both, rest[len(rest) // 2 :]))
+            low = [[((x ^ neardup._ADD[k]) * neardup._MUL[k]).min() for k in range(2 * side * neardup.DEEP)] for x in (a, b)]
+            same = np.array(low[0]) == np.array(low[1])
+            keys = same.reshape(2, side, neardup.DEEP).all(2)
+            hit += keys[0].any() and keys[1].any()
+        assert hit >= n - 4
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
