@@ -75,28 +75,52 @@ def _bucket(term) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def store(corpus: DataFrame, path: str) -> None:
-    """Write postings by bucket of their term, and the lengths of each file's fields, as Parquet under a path."""
+_POSTING = "repository_id string, path string, field string, len int, term string, tf long, gen int, bucket int"
+_LENGTH = "repository_id string, path string, field string, len int, gen int"
+
+
+def _write(corpus: DataFrame, path: str, gen: int, mode: str) -> None:
     f = fields(corpus)
-    p = postings(f).withColumn("bucket", _bucket("term"))
-    p.repartition("bucket", F.pmod(F.xxhash64(*FILE), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    f.select(*FILE, "field", F.size("terms").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+    p = postings(f).withColumn("gen", F.lit(gen)).withColumn("bucket", _bucket("term"))
+    p.repartition("bucket", F.pmod(F.xxhash64(*FILE), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode(mode).partitionBy("gen", "bucket").parquet(f"{path}/postings")
+    f.select(*FILE, "field", F.size("terms").alias("len"), F.lit(gen).alias("gen")).write.mode(mode).partitionBy("gen").parquet(f"{path}/lengths")
 
 
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of a stored index."""
-    p = spark.read.schema("repository_id string, path string, field string, len int, term string, tf long, bucket int").parquet(f"{path}/postings")
-    return p, spark.read.schema("repository_id string, path string, field string, len int").parquet(f"{path}/lengths")
+def store(corpus: DataFrame, path: str) -> None:
+    """Write postings by bucket of their term, and the lengths of each file's fields, as Parquet under a path, in place of what is there."""
+    gone = corpus.select(*FILE, F.lit(0).alias("gen")).limit(0)
+    gone.write.mode("overwrite").parquet(f"{path}/gone")
+    _write(corpus, path, 0, "overwrite")
+
 
+def update(spark: SparkSession, path: str, changed: DataFrame, deleted: DataFrame) -> int:
+    """Add a generation to a stored index: the changed files anew, with marks that end what older ones hold of changed and deleted files.
 
-def replace_files(spark: SparkSession, path: str, changed: DataFrame, deleted: DataFrame, out: str) -> None:
-    """A stored index without the changed and deleted files, and with the changed ones anew, under another path."""
+    What is written grows with the change and not with the index. Returns the generation; store()
+    puts all together again.
+    """
+    gen = (spark.read.schema(_LENGTH).parquet(f"{path}/lengths").agg(F.max("gen")).first()[0] or 0) + 1
     gone = changed.select(*FILE).unionByName(deleted.select(*FILE)).distinct()
-    p, n = load(spark, path)
-    f = fields(changed)
-    kept = p.join(gone, FILE, "left_anti").unionByName(postings(f).withColumn("bucket", _bucket("term")))
-    kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/postings")
-    n.join(gone, FILE, "left_anti").unionByName(f.select(*FILE, "field", F.size("terms").alias("len"))).write.mode("overwrite").parquet(f"{out}/lengths")
+    gone.withColumn("gen", F.lit(gen)).write.mode("append").parquet(f"{path}/gone")
+    _write(changed, path, gen, "append")
+    return gen
+
+
+def _live(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of the last generation of their file."""
+    last = gone.groupBy(*FILE).agg(F.max("gen").alias("__gone"))
+    return rows.join(last, FILE, "left").where(F.col("__gone").isNull() | (F.col("gen") >= F.col("__gone"))).drop("__gone", "gen")
+
+
+def load(spark: SparkSession, path: str, buckets: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of a stored index, of some buckets of terms or of all; a search filters them before generations are told apart."""
+    p = spark.read.schema(_POSTING).parquet(f"{path}/postings")
+    p = p if buckets is None else p.where(F.col("bucket").isin(buckets))
+    return p.drop("bucket"), spark.read.schema(_LENGTH).parquet(f"{path}/lengths")
+
+
+def _gone(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("repository_id string, path string, gen int").parquet(f"{path}/gone")
 
 
 def validate(spark: SparkSession, path: str) -> str:
@@ -144,10 +168,11 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 50, only: Column | None
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 50, only: Column | None = None) -> DataFrame:
     """As bm25, from a stored index: reads the buckets of the terms asked for, and the lengths."""
-    p, lengths = load(spark, path)
     buckets = [r[0] for r in queries.select(_bucket("term").alias("b")).distinct().collect()]  # BUCKETS at most
-    tf = p.where(F.col("bucket").isin(buckets)).drop("bucket").join(F.broadcast(queries.select("term").distinct()), "term", "left_semi")
-    stats = lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
+    p, lengths = load(spark, path, buckets)
+    gone = _gone(spark, path)
+    tf = _live(p.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi"), gone)
+    stats = _live(lengths, gone).groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
     return top_k(score(tf, stats, queries, only), ["query_id"], k)
 
 
