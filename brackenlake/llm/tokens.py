@@ -109,16 +109,18 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
     def add_up(batches):
         known, k = pa.array(send.value[0], pa.string()), np.append(send.value[1], 0)
         for batch in batches:
-            first, ends = batch.column(3), batch.column(3).offsets.to_numpy()
-            pieces, times = first.values.slice(ends[0], ends[-1] - ends[0]), batch.column(4).flatten().to_numpy()
-            at = pc.index_in(pieces, value_set=known).fill_null(len(k) - 1).to_numpy()
-            sums = np.concatenate(([0], np.cumsum(k[at] * times)))
-            ends = ends - ends[0]
-            late = at == len(k) - 1
-            left = pa.array(np.concatenate(([0], np.cumsum(late)))[ends], pa.int32())
-            rest = pa.ListArray.from_arrays(left, pieces.filter(pa.array(late)))
-            n = batch.column(2).to_numpy() + sums[ends[1:]] - sums[ends[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), rest, pa.ListArray.from_arrays(left, pa.array(times[late])), batch.column(5)], names=[key, "n_bytes", "n", "pieces", "times", "__row"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ends = part.column(3).offsets.to_numpy()
+                pieces, times = part.column(3).flatten(), part.column(4).flatten().to_numpy()
+                ends = ends - ends[0]
+                which = pc.index_in(pieces, value_set=known).fill_null(len(k) - 1).to_numpy()
+                sums = np.concatenate(([0], np.cumsum(k[which] * times)))
+                late = which == len(k) - 1
+                left = pa.array(np.concatenate(([0], np.cumsum(late)))[ends], pa.int32())
+                rest = pa.ListArray.from_arrays(left, pieces.filter(pa.array(late)))
+                n = part.column(2).to_numpy() + sums[ends[1:]] - sums[ends[:-1]]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), rest, pa.ListArray.from_arrays(left, pa.array(times[late])), part.column(5)], names=[key, "n_bytes", "n", "pieces", "times", "__row"])
 
     some = base.cut(found.select(key, "n_bytes", "n", "pieces", "times", "__row").mapInArrow(add_up, found.select(key, "n_bytes", "n", "pieces", "times", "__row").schema))
     rest = some.select("__row", F.explode(F.arrays_zip("pieces", "times")).alias("p")).select("__row", F.col("p.pieces").alias("piece"), F.col("p.times").alias("times"))
