@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised scan takes at a time; a longer text is scanned alone.
-SCAN_BYTES = 2 << 20
+SCAN_BYTES = 1 << 19
 
 _U = np.uint64
 

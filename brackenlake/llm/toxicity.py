@@ -31,6 +31,8 @@ MIN_G2, MIN_LIFT = 40.0, 3.0
 FEATURE_G2, PATTERNS = 25.0, 150
 #: Chance that a given label is right, and what an unlabelled row counts beside a labelled one.
 LABEL_RIGHT, UNLABELLED = 0.99, 0.2
+#: Patterns that a task counts before it hands them on.
+HELD = 50_000
 #: Insults that vote from the outset, whatever the labelled rows hold.
 LEXICON = ("idiot", "stupid", "moron", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown")
 _WORD = re.compile(r"\w+")
@@ -209,6 +211,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
 
     def count(batches):
         pos, neg = Counter(), Counter()
+
+        def counted():
+            keys = list(pos | neg)
+            out = pd.DataFrame({"pattern": pd.Series([k[0] for k in keys], dtype=object), "times": [k[1] for k in keys], "pos": [pos[k] for k in keys], "neg": [neg[k] for k in keys]})
+            pos.clear()
+            neg.clear()
+            return out
+
         for pdf in batches:
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
                 each: Counter = Counter()
@@ -216,10 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
                     for p in word_patterns(w):
                         each[p] += k
                 (pos if toxic else neg).update((p, t) for p, k in each.items() for t in TIMES if k >= t)
-        keys = list(pos | neg)
-        for i in range(0, len(keys), 10_000):
-            some = keys[i : i + 10_000]
-            yield pd.DataFrame({"pattern": pd.Series([k[0] for k in some], dtype=object), "times": [k[1] for k in some], "pos": [pos[k] for k in some], "neg": [neg[k] for k in some]})
+                if len(pos) + len(neg) > HELD:
+                    yield counted()
+        yield counted()
 
     counted = rows.where("toxic is not null").mapInPandas(count, "pattern string, times int, pos long, neg long").groupBy("pattern", "times").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # what can reach the ratio at all: no lower bound is lost, as n hits with none against have at most 2 n log(rows / toxic rows)
