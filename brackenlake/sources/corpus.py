@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import paths
+
 #: Paths of the corpus by doc_id modulo 8; {n} is the doc_id.
 PATHS = ["docs/guide_{n}.md", "src/core/Module{n}.rs", "tests/test_{n}.py", "config/app_{n}.yaml", "types/pkg{n}/index.d.ts", ".github/flow_{n}.yml", "a{n}/docs/README.md", "web/View{n}.cshtml"]
 
@@ -35,12 +39,49 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 SKIPPED = r"/(?:obj|bin|node_modules|\.git|target)/"
 
 
-def scan_tree(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
+def ignore_rules(text: str) -> list[tuple[bool, str]]:
+    """Lines of an ignore file as (ignored, regular expression over paths below the root), in order; a ! line takes back."""
+    out = []
+    for line in text.splitlines():
+        line = line.rstrip()
+        if not line or line.startswith("#"):
+            continue
+        keep = line.startswith("!")
+        p = line[1:] if keep else line
+        folder, rooted = p.endswith("/"), "/" in p.rstrip("/")
+        body, i = "", 0
+        p = p.strip("/")
+        while i < len(p):
+            if p.startswith("**/", i):
+                body, i = body + "(?:.*/)?", i + 3
+            elif p.startswith("**", i):
+                body, i = body + ".*", i + 2
+            elif p[i] in "*?":
+                body, i = body + ("[^/]*" if p[i] == "*" else "[^/]"), i + 1
+            else:
+                body, i = body + re.escape(p[i]), i + 1
+        out.append((not keep, ("^" if rooted else "^(?:.*/)?") + body + ("/.*$" if folder else "(?:/.*)?$")))
+    return out
+
+
+def ignored(path, rules: list[tuple[bool, str]]):
+    """Whether a path below the root is ignored: the last rule that matches decides."""
+    out = F.lit(False)
+    for ignore, rx in rules:
+        out = F.when(path.rlike(rx), F.lit(ignore)).otherwise(out)
+    return out
+
+
+def scan_tree(spark: SparkSession, root: str, known: DataFrame | None = None, ignore: str = "") -> DataFrame:
     """(path, size, modified, content) of a repository tree; files unchanged since known (path, size, last_indexed_at) are left out before reading.
 
-    Files whose first 512 bytes hold more NULs than a hundredth of them are binary and left out.
+    ignore is the text of the root's ignore file. Files of binary endings, and those whose first
+    512 bytes hold more NULs than a hundredth of them, are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(~F.col("path").rlike(SKIPPED))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(~F.col("path").rlike(SKIPPED) & ~paths.binary_by_name(F.col("path")))
+    if ignore:
+        below = F.substring_index(F.col("path"), root.rstrip("/").split("://")[-1].lstrip("/") + "/", -1)
+        files = files.where(~ignored(below, ignore_rules(ignore)))
     if known is not None:
         same = known.select("path", F.col("size").alias("__size"), "last_indexed_at")
         files = files.join(same, "path", "left").where(~F.coalesce((F.col("length") == F.col("__size")) & (F.col("modificationTime") <= F.col("last_indexed_at")), F.lit(False)))

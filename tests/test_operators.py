@@ -187,6 +187,36 @@ def test_tree_scan_and_lines(spark, tmp_path):
     assert [tuple(r) for r in got] == [("one\ntwo\nthree", "two\nthree")]
 
 
+def test_ignore_rules(spark, tmp_path):
+    text = "# made\n*.log\n/out/\ndocs/**/draft?.md\n!keep.log\ncache"
+    for name in ("a.log", "keep.log", "out/x.py", "src/out/y.py", "docs/a/b/draft1.md", "docs/draft.md", "cache/z.py", "pic.png"):
+        f = tmp_path / "r" / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("text of " + name)
+    got = {r["path"].split("/r/", 1)[1] for r in corpus.scan_tree(spark, str(tmp_path / "r"), ignore=text).collect()}
+    assert got == {"keep.log", "src/out/y.py", "docs/draft.md"}
+
+
+def test_settings(tmp_path):
+    import pytest
+
+    from brackenlake.plans import settings
+
+    (tmp_path / "u.toml").write_text("[retrieval]\nmax_files = 30\n")
+    got = settings.load(tmp_path / "u.toml", tmp_path / "none.toml", env={"BRACKENLAKE_CONTEXT__MAX_LINES": "9", "OTHER": "1"})
+    assert got["retrieval"] == {"max_files": 30} and got["context"]["max_lines"] == 9 and got["context"]["docs_share"] == 0.45
+    with pytest.raises(ValueError):
+        settings.load(env={"BRACKENLAKE_CONTEXT__DOCS_SHARE": "1.5"})
+
+
+def test_tables_are_kept(spark, tmp_path):
+    at = str(tmp_path / "t")
+    t = lambda rows: spark.createDataFrame(rows, "repository_id string, path string")
+    corpus.replace_partition(t([("a", "1"), ("b", "2")]), at)
+    corpus.replace_partition(t([("a", "3")]), at)
+    assert {tuple(r) for r in spark.read.parquet(at).select("repository_id", "path").collect()} == {("a", "3"), ("b", "2")}
+
+
 def test_code_behind_and_merge(spark):
     found = spark.createDataFrame([("V.cshtml", 2.0), ("W.cshtml", 1.0), ("W.cshtml.cs", 3.0)], "path string, score double")
     files = spark.createDataFrame([("V.cshtml.cs",), ("W.cshtml.cs",)], "path string")
