@@ -42,7 +42,8 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", "path", paths.language(F.col("path")).alias("detected"))
 
 
-@query(CORPUS + f"SELECT doc_id, path, {paths.file_class_sql('path')} AS file_class, {paths.class_boost_sql('(' + paths.file_class_sql('path') + ')')}::DOUBLE AS boost FROM corpus")
+@query(CORPUS + f"""SELECT doc_id, path, {paths.file_class_sql('path')} AS file_class, {paths.class_boost_sql('(' + paths.file_class_sql('path') + ')')}::DOUBLE AS boost
+FROM corpus""")
 def classify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir).select("doc_id", "path", paths.file_class(F.col("path")).alias("file_class"))
     return c.withColumn("boost", paths.class_boost(F.col("file_class")))
@@ -89,7 +90,8 @@ def expand_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark).select("query_id", F.array_join(text.expand(text.query_tokens(F.col("query"))), " ").alias("terms"))
 
 
-@query("SELECT doc_id, sha256(text) AS hash, substring(sha256(source), 1, 12) AS repository_id, greatest(strlen(text) // 4, floor(len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0B\\f]+'), lambda t: t <> '')) * 1.3::DOUBLE)::BIGINT) AS n_tokens FROM documents")
+@query("""SELECT doc_id, sha256(text) AS hash, substring(sha256(source), 1, 12) AS repository_id, greatest(strlen(text) // 4, floor(len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0B\\f]+'), lambda t: t <> '')) * 1.3::DOUBLE)::BIGINT) AS n_tokens
+FROM documents""")
 def hashes_and_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), paths.repository_id(F.col("source")).alias("repository_id"), text.token_estimate(F.col("text")).alias("n_tokens"))
 
@@ -120,7 +122,8 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("repository_id", "field").agg(F.count("*").alias("n_docs"), F.sum(F.size("terms")).cast("long").alias("n_terms"))
 
 
-@query(_FIELDS + ", t AS (SELECT repository_id, path, unnest(terms) AS term FROM f WHERE field = 'content'), p AS (SELECT repository_id, path, term, count(*) AS tf FROM t GROUP BY ALL) SELECT repository_id, count(*) AS n_postings, sum(tf)::BIGINT AS total_tf, max(tf) AS max_tf, count(DISTINCT term) AS n_terms FROM p GROUP BY ALL")
+@query(_FIELDS + """, t AS (SELECT repository_id, path, unnest(terms) AS term FROM f WHERE field = 'content'), p AS (SELECT repository_id, path, term, count(*) AS tf FROM t
+GROUP BY ALL) SELECT repository_id, count(*) AS n_postings, sum(tf)::BIGINT AS total_tf, max(tf) AS max_tf, count(DISTINCT term) AS n_terms FROM p GROUP BY ALL""")
 def postings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = index.postings(index.fields(corpus(spark, sf_dir)).where("field = 'content'"))
     by_term = p.groupBy("repository_id", "term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"), F.max("tf").alias("most"))
@@ -146,7 +149,9 @@ def repository_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.count_files(corpus(spark, sf_dir))
 
 
-@query(CORPUS + ", l AS (SELECT repository_id, path, unnest(string_split(content, chr(10))) AS content, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM corpus) SELECT repository_id, path, line::INT AS line, content FROM l WHERE regexp_matches(content, '(?i)licen[sc]ed? under') ORDER BY repository_id, path, line LIMIT 200")
+@query(CORPUS + """, l AS (SELECT repository_id, path, unnest(string_split(content, chr(10))) AS content, generate_subscripts(string_split(content, chr(10)), 1) AS line
+FROM corpus) SELECT repository_id, path, line::INT AS line, content FROM l WHERE regexp_matches(content, '(?i)licen[sc]ed? under')
+ORDER BY repository_id, path, line LIMIT 200""")
 def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A limited scan is the operator's feature: the first 200 matching lines in order."""
     return grep(corpus(spark, sf_dir), "licen[sc]ed? under", 200)
@@ -161,7 +166,10 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- joins, sets, incremental ------------------------------------------------------------------
 
 
-@query("WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) SELECT CAST(coalesce(o.doc_id, n.doc_id) AS VARCHAR) AS path, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'deleted' WHEN o.h <> n.h THEN 'changed' ELSE 'unchanged' END AS status FROM o FULL JOIN n USING (doc_id)")
+@query("""WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents
+WHERE doc_id % 10 <> 0), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END) AS h FROM documents
+WHERE doc_id % 11 <> 0) SELECT CAST(coalesce(o.doc_id, n.doc_id) AS VARCHAR) AS path, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'deleted' WHEN o.h <> n.h THEN 'changed' ELSE 'unchanged' END AS status
+FROM o FULL JOIN n USING (doc_id)""")
 def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two made-up states of one tree; the modulo rules make the states and leave no row of either out."""
     d = table(spark, sf_dir, "documents")
@@ -184,23 +192,29 @@ def _knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("category"), F.col("user_id").cast("string").alias("key"), (F.col("event_id") % 5).cast("string").alias("repository_id"), F.col("value").alias("confidence"), F.col("event_id").cast("string").alias("value"), F.col("event_id").alias("updated_at"))
 
 
-@query(f"WITH k AS ({_KNOW}), r AS (SELECT *, row_number() OVER (PARTITION BY category, key, repository_id ORDER BY confidence DESC, value DESC) AS n FROM k) SELECT category, key, repository_id, confidence, value, updated_at FROM r WHERE n = 1")
+@query(f"""WITH k AS ({_KNOW}), r AS (SELECT *, row_number() OVER (PARTITION BY category, key, repository_id ORDER BY confidence DESC, value DESC) AS n
+FROM k) SELECT category, key, repository_id, confidence, value, updated_at FROM r WHERE n = 1""")
 def surest_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.surest(_knowledge(spark, sf_dir))
 
 
-@query(f"WITH k AS ({_KNOW}), r AS (SELECT *, row_number() OVER (PARTITION BY category, key, repository_id ORDER BY updated_at DESC) AS n FROM k) SELECT category, key, repository_id, confidence, value, updated_at FROM r WHERE n = 1")
+@query(f"""WITH k AS ({_KNOW}), r AS (SELECT *, row_number() OVER (PARTITION BY category, key, repository_id ORDER BY updated_at DESC) AS n
+FROM k) SELECT category, key, repository_id, confidence, value, updated_at FROM r WHERE n = 1""")
 def upsert_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _knowledge(spark, sf_dir)
     return upsert(k.where("updated_at % 2 = 0"), k.where("updated_at % 2 = 1"), ["category", "key", "repository_id"], "updated_at")
 
 
-@query(f"WITH k AS ({_KNOW}) SELECT category, key, repository_id, value, updated_at, CASE WHEN updated_at < 5000 THEN greatest(0.1::DOUBLE, confidence - 0.25::DOUBLE) ELSE confidence END AS confidence FROM k")
+@query(f"""WITH k AS ({_KNOW}) SELECT category, key, repository_id, value, updated_at, CASE WHEN updated_at < 5000 THEN greatest(0.1::DOUBLE, confidence - 0.25::DOUBLE) ELSE confidence END AS confidence
+FROM k""")
 def decay_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.decay(_knowledge(spark, sf_dir), 5000, 0.25)
 
 
-@query(f"WITH RECURSIVE e AS (SELECT DISTINCT n_name AS src, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT DISTINCT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey), i(path) AS (SELECT src FROM e WHERE dst IN ('ASIA', 'EUROPE') UNION SELECT src FROM e JOIN i ON e.dst = i.path) SELECT 'r' AS repository_id, path FROM i")
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT n_name AS src, r_name AS dst
+FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT DISTINCT c_mktsegment, n_name
+FROM customer JOIN nation ON c_nationkey = n_nationkey), i(path) AS (SELECT src FROM e WHERE dst IN ('ASIA', 'EUROPE') UNION SELECT src
+FROM e JOIN i ON e.dst = i.path) SELECT 'r' AS repository_id, path FROM i""")
 def impact_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r, c = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
     e = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst")).unionByName(c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_mktsegment").alias("src"), F.col("n_name").alias("dst"))).distinct()
@@ -210,12 +224,15 @@ def impact_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- aggregations, windows, metrics ------------------------------------------------------------
 
 
-@query("SELECT event_type, le::DOUBLE AS le, count(*) FILTER (value <= le) AS n, round(sum(value), 4) AS total, count(value) AS count FROM events, (VALUES (10), (25), (50), (100), (250)) b(le) GROUP BY event_type, le")
+@query("""SELECT event_type, le::DOUBLE AS le, count(*) FILTER (value <= le) AS n, round(sum(value), 4) AS total, count(value) AS count
+FROM events, (VALUES (10), (25), (50), (100), (250)) b(le) GROUP BY event_type, le""")
 def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram(table(spark, sf_dir, "events"), "event_type", "value", [10, 25, 50, 100, 250]).withColumn("total", F.round("total", 4))
 
 
-@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) FILTER (i = least(floor(n * 0.5), n - 1)) AS p50, max(value) FILTER (i = least(floor(n * 0.95), n - 1)) AS p95 FROM r GROUP BY event_type")
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n
+FROM events) SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) FILTER (i = least(floor(n * 0.5), n - 1)) AS p50, max(value) FILTER (i = least(floor(n * 0.95), n - 1)) AS p95
+FROM r GROUP BY event_type""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.percentiles(table(spark, sf_dir, "events"), "event_type", "value").withColumn("mean", F.round("mean", 6))
 
@@ -223,7 +240,8 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TASKS = "WITH t AS (SELECT o_custkey AS task_id, list(DISTINCT l_suppkey ORDER BY l_suppkey) AS expected, list(l_partkey % 100 + 1 ORDER BY l_orderkey, l_linenumber, l_partkey % 100 + 1) AS retrieved FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1) "
 
 
-@query(_TASKS + "SELECT task_id, round(len(list_intersect(expected, list_slice(retrieved, 1, 10)))::DOUBLE / greatest(len(expected), 1), 6) AS recall, round(coalesce(1.0::DOUBLE / list_min(list_filter(list_transform(expected, lambda e: coalesce(list_position(retrieved, e), 0)), lambda x: x > 0)), 0), 6) AS rr, round(CASE WHEN len(retrieved) = 0 THEN 0 ELSE (len(retrieved) - len(list_distinct(retrieved)))::DOUBLE / len(retrieved) END, 6) AS duplicates FROM t")
+@query(_TASKS + """SELECT task_id, round(len(list_intersect(expected, list_slice(retrieved, 1, 10)))::DOUBLE / greatest(len(expected), 1), 6) AS recall, round(coalesce(1.0::DOUBLE / list_min(list_filter(list_transform(expected, lambda e: coalesce(list_position(retrieved, e), 0)), lambda x: x > 0)), 0), 6) AS rr, round(CASE WHEN len(retrieved) = 0 THEN 0 ELSE (len(retrieved) - len(list_distinct(retrieved)))::DOUBLE / len(retrieved) END, 6) AS duplicates
+FROM t""")
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     j = o.join(li, o.o_orderkey == li.l_orderkey)
@@ -233,14 +251,18 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("task_id", *[F.round(c, 6).alias(c) for c in ("recall", "rr", "duplicates")])
 
 
-@query("WITH t AS (SELECT l_suppkey AS id, list(DISTINCT l_partkey) FILTER (l_returnflag = 'A') AS a, list(DISTINCT l_partkey) FILTER (l_returnflag = 'N') AS b FROM lineitem GROUP BY 1) SELECT id, len(list_intersect(coalesce(a, []), coalesce(b, []))) AS common, len(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x))) AS a_only, len(list_filter(coalesce(b, []), lambda x: NOT list_contains(coalesce(a, []), x))) AS b_only FROM t")
+@query("""WITH t AS (SELECT l_suppkey AS id, list(DISTINCT l_partkey) FILTER (l_returnflag = 'A') AS a, list(DISTINCT l_partkey) FILTER (l_returnflag = 'N') AS b
+FROM lineitem
+GROUP BY 1) SELECT id, len(list_intersect(coalesce(a, []), coalesce(b, []))) AS common, len(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x))) AS a_only, len(list_filter(coalesce(b, []), lambda x: NOT list_contains(coalesce(a, []), x))) AS b_only
+FROM t""")
 def result_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     of = lambda f: F.collect_set(F.when(F.col("l_returnflag") == f, F.col("l_partkey")))
     return metrics.overlap(li.groupBy(F.col("l_suppkey").alias("id")).agg(of("A").alias("a"), of("N").alias("b")))
 
 
-@query("WITH r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY role, sha256(text) ORDER BY conv_id, turn) AS n FROM conversations) SELECT conv_id, turn, role FROM r WHERE n = 1")
+@query("""WITH r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY role, sha256(text) ORDER BY conv_id, turn) AS n
+FROM conversations) SELECT conv_id, turn, role FROM r WHERE n = 1""")
 def session_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "conversations").select(F.col("role").alias("session_id"), F.struct("conv_id", "turn").alias("ts"), F.col("text").alias("content"))
     return context.first_in_session(b).select("ts.conv_id", "ts.turn", F.col("session_id").alias("role"))
@@ -259,13 +281,16 @@ def truncate_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.truncate(corpus(spark, sf_dir).select("doc_id", F.col("content").alias("text")), 200)
 
 
-@query(f"{CORPUS}, c AS (SELECT doc_id, repository_id, path, ({paths.file_class_sql('path')}) = 'Documentation' AS docs, strlen(content) // 4 AS n_tokens FROM corpus), r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY repository_id, docs ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM c) SELECT repository_id AS query_id, path, n_tokens, used FROM r WHERE used <= CASE WHEN docs THEN 1800 ELSE 2200 END")
+@query(f"""{CORPUS}, c AS (SELECT doc_id, repository_id, path, ({paths.file_class_sql('path')}) = 'Documentation' AS docs, strlen(content) // 4 AS n_tokens
+FROM corpus), r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY repository_id, docs ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used
+FROM c) SELECT repository_id AS query_id, path, n_tokens, used FROM r WHERE used <= CASE WHEN docs THEN 1800 ELSE 2200 END""")
 def fill_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = corpus(spark, sf_dir).select(F.col("repository_id").alias("query_id"), "path", F.col("doc_id").alias("rank"), paths.file_class(F.col("path")).alias("file_class"), F.floor(F.octet_length("content") / 4).alias("n_tokens"))
     return context.fill_budget(e, 4000).select("query_id", "path", "n_tokens", "used")
 
 
-@query("WITH r AS (SELECT user_id AS repository_id, ts, event_type AS oid, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events) SELECT repository_id, event_id, oid FROM r WHERE old IS NULL OR old <> oid")
+@query("""WITH r AS (SELECT user_id AS repository_id, ts, event_type AS oid, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old
+FROM events) SELECT repository_id, event_id, oid FROM r WHERE old IS NULL OR old <> oid""")
 def head_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("repository_id"), F.struct("ts", "event_id").alias("ts"), F.col("event_type").alias("oid"))
     return ev.head_changes(e).select("repository_id", "ts.event_id", "oid")
@@ -296,7 +321,8 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.limit_rate(table(spark, sf_dir, "events"), "user_id").drop("ts")
 
 
-@query("SELECT event_type AS request_type, count(*) AS n, coalesce(sum(event_id), 0)::BIGINT AS input_tokens, round(coalesce(sum(value), 0), 4) AS cost FROM events GROUP BY 1")
+@query("""SELECT event_type AS request_type, count(*) AS n, coalesce(sum(event_id), 0)::BIGINT AS input_tokens, round(coalesce(sum(value), 0), 4) AS cost FROM events
+GROUP BY 1""")
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = store.usage(table(spark, sf_dir, "events"), "event_type", "event_id", "value")
     return u.select(F.col("event_type").alias("request_type"), "n", F.col("tokens").alias("input_tokens"), F.round("cost", 4).alias("cost"))
@@ -311,7 +337,9 @@ def top_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SYMS = "SELECT mod(p_partkey, 20)::VARCHAR AS repository_id, replace(p_name, ' ', '_') AS name FROM part"
 
 
-@query(f"WITH s AS ({_SYMS}), t AS (SELECT repository_id, CASE WHEN contains(name, '_') THEN 'snake_case' WHEN regexp_matches(name, '^[a-z].*[A-Z]') THEN 'camelCase' WHEN regexp_matches(name, '^[A-Z]') THEN 'PascalCase' END AS k FROM s) SELECT repository_id, convention, 0.8::DOUBLE AS confidence FROM (SELECT repository_id, k AS convention, count(*) AS n FROM t GROUP BY ALL) JOIN (SELECT repository_id, count(*) AS total FROM t GROUP BY ALL) USING (repository_id) WHERE convention IS NOT NULL AND n > 0.5 * total")
+@query(f"""WITH s AS ({_SYMS}), t AS (SELECT repository_id, CASE WHEN contains(name, '_') THEN 'snake_case' WHEN regexp_matches(name, '^[a-z].*[A-Z]') THEN 'camelCase' WHEN regexp_matches(name, '^[A-Z]') THEN 'PascalCase' END AS k
+FROM s) SELECT repository_id, convention, 0.8::DOUBLE AS confidence FROM (SELECT repository_id, k AS convention, count(*) AS n FROM t
+GROUP BY ALL) JOIN (SELECT repository_id, count(*) AS total FROM t GROUP BY ALL) USING (repository_id) WHERE convention IS NOT NULL AND n > 0.5 * total""")
 def naming_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).cast("string").alias("repository_id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"))
     return knowledge.naming(s)
@@ -323,7 +351,8 @@ def domain_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.domain_terms(d)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_suppkey, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3")
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey
+ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3""")
 def ranked_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best three rows of each group, a top-k report."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
@@ -331,14 +360,19 @@ def ranked_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("l_orderkey", "l_linenumber", "l_suppkey", "rank")
 
 
-@query("WITH a AS (SELECT CAST(l_partkey AS VARCHAR) AS path, max(l_extendedprice) AS s FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), n AS (SELECT CAST(l_partkey AS VARCHAR) AS path, max(l_extendedprice) AS s FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) SELECT coalesce(a.path, n.path) AS path, greatest(coalesce(a.s * 1.0::DOUBLE, 0), coalesce(n.s * 0.4::DOUBLE, 0)) AS score FROM a FULL JOIN n ON a.path = n.path")
+@query("""WITH a AS (SELECT CAST(l_partkey AS VARCHAR) AS path, max(l_extendedprice) AS s FROM lineitem WHERE l_returnflag = 'A'
+GROUP BY 1), n AS (SELECT CAST(l_partkey AS VARCHAR) AS path, max(l_extendedprice) AS s FROM lineitem WHERE l_returnflag = 'N'
+GROUP BY 1) SELECT coalesce(a.path, n.path) AS path, greatest(coalesce(a.s * 1.0::DOUBLE, 0), coalesce(n.s * 0.4::DOUBLE, 0)) AS score FROM a
+FULL JOIN n ON a.path = n.path""")
 def merged_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     of = lambda f: li.where(F.col("l_returnflag") == f).groupBy(F.col("l_partkey").cast("string").alias("path")).agg(F.max("l_extendedprice").alias("score"))
     return index.merge_evidence(of("A"), of("N"), 1.0, 0.4)
 
 
-@query("WITH a AS (SELECT CAST(l_partkey AS VARCHAR) AS path, max(l_extendedprice) AS score FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), n AS (SELECT CAST(l_partkey AS VARCHAR) AS path, max(l_extendedprice) AS score FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) SELECT path, score FROM a UNION ALL SELECT path, score * 0.5::DOUBLE FROM n WHERE path NOT IN (SELECT path FROM a)")
+@query("""WITH a AS (SELECT CAST(l_partkey AS VARCHAR) AS path, max(l_extendedprice) AS score FROM lineitem WHERE l_returnflag = 'A'
+GROUP BY 1), n AS (SELECT CAST(l_partkey AS VARCHAR) AS path, max(l_extendedprice) AS score FROM lineitem WHERE l_returnflag = 'N'
+GROUP BY 1) SELECT path, score FROM a UNION ALL SELECT path, score * 0.5::DOUBLE FROM n WHERE path NOT IN (SELECT path FROM a)""")
 def expansion_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     of = lambda f: li.where(F.col("l_returnflag") == f).groupBy(F.col("l_partkey").cast("string").alias("path")).agg(F.max("l_extendedprice").alias("score"))
@@ -348,7 +382,8 @@ def expansion_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- more of the index, the graph, context and upkeep ------------------------------------------
 
 
-@query("SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x), '#')), lambda x: trim(regexp_replace(trim(x), '^#+', ''))), ' ') AS headings FROM documents")
+@query("""SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x), '#')), lambda x: trim(regexp_replace(trim(x), '^#+', ''))), ' ') AS headings
+FROM documents""")
 def all_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", text.headings(F.col("text")).alias("headings"))
@@ -359,13 +394,15 @@ def path_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", F.array_join(F.sort_array(text.path_tokens(F.col("path"))), " ").alias("tokens"))
 
 
-@query(f"SELECT doc_id, len(t)::INT AS n_terms, len(list_distinct(t))::INT AS n_distinct, sha256(array_to_string(t, ' ')) AS hash FROM (SELECT doc_id, {_ANALYSE.format(x='text')} AS t FROM documents)")
+@query(f"""SELECT doc_id, len(t)::INT AS n_terms, len(list_distinct(t))::INT AS n_distinct, sha256(array_to_string(t, ' ')) AS hash
+FROM (SELECT doc_id, {_ANALYSE.format(x='text')} AS t FROM documents)""")
 def analyze_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").select("doc_id", text.analyse(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_terms"), F.size(F.array_distinct("t")).alias("n_distinct"), F.sha2(F.array_join("t", " "), 256).alias("hash"))
 
 
-@query(f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda t: strlen(t) >= 2 AND NOT list_contains({list(V.STOP_WORDS)}, t)))), ' ') AS terms FROM conversations")
+@query(f"""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda t: strlen(t) >= 2 AND NOT list_contains({list(V.STOP_WORDS)}, t)))), ' ') AS terms
+FROM conversations""")
 def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.sort_array(text.query_tokens(F.col("text"))), " ").alias("terms"))
 
@@ -386,23 +423,27 @@ def bm25_in_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "repository_id", "path", F.round("score", 6).alias("score"), "rank")
 
 
-@query(_FIELDS + f", {_TERMS}, u AS (SELECT repository_id, path, field, unnest(terms) AS term FROM f) SELECT field, term, count(DISTINCT repository_id || '/' || path) AS n_docs, count(*) AS n_found FROM u WHERE term IN (SELECT term FROM qt) GROUP BY ALL")
+@query(_FIELDS + f""", {_TERMS}, u AS (SELECT repository_id, path, field, unnest(terms) AS term
+FROM f) SELECT field, term, count(DISTINCT repository_id || '/' || path) AS n_docs, count(*) AS n_found FROM u WHERE term IN (SELECT term FROM qt) GROUP BY ALL""")
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.document_frequency(corpus(spark, sf_dir), retrieve.terms(asked(spark)))
 
 
-@query(_FIELDS + f", {_TERMS}, u AS (SELECT DISTINCT repository_id, path, unnest(terms) AS term FROM f) SELECT query_id::INT AS query_id, count(DISTINCT repository_id || '/' || path) AS n FROM u JOIN qt USING (term) GROUP BY 1")
+@query(_FIELDS + f""", {_TERMS}, u AS (SELECT DISTINCT repository_id, path, unnest(terms) AS term
+FROM f) SELECT query_id::INT AS query_id, count(DISTINCT repository_id || '/' || path) AS n FROM u JOIN qt USING (term) GROUP BY 1""")
 def count_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that hold any term of each query in any field, whatever k."""
     return index.count_hits(corpus(spark, sf_dir), retrieve.terms(asked(spark)))
 
 
-@query(CORPUS + f", t AS (SELECT repository_id, path, ' ' || array_to_string({_ANALYSE.format(x='content')}, '  ') || ' ' AS line FROM corpus), n AS (SELECT repository_id, path, (length(line) - length(replace(line, ' licensed  under ', ''))) // 17 AS n FROM t) SELECT * FROM n WHERE n > 0")
+@query(CORPUS + f""", t AS (SELECT repository_id, path, ' ' || array_to_string({_ANALYSE.format(x='content')}, '  ') || ' ' AS line
+FROM corpus), n AS (SELECT repository_id, path, (length(line) - length(replace(line, ' licensed  under ', ''))) // 17 AS n FROM t) SELECT * FROM n WHERE n > 0""")
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.phrase_matches(corpus(spark, sf_dir), "licensed under")
 
 
-@query(CORPUS + ", l AS (SELECT repository_id, path, unnest(string_split(content, chr(10))) AS line FROM corpus) SELECT repository_id, path, count(*)::INT AS n_lines FROM l WHERE regexp_matches(line, '(?i)[a-z0-9]+@[a-z0-9]+') GROUP BY ALL")
+@query(CORPUS + """, l AS (SELECT repository_id, path, unnest(string_split(content, chr(10))) AS line FROM corpus) SELECT repository_id, path, count(*)::INT AS n_lines FROM l
+WHERE regexp_matches(line, '(?i)[a-z0-9]+@[a-z0-9]+') GROUP BY ALL""")
 def grep_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep_files(corpus(spark, sf_dir), "[a-z0-9]+@[a-z0-9]+")
 
@@ -412,13 +453,16 @@ def line_window_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", line_range(F.col("content"), 2, 4).alias("snippet"))
 
 
-@query(f"WITH k AS ({_KNOW}) SELECT category, key, repository_id, value, confidence FROM k WHERE (key ILIKE '%12%' OR value ILIKE '%12%') AND confidence >= 0.3 AND repository_id = '2' ORDER BY confidence DESC, repository_id, category, key LIMIT 20")
+@query(f"""WITH k AS ({_KNOW}) SELECT category, key, repository_id, value, confidence FROM k
+WHERE (key ILIKE '%12%' OR value ILIKE '%12%') AND confidence >= 0.3 AND repository_id = '2' ORDER BY confidence DESC, repository_id, category, key LIMIT 20""")
 def knowledge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surest 20 rows that hold a text, a limited lookup."""
     return knowledge.retrieve(_knowledge(spark, sf_dir), "12", repository="2").select("category", "key", "repository_id", "value", "confidence")
 
 
-@query("WITH e AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey), x AS (SELECT src AS path, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) SELECT 'r' AS repository_id, path, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM x GROUP BY path")
+@query("""WITH e AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS src, 'p' || l_partkey AS dst
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey), x AS (SELECT src AS path, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1
+FROM e) SELECT 'r' AS repository_id, path, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM x GROUP BY path""")
 def edge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     e = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").cast("string").alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
@@ -459,13 +503,15 @@ def debounce_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ranking pieces, the graph's sides, upkeep of scopes ----------------------------------------
 
 
-@query(CORPUS + f"SELECT doc_id, ({paths.file_class_sql('path')}) = 'Documentation' AS is_documentation, ({paths.file_class_sql('path')}) = 'Test' AS is_test FROM corpus")
+@query(CORPUS + f"""SELECT doc_id, ({paths.file_class_sql('path')}) = 'Documentation' AS is_documentation, ({paths.file_class_sql('path')}) = 'Test' AS is_test FROM corpus""")
 def path_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     cls = paths.file_class(F.col("path"))
     return corpus(spark, sf_dir).select("doc_id", (cls == "Documentation").alias("is_documentation"), (cls == "Test").alias("is_test"))
 
 
-@query(CORPUS + f", {_TERMS}, q2 AS (SELECT query_id, list(term) AS terms FROM qt GROUP BY 1) SELECT query_id::INT AS query_id, doc_id, len(list_filter(terms, lambda t: len(list_filter(string_split_regex(lower(path), '[^a-z0-9]+'), lambda s: contains(s, t))) > 0))::INT AS n_matched FROM corpus, q2")
+@query(CORPUS + f""", {_TERMS}, q2 AS (SELECT query_id, list(term) AS terms FROM qt
+GROUP BY 1) SELECT query_id::INT AS query_id, doc_id, len(list_filter(terms, lambda t: len(list_filter(string_split_regex(lower(path), '[^a-z0-9]+'), lambda s: contains(s, t))) > 0))::INT AS n_matched
+FROM corpus, q2""")
 def path_token_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tokens of each of the stated queries lie in each path; the queries are a constant of the plan."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("query_id"), text.query_tokens(F.lit(v)).alias("tokens")) for k, v in ASKED.items()]))
@@ -476,7 +522,8 @@ def path_token_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = "f AS (SELECT 'v' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '.cshtml' ELSE '.cshtml.cs' END AS path, p_retailprice AS score FROM part UNION ALL SELECT 'v' || p_partkey || '.cshtml.cs', 0 FROM part WHERE p_partkey % 3 = 0), found AS (SELECT path, score FROM f WHERE score > 0)"
 
 
-@query(f"WITH {_PAIRS} SELECT path || '.cs' AS path, score * 0.8::DOUBLE AS score FROM found WHERE path LIKE '%.cshtml' AND path || '.cs' IN (SELECT path FROM f) AND path || '.cs' NOT IN (SELECT path FROM found)")
+@query(f"""WITH {_PAIRS} SELECT path || '.cs' AS path, score * 0.8::DOUBLE AS score FROM found WHERE path LIKE '%.cshtml' AND path || '.cs' IN (SELECT path
+FROM f) AND path || '.cs' NOT IN (SELECT path FROM found)""")
 def code_behind_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as views and their code files; views that were found bring theirs along."""
     p = table(spark, sf_dir, "part")
@@ -486,14 +533,17 @@ def code_behind_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.code_behind(found, files)
 
 
-@query("WITH a AS (SELECT CAST(l_partkey AS VARCHAR) AS path, max(l_extendedprice) AS score, 'lexical' AS source FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1 UNION ALL SELECT CAST(l_partkey AS VARCHAR), max(l_extendedprice), 'symbols' FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, source DESC) AS n FROM a) SELECT path, source, score FROM r WHERE n = 1")
+@query("""WITH a AS (SELECT CAST(l_partkey AS VARCHAR) AS path, max(l_extendedprice) AS score, 'lexical' AS source FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1
+UNION ALL SELECT CAST(l_partkey AS VARCHAR), max(l_extendedprice), 'symbols' FROM lineitem WHERE l_returnflag <> 'A'
+GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, source DESC) AS n FROM a) SELECT path, source, score FROM r WHERE n = 1""")
 def merge_max_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     of = lambda on, s: li.where(on).groupBy(F.col("l_partkey").cast("string").alias("path")).agg(F.max("l_extendedprice").alias("score")).withColumn("source", F.lit(s))
     return index.merge_max(of("l_returnflag = 'A'", "lexical"), of("l_returnflag <> 'A'", "symbols"))
 
 
-@query("SELECT DISTINCT 'r' AS repository_id, CAST(c_custkey AS VARCHAR) AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('NATION_0', 'NATION_9')")
+@query("""SELECT DISTINCT 'r' AS repository_id, CAST(c_custkey AS VARCHAR) AS path FROM customer JOIN nation ON c_nationkey = n_nationkey
+WHERE n_name IN ('NATION_0', 'NATION_9')""")
 def dependents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     edges = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").cast("string").alias("src"), F.col("n_name").alias("dst"))

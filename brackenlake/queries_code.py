@@ -56,7 +56,8 @@ def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sym.symbols(code_corpus(spark, sf_dir))
 
 
-@query(f"{CODE}, {_SYMBOLS} SELECT * FROM symbols WHERE contains(lower(name), 'run') OR contains(lower(name), 'service') ORDER BY repository_id, path, name, kind LIMIT 50")
+@query(f"""{CODE}, {_SYMBOLS} SELECT * FROM symbols WHERE contains(lower(name), 'run') OR contains(lower(name), 'service')
+ORDER BY repository_id, path, name, kind LIMIT 50""")
 def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 50 symbols whose name holds a word, a limited lookup."""
     return sym.find(sym.symbols(code_corpus(spark, sf_dir)), ["run", "of", "Service"], 50)
@@ -118,7 +119,9 @@ def dependencies_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dependencies_of(graph.dependencies(c), c.where("path like 'web/%'"))
 
 
-@query(f"{CODE}, {_EDGES}, n AS (SELECT repository_id, src AS path FROM edges UNION SELECT repository_id, dst FROM edges) SELECT repository_id, count(*) AS n_files, (SELECT count(*) FROM edges e WHERE e.repository_id = n.repository_id) AS n_edges FROM n GROUP BY repository_id")
+@query(f"""{CODE}, {_EDGES}, n AS (SELECT repository_id, src AS path FROM edges UNION SELECT repository_id, dst
+FROM edges) SELECT repository_id, count(*) AS n_files, (SELECT count(*) FROM edges e WHERE e.repository_id = n.repository_id) AS n_edges FROM n
+GROUP BY repository_id""")
 def graph_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = graph.degrees(graph.dependencies(code_corpus(spark, sf_dir)))
     return d.groupBy("repository_id").agg(F.count("*").alias("n_files"), F.sum("n_out").alias("n_edges"))
@@ -285,7 +288,8 @@ def lexical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
-@query(f"{_CHAIN} SELECT DISTINCT query_id::INT AS query_id, repository_id, path, 1.0::DOUBLE AS score, 'symbols' AS source FROM sh WHERE r <= 2 * (SELECT most FROM pool)")
+@query(f"""{_CHAIN} SELECT DISTINCT query_id::INT AS query_id, repository_id, path, 1.0::DOUBLE AS score, 'symbols' AS source FROM sh WHERE r <= 2 * (SELECT most
+FROM pool)""")
 def symbol_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans import planner
 

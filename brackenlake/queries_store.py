@@ -19,13 +19,15 @@ from .streaming import events as ev
 # --- files, symbols, repositories -------------------------------------------------------------------
 
 
-@query(f"{CODE}, {_SYMBOLS}, n AS (SELECT repository_id, path, count(*) AS n FROM symbols GROUP BY ALL) SELECT repository_id, path, language, strlen(content) AS n_bytes, coalesce(n, 0) AS n_symbols FROM corpus LEFT JOIN n USING (repository_id, path)")
+@query(f"""{CODE}, {_SYMBOLS}, n AS (SELECT repository_id, path, count(*) AS n FROM symbols
+GROUP BY ALL) SELECT repository_id, path, language, strlen(content) AS n_bytes, coalesce(n, 0) AS n_symbols FROM corpus LEFT JOIN n USING (repository_id, path)""")
 def file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = code_corpus(spark, sf_dir)
     return store.file_info(c, sym.symbols(c))
 
 
-@query(f"{CODE}, {_SYMBOLS} SELECT repository_id, path, name, kind, CASE WHEN path LIKE '%inner%' THEN 'unknown' ELSE language END AS language FROM symbols JOIN corpus USING (repository_id, path) WHERE name = 'check_item'")
+@query(f"""{CODE}, {_SYMBOLS} SELECT repository_id, path, name, kind, CASE WHEN path LIKE '%inner%' THEN 'unknown' ELSE language END AS language
+FROM symbols JOIN corpus USING (repository_id, path) WHERE name = 'check_item'""")
 def symbol_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols of one name; the files that hold most of them are not in the table of files."""
     c = code_corpus(spark, sf_dir)
@@ -38,7 +40,8 @@ def symbols_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.symbol_paths(sym.symbols(c), c.where("language = 'rust'"))
 
 
-@query(f"{CODE}, {_SYMBOLS} SELECT s.* FROM symbols s JOIN corpus USING (repository_id, path) WHERE language <> 'python' UNION ALL SELECT repository_id, path, 'new_' || path, 'function' FROM corpus WHERE language = 'python' AND path LIKE '%.py'")
+@query(f"""{CODE}, {_SYMBOLS} SELECT s.* FROM symbols s JOIN corpus USING (repository_id, path) WHERE language <> 'python'
+UNION ALL SELECT repository_id, path, 'new_' || path, 'function' FROM corpus WHERE language = 'python' AND path LIKE '%.py'""")
 def symbols_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols after the files of one language were read again."""
     c = code_corpus(spark, sf_dir)
@@ -63,7 +66,8 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(paths.repository_id(F.col("n_name")).alias("repository_id"), F.col("n_name").alias("path"), F.col("n_nationkey").alias("registered_at"))
 
 
-@query(f"WITH r AS ({_REGISTRY}) SELECT repository_id, CASE WHEN registered_at % 3 = 0 THEN path || '/new' ELSE path END AS path, registered_at FROM r UNION ALL SELECT 'new', 'new', 99")
+@query(f"""WITH r AS ({_REGISTRY}) SELECT repository_id, CASE WHEN registered_at % 3 = 0 THEN path || '/new' ELSE path END AS path, registered_at FROM r
+UNION ALL SELECT 'new', 'new', 99""")
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known repositories that come again take their new path and keep their time; one is new."""
     r = _registry(spark, sf_dir)
@@ -109,7 +113,8 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _remembered(spark, sf_dir)
 
 
-@query(f"WITH {_KEPT}, t AS (SELECT min(namespace) AS t FROM kept) SELECT namespace, key, value, created_at FROM kept, t WHERE namespace = t AND key <> 'k12' AND (key ILIKE '%1%' OR value ILIKE '%1%') ORDER BY key LIMIT 20")
+@query(f"""WITH {_KEPT}, t AS (SELECT min(namespace) AS t FROM kept) SELECT namespace, key, value, created_at FROM kept, t
+WHERE namespace = t AND key <> 'k12' AND (key ILIKE '%1%' OR value ILIKE '%1%') ORDER BY key LIMIT 20""")
 def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty rows of a namespace that hold a text, a limited lookup, after one was forgotten."""
     m = _remembered(spark, sf_dir)
@@ -123,7 +128,8 @@ def memory_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.recall(m, m.agg(F.min("namespace")).first()[0], "k7")
 
 
-@query("SELECT event_type AS category, CAST(user_id AS VARCHAR) AS key, CAST(event_id % 5 AS VARCHAR) AS repository_id FROM events WHERE NOT (event_type = (SELECT min(event_type) FROM events) AND user_id = 7 AND event_id % 5 = 2)")
+@query("""SELECT event_type AS category, CAST(user_id AS VARCHAR) AS key, CAST(event_id % 5 AS VARCHAR) AS repository_id FROM events
+WHERE NOT (event_type = (SELECT min(event_type) FROM events) AND user_id = 7 AND event_id % 5 = 2)""")
 def delete_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = e.select(F.col("event_type").alias("category"), F.col("user_id").cast("string").alias("key"), (F.col("event_id") % 5).cast("string").alias("repository_id"))
@@ -152,7 +158,8 @@ def seed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _YAML = "'# list' || chr(10) || 'packages:' || chr(10) || '  - \"Controllers/*\"' || chr(10) || '  - lib/*' || chr(10) || '  - tools' || chr(10) || 'other: x' || chr(10) || '  - no'"
 
 
-@query(f"{CODE} SELECT repository_id, 'tools' AS package FROM (SELECT DISTINCT repository_id FROM corpus) UNION ALL SELECT DISTINCT repository_id, 'lib/' || string_split(path, '/')[2] FROM corpus WHERE path LIKE 'lib/%/%'")
+@query(f"""{CODE} SELECT repository_id, 'tools' AS package FROM (SELECT DISTINCT repository_id FROM corpus)
+UNION ALL SELECT DISTINCT repository_id, 'lib/' || string_split(path, '/')[2] FROM corpus WHERE path LIKE 'lib/%/%'""")
 def workspace_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = code_corpus(spark, sf_dir).select("repository_id", "path", "content")
     yaml = '# list\npackages:\n  - "Controllers/*"\n  - lib/*\n  - tools\nother: x\n  - no'
@@ -174,7 +181,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN len({_BARE}) > 0 THEN sha256(array_to_string(list_sort(list_distinct({_SEARCHED})), ' OR ')) ELSE sha256(coalesce(nullif(trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')), ''), query)) END AS sanitised {_REQUESTS}")
+@query(f"""SELECT conv_id, turn, CASE WHEN len({_BARE}) > 0 THEN sha256(array_to_string(list_sort(list_distinct({_SEARCHED})), ' OR ')) ELSE sha256(coalesce(nullif(trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')), ''), query)) END AS sanitised {_REQUESTS}""")
 def sanitise_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms are compared in sorted order."""
     q = F.col("query")
@@ -195,7 +202,8 @@ def scan_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where(F.size(words) > 0).select("conv_id", "turn", F.sha2("p", 256).alias("pattern"))
 
 
-@query(f"WITH t AS (SELECT conv_id, turn, {_TOKENS} AS tokens {_REQUESTS}), x AS (SELECT *, {_EXPANDED} AS expanded FROM t) SELECT conv_id, turn, CASE WHEN len(tokens) > 0 AND len(expanded) > len(tokens) THEN array_to_string(expanded, ' OR ') END AS expanded FROM x")
+@query(f"""WITH t AS (SELECT conv_id, turn, {_TOKENS} AS tokens {_REQUESTS}), x AS (SELECT *, {_EXPANDED} AS expanded
+FROM t) SELECT conv_id, turn, CASE WHEN len(tokens) > 0 AND len(expanded) > len(tokens) THEN array_to_string(expanded, ' OR ') END AS expanded FROM x""")
 def expanded_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _requests(spark, sf_dir).select("conv_id", "turn", text.expanded_query(F.col("query")).alias("expanded"))
 
@@ -203,7 +211,7 @@ def expanded_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINE = "replace(replace(query, chr(13), ''), chr(10), '\\n')"
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN length({_LINE}) <= 60 THEN {_LINE} ELSE substring({_LINE}, 1, 60) || '… (+' || (length({_LINE}) - 60) || ' chars)' END AS preview, strlen(query) <= 2000 AS fits {_REQUESTS}")
+@query(f"""SELECT conv_id, turn, CASE WHEN length({_LINE}) <= 60 THEN {_LINE} ELSE substring({_LINE}, 1, 60) || '… (+' || (length({_LINE}) - 60) || ' chars)' END AS preview, strlen(query) <= 2000 AS fits {_REQUESTS}""")
 def request_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("query")
     return _requests(spark, sf_dir).select("conv_id", "turn", text.preview(q, 60).alias("preview"), text.within_limit(q, 2000).alias("fits"))
@@ -216,7 +224,8 @@ def correlated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.by_correlation(e, str(c.agg(F.min("conv_id")).first()[0])).drop("correlation_id")
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text ELSE text || chr(10) || chr(10) || '---' || chr(10) || CASE WHEN turn % 3 = 1 THEN 'd' || chr(10) || chr(10) || role ELSE role END END AS enriched FROM conversations")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text ELSE text || chr(10) || chr(10) || '---' || chr(10) || CASE WHEN turn % 3 = 1 THEN 'd' || chr(10) || chr(10) || role ELSE role END END AS enriched
+FROM conversations""")
 def enriched_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     k = F.col("turn") % 3
@@ -276,7 +285,8 @@ def combined_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "intent", weight.alias("weight"), F.round(paths.combined_boost(F.col("intent"), request, F.col("path"), F.col("cls")), 9).alias("boost"))
 
 
-@query(f"WITH t AS ({_TREE}) SELECT repository_id, coalesce(min(path) FILTER (lower(regexp_extract(path, '([^/]*)$', 1)) = 'readme.md'), min(path)) AS path FROM t GROUP BY 1")
+@query(f"""WITH t AS ({_TREE}) SELECT repository_id, coalesce(min(path) FILTER (lower(regexp_extract(path, '([^/]*)$', 1)) = 'readme.md'), min(path)) AS path FROM t
+GROUP BY 1""")
 def canonical_readmes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.canonical_readme(_tree(spark, sf_dir))
 
@@ -307,7 +317,8 @@ def graph_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_boost(index.top_k(rows, ["query_id"], 1 << 30), graph.dependencies(c)).drop("rank")
 
 
-@query("SELECT event_id, 'a/' || event_id AS path, CASE event_id % 5 WHEN 0 THEN 'index' WHEN 1 THEN 'ast-grep' WHEN 2 THEN 'ripgrep' ELSE 'index' END AS retriever, CASE event_id % 5 WHEN 0 THEN 'bm25' WHEN 1 THEN 'symbol match' WHEN 2 THEN 'text match' WHEN 3 THEN 'code-behind' ELSE 'symbol match' END AS reason FROM events")
+@query("""SELECT event_id, 'a/' || event_id AS path, CASE event_id % 5 WHEN 0 THEN 'index' WHEN 1 THEN 'ast-grep' WHEN 2 THEN 'ripgrep' ELSE 'index' END AS retriever, CASE event_id % 5 WHEN 0 THEN 'bm25' WHEN 1 THEN 'symbol match' WHEN 2 THEN 'text match' WHEN 3 THEN 'code-behind' ELSE 'symbol match' END AS reason
+FROM events""")
 def provenance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 5
     source = F.when(k == 0, "lexical").when(k == 1, "structural").when(k == 2, "scan").when(k == 3, "code-behind").otherwise("symbols")
@@ -316,7 +327,8 @@ def provenance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.labels(e).select("event_id", "path", "retriever", "reason")
 
 
-@query("SELECT r_regionkey, 'r_regionkey: ' || r_regionkey || chr(10) || 'r_name: \"' || r_name || '\"' AS block, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS preview FROM region")
+@query("""SELECT r_regionkey, 'r_regionkey: ' || r_regionkey || chr(10) || 'r_name: \"' || r_name || '\"' AS block, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS preview
+FROM region""")
 def preview_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     return r.select("r_regionkey", context.yaml_block(["r_regionkey", "r_name"]).alias("block"), context.preview_json(F.struct("r_regionkey", "r_name")).alias("preview"))
@@ -341,14 +353,18 @@ def context_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- metrics and states -----------------------------------------------------------------------------
 
 
-@query("WITH t AS (SELECT l_suppkey AS id, list(DISTINCT CAST(l_partkey AS VARCHAR)) FILTER (l_returnflag = 'A') AS before, list(DISTINCT CAST(l_partkey AS VARCHAR)) FILTER (l_returnflag = 'N') AS after FROM lineitem GROUP BY 1) SELECT id, round((len(list_filter(coalesce(after, []), lambda x: NOT list_contains(coalesce(before, []), x))) - len(list_filter(coalesce(before, []), lambda x: NOT list_contains(coalesce(after, []), x)))) / greatest(len(coalesce(before, [])), 1), 9) AS change FROM t")
+@query("""WITH t AS (SELECT l_suppkey AS id, list(DISTINCT CAST(l_partkey AS VARCHAR)) FILTER (l_returnflag = 'A') AS before, list(DISTINCT CAST(l_partkey AS VARCHAR)) FILTER (l_returnflag = 'N') AS after
+FROM lineitem
+GROUP BY 1) SELECT id, round((len(list_filter(coalesce(after, []), lambda x: NOT list_contains(coalesce(before, []), x))) - len(list_filter(coalesce(before, []), lambda x: NOT list_contains(coalesce(after, []), x)))) / greatest(len(coalesce(before, [])), 1), 9) AS change
+FROM t""")
 def recall_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda f: F.collect_set(F.when(F.col("l_returnflag") == f, F.col("l_partkey").cast("string")))
     pairs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(of("A").alias("before"), of("N").alias("after"))
     return metrics.recall_change(pairs).withColumn("change", F.round("change", 9))
 
 
-@query("SELECT doc_id AS task_id, round(len(list_filter(['The', 'licensed', 'que', 'zzz'], lambda k: contains(lower(text), lower(k)))) / 4, 9) AS coverage FROM documents WHERE text IS NOT NULL")
+@query("""SELECT doc_id AS task_id, round(len(list_filter(['The', 'licensed', 'que', 'zzz'], lambda k: contains(lower(text), lower(k)))) / 4, 9) AS coverage
+FROM documents WHERE text IS NOT NULL""")
 def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("task_id"), F.array(*map(F.lit, ["The", "licensed", "que", "zzz"])).alias("keywords"), "text")
     return metrics.keyword_coverage(t).withColumn("coverage", F.round("coverage", 9))
@@ -377,7 +393,8 @@ def readiness_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.readiness(_states(spark, sf_dir))
 
 
-@query(f"WITH e AS ({_STATES}) SELECT repository_id, CASE WHEN arg_max(kind, ts) <> 'started' THEN greatest(0, 1000000 - max(ts) FILTER (kind = 'completed')) END AS age FROM e GROUP BY 1")
+@query(f"""WITH e AS ({_STATES}) SELECT repository_id, CASE WHEN arg_max(kind, ts) <> 'started' THEN greatest(0, 1000000 - max(ts) FILTER (kind = 'completed')) END AS age
+FROM e GROUP BY 1""")
 def index_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.index_age(_states(spark, sf_dir), 1_000_000)
 
