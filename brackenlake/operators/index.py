@@ -119,6 +119,11 @@ def load(spark: SparkSession, path: str, buckets: list[int] | None = None) -> tu
     return p.drop("bucket"), spark.read.schema(_LENGTH).parquet(f"{path}/lengths")
 
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(repository_id, path) of the files that a stored index holds."""
+    return _live(load(spark, path)[1], _gone(spark, path)).select(*FILE).distinct()
+
+
 def _gone(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("repository_id string, path string, gen int").parquet(f"{path}/gone")
 

@@ -111,9 +111,11 @@ def grep_files(corpus_: DataFrame, pattern: str) -> DataFrame:
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, status): new, changed, unchanged or deleted, by path and hash; one full outer join."""
-    j = old.select("path", F.col("hash").alias("h0")).join(new.select("path", F.col("hash").alias("h1")), "path", "full_outer")
-    return j.select("path", F.when(F.col("h0").isNull(), "new").when(F.col("h1").isNull(), "deleted").when(F.col("h0") != F.col("h1"), "changed").otherwise("unchanged").alias("status"))
+    """([repository_id,] path, status): new, changed, unchanged or deleted, by what names a file in both and its hash; one full outer join."""
+    key = [c for c in ("repository_id", "path") if c in old.columns and c in new.columns]
+    j = old.select(*key, F.col("hash").alias("h0")).join(new.select(*key, F.col("hash").alias("h1")), key, "full_outer")
+    status = F.when(F.col("h0").isNull(), "new").when(F.col("h1").isNull(), "deleted").when(F.col("h0") != F.col("h1"), "changed").otherwise("unchanged")
+    return j.select(*key, status.alias("status"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], by: str) -> DataFrame:

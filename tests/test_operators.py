@@ -133,6 +133,24 @@ def test_stored_index(spark, tmp_path):
     assert rows(index.search(spark, at, q)) == rows(index.bm25(c.where("path <> 'y.rs'"), q))
 
 
+def test_reindex_and_probe(spark, tmp_path):
+    from brackenlake.plans import retrieve, upkeep
+
+    at = str(tmp_path / "i")
+    old = spark.createDataFrame([("a", "x.md", "markdown", "# readme alpha"), ("b", "x.md", "markdown", "# readme"), ("b", "y.rs", "rust", "fn old() {}")], CODE)
+    new = spark.createDataFrame([("a", "x.md", "markdown", "# readme alpha"), ("b", "x.md", "markdown", "# beta"), ("b", "z.rs", "rust", "fn newer() {}")], CODE)
+    assert upkeep.probe(spark, at, old)["index"] == "missing"
+    assert upkeep.reindex(spark, at, upkeep.known(old).limit(0), old) == {"new": 3}
+    assert upkeep.probe(spark, at, old) == {"index": "ok", "stored": 3, "indexed": 3, "found": 2}
+    assert upkeep.reindex(spark, at, upkeep.known(old), new) == {"unchanged": 1, "changed": 1, "deleted": 1, "new": 1}
+    assert upkeep.probe(spark, at, new) == {"index": "ok", "stored": 3, "indexed": 3, "found": 1}
+    assert upkeep.reindex(spark, at, upkeep.known(new), new) == {"unchanged": 3}
+    assert upkeep.languages(spark).where("language = 'rust'").first()["endings"] == ["rs"]
+    named = new.withColumn("path", F.concat(F.lit("docs/"), "path"))
+    r = retrieve.explain(retrieve.rank(named, spark.createDataFrame([(1, "readme alpha")], "query_id int, query string"))).first()
+    assert r["path"] == "docs/x.md" and r["explained"].startswith("docs/x.md score:") and "class:Documentation" in r["explained"]
+
+
 def test_requests(spark):
     one = lambda x, f: col(spark, x, f)
     assert one("where is the CheckoutModel: (types)?", text.sanitise) == "checkout OR model OR checkoutmodel OR types OR index.d.ts"
