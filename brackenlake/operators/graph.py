@@ -9,7 +9,7 @@ from ..functions import vocabulary as V
 from . import store
 
 FILE = ["repository_id", "path"]
-#: Endings that an import of each language is tried with, best first; {p} is the path that it names.
+#: Endings that an import of each language is tried with, best first; {p} is the path that it names.
 CANDIDATES = {
     "rust": ["{p}.rs", "{p}/mod.rs"],
     "script": ["{p}", "{p}.ts", "{p}.tsx", "{p}.js", "{p}.jsx", "{p}.mts", "{p}.cts", "{p}/index.ts", "{p}/index.tsx", "{p}/index.js", "{p}/index.jsx"],
@@ -119,7 +119,7 @@ def load_edges(spark: SparkSession, path: str, repository: str | None = None) ->
 
 # --- functions and calls ---------------------------------------------------------------------------
 
-#: Beginnings of definitions in several languages; the one group is the name.
+#: Beginnings of definitions in several languages; the one group is the name.
 DEFINITIONS = (
     r"\bfn\s+(\w+)\s*\(",
     r"\bdef\s+(\w+)\s*\(",

@@ -30,6 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Names of first documents, in order, and folders of decision records.
 SEED_NAMES = ("README.md", "Readme.md", "readme.md", "README")
 SEED_FOLDERS = ("docs/adr", "docs/decisions", "adr", "decisions")
 SEED_CHARS = 65_536
