@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +26,28 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system; a worker that is used again by a later stage starts small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the usual C library
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """run, with its memory handed back once a partition is done."""
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def by_batch(df: DataFrame, run, schema: str, key: str = "doc_id") -> DataFrame:
     """df.mapInPandas(run, key and schema) with the key handed over as text: numbers beside a null would come as floats and lose digits."""
     kind = dict(df.dtypes)[key]
-    out = df.withColumn(key, F.col(key).cast("string")).mapInPandas(run, f"`{key}` string, {schema}")
+    out = df.withColumn(key, F.col(key).cast("string")).mapInPandas(tidy(run), f"`{key}` string, {schema}")
     return out.withColumn(key, F.col(key).cast(kind))
 
 

@@ -75,7 +75,7 @@ def sketch(docs: DataFrame, side: int) -> DataFrame:
                 signed = keys.view(np.int64)
                 yield pd.DataFrame({"doc_id": ids[first : first + len(rows)], "n": n, "size": list(map(len, rows)), "s1": s[0].view(np.int64), "s2": s[1].view(np.int64), "a": list(signed[:, :side]), "b": list(signed[:, side:])})
 
-    return base.texts(docs).mapInPandas(run, "doc_id long, n long, size long, s1 long, s2 long, a array<long>, b array<long>")
+    return base.texts(docs).mapInPandas(base.tidy(run), "doc_id long, n long, size long, s1 long, s2 long, a array<long>, b array<long>")
 
 
 def table_keys(reps: DataFrame, side: int) -> DataFrame:

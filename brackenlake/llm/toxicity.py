@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
                     yield counted()
         yield counted()
 
-    counted = rows.where("toxic is not null").mapInPandas(count, "pattern string, times int, pos long, neg long").groupBy("pattern", "times").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = rows.where("toxic is not null").mapInPandas(base.tidy(count), "pattern string, times int, pos long, neg long").groupBy("pattern", "times").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # what can reach the ratio at all: no lower bound is lost, as n hits with none against have at most 2 n log(rows / toxic rows)
     least = int(FEATURE_G2 / (2 * np.log((n_pos + n_neg) / n_pos)))
     found = counted.where((F.col("pos") >= max(1, least)) & (F.col("pos") * n_neg >= MIN_LIFT * F.col("neg") * n_pos)).toPandas()  # of 2 * most texts, most of them once only
@@ -249,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
             got = [{index[p]: k for p, k in probe.counts(t).items()} for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"].fillna(-1).astype(int), "at": [sorted(x) for x in got], "n": [[x[i] for i in sorted(x)] for x in got]})
 
-    got = rows.mapInPandas(occur, "doc_id long, toxic int, at array<int>, n array<int>").orderBy("doc_id").collect()  # at most 3 * most rows
+    got = rows.mapInPandas(base.tidy(occur), "doc_id long, toxic int, at array<int>, n array<int>").orderBy("doc_id").collect()  # at most 3 * most rows
     c = np.zeros((len(got), len(features)), np.float32)
     for i, r in enumerate(got):
         c[i, r["at"]] = r["n"]
@@ -286,6 +286,8 @@ def clean(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame
 
     @F.pandas_udf("double")
     def of(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in text], dtype=float)
+        out = pd.Series([model.score(t) for t in text], dtype=float)
+        base.give_back()
+        return out
 
     return docs.where(of(F.coalesce("text", F.lit(""))) < 0.5)
