@@ -7,8 +7,9 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised scan takes at a time; a longer text is scanned alone.
@@ -157,15 +158,15 @@ def blocks(texts_: list[str | None], most: int = SCAN_BYTES):
         yield first, held
 
 
-def shingle_sets(rows: list[bytes]) -> list[np.ndarray]:
-    """Of each text the sorted hashes of its distinct 5-word shingles; of fewer words one hash of all; of none, none."""
+def shingle_sets(rows: list[bytes], words: int = 5) -> list[np.ndarray]:
+    """Of each text the sorted hashes of its distinct shingles of some words; of fewer words one hash of all; of none, none."""
     w = Words(rows, SPACED)
-    g, at = w.grams(5)
+    g, at = w.grams(words)
     bounds = np.searchsorted(w.row[at], np.arange(len(rows) + 1))
     out = []
     for i in range(len(rows)):
         n = int(w.count[i])
-        if n >= 5:
+        if n >= words:
             out.append(np.unique(g[bounds[i] : bounds[i + 1]]))
         elif n:
             h = _U(n)
@@ -181,28 +182,62 @@ def shingle_sets(rows: list[bytes]) -> list[np.ndarray]:
 # --- connected components ----------------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): of every node of edges (a, b) the smallest node that it can reach.
+#: Edges up to which one task finds the components, after a count of them: 16 MB.
+ALONE = 1 << 20
 
-    Large-star and small-star steps in turn until the edges stay as they are; each step is one
-    aggregation with partial sums and one join, so a node of very many neighbours is split.
-    """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if e.isEmpty():
-        return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
-    def mark(x: DataFrame):
-        return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some edges the nodes that have a smaller one in their component, and the smallest one."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(ids))
+    while len(x):
+        low, high = np.minimum(up[x], up[y]), np.maximum(up[x], up[y])
+        apart = low != high
+        x, y = x[apart], y[apart]
+        np.minimum.at(up, high[apart], low[apart])
+        while (up[up] != up).any():
+            up = up[up]
+    below = np.flatnonzero(up != np.arange(len(ids)))
+    return ids[below], ids[up[below]]
+
+
+def _forests(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of each partition as its trees, every node with its root: no more edges than nodes, none twice."""
+
+    def run(batches):
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        for pdf in batches:
+            a, b = forest(np.concatenate((a, pdf["a"].to_numpy())), np.concatenate((b, pdf["b"].to_numpy())))
+        yield pd.DataFrame({"a": a, "b": b})
 
-    old = mark(e)
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInPandas(tidy(run), "a long, b long")
+
+
+def components(edges: DataFrame, rounds: int = 60, alone: int = ALONE) -> DataFrame:
+    """(node, label): of every node of edges (a, b) the smallest node that it can reach.
+
+    Each partition contracts its edges to trees. If no more than `alone` are left, one task joins
+    them. Else large-star and small-star steps follow in turn until the edges stay as they are;
+    each step is one aggregation with partial sums and one join, so a node of very many neighbours
+    is split, and a round is one job.
+    """
+    e = cut(_forests(edges.where("a <> b")))
+    if e.count() <= alone:
+        e = cut(_forests(e.coalesce(1)))
+        roots = e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+        return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
+    old = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.greatest("b", "m").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        e = cut(small.where("a <> b").distinct())
-        new = mark(e)
+        seen = Observation()
+        mark = F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
+        e = cut(small.where("a <> b").distinct().observe(seen, *mark))
+        new = seen.get
         if new == old:
             break
         old = new

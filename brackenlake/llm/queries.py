@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codebooks, decontaminate, licenses, neardup, pages, pii, prefixes, quality, substrings, tokens, toxicity
+from . import codebooks, decontaminate, licenses, neardup, pages, pii, prefixes, quality, substrings, tokens, toxicity, triejoin
 from .base import table
 
 
@@ -63,5 +63,9 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.compress(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_main_text, op4_token_counts, op5_license_scan, op6_quality_rules, op7_encode, op8_decontaminate, op9_pii, op10_repeated_substrings, op11_prefix_trie, op12_vector_codes)}
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triejoin.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_main_text, op4_token_counts, op5_license_scan, op6_quality_rules, op7_encode, op8_decontaminate, op9_pii, op10_repeated_substrings, op11_prefix_trie, op12_vector_codes, op13_ngram_join)}
 ORACLE_SQL = {"op5_license_scan": licenses.scan_sql(), "op11_prefix_trie": prefixes.prefix_trie_sql(), "op12_vector_codes": codebooks.compress_sql()}
