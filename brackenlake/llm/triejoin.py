@@ -32,7 +32,9 @@ GROUP_TEXTS, GROUP_SHINGLES = 400, 1 << 19
 #: Rounds in which large groups are split before single pairs are verified.
 SPLITS = 4
 #: Bytes of text whose hashes meet in one bucket, about; least number of buckets; bytes of a block.
-BUCKET_BYTES, BUCKETS, BLOCK_BYTES = 32 << 20, 64, 2 << 20
+BUCKET_BYTES, BUCKETS, BLOCK_BYTES = 32 << 20, 64, 1 << 20
+#: Texts up to which their ids are sent to the tasks that read texts, after a count of them: 8 MB.
+SENT_IDS = 1 << 20
 
 _U = np.uint64
 _ADD = np.random.Generator(np.random.PCG64(13)).integers(1, 2**63, 2, dtype=np.uint64)
@@ -236,6 +238,7 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     ends = np.cumsum(np.concatenate(counts))
     got = total[ends] - total[ends - np.concatenate(counts)]
     cuts = np.cumsum([len(c) for c in counts])[:-1]
+    base.give_back()
     return pd.DataFrame({"block": pdf["block"], "known": [b""] * len(pdf), "got": [x.astype("<u4").tobytes() for x in np.split(got, cuts)]})
 
 
@@ -281,6 +284,7 @@ def _group(percent: int):
         labels = pdf["label"].to_numpy()
         new, _ = join([np.asarray(x).view(np.uint64) for x in pdf["shared"]], pdf["n"].to_numpy(), labels, percent)
         apart = new != labels
+        base.give_back()
         return pd.DataFrame({"a": labels[apart], "b": new[apart]}).drop_duplicates()
 
     return run
@@ -361,7 +365,8 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, group_texts: int = GRO
     known = base.cut(shared_counts(docs))
     first = base.cut(known.where("n > 0").groupBy(*name).agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared")))
     member = base.cut(known.select("doc_id", *name).join(first.select(*name, "rep"), name, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-    maybe = first.where(f"100 * shared >= {percent} * n").select(F.col("rep").alias("doc_id")).distinct()
+    maybe = base.cut(first.where(f"100 * shared >= {percent} * n").select(F.col("rep").alias("doc_id")).distinct())
+    maybe = F.broadcast(maybe) if maybe.count() <= SENT_IDS else maybe
     sets = base.cut(ordered_sets(docs.join(maybe, "doc_id", "left_semi"), percent))
     label = links(sets, percent, group_texts, group_shingles, splits).select(F.col("node").alias("rep"), "label")
     out = member.join(label, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
