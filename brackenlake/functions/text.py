@@ -21,12 +21,17 @@ def split_identifier(name: Column) -> Column:
     return F.array_distinct(F.concat(words, F.array(F.lower(name))))
 
 
+#: A word that is split as an identifier, and how one shows in a whole text.
+_COMPOSED = "_|[a-z][^_]*[A-Z]|[A-Z].*[A-Z].*[a-z]"
+_ANY_COMPOSED = r"_|[a-z][\p{L}\p{N}]*[A-Z]|[A-Z][\p{L}\p{N}]*[A-Z][\p{L}\p{N}]*[a-z]"
+
+
 def preprocess(content: Column) -> Column:
-    """Each word in lower case with the parts of its identifier, if it has several."""
+    """Each word in lower case with the parts of its identifier, if it has several; texts without such words are only split."""
     words = F.filter(F.split(content, r"[^\p{L}\p{N}_]+"), lambda t: t != "")
-    composed = lambda w: w.rlike("_|[a-z][^_]*[A-Z]|[A-Z].*[A-Z].*[a-z]")
     parts = lambda w: F.concat(F.array(F.lower(w)), F.filter(split_identifier(w), lambda p: p != F.lower(w)))
-    return F.flatten(F.transform(words, lambda w: F.when(composed(w), parts(w)).otherwise(F.array(F.lower(w)))))
+    each = F.flatten(F.transform(words, lambda w: F.when(w.rlike(_COMPOSED), parts(w)).otherwise(F.array(F.lower(w)))))
+    return F.when(content.rlike(_ANY_COMPOSED), each).otherwise(F.transform(words, F.lower))
 
 
 def path_tokens(path: Column) -> Column:

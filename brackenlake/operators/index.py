@@ -14,8 +14,6 @@ from . import store as store_
 from . import symbols
 
 FILE = ["repository_id", "path"]
-#: Buckets of terms that stored postings are dealt to; a search reads those of its terms.
-BUCKETS = 64
 
 
 def _identifier_terms(names: Column) -> Column:
@@ -63,77 +61,38 @@ def postings(fields_: DataFrame) -> DataFrame:
     return s.select(*FILE, "field", "len", F.explode(each).alias("t")).select(*FILE, "field", "len", "t.term", "t.tf")
 
 
-def field_stats(fields_: DataFrame) -> DataFrame:
-    """(field, n, total): files and terms of each field, over all repositories."""
-    return fields_.groupBy("field").agg(F.count("*").alias("n"), F.sum(F.size("terms")).cast("long").alias("total"))
-
-
-# --- the stored index ------------------------------------------------------------------------------
-
-
-def _bucket(term) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-_POSTING = "repository_id string, path string, field string, len int, term string, tf long, gen int, bucket int"
-_LENGTH = "repository_id string, path string, field string, len int, gen int"
-
-
-def _write(corpus: DataFrame, path: str, gen: int, mode: str) -> None:
-    f = fields(corpus)
-    p = postings(f).withColumn("gen", F.lit(gen)).withColumn("bucket", _bucket("term"))
-    p.repartition("bucket", F.pmod(F.xxhash64(*FILE), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode(mode).partitionBy("gen", "bucket").parquet(f"{path}/postings")
-    f.select(*FILE, "field", F.size("terms").alias("len"), F.lit(gen).alias("gen")).write.mode(mode).partitionBy("gen").parquet(f"{path}/lengths")
+# --- the stored index: segments and snapshots --------------------------------------------------------
 
 
 def store(corpus: DataFrame, path: str) -> None:
-    """Write postings by bucket of their term, and the lengths of each file's fields, as Parquet under a path, in place of what is there."""
-    gone = corpus.select(*FILE, F.lit(0).alias("gen")).limit(0)
-    gone.write.mode("overwrite").parquet(f"{path}/gone")
-    _write(corpus, path, 0, "overwrite")
-
+    """Write an index of the corpus under a path, in place of what is there once it is committed."""
+    from . import segments
 
-def update(spark: SparkSession, path: str, changed: DataFrame, deleted: DataFrame) -> int:
-    """Add a generation to a stored index: the changed files anew, with marks that end what older ones hold of changed and deleted files.
-
-    What is written grows with the change and not with the index. Returns the generation; store()
-    puts all together again.
-    """
-    gen = (spark.read.schema(_LENGTH).parquet(f"{path}/lengths").agg(F.max("gen")).first()[0] or 0) + 1
-    gone = changed.select(*FILE).unionByName(deleted.select(*FILE)).distinct()
-    gone.withColumn("gen", F.lit(gen)).write.mode("append").parquet(f"{path}/gone")
-    _write(changed, path, gen, "append")
-    return gen
+    segments.build(corpus, path)
 
 
-def _live(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of the last generation of their file."""
-    last = gone.groupBy(*FILE).agg(F.max("gen").alias("__gone"))
-    return rows.join(last, FILE, "left").where(F.col("__gone").isNull() | (F.col("gen") >= F.col("__gone"))).drop("__gone", "gen")
-
+def update(spark: SparkSession, path: str, changed: DataFrame, deleted: DataFrame) -> int:
+    """Commit a version with the changed files anew and without deleted ones; what is written grows with the change. Returns the version."""
+    from . import segments
 
-def load(spark: SparkSession, path: str, buckets: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of a stored index, of some buckets of terms or of all; a search filters them before generations are told apart."""
-    p = spark.read.schema(_POSTING).parquet(f"{path}/postings")
-    p = p if buckets is None else p.where(F.col("bucket").isin(buckets))
-    return p.drop("bucket"), spark.read.schema(_LENGTH).parquet(f"{path}/lengths")
+    return segments.change(spark, path, changed, deleted).version
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(repository_id, path) of the files that a stored index holds."""
-    return _live(load(spark, path)[1], _gone(spark, path)).select(*FILE).distinct()
+    from . import segments
 
-
-def _gone(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("repository_id string, path string, gen int").parquet(f"{path}/gone")
+    return segments.open_(spark, path).files().select(*FILE)
 
 
 def validate(spark: SparkSession, path: str) -> str:
     """'missing', 'empty' or 'ok'."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/lengths")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    from . import segments
+
+    try:
+        return "ok" if segments.open_(spark, path).n_files else "empty"
+    except FileNotFoundError:
         return "missing"
-    return "empty" if load(spark, path)[1].isEmpty() else "ok"
 
 
 # --- search ----------------------------------------------------------------------------------------
@@ -172,13 +131,10 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 50, only: Column | None
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 50, only: Column | None = None) -> DataFrame:
-    """As bm25, from a stored index: reads the buckets of the terms asked for, and the lengths."""
-    buckets = [r[0] for r in queries.select(_bucket("term").alias("b")).distinct().collect()]  # BUCKETS at most
-    p, lengths = load(spark, path, buckets)
-    gone = _gone(spark, path)
-    tf = _live(p.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi"), gone)
-    stats = _live(lengths, gone).groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
-    return top_k(score(tf, stats, queries, only), ["query_id"], k)
+    """As bm25, from the last version of a stored index; only is a condition on repository_id, path and language."""
+    from . import segments
+
+    return segments.search(segments.cached(spark, path), segments.clauses_of(queries), k, only)
 
 
 def document_frequency(corpus: DataFrame, terms: DataFrame) -> DataFrame:
