@@ -99,14 +99,14 @@ def candidate_groups(reps: DataFrame, side: int) -> DataFrame:
     """
     diagonal = diagonal_keys(reps, side)
     low = diagonal.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("m")).where("m > 1").select("key", "low")
-    near = base.cut(diagonal.join(low, "key").where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct())
+    near = diagonal.join(low, "key").where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
     label = base.components(near)
     own = base.cut(reps.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.coalesce("label", "doc_id").alias("doc_id"), "a", "b"))
     keys = table_keys(own, side).groupBy("key", "doc_id").agg(F.count("*").alias("m"))
     keys = base.cut(keys.select("key", "doc_id"))
     mixed = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("m")).where("m > 1").select("key", "low")
     more = keys.join(mixed, "key").where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
-    return base.components(near.unionByName(more))
+    return base.components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
 
 def _union_find(n: int):
