@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions import vocabulary as V
-from ..operators import graph, index, store, symbols
+from ..operators import graph, index, segments, store, symbols
 from . import planner
 
 FILE = ["repository_id", "path"]
@@ -53,14 +53,22 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return index.top_k(rows, ["query_id"], 1 << 30)
 
 
-def lexical(corpus: DataFrame, q: DataFrame, most: int, pool: int) -> DataFrame:
+def phrases(q: DataFrame) -> DataFrame:
+    """(query_id, tokens) of prepared queries: a clause for each search term; a term of several tokens is a phrase."""
+    found = F.transform(text.search_terms(F.col("query")), text.analyse)
+    return q.select("query_id", F.explode(F.array_distinct(F.filter(found, lambda t: F.size(t) > 0))).alias("tokens"))
+
+
+def lexical(corpus: DataFrame | None, q: DataFrame, most: int, pool: int, stored: segments.Snapshot | None = None) -> DataFrame:
     """(query_id, repository_id, path, score, source) by text: the search's own hits, and where they are fewer than `most` those of the expanded terms, damped.
 
-    Both searches are one pass over the corpus: a query's two lists of terms are two queries of one batch.
+    Both searches are one pass: a query's two lists of terms are two queries of one batch. With a
+    stored index its postings are read, else the corpus is analysed.
     """
     lists = F.array(F.struct(F.lit(0).alias("variant"), F.col("terms").alias("t")), F.struct(F.lit(1).alias("variant"), F.when(F.col("more"), F.col("more_terms")).alias("t")))
     asked = q.select("query_id", F.explode(lists).alias("v")).select(F.struct("query_id", "v.variant").alias("query_id"), F.explode("v.t").alias("term"))
-    hits = index.bm25(corpus, asked, pool).drop("rank").select("query_id.query_id", "query_id.variant", *FILE, "score")
+    found = index.bm25(corpus, asked, pool) if stored is None else segments.search(stored, segments.clauses_of(asked), pool)
+    hits = found.drop("rank").select("query_id.query_id", "query_id.variant", *FILE, "score")
     scored = store.cut(_by_class(hits, q))  # a bounded number of rows a query
     own = scored.where("variant = 0").select(*KEY, "score", F.lit("lexical").alias("source"))
     few = own.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("query_id")
@@ -99,17 +107,18 @@ def adjusted(rows: DataFrame, q: DataFrame) -> DataFrame:
     return j.withColumn("score", score).select(*KEY, "file_class", "score", "source")
 
 
-def rank(corpus: DataFrame, queries: DataFrame, most: int | None = None, wanted: int | None = None) -> DataFrame:
+def rank(corpus: DataFrame, queries: DataFrame, most: int | None = None, wanted: int | None = None, stored: segments.Snapshot | None = None) -> DataFrame:
     """(query_id, repository_id, path, file_class, score, source, rank): the files of each query's answer.
 
     Search and gap fill, symbols, the greater score of each file, files behind views, graph, intent
     and authority, damping, places for documentation among the first `most`, then by score again.
-    How many files and candidates there are is decided from the number of files unless given.
+    How many files and candidates there are is decided from the number of files unless given. With
+    a stored index of the corpus its postings are searched and its files counted.
     """
-    n = corpus.count()
+    n = corpus.count() if stored is None else stored.n_files
     most = planner.max_files(n, most)
     q = prepare(queries)
-    found = store.cut(index.merge_max(lexical(corpus, q, most, planner.candidates(n, most, wanted)), by_symbols(corpus, q, most)))
+    found = store.cut(index.merge_max(lexical(corpus, q, most, planner.candidates(n, most, wanted), stored), by_symbols(corpus, q, most)))
     behind = index.code_behind(found.select(*KEY, "score"), corpus).withColumn("source", F.lit("code-behind"))
     found = found.select(*KEY, "score", "source").unionByName(behind.select(*KEY, "score", "source"))
     found = adjusted(with_graph(found, corpus, q, n), q)

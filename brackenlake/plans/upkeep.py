@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..operators import index, store
+from ..operators import index, segments, store
+from ..sources import commits
 from ..sources.corpus import diff
 
 FILE = ["repository_id", "path"]
@@ -17,6 +18,19 @@ def known(files: DataFrame) -> DataFrame:
     return files.select(*FILE, F.sha2("content", 256).alias("hash"))
 
 
+def opened(corpus: DataFrame, name: str) -> segments.Snapshot:
+    """The index of a corpus that is read from files: built once for their state, opened again after that.
+
+    name tells apart what different corpora make of the same files.
+    """
+    spark = corpus.sparkSession
+    at = f"{store.shared_dir(spark)}/index/{name}-{commits.fingerprint(spark, corpus.inputFiles())}"
+    try:
+        return segments.cached(spark, at)
+    except FileNotFoundError:
+        return segments.build(corpus, at)
+
+
 def reindex(spark: SparkSession, path: str, before: DataFrame, now: DataFrame) -> dict[str, int]:
     """Bring a stored index from files known before (repository_id, path, hash) to those of now; how many files had each status.
 

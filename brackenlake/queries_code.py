@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions import paths, text
 from .functions import vocabulary as V
-from .operators import context, graph, index, knowledge, metrics, store
+from .operators import context, graph, index, knowledge, metrics, segments, store
 from .operators import symbols as sym
-from .plans import retrieve
-from .queries import _ANALYSE, _CANON, _SPLIT, _SYN, _VALUES, ASKED, FIELDS_SQL, asked
+from .plans import retrieve, upkeep
+from .queries import _ANALYSE, _CANON, _NAMES, _PATH_TOKENS, _SPLIT, _SYN, _VALUES, ASKED, FIELDS_SQL, asked
 from .registry import query
 from .sources.code import CODE_SQL, code_corpus
 from .sources.corpus import CORPUS_SQL, corpus
@@ -272,7 +272,8 @@ final AS (SELECT query_id::INT AS query_id, repository_id, path, cls AS file_cla
 @query(f"{_CHAIN} SELECT * FROM final")
 def ranked_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answers of the stated queries over documents and code: every stage of the chain in one plan."""
-    r = retrieve.rank(files(spark, sf_dir), asked(spark))
+    c = files(spark, sf_dir)
+    r = retrieve.rank(c, asked(spark), stored=upkeep.opened(c, "files"))
     return r.select("query_id", "repository_id", "path", "file_class", F.round("score", 4).alias("score"), "source", "rank")
 
 
@@ -281,10 +282,9 @@ def lexical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search, gap fill and path boost of the chain."""
     from .plans import planner
 
-    c = files(spark, sf_dir)
-    n = c.count()
-    most = planner.max_files(n)
-    found = retrieve.lexical(c, retrieve.prepare(asked(spark)), most, planner.candidates(n, most))
+    stored = upkeep.opened(files(spark, sf_dir), "files")
+    most = planner.max_files(stored.n_files)
+    found = retrieve.lexical(None, retrieve.prepare(asked(spark)), most, planner.candidates(stored.n_files, most), stored)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -312,6 +312,36 @@ def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(spark, at, terms).select("query_id", "repository_id", "path", F.round("score", 6).alias("score"), "rank")
 
 
+#: The fields with their terms at their places: distinct parts of a path in order, names sorted.
+_RAW_TOKENS = _PATH_TOKENS.removeprefix("list_distinct")
+_PLACED_SQL = FIELDS_SQL.replace(_PATH_TOKENS, f"list_filter({_RAW_TOKENS}, lambda e, i: list_position({_RAW_TOKENS}, e) = i)").replace(_NAMES, f"list_sort({_NAMES})")
+#: Requests with terms of several tokens; they stand in files of the code corpus by the table's rows.
+_PHRASED = "SELECT 2 * doc_id AS query_id, 'load_' || doc_id AS term FROM documents WHERE doc_id % 20 = 4 UNION ALL SELECT 2 * doc_id, 'Home' || doc_id || 'Controller.cs' FROM documents WHERE doc_id % 20 = 8 UNION ALL SELECT 2 * doc_id, 'web/c' || doc_id || '.ts' FROM documents WHERE doc_id % 20 = 6 UNION ALL SELECT 2 * doc_id, 'return' FROM documents WHERE doc_id % 20 IN (4, 6, 8)"
+
+
+@query(f"""{ALL}, {_PLACED_SQL}, asked AS (SELECT query_id, term, {_ANALYSE.format(x="term")} AS tokens FROM ({_PHRASED})),
+tok AS (SELECT DISTINCT term, len(tokens) AS m, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS j FROM asked),
+pos AS (SELECT repository_id, path, field, len(terms) AS len, unnest(terms) AS token, generate_subscripts(terms, 1) AS place FROM f),
+st AS (SELECT field, count(*) AS n, sum(len(terms)) / count(*) AS al FROM f GROUP BY field), df AS (SELECT field, token, count(DISTINCT repository_id || '/' || path) AS df FROM pos GROUP BY ALL),
+begun AS (SELECT repository_id, path, field, len, term, m, place - j AS begins FROM pos JOIN tok USING (token) GROUP BY ALL HAVING count(*) = m),
+tf AS (SELECT repository_id, path, field, len, term, count(*) AS tf FROM begun GROUP BY ALL),
+idf AS (SELECT term, field, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) AS idf FROM tok JOIN df USING (token) JOIN st USING (field) GROUP BY ALL),
+b(field, boost) AS (VALUES {_BOOSTS}),
+s AS (SELECT query_id, repository_id, path, sum(boost * idf * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al)))) AS score FROM asked JOIN tf USING (term) JOIN idf USING (term, field) JOIN st USING (field) JOIN b USING (field) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, repository_id, path) AS rank FROM s)
+SELECT query_id, repository_id, path, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10""")
+def phrase_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests made from every twentieth rows' ids, whose terms of several tokens score as phrases from the stored index."""
+    from .sources.corpus import table
+
+    n = F.col("doc_id")
+    term = F.when(n % 20 == 4, F.concat(F.lit("load_"), n)).when(n % 20 == 8, F.concat(F.lit("Home"), n, F.lit("Controller.cs"))).when(n % 20 == 6, F.concat(F.lit("web/c"), n, F.lit(".ts")))
+    asked_ = table(spark, sf_dir, "documents").where((n % 20).isin(4, 6, 8)).select((2 * n).alias("query_id"), F.explode(F.array(term, F.lit("return"))).alias("term"))
+    clauses = asked_.select("query_id", text.analyse(F.col("term")).alias("tokens"))
+    found = segments.search(upkeep.opened(files(spark, sf_dir), "files"), clauses, 10)
+    return found.select("query_id", "repository_id", "path", F.round("score", 6).alias("score"), "rank")
+
+
 # --- context of an answer --------------------------------------------------------------------------
 
 
