@@ -42,14 +42,14 @@ def graph_allowed(wanted: bool, hits: int, docs: int, files: int) -> bool:
     return wanted and hits >= 2 and (docs <= 5000 or files <= 5000)
 
 
-#: Files and matches of an exhaustive structural request.
+#: Files and matches of an exhaustive structural request, and the words that make one.
 EXHAUSTIVE = (500, 500)
-_EXHAUSTIVE_WORDS = ("all ", "every ", "list all", "find all", "show all")
+EXHAUSTIVE_WORDS = ("all ", "every ", "list all", "find all", "show all")
 
 
 def exhaustive(intent: str, query: str) -> tuple[int, int] | None:
     """Limits of a structural request that asks for everything, else None."""
-    return EXHAUSTIVE if intent == "Structural" and any(w in query.lower() for w in _EXHAUSTIVE_WORDS) else None
+    return EXHAUSTIVE if intent == "Structural" and any(w in query.lower() for w in EXHAUSTIVE_WORDS) else None
 
 
 def structural_stop(files: int) -> int:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import paths, text
 from ..functions import vocabulary as V
-from ..operators import graph, index, segments, store, symbols
+from ..operators import graph, index, segments, store, structure, symbols
 from . import planner
 
 FILE = ["repository_id", "path"]
@@ -127,6 +128,46 @@ def rank(corpus: DataFrame, queries: DataFrame, most: int | None = None, wanted:
     return _ranked(scaled)
 
 
+def by_structure(corpus: DataFrame, q: DataFrame, most: int, candidates: DataFrame | None = None) -> DataFrame:
+    """(query_id, repository_id, path, line, score) of files with a match of the patterns for what a structural request asks for.
+
+    A request's words tell the kind, a file's language the patterns; test files stay out of requests
+    that are not about tests. A request gets files by name until twice `most`, or 500 if it asks for
+    all. With candidates (repository_id, path) only those files are read.
+    """
+    limit = F.when(text.any_of(F.lower("query"), *planner.EXHAUSTIVE_WORDS), planner.EXHAUSTIVE[1]).otherwise(planner.structural_stop(most))
+    kind = structure.kind_column(symbols.kind_of(F.col("query")))
+    asked = store.cut(q.where("intent = 'Structural'").select("query_id", "query", kind.alias("kind"), limit.alias("limit")).where("kind is not null"))
+    files = corpus if candidates is None else corpus.join(candidates.select(*FILE).distinct(), FILE, "left_semi")
+    kinds = [r[0] for r in asked.select("kind").distinct().collect()]  # as many as there are kinds
+    if not kinds:
+        return asked.select("query_id", F.lit("").alias("repository_id"), F.lit("").alias("path"), F.lit(0).alias("line"), F.lit(0.0).alias("score")).limit(0)
+    hits = None
+    for k in kinds:
+        some = structure.matches(files, kind=k, first=True).select(*FILE, "line", "score", F.lit(k).alias("kind"))
+        hits = some if hits is None else hits.unionByName(some)
+    tests = paths.file_class(F.col("path")) == "Test"
+    found = hits.join(asked, "kind").where(~tests | text.is_test_query(F.col("query")))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(*FILE))
+    return found.withColumn("nth", nth).where("nth <= limit").select(*KEY, "line", "score")
+
+
+def answer(corpus: DataFrame, queries: DataFrame, most: int | None = None, wanted: int | None = None, stored: segments.Snapshot | None = None, structural_in: DataFrame | None = None) -> DataFrame:
+    """(query_id, repository_id, path, file_class, score, rank): rank() and, for structural requests, the files whose code matches, each weighted by the request's plan; the greater one counts."""
+    n = corpus.count() if stored is None else stored.n_files
+    pinned, most = most, planner.max_files(n, most)
+    q = prepare(queries)
+    text_ = rank(corpus, queries, pinned, wanted, stored)
+    shaped = store.cut(by_structure(corpus, q, most, structural_in))
+    both = shaped.select("query_id").distinct().withColumn("both", F.lit(True))
+    weigh = planner.plan("Structural", True)
+    mine = text_.join(both, "query_id", "left").withColumn("score", F.when(F.col("both"), F.col("score") * weigh.lexical_weight).otherwise(F.col("score")))
+    merged = index.merge_evidence(mine, shaped, 1.0, weigh.structural_weight).join(both, "query_id", "left")
+    limit = F.when(F.col("both"), planner.max_evidence(most, True)).otherwise(planner.max_evidence(most, False))
+    rows = index.top_k(merged.withColumn("limit", limit), ["query_id"], planner.max_evidence(most, True)).where("rank <= limit")
+    return rows.select(*KEY, paths.file_class(F.col("path")).alias("file_class"), "score", "rank")
+
+
 def search_or_scan(corpus: DataFrame, query: str, most: int = 50) -> tuple[str, DataFrame]:
     """('Found' or 'FallbackUsed', rows): the search of one request, or, if it finds nothing, lines that hold one of its words."""
     spark = corpus.sparkSession
