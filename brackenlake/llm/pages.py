@@ -23,15 +23,15 @@ from . import base
 
 #: Tokens of a run (a block's end is one), and distinct pages that it must stand in, to count as boilerplate.
 RUN, RUN_PAGES = 10, 3
-#: Pages of a host that one task compares; of a larger host the runs are found by an aggregation.
-HOST_PAGES = 500
+#: Pages and characters of a host that one task compares; of a larger host the runs are found by an aggregation.
+HOST_PAGES, HOST_CHARS = 500, 48 << 20
 #: Hosts of more pages than that up to which their hashes are sent to all executors; more are joined by shuffle.
 SENT_HOSTS = 100_000
 
 #: Element names of HTML and usual names of page parts.
 _UNSEEN = {"script", "style", "noscript", "template"}
 _CONTROLS = {"iframe", "select", "textarea", "button"}
-_CHROME_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "title"}
+_CHROME_TAGS = {"nav", "footer", "aside", "menu", "dialog", "head", "title"}
 _CLOSERS = {"article", "main", "body", "section", "div", "p", "nav", "footer", "aside", "ul", "ol", "table", "h1", "h2", "h3", "form"}
 _CLOSED = {"p", "title", "head", "option"}
 _CONTENT_TAGS = {"article", "main"}
@@ -48,12 +48,28 @@ _END = {x: re.compile(rf"</{x}\s*>", re.I) for x in _UNSEEN | _CONTROLS}
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
 _ATTR = re.compile(r"\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 CONTENT, UNMARKED, CHROME = 2, 1, 0
+#: Inside a form: chrome if the form has controls, and not around an article.
+_FORM = -1
+#: Parts of a class name that say that something is not there, or elsewhere.
+_NOT = {"has", "no", "not", "with", "without", "hide", "show", "layout"}
+
+
+def _names_chrome(value: str, whole: bool) -> bool:
+    """Whether one of the class names is that of a page part, as a whole or (has-sidebar and the like aside) by a part of it."""
+    for name in value.split():
+        parts = set(re.split(r"[^a-z0-9]+", name))
+        if name in _CHROME_NAMES or not whole and parts & _CHROME_NAMES and not parts & _NOT:
+            return True
+    return False
 
 
 def _zone(name: str, tag: str, zone: int) -> int:
-    """The zone inside an element that opens in a zone."""
-    if zone == CHROME:
-        return CHROME
+    """The zone inside an element that opens in a zone. An article or main part is content unless its whole class names chrome; it is so inside a form too."""
+    own = name in _CONTENT_TAGS
+    if zone == CHROME or zone == _FORM and not own:
+        return zone
+    if name == "form":
+        return _FORM
     if name in _CHROME_TAGS or (name == "header" and zone != CONTENT):
         return CHROME
     if "=" in tag or "hidden" in tag:
@@ -61,11 +77,11 @@ def _zone(name: str, tag: str, zone: int) -> int:
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "hidden" or key == "role" and value in _CHROME_ROLES:
                 return CHROME
-            if key in ("class", "id") and name not in ("body", "html") and _CHROME_NAMES & set(re.split(r"[^a-z0-9]+", value)):
+            if key in ("class", "id") and name not in ("body", "html") and _names_chrome(value, own):
                 return CHROME
             if key == "role" and value == "main" or key == "itemprop" and value == "articlebody":
                 return CONTENT
-    return CONTENT if name in _CONTENT_TAGS else zone
+    return CONTENT if own else zone
 
 
 def _parts(page: str):
@@ -96,8 +112,7 @@ def _parts(page: str):
             if name in _END and tag[1] != "/":
                 end = _END[name].search(page, at) if name not in lost else None
                 if end:
-                    at, tag = end.end(), ""
-                    text += " " if name in _CONTROLS else ""
+                    at, tag = end.end(), "<input>" if name in _CONTROLS else ""
                 else:
                     lost.add(name)
                     if name in ("script", "style"):
@@ -116,6 +131,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     held: list[str] = []
     stack: list[tuple[str, int]] = []
     zone = UNMARKED
+    controls, forms = 0, []  # of each open form: blocks and controls before it, the zone around
 
     def flush():
         if held:
@@ -124,6 +140,17 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 out.append((zone, text))
             held.clear()
 
+    def leave(to: int):
+        """Elements from a place on end; a form that had no controls is no form."""
+        nonlocal zone
+        zone = stack[to][1]
+        gone = sum(n == "form" for n, _ in stack[to:])
+        del stack[to:]
+        for _ in range(min(gone, len(forms))):
+            first, before, around = forms.pop()
+            if before == controls:
+                out[first:] = [(around if z == _FORM else z, t) for z, t in out[first:]]
+
     for text, part in _parts(page):
         if text:
             held.append(text)
@@ -140,6 +167,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             held.append(" ")
             continue
         if name in _VOID:
+            controls += name == "input"
             flush()
             continue
         if part[1] == "/":
@@ -149,8 +177,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if name not in _INLINE or k >= 0 and stack[k][1] != zone:
                 flush()
             if k >= 0:
-                zone = stack[k][1]
-                del stack[k:]
+                leave(k)
         else:
             flush()
             if name in _CLOSERS:
@@ -160,9 +187,13 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 zone = stack.pop()[1]
             if not part.endswith("/>"):
                 stack.append((name, zone))
+                if name == "form":
+                    forms.append((len(out), controls, zone))
                 zone = _zone(name, part, zone)
     flush()
-    return out
+    if stack:
+        leave(0)
+    return [(CHROME if z == _FORM else z, t) for z, t in out]
 
 
 def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +331,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A page without unmarked blocks is done where it is parsed. What goes to the task of a host is
     the text outside content, and the content of pages with unmarked blocks. Of a host of more than
-    HOST_PAGES pages no task holds all: the suffixes are told apart by their first RUN tokens, over
+    HOST_PAGES pages or HOST_CHARS characters no task holds all: the suffixes are told apart by their first RUN tokens, over
     all tasks, and distinct pages are counted for each, which gives the same runs. Null or empty
     html has the text ''; a null or odd url belongs to the host ''; repeated rows come out each and
     count as one page (as do pages of equal html); other columns are left out.
@@ -358,7 +389,7 @@ def extract(pages: DataFrame) -> DataFrame:
             text = [unique_text(x, covered_by(segments(x), np.array([] if o is None else o, np.int64))) for x, o in zip(pages_of(pdf), pdf["often"])]
             yield table(pdf, text)
 
-    big = base.cut(p.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > HOST_PAGES).select("host"))
+    big = base.cut(p.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars")).where((F.col("n") > HOST_PAGES) | (F.col("chars") > HOST_CHARS)).select("host"))
     n_big = big.count()
     big = F.broadcast(big) if n_big <= SENT_HOSTS else big
     out = p.select("page_id", "url", "html").mapInPandas(plain, done)
