@@ -29,12 +29,8 @@ def imports(corpus: DataFrame) -> DataFrame:
     return lines.select(*FILE, "language", source.alias("source")).where("source <> ''").distinct()
 
 
-def resolve(imports_: DataFrame, files: DataFrame) -> DataFrame:
-    """(repository_id, path, source, dst): each import to the first file of its own repository that it may name; outer modules name none.
-
-    Candidates are tried by one join, the longest path first, then by ending; the least of those
-    that exist is the import's only target.
-    """
+def candidates(imports_: DataFrame) -> DataFrame:
+    """(repository_id, path, source, n, k, dst): every path that an import may name, the longest first, then by ending; outer modules name none."""
     rust, python = F.col("language") == "rust", F.col("language") == "python"
     inner = F.regexp_replace("source", "^(?:(?:crate|self|super)::)+", "")
     parts = F.when(rust, F.split(inner, "::")).otherwise(F.split("source", r"\."))
@@ -47,15 +43,49 @@ def resolve(imports_: DataFrame, files: DataFrame) -> DataFrame:
     endings = F.create_map(*[x for k, v in CANDIDATES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     kind = F.when(rust | python, F.col("language")).otherwise("script")
     tried = tried.select(*FILE, "source", F.col("c.n").alias("n"), F.col("c.p").alias("p"), F.posexplode(endings[kind]).alias("k", "e"))
-    tried = tried.withColumn("dst", F.replace("e", F.lit("{p}"), F.col("p")))
+    return tried.select(*FILE, "source", "n", "k", F.replace("e", F.lit("{p}"), F.col("p")).alias("dst"))
+
+
+def chosen(tried: DataFrame, files: DataFrame) -> DataFrame:
+    """(repository_id, path, source, dst): of each import the first candidate that is a file of its own repository; of one without, no row."""
     found = tried.join(files.select("repository_id", F.col("path").alias("dst")).distinct(), ["repository_id", "dst"])
     return found.groupBy(*FILE, "source").agg(F.min_by("dst", F.struct("n", "k")).alias("dst"))
 
 
+def resolve(imports_: DataFrame, files: DataFrame) -> DataFrame:
+    """(repository_id, path, source, dst): each import to the first file of its own repository that it may name."""
+    return chosen(candidates(imports_), files)
+
+
+def refresh(tried: DataFrame, resolved: DataFrame, before: DataFrame, changed: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates, resolved imports) after a change, from those before it.
+
+    changed holds the changed and new files whole, before and deleted (repository_id, path). Imports
+    of changed files are read anew. An import of an untouched file is resolved again only if one of
+    its candidates is a file that came or went; all others stay, so what is computed grows with the
+    change and with the imports that it touches.
+    """
+    touched = changed.select(*FILE).unionByName(deleted.select(*FILE)).distinct()
+    came = changed.select(*FILE).join(before.select(*FILE), FILE, "left_anti")
+    moved = store.cut(came.unionByName(deleted.select(*FILE)).distinct())
+    now = before.select(*FILE).join(deleted.select(*FILE), FILE, "left_anti").unionByName(came)
+    kept = tried.join(touched, FILE, "left_anti")
+    new = store.cut(candidates(imports(changed)))
+    again = kept.join(moved.select("repository_id", F.col("path").alias("dst")), ["repository_id", "dst"], "left_semi").select(*FILE, "source").distinct()
+    again = store.cut(again)
+    redo = new.unionByName(kept.join(again, [*FILE, "source"], "left_semi"))
+    stay = resolved.join(touched, FILE, "left_anti").join(again, [*FILE, "source"], "left_anti")
+    return kept.unionByName(new), stay.unionByName(chosen(redo, now))
+
+
+def edges_of(resolved: DataFrame) -> DataFrame:
+    """(repository_id, src, dst) of resolved imports, those of a file by itself aside."""
+    return resolved.where("path <> dst").select("repository_id", F.col("path").alias("src"), "dst").distinct()
+
+
 def dependencies(corpus: DataFrame) -> DataFrame:
     """(repository_id, src, dst): the files that each file imports, itself aside."""
-    found = resolve(imports(corpus), corpus)
-    return found.where("path <> dst").select("repository_id", F.col("path").alias("src"), "dst").distinct()
+    return edges_of(resolve(imports(corpus), corpus))
 
 
 def dependents(edges: DataFrame, of: DataFrame) -> DataFrame:
@@ -70,20 +100,32 @@ def dependencies_of(edges: DataFrame, of: DataFrame) -> DataFrame:
     return edges.join(starts, ["repository_id", "src"], "left_semi").select("repository_id", F.col("dst").alias("path")).distinct()
 
 
-def impact(edges: DataFrame, start: DataFrame, rounds: int = 100) -> DataFrame:
+def impact(edges: DataFrame, start: DataFrame, growth: int = 4) -> DataFrame:
     """Files that depend on the start files, directly or not; a start file only if a cycle leads back.
 
-    Frontiers are joined until none is new; each is cut from its lineage by a checkpoint. Chains of
-    more than `rounds` imports are an error and not cut off.
+    The paths of a round are twice as long as those of the round before: edges are joined with
+    themselves, so a chain of n imports takes about log2(n) rounds, and a cycle ends when nothing
+    new is reached. Where that would make more than `growth` times as many pairs as there are edges,
+    paths stay as long as they are, and rounds go on with them.
     """
-    edges = store.cut(edges)
-    seen = front = store.cut(dependents(edges, start))
-    for _ in range(rounds):
-        front = store.cut(dependents(edges, front).join(seen, FILE, "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = store.cut(seen.unionByName(front))
-    raise RuntimeError("impact did not settle")
+    steps = store.cut(edges.select("repository_id", "src", "dst").distinct())  # paths of 2 ** round edges
+    most = growth * steps.count()
+    seen = store.cut(dependents(steps, start))  # by 1 to 2 ** round edges
+    known, longer = seen.count(), True
+    while known:
+        reached = dependents(steps, seen)
+        seen = store.cut(seen.unionByName(reached).distinct())
+        now = seen.count()
+        if now == known:
+            break
+        known = now
+        if longer:
+            second = steps.select("repository_id", F.col("src").alias("dst"), F.col("dst").alias("end"))
+            twice = steps.join(second, ["repository_id", "dst"]).select("repository_id", "src", F.col("end").alias("dst")).distinct()
+            twice = store.cut(twice.limit(most + 1))
+            longer = twice.count() <= most
+            steps = twice if longer else steps
+    return seen
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vocabulary as V
-from .operators import structure
+from .operators import graph, store, structure
 from .plans import retrieve, upkeep
 from .queries import _VALUES
-from .queries_code import _CHAIN, CODE, files
+from .queries_code import _CHAIN, _EDGES, CODE, files
 from .registry import query
-from .sources.code import code_corpus
+from .sources.code import CODE_SQL, code_corpus
 
 #: One definition a line at most, with its kind; where its braces or its indented block end; the definition around.
 _SPANS = rf"""rows_ AS (SELECT repository_id, path, language, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM corpus),
@@ -88,3 +88,35 @@ def structural_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = spark.createDataFrame(list(ASKED_FOR.items()), "query_id int, query string")
     r = retrieve.answer(c, requests, stored=upkeep.opened(c, "files"))
     return r.select("query_id", "repository_id", "path", F.round("score", 4).alias("score"), "rank")
+
+
+# --- graphs ---------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {CODE.removeprefix("WITH ")}, {_EDGES}, start AS (SELECT DISTINCT repository_id, path FROM corpus WHERE regexp_matches(path, '(^|[^0-9])[0-9]$|[^0-9][0-9]\\.')),
+reach(repository_id, path) AS (SELECT e.repository_id, e.src FROM edges e JOIN start s ON s.repository_id = e.repository_id AND s.path = e.dst UNION SELECT e.repository_id, e.src FROM edges e JOIN reach r ON r.repository_id = e.repository_id AND r.path = e.dst)
+SELECT * FROM reach""")
+def import_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files that import files of one-digit numbers, over chains as long as a tenth of the table."""
+    c = code_corpus(spark, sf_dir)
+    start = c.where(F.col("path").rlike(r"(^|[^0-9])[0-9]$|[^0-9][0-9]\.")).select("repository_id", "path").distinct()
+    return graph.impact(graph.dependencies(c), start)
+
+
+_NUMBER = "regexp_extract(path, '([0-9]+)', 1)::INT"
+_CHANGED = f"WITH corpus AS (SELECT repository_id, path, language, CASE WHEN {_NUMBER} % 10 IN (2, 5) THEN replace(replace(content, 'crate::', 'crate::pkg::'), 'import pkg', 'import lib') ELSE content END AS content FROM ({CODE_SQL}) WHERE {_NUMBER} % 10 <> 4)"
+
+
+@query(f"{_CHANGED}, {_EDGES} SELECT * FROM edges")
+def graph_after_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dependency graph brought up to a change: files of some last digits change, go or come; other imports are resolved again only where that touches them."""
+    c = code_corpus(spark, sf_dir)
+    digit = F.expr("try_cast(regexp_extract(path, '([0-9]+)', 1) as int)") % 10
+    before = store.cut(c.where(digit != 7))
+    tried = store.cut(graph.candidates(graph.imports(before)))
+    resolved = store.cut(graph.chosen(tried, before))
+    text = F.replace(F.replace("content", F.lit("crate::"), F.lit("crate::pkg::")), F.lit("import pkg"), F.lit("import lib"))
+    changed = c.where(digit.isin(2, 5, 7)).withColumn("content", F.when(digit == 7, F.col("content")).otherwise(text))
+    gone = before.where(digit == 4).select("repository_id", "path")
+    _, resolved = graph.refresh(tried, resolved, before.select("repository_id", "path"), changed, gone)
+    return graph.edges_of(resolved)
