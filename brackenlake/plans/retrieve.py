@@ -20,6 +20,10 @@ def terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(text.query_tokens(F.col("query"))).alias("term"))
 
 
+def plain_words(query: Column) -> Column:
+    return F.filter(F.split(F.lower(query), "[^a-z0-9_]+"), lambda t: t != "")
+
+
 def prepare(queries: DataFrame) -> DataFrame:
     """(query_id, query, tokens, expanded, more, intent, terms, words) of queries (query_id, query).
 
@@ -29,12 +33,11 @@ def prepare(queries: DataFrame) -> DataFrame:
     q = queries.select("query_id", "query", text.query_tokens(F.col("query")).alias("tokens"), text.intent(F.col("query")).alias("intent"))
     q = q.withColumn("expanded", text.expand(F.col("tokens"))).withColumn("more", (F.size("tokens") > 0) & (F.size("expanded") > F.size("tokens")))
     analysed = lambda x: F.array_distinct(text.analyse(F.array_join(x, " ")))
-    plain = F.filter(F.split(F.lower("query"), "[^a-z0-9_]+"), lambda t: t != "")
     return q.select(
         "query_id", "query", "tokens", "expanded", "more", "intent",
         analysed(text.search_terms(F.col("query"))).alias("terms"),
         analysed(F.col("expanded")).alias("more_terms"),
-        F.when(F.col("more"), F.col("expanded")).otherwise(plain).alias("words"),
+        F.when(F.col("more"), F.col("expanded")).otherwise(plain_words(F.col("query"))).alias("words"),
     )
 
 
@@ -69,6 +72,9 @@ def lexical(corpus: DataFrame | None, q: DataFrame, most: int, pool: int, stored
     lists = F.array(F.struct(F.lit(0).alias("variant"), F.col("terms").alias("t")), F.struct(F.lit(1).alias("variant"), F.when(F.col("more"), F.col("more_terms")).alias("t")))
     asked = q.select("query_id", F.explode(lists).alias("v")).select(F.struct("query_id", "v.variant").alias("query_id"), F.explode("v.t").alias("term"))
     found = index.bm25(corpus, asked, pool) if stored is None else segments.search(stored, segments.clauses_of(asked), pool)
+    if "pool" in q.columns:  # queries with pools of their own, of `pool` at most
+        own = q.select(F.col("query_id").alias("asked"), F.col("pool").alias("its_pool"))
+        found = found.join(F.broadcast(own), F.col("query_id.query_id") == F.col("asked")).where("rank <= its_pool").drop("asked", "its_pool")
     hits = found.drop("rank").select("query_id.query_id", "query_id.variant", *FILE, "score")
     scored = store.cut(_by_class(hits, q))  # a bounded number of rows a query
     own = scored.where("variant = 0").select(*KEY, "score", F.lit("lexical").alias("source"))
@@ -89,7 +95,7 @@ def by_symbols(corpus: DataFrame, q: DataFrame, most: int) -> DataFrame:
 def with_graph(rows: DataFrame, corpus: DataFrame, q: DataFrame, n_files: int) -> DataFrame:
     """Scores raised for files beside a query's first three, for queries whose plan asks for it; the graph is built only if there is one."""
     wanted = [i for i in V.INTENT_WEIGHTS if planner.plan(i).graph]
-    of = q.where(F.col("intent").isin(wanted)).select("query_id")
+    of = q.where(F.col("graph") if "graph" in q.columns else F.col("intent").isin(wanted)).select("query_id")
     if not planner.graph_allowed(True, 2, n_files, n_files) or of.isEmpty():
         return rows
     edges = store.cut(graph.dependencies(corpus))
@@ -116,9 +122,13 @@ def rank(corpus: DataFrame, queries: DataFrame, most: int | None = None, wanted:
     How many files and candidates there are is decided from the number of files unless given. With
     a stored index of the corpus its postings are searched and its files counted.
     """
+    return rank_prepared(corpus, prepare(queries), most, wanted, stored)
+
+
+def rank_prepared(corpus: DataFrame, q: DataFrame, most: int | None = None, wanted: int | None = None, stored: segments.Snapshot | None = None) -> DataFrame:
+    """rank() of prepared queries, which may have columns of their own: graph (whether edges count) and pool (candidates)."""
     n = corpus.count() if stored is None else stored.n_files
     most = planner.max_files(n, most)
-    q = prepare(queries)
     found = store.cut(index.merge_max(lexical(corpus, q, most, planner.candidates(n, most, wanted), stored), by_symbols(corpus, q, most)))
     behind = index.code_behind(found.select(*KEY, "score"), corpus).withColumn("source", F.lit("code-behind"))
     found = found.select(*KEY, "score", "source").unionByName(behind.select(*KEY, "score", "source"))

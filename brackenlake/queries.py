@@ -551,4 +551,4 @@ def dependents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dependents(edges.withColumn("repository_id", F.lit("r")), of)
 
 
-from . import queries_code, queries_sessions, queries_store, queries_structure  # noqa: E402, F401  (they register their queries)
+from . import queries_code, queries_evaluate, queries_sessions, queries_store, queries_structure  # noqa: E402, F401  (they register their queries)
