@@ -151,7 +151,7 @@ def by_structure(corpus: DataFrame, q: DataFrame, most: int, candidates: DataFra
     files = corpus if candidates is None else corpus.join(candidates.select(*FILE).distinct(), FILE, "left_semi")
     kinds = [r[0] for r in asked.select("kind").distinct().collect()]  # as many as there are kinds
     if not kinds:
-        return asked.select("query_id", F.lit("").alias("repository_id"), F.lit("").alias("path"), F.lit(0).alias("line"), F.lit(0.0).alias("score")).limit(0)
+        return asked.select("query_id", F.lit("").alias("repository_id"), F.lit("").alias("path"), F.lit(1).alias("line"), F.lit(0.0).alias("score")).limit(0)
     hits = None
     for k in kinds:
         some = structure.matches(files, kind=k, first=True).select(*FILE, "line", "score", F.lit(k).alias("kind"))
@@ -163,7 +163,7 @@ def by_structure(corpus: DataFrame, q: DataFrame, most: int, candidates: DataFra
 
 
 def answer(corpus: DataFrame, queries: DataFrame, most: int | None = None, wanted: int | None = None, stored: segments.Snapshot | None = None, structural_in: DataFrame | None = None) -> DataFrame:
-    """(query_id, repository_id, path, file_class, score, rank): rank() and, for structural requests, the files whose code matches, each weighted by the request's plan; the greater one counts."""
+    """(query_id, repository_id, path, file_class, score, rank, line): rank() and, for structural requests, the files whose code matches, each weighted by the request's plan; the greater one counts. line is that of the match, else 1."""
     n = corpus.count() if stored is None else stored.n_files
     pinned, most = most, planner.max_files(n, most)
     q = prepare(queries)
@@ -175,7 +175,8 @@ def answer(corpus: DataFrame, queries: DataFrame, most: int | None = None, wante
     merged = index.merge_evidence(mine, shaped, 1.0, weigh.structural_weight).join(both, "query_id", "left")
     limit = F.when(F.col("both"), planner.max_evidence(most, True)).otherwise(planner.max_evidence(most, False))
     rows = index.top_k(merged.withColumn("limit", limit), ["query_id"], planner.max_evidence(most, True)).where("rank <= limit")
-    return rows.select(*KEY, paths.file_class(F.col("path")).alias("file_class"), "score", "rank")
+    rows = rows.join(shaped.select(*KEY, "line"), KEY, "left")
+    return rows.select(*KEY, paths.file_class(F.col("path")).alias("file_class"), "score", "rank", F.coalesce("line", F.lit(1)).alias("line"))
 
 
 def search_or_scan(corpus: DataFrame, query: str, most: int = 50) -> tuple[str, DataFrame]:

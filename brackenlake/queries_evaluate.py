@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import evaluate, upkeep
-from .queries import _ANALYSE, _VALUES
+from .plans import evaluate, request, upkeep
+from .queries import _ANALYSE, _VALUES, asked
 from .queries_code import _CHAIN, files
 from .registry import query
 from .sources.corpus import table
@@ -44,3 +44,19 @@ def golden_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = evaluate.runs(c, requests, SETTINGS, stored=upkeep.opened(c, "files"))
     m = evaluate.measure(answers, requests, expected, SETTINGS)
     return m.select("setting", "tasks", *[F.round(x, 9).alias(x) for x in ("recall_5", "recall_10", "mrr", "change", "turned")])
+
+
+_TOKENS_OF = "greatest(floor(strlen({x}) / 4), floor(len(list_filter(string_split_regex({x}, '[ \\t\\n\\r\\x0B\\f]+'), lambda t: t <> '')) * 1.3))::BIGINT"
+
+
+@query(f"""{_CHAIN}, ev AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM final), wide AS (SELECT *, CASE WHEN n <= 20 THEN 15 ELSE least(greatest(20 * 23 // n - 3, 6), 20) - greatest(least(greatest(20 * 23 // n - 3, 6), 20) * 5 // 20, 2) END AS under FROM ev),
+piece AS (SELECT query_id, rank, file_class = 'Documentation' AS docs, '// ' || path || ':1' || chr(10) || array_to_string(list_slice(string_split(content, chr(10)), 1, 1 + under), chr(10)) AS x FROM wide JOIN corpus USING (repository_id, path)),
+packed AS (SELECT query_id, count(*) AS n_files, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY rank) FILTER (docs), '') AS docs, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY rank) FILTER (NOT docs), '') AS code FROM piece GROUP BY query_id)
+SELECT query_id::INT AS query_id, coalesce(n_files, 0) AS n_files, coalesce({_TOKENS_OF.format(x='docs')}, 0) AS docs_tokens, coalesce({_TOKENS_OF.format(x='code')}, 0) AS code_tokens,
+sha256(CASE WHEN n_files IS NULL THEN query ELSE query || chr(10) || chr(10) || '---' || chr(10) || docs || CASE WHEN docs <> '' AND code <> '' THEN chr(10) || chr(10) ELSE '' END || code END) AS enriched
+FROM (SELECT query_id, query FROM q0) LEFT JOIN packed USING (query_id)""")
+def request_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the stated requests to their enriched texts, all stages in one plan; the budget holds them whole."""
+    c = files(spark, sf_dir)
+    r = request.respond(c, asked(spark), budget=10_000_000, stored=upkeep.opened(c, "files"))
+    return r.select("query_id", "n_files", "docs_tokens", "code_tokens", F.sha2("enriched", 256).alias("enriched"))
