@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from . import scans
 
 
 def quality(tasks: DataFrame, k: int) -> DataFrame:
@@ -29,13 +30,13 @@ def overlap(pairs: DataFrame) -> DataFrame:
 def percentiles(values: DataFrame, by: str, value: str) -> DataFrame:
     """(by, n, mean, p50, p95) with the value at place floor(n * p) of the sorted ones.
 
-    Equal values are counted first, by partial sums, so that what one task ranks is the distinct
-    values of a key and not its rows; the mean is a plain aggregation.
+    Equal values are counted first, by partial sums; the counts are summed up in order over range
+    partitions, so no task holds a key's values; the mean is a plain aggregation.
     """
-    counts = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by)
-    r = counts.withColumn("__to", F.sum("c").over(w.orderBy(value))).withColumn("__n", F.sum("c").over(w))
-    at = lambda p: F.min(F.when(F.col("__to") > F.least(F.floor(F.col("__n") * p), F.col("__n") - 1), F.col(value)))
+    some = values.where(F.col(value).isNotNull() & F.col(by).isNotNull())
+    counts = some.groupBy(by, value).agg(F.count("*").cast("long").alias("c"))
+    r = scans.scan(counts, [by, value], by, add=("c",)).join(some.groupBy(by).agg(F.count("*").alias("__n")), by)
+    at = lambda p: F.min(F.when(F.col("run_c") > F.least(F.floor(F.col("__n") * p), F.col("__n") - 1), F.col(value)))
     ranked = r.groupBy(by).agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
     return values.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(ranked, by, "left")
 

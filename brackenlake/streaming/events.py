@@ -7,7 +7,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators import scans
 
 RATE, BURST = 10.0, 20.0
 DEBOUNCE = 0.5
@@ -134,9 +135,9 @@ def debounce_stream(stream: DataFrame, key: str, wait_ms: int = 500) -> DataFram
 
 
 def head_changes(commits: DataFrame) -> DataFrame:
-    """Rows (repository_id, ts, oid) whose commit is not that of the row before."""
-    w = Window.partitionBy("repository_id").orderBy("ts")
-    return commits.withColumn("__old", F.lag("oid").over(w)).where(F.col("__old").isNull() | (F.col("__old") != F.col("oid"))).drop("__old")
+    """Rows (repository_id, ts, oid) whose commit is not that of the row before; rows of no repository are left out."""
+    known = scans.scan(commits.where("repository_id is not null"), ["repository_id", "ts"], "repository_id", last=("oid",))
+    return known.where(F.col("prev_oid").isNull() | (F.col("prev_oid") != F.col("oid"))).drop("prev_oid")
 
 
 def last_n(events: DataFrame, n: int = 1000) -> DataFrame:
@@ -163,11 +164,12 @@ def readiness(events: DataFrame) -> DataFrame:
 
     A repository is 'indexing' from a start on and 'ready' from its end on; the last span is open.
     """
-    w = Window.partitionBy("repository_id").orderBy("ts")
     state = F.when(F.col("kind") == "started", "indexing").when(F.col("kind").isin("completed", "failed"), "ready")
-    s = events.withColumn("state", state).where("state is not null").withColumn("__old", F.lag("state").over(w))
-    turns = s.where(F.col("__old").isNull() | (F.col("__old") != F.col("state")))
-    return turns.select("repository_id", F.col("ts").alias("since"), F.lead("ts").over(w).alias("until"), "state")
+    s = events.where("repository_id is not null").select("repository_id", "ts", state.alias("state")).where("state is not null")
+    s = scans.scan(s, ["repository_id", "ts"], "repository_id", last=("state",))
+    turns = s.where(F.col("prev_state").isNull() | (F.col("prev_state") != F.col("state"))).select("repository_id", F.col("ts").alias("since"), "state")
+    spans = scans.scan(turns, ["repository_id", F.col("since").desc()], "repository_id", last=("since",))  # the next one is the one before in falling order
+    return spans.select("repository_id", "since", F.col("prev_since").alias("until"), "state")
 
 
 def index_age(events: DataFrame, now) -> DataFrame:
