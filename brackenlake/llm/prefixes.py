@@ -17,79 +17,22 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from ..operators import scans
 from . import base
 
-#: Conversations of one family follow each other, this many; and first turns kept are the checksum's remainder by this.
-FAMILY, HEADS = 5, 9
-NODE = ["depth", "p1", "p2"]
-
-
-# --- prefix sums over range partitions ------------------------------------------------------------
-
-
-def _runs(values: np.ndarray, starts: np.ndarray, group: np.ndarray, held: int, xor: bool) -> np.ndarray:
-    """Running sums (or exclusive ors) that begin anew at starts; the first group goes on from held."""
-    values = values.copy()
-    join = np.bitwise_xor if xor else np.add
-    values[0] = join(values[0], held)
-    run = join.accumulate(values)
-    before = run[starts] ^ values[starts] if xor else run[starts] - values[starts]
-    return run ^ before[group] if xor else run - before[group]
-
 
 def scan(rows: DataFrame, by: list[str], within: str | None, add: tuple[str, ...] = (), xor: tuple[str, ...] = ()) -> DataFrame:
-    """rows with run_<c> for the long columns c of add and xor: over the rows up to each, in the order of by, alike in within if that is given."""
-    spark = rows.sparkSession
-    names = [*add, *xor]
-    extra = [StructField(n, LongType()) for n in ("task", "at", *[f"run_{c}" for c in names])]
-    schema = StructType([*rows.schema.fields, *extra])
+    """rows with running sums, written where all executors read."""
+    return scans.scan(rows, by, within, add, xor, cut=base.cut)
 
-    def run(batches):
-        task, at = TaskContext.get().partitionId(), 0
-        last, held = None, dict.fromkeys(names, 0)
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            own = batch.column(batch.schema.get_field_index(within)).to_numpy(zero_copy_only=False) if within else np.zeros(n, np.int64)
-            first = np.ones(n, bool)
-            first[1:] = own[1:] != own[:-1]
-            starts = np.flatnonzero(first)
-            group = np.cumsum(first) - 1
-            if last is None or own[0] != last:
-                held = dict.fromkeys(names, 0)
-            new = []
-            for c in names:
-                new.append(_runs(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False), starts, group, held[c], c in xor))
-                held[c] = int(new[-1][-1])
-            last = own[-1]
-            columns = [np.full(n, task), np.arange(at, at + n), *new]
-            at += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in columns]], names=schema.names)
-
-    out = base.cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(base.tidy(run), schema))
-    own = F.col(within) if within else F.lit(0).cast("long")
-    each = out.groupBy("task").agg(F.min_by(own, "at").alias("lo"), F.max_by(F.struct(own.alias("hi"), *[f"run_{c}" for c in names]), "at").alias("end")).orderBy("task").collect()
-    known, before = [], None
-    for r in each:  # a row a partition
-        held = dict.fromkeys(names, 0)
-        if before and before["hi"] == r["lo"]:
-            held = {c: before[c] for c in names}
-        known.append((r["task"], r["lo"], *[held[c] for c in names]))
-        more = held if r["end"]["hi"] == r["lo"] else dict.fromkeys(names, 0)
-        before = {"hi": r["end"]["hi"]} | {c: r["end"][f"run_{c}"] ^ more[c] if c in xor else r["end"][f"run_{c}"] + more[c] for c in names}
-    carried = spark.createDataFrame(known, StructType([StructField(n, LongType()) for n in ("task", "lo", *[f"held_{c}" for c in names])]))
-    out = out.join(F.broadcast(carried), (carried["task"] == out["task"]) & (own == F.col("lo")), "left")
-    held = {c: F.coalesce(F.col(f"held_{c}"), F.lit(0)) for c in names}
-    total = {c: F.col(f"run_{c}").bitwiseXOR(held[c]) if c in xor else F.col(f"run_{c}") + held[c] for c in names}
-    return out.select(*rows.columns, *[total[c].alias(f"run_{c}") for c in names])
+
+#: Conversations of one family follow each other, this many; and first turns kept are the checksum's remainder by this.
+FAMILY, HEADS = 5, 9
+NODE = ["depth", "p1", "p2"]
 
 
 # --- conversations ----------------------------------------------------------------------------------
