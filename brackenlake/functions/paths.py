@@ -131,6 +131,13 @@ def repository_id(path: Column) -> Column:
     return F.substring(F.sha2(path, 256), 1, 12)
 
 
+def task_hash(message: Column, max_tokens: Column | int, order: list[str], state: Column) -> Column:
+    """16 digits that name a request under its limits: of the message, the limit as eight bytes, the order of parts and the repository's state."""
+    limit = max_tokens if isinstance(max_tokens, Column) else F.lit(max_tokens)
+    bytes_ = F.unhex(F.lpad(F.hex(limit.cast("long")), 16, "0"))
+    return F.substring(F.sha2(F.concat(F.encode(message, "UTF-8"), bytes_, F.encode(F.lit(",".join(order)), "UTF-8"), F.encode(state, "UTF-8")), 256), 1, 16)
+
+
 # --- the same in SQL, for oracles ---------------------------------------------------------------
 
 EXT_SQL = r"regexp_extract(regexp_extract({p}, '([^/]*)$', 1), '^.+\.([^.]*)$', 1)"

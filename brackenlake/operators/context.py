@@ -81,6 +81,13 @@ def pack(snippets_: DataFrame, budget: int) -> DataFrame:
     return out.withColumn("remaining", F.greatest(F.lit(budget) - F.col("docs_tokens") - F.col("code_tokens"), F.lit(0)))
 
 
+def usage_by_source(packs: DataFrame) -> DataFrame:
+    """(query_id, total, by_source): the tokens of each part of a pack, and what the budget has left for the rest, as a map."""
+    parts = {"docs_context": "docs_tokens", "code_context": "code_tokens", "metadata": "remaining"}
+    each = F.create_map(*[x for k, c in parts.items() for x in (F.lit(k), F.col(c).cast("long"))])
+    return packs.select("query_id", (F.col("docs_tokens") + F.col("code_tokens")).cast("long").alias("total"), each.alias("by_source"))
+
+
 def labels(evidence: DataFrame) -> DataFrame:
     """evidence (path, source, score, ...) with path cleaned and the retriever and reason of its source."""
     s = F.col("source")

@@ -16,6 +16,13 @@ def retrieve(knowledge: DataFrame, query: str, least: float = 0.3, repository: s
     return k.orderBy(F.desc("confidence"), "repository_id", "category", "key").limit(most)
 
 
+def rows_of(knowledge: DataFrame, category: str | None = None, key: str | None = None, repository: str | None = None) -> DataFrame:
+    """Rows of a category, a key and a repository, as far as they are given, surest first."""
+    for name, value in (("category", category), ("key", key), ("repository_id", repository)):
+        knowledge = knowledge if value is None else knowledge.where(F.col(name) == value)
+    return knowledge.orderBy(F.desc("confidence"), "repository_id", "category", "key")
+
+
 def decay(knowledge: DataFrame, before, by: float) -> DataFrame:
     return knowledge.withColumn("confidence", F.when(F.col("updated_at") < before, F.greatest(F.lit(0.1), F.col("confidence") - by)).otherwise(F.col("confidence")))
 

@@ -444,3 +444,74 @@ def valid(pattern: str) -> bool:
 def kind_column(kind: Column) -> Column:
     """Kinds of a request's words as kinds of patterns."""
     return F.when(kind == "struct", "class").otherwise(kind)
+
+
+# --- imports ------------------------------------------------------------------------------------
+
+
+def _paths_of(t: Tokens, at: int, stop: int, head: str = "") -> list[str]:
+    """The paths of a use from a token on: a::{b, c::d} gives a::b and a::c::d; names after as are left out."""
+    out, path = [], head
+    while at < stop:
+        w = t.word[at]
+        if w == "{" and t.partner[at] > at:
+            inner = at + 1
+            while inner < t.partner[at]:
+                end = next((k for k in range(inner, t.partner[at]) if t.word[k] == "," and t.around[k] == at), t.partner[at])
+                out += _paths_of(t, inner, end, path)
+                inner = end + 1
+            return out
+        if w == "as":
+            break
+        if w == "::" or _NAME.match(w):
+            path += w
+        else:
+            break
+        at += 1
+    return [path] if path and path != head else out
+
+
+def imports_of(t: Tokens) -> set[str]:
+    """What a file imports, over as many lines as it takes: use and mod of Rust, import and from of Python, import, export from and require of scripts, using of C#."""
+    w, n, out = t.word, len(t.word), set()
+    for i in range(n - 1):
+        if t.language == "rust" and w[i] == "use" and (t.leads(i) or w[i - 1] in ("pub", ")", ";", "{", "}")):
+            stop = next((k for k in range(i, n) if w[k] == ";"), n)
+            out |= {p.rstrip(":") for p in _paths_of(t, i + 1, stop)}
+        elif t.language == "rust" and w[i] == "mod" and i + 2 < n and w[i + 2] == ";" and _NAME.match(w[i + 1]):
+            out.add(w[i + 1])
+        elif t.language == "python" and w[i] in ("import", "from") and t.leads(i):
+            line, at, path = t.line(i), i + 1, ""
+            while at < n and t.line(at) == line:
+                if w[i] == "from" and w[at] == "import" or w[at] == "as" and not path:
+                    break
+                if w[at] == "," or w[at] == "as":
+                    out |= {path} - {""}
+                    path, at = "", at + (2 if w[at] == "as" else 1)
+                    continue
+                if w[at] not in (".", "(", ")") and not re.match(r"\w", w[at]):
+                    path = "" if w[i] == "from" else path
+                    break
+                path += w[at]
+                at += 1
+            out |= {path} - {""}
+        elif t.language in ("typescript", "javascript", "tsx", "jsx"):
+            if w[i] in ("import", "export") and (t.leads(i) or w[i - 1] in (";", "}")):
+                for k in range(i + 1, n):
+                    if w[k] == ";" or k > i + 1 and t.leads(k) and w[k] in ("import", "export", "const", "let", "function", "class"):
+                        break
+                    if w[k][0] in "\"'" and w[k - 1] in ("from", "import"):
+                        out.add(w[k][1:-1])
+                        break
+            elif w[i] in ("require", "import") and w[i + 1] == "(" and i + 2 < n and w[i + 2][0] in "\"'" and t.partner[i + 1] == i + 3:
+                out.add(w[i + 2][1:-1])
+        elif t.language == "csharp" and w[i] == "using" and t.leads(i):
+            stop = next((k for k in range(i, n) if w[k] in (";", "(", "=")), n)
+            if stop < n and w[stop] == ";":
+                out.add("".join(w[i + 1 : stop]).removeprefix("static"))
+    return out - {""}
+
+
+def imports(corpus: DataFrame) -> DataFrame:
+    """(repository_id, path, language, source): each import of each file once."""
+    return _by_file(corpus, lambda t, row: [(row.language, x) for x in sorted(imports_of(t))], "language string, source string")

@@ -83,11 +83,15 @@ _SYN = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in V.SYNONYMS.items()) + "}"
 _CANON = "CASE WHEN strlen(t) >= 4 AND ends_with(t, 's') AND NOT ends_with(t, 'ss') AND NOT ends_with(t, 'us') THEN t[:-2] ELSE t END"
 
 
-@query(f"""WITH q(query_id, query) AS (VALUES {_VALUES}), t AS (SELECT query_id, list_distinct(list_filter(string_split_regex(lower(query), '[^a-z0-9_]+'), lambda t: strlen(t) >= 2 AND NOT list_contains({list(V.STOP_WORDS)}, t))) AS toks FROM q),
-u AS (SELECT query_id, unnest(toks) AS t FROM t), e AS (SELECT query_id, t AS term FROM u UNION SELECT query_id, unnest(({_SYN})[{_CANON}]) FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY term) AS n FROM e)
-SELECT query_id::INT AS query_id, string_agg(term, ' ' ORDER BY term) AS terms FROM r WHERE n <= 20 GROUP BY query_id""")
+@query(f"""WITH a(k, phrase) AS (VALUES {_VALUES}), q AS (SELECT conv_id, turn, coalesce(role, '') || ' ' || phrase || ' ' || turn || ' ' || conv_id AS query FROM conversations JOIN a ON k = 1 + conv_id % 4),
+t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(query), '[^a-z0-9_]+'), lambda t: strlen(t) >= 2 AND NOT list_contains({list(V.STOP_WORDS)}, t))) AS toks FROM q),
+u AS (SELECT conv_id, turn, unnest(toks) AS t FROM t), e AS (SELECT conv_id, turn, t AS term FROM u UNION SELECT conv_id, turn, unnest(({_SYN})[{_CANON}]) FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY term) AS n FROM e)
+SELECT conv_id, turn, string_agg(term, ' ' ORDER BY term) AS terms FROM r WHERE n <= 20 GROUP BY ALL""")
 def expand_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asked(spark).select("query_id", F.array_join(text.expand(text.query_tokens(F.col("query"))), " ").alias("terms"))
+    """Requests made of each turn's role, numbers and one of the stated phrases."""
+    phrase = F.element_at(F.array(*map(F.lit, ASKED.values())), (1 + F.col("conv_id") % 4).cast("int"))
+    q = F.concat_ws(" ", F.coalesce("role", F.lit("")), phrase, F.col("turn").cast("string"), F.col("conv_id").cast("string"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.expand(text.query_tokens(q)), " ").alias("terms"))
 
 
 @query("""SELECT doc_id, sha256(text) AS hash, substring(sha256(source), 1, 12) AS repository_id, greatest(strlen(text) // 4, floor(len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0B\\f]+'), lambda t: t <> '')) * 1.3::DOUBLE)::BIGINT) AS n_tokens

@@ -181,14 +181,10 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN len({_BARE}) > 0 THEN sha256(array_to_string(list_sort(list_distinct({_SEARCHED})), ' OR ')) ELSE sha256(coalesce(nullif(trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')), ''), query)) END AS sanitised {_REQUESTS}""")
+@query(f"""WITH s AS (SELECT conv_id, turn, query, len({_BARE}) AS n, {_SEARCHED} AS l, {_PLAIN} AS plain {_REQUESTS})
+SELECT conv_id, turn, CASE WHEN n > 0 THEN sha256(array_to_string(list_filter(l, lambda e, i: list_position(l, e) = i), ' OR ')) ELSE sha256(coalesce(nullif(trim(regexp_replace(plain, '\\s+', ' ', 'g')), ''), query)) END AS sanitised FROM s""")
 def sanitise_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms are compared in sorted order."""
-    q = F.col("query")
-    s = text.sanitise(q)
-    ordered = F.array_join(F.array_sort(text.search_terms(q)), " OR ")
-    joined = s == F.array_join(text.search_terms(q), " OR ")
-    return _requests(spark, sf_dir).select("conv_id", "turn", F.sha2(F.when(joined & (F.size(text.query_tokens(q)) > 0), ordered).otherwise(s), 256).alias("sanitised"))
+    return _requests(spark, sf_dir).select("conv_id", "turn", F.sha2(text.sanitise(F.col("query")), 256).alias("sanitised"))
 
 
 _SCANNED = f"list_filter(list_transform(list_filter(string_split_regex(query, '\\s+'), lambda t: t <> ''), lambda t: lower(regexp_replace(t, '[^\\p{{L}}\\p{{N}}_]', '', 'g'))), lambda t: strlen(t) >= 2 AND NOT list_contains({list(V.SCAN_STOP_WORDS)}, t))"
@@ -253,11 +249,11 @@ def indexable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", F.coalesce(paths.class_of_language(paths.language(p)), F.lit("Source")).alias("file_class"), paths.indexable(p).alias("indexable"), paths.binary_by_name(p).alias("is_binary"))
 
 
-@query("""WITH w AS (SELECT doc_id, substring(text, 1, 40) AS t FROM documents)
+@query("""WITH w AS (SELECT doc_id, text AS t FROM documents)
 SELECT doc_id, coalesce(strlen(t) >= 5 AND lower(t) NOT IN ('todo', 'no', 'this', 'true', 'false') AND (contains(t, '/') OR contains(t, '\\') OR contains(t, '.')), false) AS valid FROM w""")
 def valid_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.coalesce(paths.valid_path(F.substring("text", 1, 40)), F.lit(False)).alias("valid"))
+    return d.select("doc_id", F.coalesce(paths.valid_path(F.col("text")), F.lit(False)).alias("valid"))
 
 
 _ASK = "how to configure the guide module tests"
@@ -364,9 +360,9 @@ def recall_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id AS task_id, round(len(list_filter(['The', 'licensed', 'que', 'zzz'], lambda k: contains(lower(text), lower(k)))) / 4, 9) AS coverage
-FROM documents WHERE text IS NOT NULL""")
+FROM documents""")
 def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("task_id"), F.array(*map(F.lit, ["The", "licensed", "que", "zzz"])).alias("keywords"), "text")
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("task_id"), F.array(*map(F.lit, ["The", "licensed", "que", "zzz"])).alias("keywords"), "text")
     return metrics.keyword_coverage(t).withColumn("coverage", F.round("coverage", 9))
 
 

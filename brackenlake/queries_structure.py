@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import vocabulary as V
 from .operators import graph, store, structure
-from .plans import retrieve, upkeep
+from .plans import discovery, retrieve, upkeep
 from .queries import _VALUES
-from .queries_code import _CHAIN, _EDGES, CODE, files
+from .queries_code import _CHAIN, _EDGES, _IMPORTS, CODE, files
 from .registry import query
 from .sources.code import CODE_SQL, code_corpus
 
@@ -120,3 +120,38 @@ def graph_after_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = before.where(digit == 4).select("repository_id", "path")
     _, resolved = graph.refresh(tried, resolved, before.select("repository_id", "path"), changed, gone)
     return graph.edges_of(resolved)
+
+
+@query(f"{CODE}, {_IMPORTS} SELECT * FROM imports WHERE source <> '' UNION SELECT repository_id, path, language, regexp_extract(text, '^using ([A-Za-z.]+);', 1) FROM lines WHERE language = 'csharp' AND regexp_matches(text, '^using [A-Za-z.]+;')")
+def token_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports by tokens, over as many lines as they take."""
+    return structure.imports(code_corpus(spark, sf_dir))
+
+
+# --- profiles --------------------------------------------------------------------------------------
+
+#: Manifests made from every fiftieth row's id: name and text by (doc_id div 50) modulo 4.
+_MANIFESTS = [
+    ("Cargo.toml", "[workspace]"), ("package.json", '{"dependencies": {"react": "1"}, "devDependencies": {"@nestjs/core": "2"}, "scripts": {"build": "tsc", "lint": "x"}}'),
+    ("pyproject.toml", "[tool.poetry]"), ("go.mod", "module x"),
+]
+_MADE = " ".join(f"WHEN {k} THEN '{n}'" for k, (n, _) in enumerate(_MANIFESTS))
+_FRAMEWORKS = "(VALUES (0, 0, 'cargo'), (0, 1, 'rust-workspace'), (1, 2, 'node'), (1, 3, 'react'), (1, 8, 'nestjs-core'), (2, 11, 'python'), (2, 12, 'poetry'), (3, 10, 'go-modules'))"
+_COMMANDS = "(VALUES (0, 'cargo build', 'cargo test'), (1, 'tsc', 'npm test'), (2, NULL, 'poetry run pytest'), (3, 'go build ./...', 'go test ./...'))"
+
+
+@query(f"""{CODE}, made AS (SELECT 'r' || (doc_id // 50 % 2) AS repository_id, 'p' || doc_id AS folder, doc_id // 50 % 4 AS k FROM documents WHERE doc_id % 50 = 0),
+fw AS (SELECT repository_id, list(framework ORDER BY folder, place) AS l FROM (SELECT repository_id, framework, min(folder) AS folder, arg_min(place, folder) AS place FROM made JOIN {_FRAMEWORKS} f(k, place, framework) USING (k) GROUP BY ALL) GROUP BY 1),
+cmd AS (SELECT repository_id, arg_min(build, folder) FILTER (build IS NOT NULL) AS build, arg_min(test, folder) AS test FROM made JOIN {_COMMANDS} c(k, build, test) USING (k) GROUP BY 1),
+lang AS (SELECT repository_id, language, count(*) AS n FROM corpus GROUP BY ALL), top AS (SELECT repository_id, string_agg(language || ' ' || n, ',' ORDER BY n DESC, language) AS languages FROM lang GROUP BY 1)
+SELECT repository_id, languages, 'lib' AS folders, array_to_string(l, ',') AS frameworks, build, test FROM top JOIN fw USING (repository_id) JOIN cmd USING (repository_id)""")
+def repository_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of the code with manifests in some folders."""
+    from .sources.corpus import table
+
+    n, k = F.col("doc_id"), F.floor(F.col("doc_id") / 50) % 4
+    pick = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in _MANIFESTS]), (k + 1).cast("int"))
+    made = table(spark, sf_dir, "documents").where(n % 50 == 0).select(F.concat(F.lit("r"), F.floor(n / 50) % 2).alias("repository_id"), F.concat(F.lit("p"), n, F.lit("/"), pick(0)).alias("path"), pick(1).alias("content"))
+    p = discovery.profile(code_corpus(spark, sf_dir).select("repository_id", "path", "content").unionByName(made))
+    shown = F.array_join(F.transform(F.filter("languages", lambda x: ~x["language"].isin("toml", "json")), lambda x: F.concat(x["language"], F.lit(" "), x["n"])), ",")
+    return p.select("repository_id", shown.alias("languages"), F.array_join("folders", ",").alias("folders"), F.array_join("frameworks", ",").alias("frameworks"), "build", "test")

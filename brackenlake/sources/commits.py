@@ -52,6 +52,23 @@ def commit(spark: SparkSession, folder: str, version: int, state: dict) -> None:
         raise
 
 
+def texts_named(spark: SparkSession, root: str, name: str) -> list[tuple[str, str]]:
+    """(folder below the root or '', text) of all files of a name in a tree, hidden ones too, which Spark's own listing leaves out."""
+    fs, at = _fs(spark, root)
+    top = fs.makeQualified(at).toUri().getPath().rstrip("/")
+    out, found = [], fs.listFiles(at, True)
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName() == name:
+            stream = fs.open(path)
+            try:
+                text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            out.append((path.getParent().toUri().getPath()[len(top) :].strip("/"), text))
+    return sorted(out)
+
+
 def children(spark: SparkSession, folder: str) -> list[str]:
     fs, at = _fs(spark, folder)
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []

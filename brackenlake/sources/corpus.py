@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths
+from . import commits
 
 #: Paths of the corpus by doc_id modulo 8; {n} is the doc_id.
 PATHS = ["docs/guide_{n}.md", "src/core/Module{n}.rs", "tests/test_{n}.py", "config/app_{n}.yaml", "types/pkg{n}/index.d.ts", ".github/flow_{n}.yml", "a{n}/docs/README.md", "web/View{n}.cshtml"]
@@ -72,12 +73,27 @@ def ignored(path, rules: list[tuple[bool, str]]):
     return out
 
 
-def scan_tree(spark: SparkSession, root: str, known: DataFrame | None = None, ignore: str = "") -> DataFrame:
+def nested_rules(texts: list[tuple[str, str]]) -> list[tuple[bool, str]]:
+    """Rules of several ignore files (folder below the root or '', text): those of a folder hold below it, and later than those of the folders around."""
+    out = []
+    for folder, text in sorted(texts, key=lambda x: (x[0].count("/") + bool(x[0]), x[0])):
+        at = "^" + re.escape(folder + "/") if folder else "^"
+        out += [(ignore, at + rx.removeprefix("^")) for ignore, rx in ignore_rules(text)]
+    return out
+
+
+def scan_tree(spark: SparkSession, root: str, known: DataFrame | None = None, ignore: str = "", nested: bool = False) -> DataFrame:
     """(path, size, modified, content) of a repository tree; files unchanged since known (path, size, last_indexed_at) are left out before reading.
 
-    ignore is the text of the root's ignore file. Files of binary endings, and those whose first
-    512 bytes hold more NULs than a hundredth of them, are left out.
+    ignore is the text of an ignore file for the root; with nested the .gitignore files of all
+    folders count, each below its own. Files of binary endings, and those whose first 512 bytes hold
+    more NULs than a hundredth of them, are left out.
     """
+    if nested:
+        top = root.rstrip("/").split("://")[-1].lstrip("/") + "/"
+        rules = nested_rules([("", ignore), *[x for x in commits.texts_named(spark, root, ".gitignore") if not re.search(SKIPPED, f"/{x[0]}/")]])
+        left = scan_tree(spark, root, known)
+        return left.where(~ignored(F.substring_index(F.col("path"), top, -1), rules)) if rules else left
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(~F.col("path").rlike(SKIPPED) & ~paths.binary_by_name(F.col("path")))
     if ignore:
         below = F.substring_index(F.col("path"), root.rstrip("/").split("://")[-1].lstrip("/") + "/", -1)
