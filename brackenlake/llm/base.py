@@ -27,6 +27,14 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df has not got, without regard to case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def give_back() -> None:
     """Hand freed memory back to the system; a worker that is used again by a later stage starts small."""
     pa.default_memory_pool().release_unused()

@@ -207,13 +207,14 @@ def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:
     return words.join(hits, "row", "left").select("row", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a column __row, written so that it stays."""
-    return base.cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, written so that it stays, and the name of its column."""
+    row = base.free_name(docs, "row")
+    return base.cut(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
-def _by_row(numbered: DataFrame, bench: DataFrame) -> DataFrame:
-    return _joined(numbered.select(F.col("__row").alias("row"), F.coalesce("text", F.lit("")).alias("text")), bench).withColumnRenamed("row", "__row")
+def _by_row(numbered: DataFrame, row: str, bench: DataFrame) -> DataFrame:
+    return _joined(numbered.select(F.col(row).alias("row"), F.coalesce("text", F.lit("")).alias("text")), bench).withColumnRenamed("row", row)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
@@ -230,8 +231,8 @@ def contamination(docs: DataFrame, bench: DataFrame, sent_bytes: int = SENT_BYTE
     send = _send(docs.sparkSession, bench, sent_bytes)
     if send is not None:
         return _scan(docs, send)
-    rows = _numbered(docs.select("doc_id", "text"))
-    return rows.select("doc_id", "__row").join(_by_row(rows, bench), "__row").drop("__row")
+    rows, row = _numbered(docs.select("doc_id", "text"))
+    return rows.select("doc_id", row).join(_by_row(rows, row, bench), row).drop(row)
 
 
 def clean(docs: DataFrame, bench: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
@@ -239,8 +240,8 @@ def clean(docs: DataFrame, bench: DataFrame, sent_bytes: int = SENT_BYTES) -> Da
     bench = _items(bench)
     send = _send(docs.sparkSession, bench, sent_bytes)
     if send is None:
-        rows = _numbered(docs)
-        return rows.join(_by_row(rows, bench).where("contaminated").select("__row"), "__row", "left_anti").select(docs.columns)
+        rows, row = _numbered(docs)
+        return rows.join(_by_row(rows, row, bench).where("contaminated").select(row), row, "left_anti").select(docs.columns)
 
     @F.pandas_udf("boolean")
     def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
