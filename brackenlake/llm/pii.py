@@ -13,6 +13,8 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import base
+
 #: The setting that holds the key of a deployment.
 KEY_SETTING = "spark.brackenlake.pii.key"
 _drawn: dict[str, str] = {}
@@ -222,12 +224,13 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = docs.drop(*[c for c in docs.columns if c.startswith("n_") and c[2:] in (*KINDS, "pii")])
     t = F.col(text)
     might = t.rlike("[0-9@]|AKIA|(?i:password|token|secret|api_?key)")  # a secret may be letters only
-    found = found.withColumn("__pii_finds", F.when(might, _finds(t)))
-    hits = F.when(might, F.regexp_extract_all(t, F.concat(F.lit("("), F.col("__pii_finds"), F.lit(")")), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    found = found.withColumn("__pii_hits", F.transform(hits, lambda x: _find(x, key)))
-    parts = F.split(t, F.col("__pii_finds"), -1)
-    new = F.array_join(F.zip_with(parts, F.col("__pii_hits.new"), lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
-    found = found.withColumn(text, F.when(F.size("__pii_hits") > 0, new).otherwise(t))
-    n = lambda k: F.size(F.filter(F.col("__pii_hits.kind"), lambda x: x == k)).cast("long")
+    finds, held = base.free_name(found, "finds"), base.free_name(found, "hits")
+    found = found.withColumn(finds, F.when(might, _finds(t)))
+    hits = F.when(might, F.regexp_extract_all(t, F.concat(F.lit("("), F.col(finds), F.lit(")")), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    found = found.withColumn(held, F.transform(hits, lambda x: _find(x, key)))
+    parts = F.split(t, F.col(finds), -1)
+    new = F.array_join(F.zip_with(parts, F.col(held)["new"], lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
+    found = found.withColumn(text, F.when(F.size(held) > 0, new).otherwise(t))
+    n = lambda k: F.size(F.filter(F.col(held)["kind"], lambda x: x == k)).cast("long")
     counted = found.withColumns({f"n_{k}": F.greatest(n(k), F.lit(0)).cast("long") for k in KINDS})
-    return counted.withColumn("n_pii", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long"))).drop("__pii_hits", "__pii_finds")
+    return counted.withColumn("n_pii", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long"))).drop(finds, held)
