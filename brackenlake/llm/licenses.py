@@ -75,7 +75,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
 
     Words are runs of a-z and 0-9 after lower-casing; a template must have SHINGLE words or more.
     Null, empty and short texts contain nothing; a template that occurs twice comes out once;
-    of repeated rows of a doc_id one is kept; other columns are left out. The table of templates
+    of repeated rows of a doc_id the one that shares most counts; other columns are left out. The table of templates
     is a parameter of bounded size and is sent to all executors.
     """
     spark: SparkSession = docs.sparkSession
@@ -109,7 +109,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     hit = t.join(F.broadcast(keys), [t.g == keys.g, t.k.b == keys.k.b, t.k.m == keys.k.m])
     n, shared = F.size("t"), F.size(F.array_intersect("t", "s"))
     found = hit.select("doc_id", "template", shared.cast("long").alias("n_shared"), n.cast("long").alias("n_shingles")).where(100 * F.col("n_shared") >= CONTAINED * F.col("n_shingles"))
-    return found.dropDuplicates(["doc_id", "template"]).withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    best = found.groupBy("doc_id", "template").agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
+    return best.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
 def scan_sql(templates: dict[str, str] = TEMPLATES) -> str:
