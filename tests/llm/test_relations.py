@@ -311,3 +311,20 @@ def test_articles_in_usual_markup(spark):
     got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == dict(enumerate(cases.values()))
     assert pages.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_columns_of_users_stay(spark):
+    from brackenlake.llm import decontaminate, licenses, pii
+
+    rows = [(1, "call +1 212 555 0100 or a@b.org now", 88, "f", "h"), (2, "one two three four five six seven eight nine ten eleven", 77, "g", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long, finds string, HITS string")
+    bench = spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    for sent in (1 << 20, 0):
+        left = decontaminate.clean(docs, bench, sent)
+        assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == rows[:1]
+    out = pii.pseudonymise(docs, "key").orderBy("doc_id").collect()
+    assert [(r["row"], r["finds"], r["HITS"], r["n_pii"]) for r in out] == [(88, "f", "h", 2), (77, "g", "i", 0)]
+    body = " ".join(licenses.TEMPLATES["mit"].split()) if isinstance(licenses.TEMPLATES["mit"], str) else ""
+    twice = spark.createDataFrame([(1, body), (1, body + " " + body), (1, "nothing")], "doc_id long, text string")
+    got = licenses.scan(twice).where("template = 'mit'").collect()
+    assert len(got) == 1 and got[0]["n_shared"] == got[0]["n_shingles"]
