@@ -346,6 +346,48 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     return old
 
 
+# --- what an index holds ---------------------------------------------------------------------------
+
+
+def occurrences(snapshot: Snapshot, terms: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
+    """(grp, doc, field, term, tf) of the files it holds, of some terms (a table with a column term) and fields or of all.
+
+    A bounded number of terms reaches the scan of postings as a condition.
+    """
+    p = snapshot.postings()
+    if fields is not None:
+        p = p.where(F.col("field").isin([FIELDS.index(f) for f in fields]))
+    if terms is not None:
+        some = terms.select("term").distinct()
+        wanted = [r[0] for r in some.limit(PUSHED + 1).collect()]
+        p = p.where(F.col("term").isin(wanted)) if len(wanted) <= PUSHED else p.join(some, "term", "left_semi")
+    x = F.explode(F.arrays_zip("docs", "tfs")).alias("x")
+    rows = p.select("grp", "field", "term", x).select("grp", F.col("x.docs").alias("doc"), "field", "term", F.col("x.tfs").cast("long").alias("tf"))
+    return rows.join(snapshot.gone(), ["grp", "doc"], "left_anti") if snapshot.state["gone"] else rows
+
+
+def _field_name() -> Column:
+    return F.element_at(F.array(*map(F.lit, FIELDS)), F.col("field") + 1).alias("field")
+
+
+def field_sizes(snapshot: Snapshot) -> DataFrame:
+    """(repository_id, field, n_docs, n_terms): files and terms of each field."""
+    each = snapshot.files().select("repository_id", F.posexplode("field_lens").alias("field", "len"))
+    return each.groupBy("repository_id", "field").agg(F.count("*").alias("n_docs"), F.sum("len").cast("long").alias("n_terms")).select("repository_id", _field_name(), "n_docs", "n_terms")
+
+
+def document_frequency(snapshot: Snapshot, terms: DataFrame) -> DataFrame:
+    """(field, term, n_docs, n_found) of the terms asked for: files that hold each, and how often."""
+    n = occurrences(snapshot, terms).groupBy("field", "term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_found"))
+    return n.select(_field_name(), "term", "n_docs", "n_found")
+
+
+def count_hits(snapshot: Snapshot, queries: DataFrame) -> DataFrame:
+    """(query_id, n): files that hold any term of each query (query_id, term) in any field, whatever k."""
+    held = occurrences(snapshot, queries).select("grp", "doc", "term").distinct()
+    return held.join(queries, "term").select("query_id", "grp", "doc").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+
+
 # --- searching ---------------------------------------------------------------------------------------
 
 

@@ -96,6 +96,8 @@ def with_graph(rows: DataFrame, corpus: DataFrame, q: DataFrame, n_files: int) -
     """Scores raised for files beside a query's first three, for queries whose plan asks for it; the graph is built only if there is one."""
     wanted = [i for i in V.INTENT_WEIGHTS if planner.plan(i).graph]
     of = q.where(F.col("graph") if "graph" in q.columns else F.col("intent").isin(wanted)).select("query_id")
+    many = rows.groupBy("query_id").agg(F.count("*").alias("hits")).where(F.col("hits") >= 2).select("query_id")
+    of = store.cut(of.join(many, "query_id", "left_semi"))  # queries of fewer hits have no gate to pass
     if not planner.graph_allowed(True, 2, n_files, n_files) or of.isEmpty():
         return rows
     edges = store.cut(graph.dependencies(corpus))
@@ -192,6 +194,34 @@ def search_or_scan(corpus: DataFrame, query: str, most: int = 50) -> tuple[str,
     return "FallbackUsed", grep(corpus, pattern, most).select(*FILE, "line", F.lit(1.0).alias("score"))
 
 
+def guarded(corpus: DataFrame, queries: DataFrame, at: str, most: int = 50) -> DataFrame:
+    """(query_id, repository_id, path, line, score, how) of a batch (query_id, query), however the index in a folder is.
+
+    The snapshot at hand is searched; if what it names is gone the last version is opened anew, and
+    without one nothing is searched. Requests without a hit get lines that hold one of their words,
+    the first `most` by file, by one scan of the corpus for all of them.
+    """
+    spark = corpus.sparkSession
+    q = store.cut(prepare(queries))
+    asked = segments.clauses_of(q.select("query_id", F.explode("terms").alias("term")))
+    hits = None
+    for opened in (segments.cached, segments.open_):
+        try:
+            hits = store.cut(segments.search(opened(spark, at), asked, most).drop("rank"))
+            break
+        except Exception as e:  # files of an old version may have been removed meanwhile
+            if not isinstance(e, FileNotFoundError) and not any(x in str(e) for x in ("PATH_NOT_FOUND", "FileNotFound", "does not exist", "FILE_NOT_EXIST")):
+                raise
+            segments.invalidate(at)
+    found = [] if hits is None else [hits.select("query_id", *FILE, F.lit(1).alias("line"), "score", F.lit("Found").alias("how"))]
+    left = q if hits is None else q.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    left = left.select("query_id", F.concat(F.lit("(?i)"), text.scan_pattern(F.col("query"))).alias("pattern"))
+    near = corpus.join(left, F.expr("content rlike pattern")).select("query_id", "pattern", *FILE, F.posexplode(F.split("content", "\n")).alias("line", "text"))
+    lines = near.where(F.expr("text rlike pattern")).withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(*FILE, "line"))).where(F.col("nth") <= most)
+    found.append(lines.select("query_id", *FILE, (F.col("line") + 1).alias("line"), F.lit(1.0).alias("score"), F.lit("FallbackUsed").alias("how")))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
 def explain(rows: DataFrame) -> DataFrame:
     """rows with a line of text that says where each stands and why."""
     line = F.format_string("%s score:%.2f class:%s source:%s rank:%d", "path", F.col("score").cast("double"), "file_class", "source", "rank")

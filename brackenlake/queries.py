@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import paths, text
 from .functions import vocabulary as V
-from .operators import context, graph, index, knowledge, metrics, store
+from .operators import context, graph, index, knowledge, metrics, segments, store
 from .operators import symbols as sym
-from .plans import retrieve
+from .plans import retrieve, upkeep
 from .registry import ORACLE, QUERIES, query
 from .sources.corpus import CORPUS_SQL, corpus, diff, grep, grep_files, line_range, table, upsert
 from .streaming import events as ev
@@ -120,16 +120,21 @@ UNION ALL SELECT repository_id, path, 'symbol_name', {_ANALYSE.format(x=f"array_
 _FIELDS = CORPUS + ", " + FIELDS_SQL
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> segments.Snapshot:
+    """The stored index of the documents; the first query builds it."""
+    return upkeep.opened(corpus(spark, sf_dir), "documents")
+
+
 @query(_FIELDS + " SELECT repository_id, field, count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM f GROUP BY ALL")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = index.fields(corpus(spark, sf_dir))
-    return f.groupBy("repository_id", "field").agg(F.count("*").alias("n_docs"), F.sum(F.size("terms")).cast("long").alias("n_terms"))
+    return segments.field_sizes(_stored(spark, sf_dir))
 
 
 @query(_FIELDS + """, t AS (SELECT repository_id, path, unnest(terms) AS term FROM f WHERE field = 'content'), p AS (SELECT repository_id, path, term, count(*) AS tf FROM t
 GROUP BY ALL) SELECT repository_id, count(*) AS n_postings, sum(tf)::BIGINT AS total_tf, max(tf) AS max_tf, count(DISTINCT term) AS n_terms FROM p GROUP BY ALL""")
 def postings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = index.postings(index.fields(corpus(spark, sf_dir)).where("field = 'content'"))
+    stored = _stored(spark, sf_dir)
+    p = segments.occurrences(stored, fields=["content"]).join(stored.files().select("grp", "doc", "repository_id"), ["grp", "doc"])
     by_term = p.groupBy("repository_id", "term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"), F.max("tf").alias("most"))
     return by_term.groupBy("repository_id").agg(F.sum("n").alias("n_postings"), F.sum("tf").alias("total_tf"), F.max("most").alias("max_tf"), F.count("*").alias("n_terms"))
 
@@ -144,7 +149,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 
 @query(_BM25 + " SELECT query_id::INT AS query_id, repository_id, path, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 50")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = index.bm25(corpus(spark, sf_dir), retrieve.terms(asked(spark)), 50)
+    found = segments.search(_stored(spark, sf_dir), segments.clauses_of(retrieve.terms(asked(spark))), 50)
     return found.select("query_id", "repository_id", "path", F.round("score", 6).alias("score"), "rank")
 
 
@@ -417,27 +422,27 @@ _FOUND = " SELECT query_id::INT AS query_id, repository_id, path, round(score, 6
 @query(_BM25.replace("FROM s)", "FROM s WHERE repository_id = (SELECT min(source) FROM documents))") + _FOUND)
 def bm25_in_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "documents").agg(F.min("source")).first()[0]
-    found = index.bm25(corpus(spark, sf_dir), retrieve.terms(asked(spark)), 20, F.col("repository_id") == first)
+    found = segments.search(_stored(spark, sf_dir), segments.clauses_of(retrieve.terms(asked(spark))), 20, F.col("repository_id") == first)
     return found.select("query_id", "repository_id", "path", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_BM25.replace("FROM s)", f"FROM s WHERE (CASE {_NAME_CASES} {_LANG_CASES} END) = 'python')") + _FOUND)
 def bm25_in_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = index.bm25(corpus(spark, sf_dir), retrieve.terms(asked(spark)), 20, paths.language(F.col("path")) == "python")
+    found = segments.search(_stored(spark, sf_dir), segments.clauses_of(retrieve.terms(asked(spark))), 20, F.col("language") == "python")
     return found.select("query_id", "repository_id", "path", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_FIELDS + f""", {_TERMS}, u AS (SELECT repository_id, path, field, unnest(terms) AS term
 FROM f) SELECT field, term, count(DISTINCT repository_id || '/' || path) AS n_docs, count(*) AS n_found FROM u WHERE term IN (SELECT term FROM qt) GROUP BY ALL""")
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.document_frequency(corpus(spark, sf_dir), retrieve.terms(asked(spark)))
+    return segments.document_frequency(_stored(spark, sf_dir), retrieve.terms(asked(spark)))
 
 
 @query(_FIELDS + f""", {_TERMS}, u AS (SELECT DISTINCT repository_id, path, unnest(terms) AS term
 FROM f) SELECT query_id::INT AS query_id, count(DISTINCT repository_id || '/' || path) AS n FROM u JOIN qt USING (term) GROUP BY 1""")
 def count_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that hold any term of each query in any field, whatever k."""
-    return index.count_hits(corpus(spark, sf_dir), retrieve.terms(asked(spark)))
+    return segments.count_hits(_stored(spark, sf_dir), retrieve.terms(asked(spark)))
 
 
 @query(CORPUS + f""", t AS (SELECT repository_id, path, ' ' || array_to_string({_ANALYSE.format(x='content')}, '  ') || ' ' AS line

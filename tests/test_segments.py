@@ -173,3 +173,28 @@ def test_empty_index(spark, corpus, terms, tmp_path):
     assert s.n_files == 0 and segments.search(s, segments.clauses_of(terms), 3).count() == 0 and index.validate(spark, str(tmp_path)) == "empty"
     s = segments.change(spark, str(tmp_path), corpus, corpus.limit(0))
     assert rows(segments.search(s, segments.clauses_of(terms), 3)) == rows(index.bm25(corpus, terms, 3))
+
+
+def test_guarded_search(spark, corpus, tmp_path):
+    from brackenlake.plans import retrieve
+
+    at = str(tmp_path)
+    asked = spark.createDataFrame([(1, "rare"), (2, "lph"), (3, "zzz nothing")], "query_id int, query string")
+
+    def run():
+        out = {}
+        for r in retrieve.guarded(corpus, asked, at, 5).collect():
+            out.setdefault((r["query_id"], r["how"]), []).append((r["path"], r["line"]))
+        return out
+
+    first = run()  # there is no index
+    assert set(first) == {(1, "FallbackUsed"), (2, "FallbackUsed")} and len(first[2, "FallbackUsed"]) == 5
+    segments.build(corpus, at)
+    got = run()
+    assert set(got) == {(1, "Found"), (2, "FallbackUsed")} and got[2, "FallbackUsed"] == first[2, "FallbackUsed"]
+    held = segments.cached(spark, at)
+    segments.change(spark, at, corpus.limit(0), corpus.where("path = 'src/f485.py'"))
+    segments.merge(spark, at)
+    segments.vacuum(spark, at, keep=1)
+    segments._OPEN[at] = held  # a reader that opened before the files went
+    assert "src/f485.py" in {p for p, _ in got[1, "Found"]} and "src/f485.py" not in {p for p, _ in run()[1, "Found"]}
