@@ -10,8 +10,8 @@
    if sizes, the shingles that remain on both sides, or equal labels rule out a new link.
 4. A group beyond a task's bounds is split by its texts' most frequent key into chunks that each
    hold one text in common. Keys that then still have several labels form the next groups; after
-   some rounds the texts of each key that is left are joined in blocks, two at a time, so that no
-   link is lost.
+   some rounds the pairs of unlike labels of each key that is left are verified if they are few for
+   its texts, else its texts are joined in blocks, two at a time, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ PERCENT, WORDS = 85, 4
 GROUP_TEXTS, GROUP_SHINGLES = 400, 1 << 19
 #: Rounds in which large groups are split before the texts of each key are joined in blocks.
 SPLITS = 4
+#: Pairs of unlike labels that a key may give for each of its texts.
+PAIRS = 16
 #: Bytes of text whose hashes meet in one bucket, about; least number of buckets; bytes of a block.
 BUCKET_BYTES, BUCKETS, BLOCK_BYTES = 32 << 20, 64, 1 << 20
 #: Texts up to which their ids are sent to the tasks that read texts, after a count of them: 8 MB.
@@ -291,17 +293,28 @@ def _group(percent: int):
     return run
 
 
-def _blocks_of_keys(sets: DataFrame, keys: DataFrame, percent: int, texts: int) -> DataFrame:
-    """Links (a, b) of labels between texts that share a key: the texts of a key in blocks, and a trie for each two blocks.
+def _rest(sets: DataFrame, keys: DataFrame, percent: int, texts: int) -> DataFrame:
+    """Links (a, b) of labels between texts of several labels that share a key, whatever shares it.
 
-    So no task holds more than two blocks, whatever shares a key; what a key costs grows with the square of its blocks.
+    A key with no more than PAIRS pairs of unlike labels a text gives those pairs, so these grow
+    with the rows; the texts of any other key are joined in blocks, a trie for each two of them, so
+    that no task holds more.
     """
-    blocks = F.ceil(2 * F.col("m") / texts)
-    own = keys.select("doc_id", "label", "key", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")))
+    by_label = keys.groupBy("key", "label").agg(F.count("*").alias("c"))
+    cross = by_label.groupBy("key").agg(F.sum("c").alias("of"), F.sum(F.col("c") * F.col("c")).alias("alike"))
+    few = (F.col("of") * F.col("of") - F.col("alike")) <= 2 * PAIRS * F.col("of")
+    keys = base.cut(keys.join(cross.select("key", few.alias("few")), "key"))
+    side = lambda s: keys.where("few").select("key", *[F.col(c).alias(c + s) for c in ("doc_id", "label", "n")])
+    pairs = side("_x").join(side("_y"), "key").where(f"doc_id_x < doc_id_y and label_x <> label_y and 100 * n_x >= {percent} * n_y and 100 * n_y >= {percent} * n_x")
+    pairs = base.cut(pairs.select("doc_id_x", "doc_id_y").distinct())
+    whole = lambda s: sets.select(*[F.col(c).alias(c + s) for c in ("doc_id", "label", "n", "shared")])
+    both = pairs.join(whole("_x"), "doc_id_x").join(whole("_y"), "doc_id_y").withColumn("common", F.size(F.array_intersect("shared_x", "shared_y")))
+    found = both.where(f"100 * common >= {percent} * (n_x + n_y - common)").select(F.col("label_x").alias("a"), F.col("label_y").alias("b"))
+    own = keys.where("not few").select("doc_id", "key", F.ceil(2 * F.col("m") / texts).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     units = own.select("doc_id", "key", "block", other).select("doc_id", "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     each = units.join(sets.select("doc_id", "label", "n", "shared"), "doc_id")
-    return each.groupBy("key", "x", "y").applyInPandas(_group(percent), "a long, b long")
+    return found.unionByName(each.groupBy("key", "x", "y").applyInPandas(_group(percent), "a long, b long"))
 
 
 def links(sets: DataFrame, percent: int = PERCENT, group_texts: int = GROUP_TEXTS, group_shingles: int = GROUP_SHINGLES, splits: int = SPLITS) -> DataFrame:
@@ -315,7 +328,7 @@ def links(sets: DataFrame, percent: int = PERCENT, group_texts: int = GROUP_TEXT
         if keys.isEmpty():
             break
         if turn == splits:
-            found.append(base.cut(_blocks_of_keys(sets, keys, percent, group_texts)))
+            found.append(base.cut(_rest(sets, keys, percent, group_texts)))
             break
         group = base.components(keys.select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
         of = base.cut(sets.drop("keys").join(group.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster")), "doc_id"))

@@ -221,8 +221,10 @@ def texts():
     return [(100 + 3 * i, t, "l", 1, 2, 3) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("given", [{}, {"group_texts": 4}, {"group_texts": 4, "splits": 1}, {"group_shingles": 300}, {"splits": 0}])
-def test_ngram_join(spark, given):
+@pytest.mark.parametrize("given", [{}, {"group_texts": 4}, {"group_texts": 4, "splits": 1}, {"group_shingles": 300}, {"splits": 0}, {"splits": 0, "group_texts": 6, "pairs": 0}, {"splits": 0, "pairs": 1 << 30}])
+def test_ngram_join(spark, given, monkeypatch):
+    given = dict(given)
+    monkeypatch.setattr(triejoin, "PAIRS", given.pop("pairs", triejoin.PAIRS))
     rows = texts()
     got = triejoin.jaccard_join(spark.createDataFrame(rows, DOCS).repartition(3), **given).collect()
     assert sorted(map(tuple, got)) == join_brute(rows)
