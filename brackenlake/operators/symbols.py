@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import store
+
 _VIS = r"(?:(?:pub|public|private|protected|internal)\s+)?"
 _MOD = r"(?:(?:export|declare|default|async|static|abstract|sealed)\s+)*"
 #: Of each kind a pattern whose first group is the name.
@@ -46,12 +48,18 @@ def find(symbols_: DataFrame, words: list[str], most: int) -> DataFrame:
 def find_each(symbols_: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     """(query_id, repository_id, path, name, kind, n): of each query (query_id, words) the first `most` symbols that find() gives.
 
-    The batch of queries is bounded and goes to all tasks; each symbol's name is tried with each query's words.
+    Names and words meet by an equal join of three letters in a row: those a word begins with, and
+    all that a name has; a name that has them is then looked at whole. Words of fewer letters (of
+    several bytes each) meet by what they have.
     """
     some = F.slice(F.filter("words", lambda w: F.octet_length(w) >= 3), 1, 6)
-    q = queries.select("query_id", F.transform(some, lambda w: F.lower(w)).alias("words"))
-    all_words = q.select(F.explode("words").alias("word"), "query_id")
-    hit = symbols_.join(F.broadcast(all_words), F.contains(F.lower(symbols_["name"]), F.col("word")))
+    words = store.cut(queries.select("query_id", F.explode(F.transform(some, lambda w: F.lower(w))).alias("word")).distinct())
+    low = symbols_.withColumn("low", F.lower("name"))
+    lengths = [3, *[n for n in (1, 2) if not words.where(F.length("word") == n).isEmpty()]]
+    gram = lambda n: F.when(F.length("low") >= n, F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.substr("low", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = F.array_distinct(F.flatten(F.array(*map(gram, lengths))))
+    asked = words.select("query_id", "word", F.substr("word", F.lit(1), F.lit(3)).alias("gram"))
+    hit = low.withColumn("gram", F.explode(grams)).join(asked, "gram").where(F.contains("low", F.col("word")))
     w = Window.partitionBy("query_id").orderBy("repository_id", "path", "name", "kind")
     found = hit.select("query_id", "repository_id", "path", "name", "kind").distinct()
     return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
