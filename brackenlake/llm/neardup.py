@@ -6,7 +6,8 @@ Texts that share a table key are candidates; the groups of candidates are found
 small group is compared in one task. A large one is compared with hubs first; texts that hubs leave
 in different components are searched by prefix filtering, which loses no link between them, so that
 no task holds a large group. Pairs within a component are not made; of components that share
-prefixes but no link, all pairs that pass the filter are.
+prefixes but no link, pairs are made while they are few for their texts, else texts are compared in
+blocks, two at a time.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ PERCENT = 85
 DEEP, MISS = 2, 1e-4
 #: Texts and bytes of a group that one task compares.
 GROUP_TEXTS, GROUP_BYTES = 400, 6 << 20
+#: Pairs of unlike labels that a shingle may give for each of its texts; texts of one that gives more are compared in blocks.
+PAIRS = 16
 #: Hubs that a large group is compared with before the prefix search.
 HUBS = 4
 
@@ -203,7 +206,7 @@ def _mixed(of: DataFrame) -> DataFrame:
     return of.groupBy("cluster", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster", "shingle")
 
 
-def _large(docs: DataFrame, members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _large(docs: DataFrame, members: DataFrame, reps: DataFrame, percent: int, group_texts: int) -> DataFrame:
     """(doc_id, label) of groups that no task may hold. members: (doc_id, cluster, n)."""
     members = base.cut(members)
     if members.isEmpty():
@@ -240,13 +243,22 @@ def _large(docs: DataFrame, members: DataFrame, reps: DataFrame, percent: int) -
         two = pairs.join(text.select(F.col("doc_id").alias("x"), "text"), "x").join(text.select(F.col("doc_id").alias("y"), F.col("text").alias("hub_text")), "y")
         return base.cut(_against_hub(two.select(F.col("x").alias("doc_id"), F.col("y").alias("hub"), "text", "hub_text"), percent))
 
-    # first each shingle's texts against one of its texts, so that what this links needs no pairs; then all pairs of different labels
+    # first each shingle's texts against one of its texts, so that what this links needs no pairs; then pairs of different labels
     one = base.cut(of.groupBy("cluster", "shingle").agg(F.min(F.struct("label", "doc_id", "n", "at")).alias("o")).select("cluster", "shingle", "o.*"))
     links = links.unionByName(confirmed(side(one, "x").join(side(of, "y"), ["cluster", "shingle"]).where(fits)))
     parts = base.components(links.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
     of = of.drop("label").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    of = base.cut(of.join(_mixed(of), ["cluster", "shingle"]))
-    more = confirmed(side(of, "x").join(side(of, "y"), ["cluster", "shingle"]).where(f"x < y and {fits}"))
+    of = of.join(_mixed(of), ["cluster", "shingle"])
+    each = of.groupBy("cluster", "shingle", "label").agg(F.count("*").alias("c")).groupBy("cluster", "shingle").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("alike"))
+    few = F.col("m") * F.col("m") - F.col("alike") <= 2 * PAIRS * F.col("m")
+    of = base.cut(of.join(each.select("cluster", "shingle", "m", few.alias("few")), ["cluster", "shingle"]))
+    more = confirmed(side(of.where("few"), "x").join(side(of.where("few"), "y"), ["cluster", "shingle"]).where(f"x < y and {fits}"))
+    # a shingle of more pairs than that: its texts in blocks, each two of them compared by one task
+    own = of.where("not few").select("cluster", "shingle", "doc_id", F.ceil(2 * F.col("m") / group_texts).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")))
+    units = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = units.select("cluster", "shingle", "doc_id", F.least("block", "other").alias("bx"), F.greatest("block", "other").alias("by")).join(text.select("doc_id", "text"), "doc_id")
+    blocks = units.groupBy("cluster", "shingle", "bx", "by").applyInPandas(lambda pdf: _compare(pdf[["doc_id", "text"]], percent), "doc_id long, label long")
+    more = more.unionByName(blocks.where("doc_id <> label").select("doc_id", F.col("label").alias("hub")))
     label = base.components(links.unionByName(more).select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
     return members.select("doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
 
@@ -281,7 +293,7 @@ def near_duplicates(docs: DataFrame, group_texts: int = GROUP_TEXTS, group_bytes
     split = base.cut(of.join(sizes, "cluster").withColumn("small", (F.col("texts") <= group_texts) & (F.col("bytes") <= group_bytes)))
     small = docs.join(split.where("small").select("doc_id", "cluster"), "doc_id").dropDuplicates(["doc_id"])
     label = small.groupBy("cluster").applyInPandas(lambda pdf: _compare(pdf, percent), "doc_id long, label long")
-    label = label.unionByName(_large(docs.join(split.where("not small").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), split.where("not small").select("doc_id", "cluster", "n"), reps, percent))
+    label = label.unionByName(_large(docs.join(split.where("not small").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), split.where("not small").select("doc_id", "cluster", "n"), reps, percent, group_texts))
     label = base.cut(label.select(F.col("doc_id").alias("rep"), "label"))
     out = member.join(label, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").cast(LongType()).alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

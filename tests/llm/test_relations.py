@@ -330,3 +330,37 @@ def test_columns_of_users_stay(spark):
     twice = spark.createDataFrame([(1, body), (1, body + " " + body), (1, "nothing")], "doc_id long, text string")
     got = licenses.scan(twice).where("template = 'mit'").collect()
     assert len(got) == 1 and got[0]["n_shared"] == got[0]["n_shingles"]
+
+
+@pytest.mark.parametrize("pairs", [0, 1 << 30])
+def test_near_duplicates_of_a_family_under_the_limit(spark, monkeypatch, pairs):
+    """Chains between texts that no hub links, by pairs and by blocks alike."""
+    r = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(400)]
+    base_ = [r.choice(vocabulary) for _ in range(120)]
+    rows = []
+    for f in range(8):  # families that share half of their words, chains within each
+        x = base_[:60] + [r.choice(vocabulary) for _ in range(60)]
+        for _ in range(9):
+            rows.append(" ".join(x))
+            x = list(x)
+            at = r.randrange(60, 118)
+            x[at : at + 2] = [r.choice(vocabulary) for _ in range(2)]
+    rows = [(i, t) for i, t in enumerate(rows)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if 100 * n >= 85 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    monkeypatch.setattr(neardup, "PAIRS", pairs)
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
