@@ -14,6 +14,8 @@ from . import store as store_
 from . import symbols
 
 FILE = ["repository_id", "path"]
+#: Terms of a batch that a scan without a stored index picks within the row.
+WANTED = 2000
 
 
 def _identifier_terms(names: Column) -> Column:
@@ -101,16 +103,15 @@ def validate(spark: SparkSession, path: str) -> str:
 def score(postings_: DataFrame, stats: DataFrame, queries: DataFrame, only: Column | None = None) -> DataFrame:
     """(query_id, repository_id, path, score): BM25 of postings of the terms asked for, summed over terms and fields.
 
-    queries: (query_id, term), bounded by the batch of queries; so are the tables of terms by field
-    and of fields that go to all tasks.
+    queries: (query_id, term). The table of fields goes to all tasks; terms and queries are as large as the batch.
     """
     df = postings_.groupBy("field", "term").agg(F.count("*").alias("df"))
     boost = F.create_map(*[F.lit(x) for kv in V.FIELD_BOOSTS.items() for x in kv])
-    j = postings_.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field")
+    j = postings_.join(df, ["field", "term"]).join(F.broadcast(stats), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("len") / (F.col("total") / F.col("n"))))
     j = j if only is None else j.where(only)
-    hits = j.withColumn("s", boost[F.col("field")] * idf * norm).join(F.broadcast(queries), "term")
+    hits = j.withColumn("s", boost[F.col("field")] * idf * norm).join(queries, "term")
     return hits.groupBy("query_id", *FILE).agg(F.sum("s").alias("score"))
 
 
@@ -121,12 +122,15 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 50, only: Column | None
     are those of all files all the same. The corpus is analysed once: of each field its length and
     the terms asked for (the batch of queries is bounded) are kept, the rest never leaves the row.
     """
-    wanted = sorted({r[0] for r in queries.select("term").distinct().collect()})
-    hits = lambda terms: F.filter(terms, lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")
+    some = queries.select("term").distinct()
+    wanted = sorted(r[0] for r in some.limit(WANTED + 1).collect())
+    few = len(wanted) <= WANTED  # else all terms are kept, and joined
+    hits = lambda terms: F.filter(terms, lambda t: t.isin(wanted)) if wanted and few else terms if wanted else F.array().cast("array<string>")
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(c).alias("len"), hits(F.col(c)).alias("hits")) for f, c in FIELDS.items()]))
     f = store_.cut(field_terms(corpus).select(*FILE, each.alias("f")).select(*FILE, "f.*"))
     stats = f.groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
-    tf = f.where(F.size("hits") > 0).select(*FILE, "field", "len", F.explode("hits").alias("term")).groupBy(*FILE, "field", "len", "term").agg(F.count("*").alias("tf"))
+    each = f.where(F.size("hits") > 0).select(*FILE, "field", "len", F.explode("hits").alias("term"))
+    tf = (each if few else each.join(some, "term", "left_semi")).groupBy(*FILE, "field", "len", "term").agg(F.count("*").alias("tf"))
     return top_k(score(tf, stats, queries, only), ["query_id"], k)
 
 
@@ -139,13 +143,13 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 50, only
 
 def document_frequency(corpus: DataFrame, terms: DataFrame) -> DataFrame:
     """(field, term, n_docs, n_found) of the terms asked for, a table of bounded size: files that hold each, and how often."""
-    p = postings(fields(corpus)).join(F.broadcast(terms.select("term").distinct()), "term")
+    p = postings(fields(corpus)).join(terms.select("term").distinct(), "term")
     return p.groupBy("field", "term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_found"))
 
 
 def count_hits(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, n): files that hold any term of each query (query_id, term) in any field, whatever k."""
-    p = postings(fields(corpus)).join(F.broadcast(queries), "term")
+    p = postings(fields(corpus)).join(queries, "term")
     return p.select("query_id", *FILE).distinct().groupBy("query_id").agg(F.count("*").alias("n"))
 
 

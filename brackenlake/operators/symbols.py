@@ -108,13 +108,8 @@ def structural_in(corpus: DataFrame, candidates: DataFrame, pattern: str) -> Dat
     return structural(corpus.join(candidates.select(*key).distinct(), key, "left_semi"), pattern)
 
 
-#: Words of a request, in order of trial, with the kind that they ask for and its patterns by language.
+#: Words of a request, in order of trial, with the kind that they ask for.
 KIND_WORDS = [("function", "function"), ("method", "method"), ("class", "class"), ("struct", "struct"), ("enum", "enum"), ("trait", "trait"), ("interface", "interface"), ("import", "import"), ("impl", "impl"), ("call", "call"), ("type", "type")]
-KIND_PATTERNS = {
-    ("function", "rust"): "fn $NAME($$$ARGS)", ("function", "python"): "def $NAME($$$ARGS)", ("function", "typescript"): "function $NAME($$$ARGS)",
-    ("class", "python"): "class $NAME", ("class", "typescript"): "class $NAME", ("struct", "rust"): "struct $NAME", ("enum", "rust"): "enum $NAME",
-    ("trait", "rust"): "trait $NAME", ("interface", "typescript"): "interface $NAME", ("impl", "rust"): "impl $NAME", ("import", "python"): "import $NAME",
-}
 
 
 def kind_of(request):

@@ -15,6 +15,16 @@ FILE = ["repository_id", "path"]
 KEY = ["query_id", *FILE]
 
 
+#: Requests of a batch up to which it is sent to the tasks, after a count.
+SENT = 100_000
+
+
+def batch(q: DataFrame) -> DataFrame:
+    """A batch of requests, computed once; a counted small one goes to the tasks that join it."""
+    q = store.cut(q)
+    return F.broadcast(q) if q.limit(SENT + 1).count() <= SENT else q
+
+
 def terms(queries: DataFrame) -> DataFrame:
     """(query_id, term) of queries (query_id, query): tokens without stop words."""
     return queries.select("query_id", F.explode(text.query_tokens(F.col("query"))).alias("term"))
@@ -43,7 +53,7 @@ def prepare(queries: DataFrame) -> DataFrame:
 
 def _by_class(hits: DataFrame, q: DataFrame) -> DataFrame:
     """Hits with their file class, times class, test and directory factors; classes of no weight go."""
-    j = hits.join(F.broadcast(q.select("query_id", "query")), "query_id").withColumn("file_class", paths.file_class(F.col("path")))
+    j = hits.join(q.select("query_id", "query"), "query_id").withColumn("file_class", paths.file_class(F.col("path")))
     cls = F.col("file_class")
     j = j.withColumn("score", F.col("score") * paths.class_boost(cls) * paths.test_multiplier(F.col("query"), cls) * paths.directory_boost(F.col("path")))
     return j.where((paths.class_boost(cls) > 0) & paths.valid_path(F.col("path"))).drop("query")
@@ -74,7 +84,7 @@ def lexical(corpus: DataFrame | None, q: DataFrame, most: int, pool: int, stored
     found = index.bm25(corpus, asked, pool) if stored is None else segments.search(stored, segments.clauses_of(asked), pool)
     if "pool" in q.columns:  # queries with pools of their own, of `pool` at most
         own = q.select(F.col("query_id").alias("asked"), F.col("pool").alias("its_pool"))
-        found = found.join(F.broadcast(own), F.col("query_id.query_id") == F.col("asked")).where("rank <= its_pool").drop("asked", "its_pool")
+        found = found.join(own, F.col("query_id.query_id") == F.col("asked")).where("rank <= its_pool").drop("asked", "its_pool")
     hits = found.drop("rank").select("query_id.query_id", "query_id.variant", *FILE, "score")
     scored = store.cut(_by_class(hits, q))  # a bounded number of rows a query
     own = scored.where("variant = 0").select(*KEY, "score", F.lit("lexical").alias("source"))
@@ -82,7 +92,7 @@ def lexical(corpus: DataFrame | None, q: DataFrame, most: int, pool: int, stored
     more = scored.where("variant = 1").join(few, "query_id", "left_anti").select(*KEY, "score", F.lit("expanded").alias("source"))
     found = index.gap_fill(own, more)
     tokens = q.select("query_id", F.when(F.col("more"), F.col("expanded")).otherwise(F.col("tokens")).alias("t"))
-    boosted = found.join(F.broadcast(tokens), "query_id").withColumn("score", F.col("score") * _path_boost(F.col("t"), F.col("path")))
+    boosted = found.join(tokens, "query_id").withColumn("score", F.col("score") * _path_boost(F.col("t"), F.col("path")))
     return boosted.drop("t")
 
 
@@ -101,13 +111,13 @@ def with_graph(rows: DataFrame, corpus: DataFrame, q: DataFrame, n_files: int) -
     if not planner.graph_allowed(True, 2, n_files, n_files) or of.isEmpty():
         return rows
     edges = store.cut(graph.dependencies(corpus))
-    r = _ranked(rows.join(F.broadcast(of), "query_id", "left_semi"))
-    return graph.graph_boost(r, edges).drop("rank").unionByName(rows.join(F.broadcast(of), "query_id", "left_anti"))
+    r = _ranked(rows.join(of, "query_id", "left_semi"))
+    return graph.graph_boost(r, edges).drop("rank").unionByName(rows.join(of, "query_id", "left_anti"))
 
 
 def adjusted(rows: DataFrame, q: DataFrame) -> DataFrame:
     """Rows times what their class weighs for the intent against its common weight, authority, expansion, and the damping of documentation that no token's path names."""
-    j = rows.join(F.broadcast(q.select("query_id", "tokens", "intent", "more")), "query_id").withColumn("file_class", paths.file_class(F.col("path")))
+    j = rows.join(q.select("query_id", "tokens", "intent", "more"), "query_id").withColumn("file_class", paths.file_class(F.col("path")))
     cls, path = F.col("file_class"), F.col("path")
     base = paths.class_boost(cls)
     delta = paths.intent_weight(F.col("intent"), cls) / F.when(base == 0, 1.0).otherwise(base)
@@ -130,7 +140,7 @@ def rank(corpus: DataFrame, queries: DataFrame, most: int | None = None, wanted:
 def rank_prepared(corpus: DataFrame, q: DataFrame, most: int | None = None, wanted: int | None = None, stored: segments.Snapshot | None = None) -> DataFrame:
     """rank() of prepared queries, which may have columns of their own: graph (whether edges count) and pool (candidates)."""
     n = corpus.count() if stored is None else stored.n_files
-    most = planner.max_files(n, most)
+    most, q = planner.max_files(n, most), batch(q)
     found = store.cut(index.merge_max(lexical(corpus, q, most, planner.candidates(n, most, wanted), stored), by_symbols(corpus, q, most)))
     behind = index.code_behind(found.select(*KEY, "score"), corpus).withColumn("source", F.lit("code-behind"))
     found = found.select(*KEY, "score", "source").unionByName(behind.select(*KEY, "score", "source"))
