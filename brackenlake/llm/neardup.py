@@ -27,7 +27,7 @@ DEEP, MISS = 2, 1e-4
 #: Texts and bytes of a group that one task compares.
 GROUP_TEXTS, GROUP_BYTES = 400, 6 << 20
 #: Pairs of unlike labels that a shingle may give for each of its texts; texts of one that gives more are compared in blocks.
-PAIRS = 16
+PAIRS = 4000
 #: Hubs that a large group is compared with before the prefix search.
 HUBS = 4
 
