@@ -18,13 +18,17 @@ def known(files: DataFrame) -> DataFrame:
     return files.select(*FILE, F.sha2("content", 256).alias("hash"))
 
 
+#: What indexes of this code are like; another number is built anew.
+FORMAT = 1
+
+
 def opened(corpus: DataFrame, name: str) -> segments.Snapshot:
     """The index of a corpus that is read from files: built once for their state, opened again after that.
 
     name tells apart what different corpora make of the same files.
     """
     spark = corpus.sparkSession
-    at = f"{store.shared_dir(spark)}/index/{name}-{commits.fingerprint(spark, corpus.inputFiles())}"
+    at = f"{store.shared_dir(spark)}/index/{name}-{FORMAT}-{commits.fingerprint(spark, corpus.inputFiles())}"
     try:
         return segments.cached(spark, at)
     except FileNotFoundError:
