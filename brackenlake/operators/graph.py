@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,9 +102,49 @@ def dependencies_of(edges: DataFrame, of: DataFrame) -> DataFrame:
     return edges.join(starts, ["repository_id", "src"], "left_semi").select("repository_id", F.col("dst").alias("path")).distinct()
 
 
-def impact(edges: DataFrame, start: DataFrame, growth: int = 4) -> DataFrame:
+#: Edges of a repository up to which one task follows them, after a count.
+ALONE = 1 << 20
+
+
+def _reached(edges: pd.DataFrame, start: pd.DataFrame) -> np.ndarray:
+    """Names that reach one of the start names over edges of one repository."""
+    code, names = pd.factorize(np.concatenate([edges["src"].to_numpy(), edges["dst"].to_numpy()]))
+    src, dst = code[: len(edges)], code[len(edges) :]
+    order = np.argsort(dst, kind="stable")
+    src, begins = src[order], np.searchsorted(dst[order], np.arange(len(names) + 1))
+    seen = np.zeros(len(names), bool)
+    front = np.flatnonzero(np.isin(names, start["path"].unique()))
+    while len(front):
+        n = begins[front + 1] - begins[front]
+        ends = np.cumsum(n)
+        next_ = np.unique(src[np.arange(ends[-1]) + np.repeat(begins[front] - (ends - n), n)]) if len(ends) and ends[-1] else np.empty(0, int)
+        front = next_[~seen[next_]]
+        seen[front] = True
+    return names[seen]
+
+
+def impact(edges: DataFrame, start: DataFrame, growth: int = 4, alone: int = ALONE) -> DataFrame:
     """Files that depend on the start files, directly or not; a start file only if a cycle leads back.
 
+    A repository of at most `alone` edges is followed by one task, each edge once. Larger ones go by
+    paths that double in length (doubled()).
+    """
+    edges = store.cut(edges.select("repository_id", "src", "dst").distinct())
+    size = edges.groupBy("repository_id").agg(F.count("*").alias("n"))
+    large = store.cut(size.where(F.col("n") > alone).select("repository_id"))
+    some = not large.isEmpty()
+    small = edges.join(large, "repository_id", "left_anti") if some else edges
+
+    def follow(key, e, s):
+        return pd.DataFrame({"repository_id": key[0], "path": _reached(e, s)})
+
+    out = small.groupBy("repository_id").cogroup(start.select(*FILE).groupBy("repository_id")).applyInPandas(follow, "repository_id string, path string")
+    return out.unionByName(doubled(edges.join(large, "repository_id", "left_semi"), start, growth)) if some else out
+
+
+def doubled(edges: DataFrame, start: DataFrame, growth: int = 4) -> DataFrame:
+    """impact() by joins alone, however large the graph is.
+
     The paths of a round are twice as long as those of the round before: edges are joined with
     themselves, so a chain of n imports takes about log2(n) rounds, and a cycle ends when nothing
     new is reached. Where that would make more than `growth` times as many pairs as there are edges,

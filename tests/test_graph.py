@@ -19,20 +19,21 @@ def brute(edges, start):
     return seen
 
 
-@pytest.mark.parametrize("growth", [4, 0])
-def test_impact_of_any_graph(spark, growth):
+@pytest.mark.parametrize("growth,alone", [(4, 0), (0, 0), (4, 60), (4, 1 << 20)])
+def test_impact_of_any_graph(spark, growth, alone):
     r = random.Random(growth)
     edges = {("r", f"f{a}", f"f{b}") for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(70))} | {("q", "f1", "f2"), ("r", "c0", "c1"), ("r", "c1", "c2"), ("r", "c2", "c0"), ("r", "own", "own")}
     for start in ([("r", "f3")], [("r", "c0")], [("q", "f2"), ("r", "f9")], [("r", "own")], [("r", "nowhere")], []):
-        got = graph.impact(spark.createDataFrame(list(edges), EDGE), spark.createDataFrame(start, FILE), growth)
+        got = graph.impact(spark.createDataFrame(list(edges), EDGE), spark.createDataFrame(start, FILE), growth, alone)
         assert {tuple(x) for x in got.select("repository_id", "path").collect()} == brute(edges, start)
 
 
 def test_impact_of_a_chain_of_ten_thousand(spark):
     chain = spark.range(10_000).select(F.lit("r").alias("repository_id"), F.concat(F.lit("f"), F.col("id")).alias("src"), F.concat(F.lit("f"), F.col("id") + 1).alias("dst"))
     back = spark.createDataFrame([("r", "f10000", "f9990"), ("s", "a", "f10000")], EDGE)
-    got = graph.impact(chain.unionByName(back), spark.createDataFrame([("r", "f10000")], FILE))
-    assert got.count() == 10_001  # the cycle at its end leads back to the start
+    for alone in (0, 1 << 20):
+        got = graph.impact(chain.unionByName(back), spark.createDataFrame([("r", "f10000")], FILE), alone=alone)
+        assert got.count() == 10_001  # the cycle at its end leads back to the start
     first = graph.impact(chain, spark.createDataFrame([("r", "f3")], FILE)).select("path").collect()
     assert {x["path"] for x in first} == {"f0", "f1", "f2"}
 
