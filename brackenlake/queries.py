@@ -50,7 +50,9 @@ def classify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(CORPUS + """SELECT doc_id, (CASE WHEN regexp_matches(lower(path), '(readme\\.md|contributing\\.md|contributing|claude\\.md|agents\\.md)$') THEN 1.3 WHEN contains(lower(path), '/docs/') OR contains(lower(path), '/.github/') THEN 1.2 WHEN starts_with(lower(path), 'types/') OR contains(lower(path), '/types/') THEN 1.15 ELSE 1.0 END)::DOUBLE AS directory,
-(CASE WHEN regexp_extract(lower(path), '([^/]*)$', 1) = 'readme.md' THEN 1.5 WHEN (contains(lower(path), '/docs/') OR starts_with(lower(path), 'docs/')) AND ends_with(lower(path), '.md') THEN 1.2 WHEN (contains(lower(path), '/.github/') OR starts_with(lower(path), '.github/')) AND ends_with(lower(path), '.md') THEN 1.1 ELSE 1.0 END)::DOUBLE AS authority FROM corpus""")
+(CASE WHEN regexp_extract(lower(path), '([^/]*)$', 1) = 'readme.md' THEN 1.5 WHEN (contains(lower(path), '/docs/') OR starts_with(lower(path), 'docs/'))
+AND ends_with(lower(path), '.md') THEN 1.2 WHEN (contains(lower(path), '/.github/') OR starts_with(lower(path), '.github/'))
+AND ends_with(lower(path), '.md') THEN 1.1 ELSE 1.0 END)::DOUBLE AS authority FROM corpus""")
 def path_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
     return corpus(spark, sf_dir).select("doc_id", paths.directory_boost(p).alias("directory"), paths.authority_boost(p).alias("authority"))
@@ -143,7 +145,8 @@ _TERMS = f"""q(query_id, query) AS (VALUES {_VALUES}), qt AS (SELECT query_id, u
 _BM25 = _FIELDS + f""", {_TERMS}, st AS (SELECT field, count(*) AS n, avg(len(terms)) AS al FROM f GROUP BY field), u AS (SELECT repository_id, path, field, len(terms) AS len, unnest(terms) AS term FROM f),
 tf AS (SELECT repository_id, path, field, len, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
 b(field, boost) AS (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in V.FIELD_BOOSTS.items())}),
-s AS (SELECT query_id, repository_id, path, sum(boost * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al)))) AS score FROM tf JOIN df USING (field, term) JOIN st USING (field) JOIN b USING (field) JOIN qt USING (term) GROUP BY ALL),
+s AS (SELECT query_id, repository_id, path, sum(boost * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al)))) AS score
+FROM tf JOIN df USING (field, term) JOIN st USING (field) JOIN b USING (field) JOIN qt USING (term) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, repository_id, path) AS rank FROM s)"""
 
 

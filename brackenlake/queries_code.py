@@ -258,12 +258,14 @@ paired AS (SELECT repository_id, src, dst FROM edges UNION SELECT repository_id,
 near AS (SELECT DISTINCT query_id, b.repository_id, b.dst AS path FROM paired b JOIN ranked a ON a.repository_id = b.repository_id AND a.path = b.src AND a.r <= 3 JOIN q USING (query_id) WHERE intent = 'Debugging' AND (SELECT n FROM pool) <= 5000),
 raised AS (SELECT r.query_id, r.repository_id, r.path, CASE WHEN n.path IS NOT NULL AND r.r > 3 THEN r.score * 1.2::DOUBLE ELSE r.score END AS score, source FROM ranked r LEFT JOIN near n ON n.query_id = r.query_id AND n.repository_id = r.repository_id AND n.path = r.path),
 weights(intent, cls, weight) AS (VALUES {_WEIGHTS}), joined AS (SELECT r.*, {_CLASS} AS cls, tokens, intent, more FROM raised r JOIN q USING (query_id)),
-delta AS (SELECT j.*, coalesce(weight, CASE cls WHEN 'Generated' THEN 0.5::DOUBLE ELSE 0 END) / CASE WHEN {paths.class_boost_sql('cls')} = 0 THEN 1.0::DOUBLE ELSE {paths.class_boost_sql('cls')}::DOUBLE END AS d FROM (SELECT j.*, w.weight FROM joined j LEFT JOIN weights w ON w.intent = j.intent AND w.cls = j.cls) j),
+delta AS (SELECT j.*, coalesce(weight, CASE cls WHEN 'Generated' THEN 0.5::DOUBLE ELSE 0 END) / CASE WHEN {paths.class_boost_sql('cls')} = 0 THEN 1.0::DOUBLE ELSE {paths.class_boost_sql('cls')}::DOUBLE END AS d
+FROM (SELECT j.*, w.weight FROM joined j LEFT JOIN weights w ON w.intent = j.intent AND w.cls = j.cls) j),
 adjusted AS (SELECT query_id, repository_id, path, cls, source, score * CASE WHEN abs(d - 1) > 0.01 THEN d ELSE 1 END * {_AUTHORITY} * CASE WHEN more THEN 1.05::DOUBLE ELSE 1 END
 * CASE WHEN cls = 'Documentation' AND len(tokens) > 0 AND {_matched('tokens')} = 0 THEN 0.1::DOUBLE ELSE 1 END AS score FROM delta),
 again AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, repository_id, path) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM adjusted),
 placed AS (SELECT *, least((SELECT most FROM pool), n) AS k, cls = 'Documentation' AS doc FROM again), parted AS (SELECT *, CASE WHEN r <= k - 2 THEN 'head' WHEN r <= k THEN 'tail' ELSE 'below' END AS part FROM placed),
-counted AS (SELECT *, 2 - count(*) FILTER (doc AND part = 'tail') OVER w AS need, count(*) FILTER (doc AND part = 'head') OVER w AS heads, count(*) FILTER (doc AND part = 'below') OVER w AS belows, row_number() OVER (PARTITION BY query_id, part, doc ORDER BY r) AS nth FROM parted WINDOW w AS (PARTITION BY query_id)),
+counted AS (SELECT *, 2 - count(*) FILTER (doc AND part = 'tail') OVER w AS need, count(*) FILTER (doc AND part = 'head') OVER w AS heads, count(*) FILTER (doc
+AND part = 'below') OVER w AS belows, row_number() OVER (PARTITION BY query_id, part, doc ORDER BY r) AS nth FROM parted WINDOW w AS (PARTITION BY query_id)),
 kept AS (SELECT *, least(need, heads) AS own_, least(need - least(need, heads), belows) AS in_ FROM counted),
 answer AS (SELECT query_id, repository_id, path, cls, source, score * 1000::DOUBLE AS score FROM kept WHERE CASE WHEN k > 2 THEN (part = 'below' AND doc AND nth <= in_) OR (part <> 'below' AND NOT (part = 'tail' AND NOT doc AND nth BETWEEN own_ + 1 AND own_ + in_)) ELSE part <> 'below' END),
 final AS (SELECT query_id::INT AS query_id, repository_id, path, cls AS file_class, round(score, 4) AS score, source, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, repository_id, path)::INT AS rank FROM answer)"""
@@ -300,7 +302,8 @@ def symbol_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{ALL}, {FIELDS_SQL}, q(query_id, query) AS (VALUES {_VALUES}), qt AS (SELECT DISTINCT query_id, unnest({_ANALYSE.format(x=f"array_to_string({_SEARCHED}, ' ')")}) AS term FROM q),
 st AS (SELECT field, count(*) AS n, sum(len(terms)) / count(*) AS al FROM f GROUP BY field), u AS (SELECT repository_id, path, field, len(terms) AS len, unnest(terms) AS term FROM f),
 tf AS (SELECT repository_id, path, field, len, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL), b(field, boost) AS (VALUES {_BOOSTS}),
-s AS (SELECT query_id, repository_id, path, sum(boost * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al)))) AS score FROM tf JOIN df USING (field, term) JOIN st USING (field) JOIN b USING (field) JOIN qt USING (term) GROUP BY ALL),
+s AS (SELECT query_id, repository_id, path, sum(boost * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al)))) AS score
+FROM tf JOIN df USING (field, term) JOIN st USING (field) JOIN b USING (field) JOIN qt USING (term) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, repository_id, path) AS rank FROM s) SELECT query_id::INT AS query_id, repository_id, path, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 50""")
 def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index is written, and a search reads the buckets of its terms."""
@@ -362,7 +365,9 @@ gone AS (SELECT task_id, tokens, 'r0' AS repository_id, 'absent.rs' AS path, NUL
 paired AS (SELECT repository_id, src AS path, dst AS other FROM edges UNION SELECT repository_id, dst, src FROM edges), near AS (SELECT DISTINCT task_id, b.repository_id, b.path FROM paired b JOIN x ON x.repository_id = b.repository_id AND x.path = b.other AND x.hit),
 n AS (SELECT e.*, len(list_filter(tokens, lambda k: contains(lower(content), k) OR contains(lower(regexp_extract(e.path, '([^/]*)$', 1)), k))) AS hits, near.path IS NOT NULL AS near,
 EXISTS (SELECT 1 FROM symbols s WHERE s.repository_id = e.repository_id AND s.path = e.path AND len(list_filter(tokens, lambda k: contains(lower(s.name), k))) > 0) AS sym FROM every e LEFT JOIN near ON near.task_id = e.task_id AND near.repository_id = e.repository_id AND near.path = e.path)
-SELECT CASE WHEN hit THEN 'Hit' WHEN content IS NULL OR content = '' THEN 'NotIndexed' WHEN hits = 0 AND near THEN 'GraphMiss' WHEN hits = 0 THEN 'LexicalMiss' WHEN sym THEN 'SymbolMiss' WHEN hits < len(tokens) // 2 THEN 'QueryExpansionMiss' ELSE 'RankedTooLow' END AS miss, count(*) AS n FROM n GROUP BY 1""")
+SELECT CASE WHEN hit THEN 'Hit' WHEN content IS NULL OR content = '' THEN 'NotIndexed' WHEN hits = 0
+AND near THEN 'GraphMiss' WHEN hits = 0 THEN 'LexicalMiss' WHEN sym THEN 'SymbolMiss' WHEN hits < len(tokens) // 2 THEN 'QueryExpansionMiss' ELSE 'RankedTooLow' END AS miss, count(*) AS n
+FROM n GROUP BY 1""")
 def miss_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three tasks that expect every file and one that is not there, of which some were found."""
     c = code_corpus(spark, sf_dir)

@@ -297,7 +297,8 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{CORPUS}, p AS (SELECT repository_id AS query_id, path, ({_CLASS}) = 'Documentation' AS doc, row_number() OVER (PARTITION BY repository_id ORDER BY strlen(content) DESC, repository_id, path) AS r, count(*) OVER (PARTITION BY repository_id) AS n FROM corpus),
 k AS (SELECT *, least(4, n) AS k FROM p), t AS (SELECT *, CASE WHEN r <= k - 2 THEN 'head' WHEN r <= k THEN 'tail' ELSE 'below' END AS part FROM k),
-c AS (SELECT *, 2 - count(*) FILTER (doc AND part = 'tail') OVER w AS need, count(*) FILTER (doc AND part = 'head') OVER w AS heads, count(*) FILTER (doc AND part = 'below') OVER w AS belows, row_number() OVER (PARTITION BY query_id, part, doc ORDER BY r) AS nth FROM t WINDOW w AS (PARTITION BY query_id)),
+c AS (SELECT *, 2 - count(*) FILTER (doc AND part = 'tail') OVER w AS need, count(*) FILTER (doc AND part = 'head') OVER w AS heads, count(*) FILTER (doc
+AND part = 'below') OVER w AS belows, row_number() OVER (PARTITION BY query_id, part, doc ORDER BY r) AS nth FROM t WINDOW w AS (PARTITION BY query_id)),
 o AS (SELECT *, least(need, heads) AS a, least(need - least(need, heads), belows) AS b FROM c)
 SELECT query_id, path FROM o WHERE CASE WHEN k > 2 THEN (part = 'below' AND doc AND nth <= b) OR (part <> 'below' AND NOT (part = 'tail' AND NOT doc AND nth BETWEEN a + 1 AND a + b)) ELSE part <> 'below' END""")
 def docs_reserved(spark: SparkSession, sf_dir: str) -> DataFrame:

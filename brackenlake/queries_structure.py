@@ -25,7 +25,8 @@ length(x) - length(ltrim(x)) AS deep FROM told WHERE word <> ''),
 curly AS (SELECT repository_id, path, line, sum(length(x) - length(replace(x, '{{', '')) - length(x) + length(replace(x, '}}', ''))) OVER (PARTITION BY repository_id, path ORDER BY line) AS after, length(x) - length(replace(x, '{{', '')) - length(x) + length(replace(x, '}}', '')) AS own FROM rows_),
 closed AS (SELECT d.repository_id, d.path, d.line, min(c.line) AS stop FROM d JOIN curly b USING (repository_id, path, line) JOIN curly c ON c.repository_id = d.repository_id AND c.path = d.path AND c.line >= d.line AND c.after <= b.after - b.own GROUP BY ALL),
 inner_ AS (SELECT d.repository_id, d.path, d.line, min(r.line) AS next FROM d JOIN rows_ r ON r.repository_id = d.repository_id AND r.path = d.path AND r.line > d.line AND trim(r.x) <> '' AND length(r.x) - length(ltrim(r.x)) <= d.deep WHERE d.language = 'python' GROUP BY ALL),
-dedent AS (SELECT d.repository_id, d.path, d.line, max(r.line) AS stop FROM d LEFT JOIN inner_ i USING (repository_id, path, line) JOIN rows_ r ON r.repository_id = d.repository_id AND r.path = d.path AND r.line >= d.line AND r.line < coalesce(i.next, 1000000) AND trim(r.x) <> '' WHERE d.language = 'python' GROUP BY ALL),
+dedent AS (SELECT d.repository_id, d.path, d.line, max(r.line) AS stop FROM d LEFT JOIN inner_ i USING (repository_id, path, line) JOIN rows_ r ON r.repository_id = d.repository_id
+AND r.path = d.path AND r.line >= d.line AND r.line < coalesce(i.next, 1000000) AND trim(r.x) <> '' WHERE d.language = 'python' GROUP BY ALL),
 flat AS (SELECT d.*, CASE WHEN d.language = 'python' THEN p.stop WHEN regexp_matches(d.x, ';$') THEN d.line ELSE c.stop END AS stop FROM d LEFT JOIN closed c USING (repository_id, path, line) LEFT JOIN dedent p USING (repository_id, path, line)),
 spans AS (SELECT f.repository_id, f.path, f.language, f.x, f.name, f.kind, f.line, f.stop, arg_max(o.name, o.line) AS parent FROM flat f LEFT JOIN flat o ON o.repository_id = f.repository_id AND o.path = f.path AND o.line < f.line AND o.stop >= f.line GROUP BY ALL)"""
 _SCOPED = _SPANS + rf""", named AS (SELECT repository_id, path, line, unnest(regexp_extract_all(x, '\b([A-Za-z_]\w*)\s?\(', 1)) AS callee FROM rows_),
