@@ -217,6 +217,15 @@ class Snapshot:
         rows = self._read("segments", "/kind=files", f"range int, {_FILE}, grp long", lambda s: s["files"])
         return rows.join(self.gone(), ["grp", "doc"], "left_anti") if self.state["gone"] else rows
 
+    def posting_bytes(self, groups: set[int] | None = None) -> int:
+        """Bytes of the postings of some groups or of all, as their files are listed."""
+        out = 0
+        for s in self.state["segments"]:
+            at = f"{self.path}/segments/segment={s['name']}/kind=postings"
+            own = [g for g in groups or () if g // _GROUPS == s["number"]]
+            out += sum(commits.size(self.spark, f"{at}/grp={g}") for g in own) if groups is not None else commits.size(self.spark, at)
+        return out
+
     def bytes(self) -> int:
         return sum(commits.size(self.spark, f"{self.path}/{t}/segment={s['name']}") for t in ("segments", "bounds") for s in self.state["segments"])
 
@@ -508,6 +517,8 @@ class Search:
         taken = store_.cut(first.select("grp", "range").unionByName(rest.select("grp", "range")).distinct())
         read = self.bounds.join(taken, ["grp", "range"], "left_semi").agg(F.sum("n")).first()[0]
         whole = self.bounds.agg(F.sum("n")).first()[0]
+        groups = {r[0] for r in taken.select("grp").distinct().limit(PUSHED + 1).collect()}
+        self.report |= {"bytes": self.snapshot.posting_bytes(groups if len(groups) <= PUSHED else None), "bytes_stored": self.snapshot.posting_bytes()}
         self.report |= {"ranges": ranges.select("grp", "range").distinct().count(), "scored": taken.count(), "read": int(read or 0), "stored": int(whole or 0)}
         return self._best(head.unionByName(self.scored(rest, files)))
 

@@ -55,6 +55,20 @@ def test_ranges_below_the_threshold_are_not_scored(spark, corpus, tmp_path):
     assert report[0]["scored"] * 2 < report[0]["ranges"] and report[0]["read"] * 2 < report[0]["stored"]
 
 
+def test_groups_below_the_threshold_are_not_read(spark, tmp_path):
+    rows = [("r", f"d{i // 100:02d}/f{i:04d}.txt", "text", ("needle " * (5 if i % 10 == 0 else 1) if i < 200 else "") + "hay " * (1 + i % 3) + f"w{i % 50}") for i in range(2400)]
+    c = spark.createDataFrame(rows, SCHEMA).repartitionByRange(24, "path")
+    s = segments.build(c, str(tmp_path), range_files=25)
+    report = []
+    found = segments.search(s, asked(spark, ["needle", "hay"]), 10, None, 0, 4, report)
+    assert rows_of(found) == rows_of(index.bm25(c, spark.createDataFrame([(0, "needle"), (0, "hay")], "query_id int, term string"), 10))
+    assert report[0]["bytes"] * 4 < report[0]["bytes_stored"] and report[0]["scored"] * 4 < report[0]["ranges"]
+
+
+def rows_of(df):
+    return sorted((r["rank"], r["path"], round(r["score"], 6)) for r in df.collect())
+
+
 def brute_phrase(texts, tokens):
     def count(words):
         return sum(words[i : i + len(tokens)] == tokens for i in range(len(words) - len(tokens) + 1))
