@@ -32,7 +32,10 @@ def opened(corpus: DataFrame, name: str) -> segments.Snapshot:
     try:
         return segments.cached(spark, at)
     except FileNotFoundError:
-        return segments.build(corpus, at)
+        try:
+            return segments.build(corpus, at)
+        except FileExistsError:  # another job built it meanwhile, of the same files
+            return segments.cached(spark, at)
 
 
 def reindex(spark: SparkSession, path: str, before: DataFrame, now: DataFrame) -> dict[str, int]:

@@ -212,3 +212,25 @@ def test_guarded_search(spark, corpus, tmp_path):
     segments.vacuum(spark, at, keep=1)
     segments._OPEN[at] = held  # a reader that opened before the files went
     assert "src/f485.py" in {p for p, _ in got[1, "Found"]} and "src/f485.py" not in {p for p, _ in run()[1, "Found"]}
+
+
+def test_an_opened_index_is_built_once(spark, corpus, tmp_path, monkeypatch):
+    from brackenlake.plans import upkeep
+
+    corpus.write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    monkeypatch.setattr(upkeep.store, "shared_dir", lambda _: str(tmp_path))
+    one = upkeep.opened(files, "a")
+    assert upkeep.opened(files, "a").path == one.path and one.version == 0
+    build = segments.build
+
+    def late(c, at):  # another job commits first
+        build(c, at)
+        return build_again(c, at)
+
+    def build_again(c, at):
+        monkeypatch.setattr(segments, "_last", lambda *_: {"version": -1, "next": 5, "files": 0, "totals": [0] * 6, "segments": [], "gone": [], "batches": {}})
+        return build(c, at)
+
+    monkeypatch.setattr(segments, "build", late)
+    assert upkeep.opened(files, "b").version == 0
