@@ -234,3 +234,37 @@ def test_an_opened_index_is_built_once(spark, corpus, tmp_path, monkeypatch):
 
     monkeypatch.setattr(segments, "build", late)
     assert upkeep.opened(files, "b").version == 0
+
+
+def test_groups_are_bounded_and_written_in_order(spark, corpus, terms, tmp_path, monkeypatch):
+    at = str(tmp_path / "a")
+    s = segments.build(corpus.coalesce(1), at, range_files=8)  # a group has 16 ranges
+    files = s.files().collect()
+    names = {}
+    for f in files:
+        names.setdefault(f["grp"], {})[f["doc"]] = (f["repository_id"], f["path"])
+    assert sorted(len(g) for g in names.values()) == [602 - 4 * 128] + [128] * 4
+    assert all([g[i] for i in range(len(g))] == sorted(g.values()) for g in names.values())
+    assert all(f["range"] == f["doc"] // 8 for f in files)
+    want = rows(index.bm25(corpus, terms, 7))
+    assert rows(segments.search(s, segments.clauses_of(terms), 7)) == want
+    monkeypatch.setattr(segments, "TOKENS", 500)
+    s = segments.build(corpus.coalesce(1), str(tmp_path / "b"))
+    size = s.files().groupBy("grp").agg(F.sum(F.aggregate("field_lens", F.lit(0), lambda a, x: a + x)).alias("n"))
+    assert size.agg(F.max("n")).first()[0] <= 500 and size.count() > 5
+    assert rows(segments.search(s, segments.clauses_of(terms), 7)) == want
+
+
+def test_writing_neither_sorts_nor_shuffles(spark, corpus, tmp_path):
+    tracker, group = spark.sparkContext.statusTracker(), f"build-{tmp_path.name}"
+    spark.range(1).collect()
+    corpus.write.parquet(str(tmp_path / "files"))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.sparkContext.setJobGroup(group, "build")
+    try:
+        segments.build(spark.read.schema(SCHEMA).parquet(str(tmp_path / "files")), str(tmp_path / "index"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(group)]
+    assert len(stages) >= 3 and stages.count(1) >= len(stages) - 1  # totals alone are summed over tasks
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == kept
