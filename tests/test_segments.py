@@ -268,3 +268,21 @@ def test_writing_neither_sorts_nor_shuffles(spark, corpus, tmp_path):
     stages = [len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(group)]
     assert len(stages) >= 3 and stages.count(1) >= len(stages) - 1  # totals alone are summed over tasks
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == kept
+
+
+def test_level_files_of_a_common_clause_come_out_once(spark, tmp_path):
+    """Requests of one common clause and a rare one: rows of a group do not grow with its level files, and names decide."""
+    texts = [("r", f"f{i:04d}.txt", "text", f"same words id{i}") for i in range(400)]
+    c = spark.createDataFrame(texts, SCHEMA).repartition(3)
+    s = segments.build(c, str(tmp_path), range_files=8)
+    many = [(i, t) for i in range(0, 400, 10) for t in ("same", f"id{i}")]
+    asked_ = spark.createDataFrame(many, "query_id int, term string")
+    want = rows(index.bm25(c, asked_, 5))
+    for direct in (1 << 30, 0):
+        assert rows(segments.search(s, segments.clauses_of(asked_), 5, None, direct, 1)) == want
+    only = F.col("path") > "f0200.txt"
+    assert rows(segments.search(s, segments.clauses_of(asked_), 5, only)) == rows(index.bm25(c, asked_, 5, only))
+    held = segments.clauses_of(asked_).select("query_id", F.array_join("tokens", " ").alias("clause"), F.lit(1).cast("long").alias("times"), F.lit(1).alias("m"), F.posexplode("tokens").alias("j", "term"))
+    found = segments.Search(s, held.collect(), held.schema, 5, None, 1 << 30, 1).scored(None, None)
+    groups = s.files().select("grp").distinct().count()
+    assert found.count() <= 40 + 5 * groups
