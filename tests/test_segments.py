@@ -286,3 +286,12 @@ def test_level_files_of_a_common_clause_come_out_once(spark, tmp_path):
     found = segments.Search(s, held.collect(), held.schema, 5, None, 1 << 30, 1).scored(None, None)
     groups = s.files().select("grp").distinct().count()
     assert found.count() <= 40 + 5 * groups
+
+
+def test_postings_by_repository(spark, corpus, tmp_path, monkeypatch):
+    s = segments.build(corpus, str(tmp_path), range_files=16)
+    want = {(r["repository_id"], r["term"]): (r["n"], r["tf"]) for r in index.postings(index.fields(corpus)).where("field = 'content'").groupBy("repository_id", "term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")).collect()}
+    for most in (segments.RUNS, 0):
+        monkeypatch.setattr(segments, "RUNS", most)
+        o = segments.owned(s, ["content"]).groupBy("repository_id", "term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+        assert {(r["repository_id"], r["term"]): (r["n"], r["tf"]) for r in o.collect()} == want
