@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from brackenlake.functions import paths, text
-from brackenlake.operators import context, graph, index, knowledge, symbols
+from brackenlake.operators import context, graph, index, knowledge, store, symbols
 from brackenlake.plans import planner
 from brackenlake.sources import corpus
 from brackenlake.streaming import events
@@ -315,3 +315,26 @@ def test_phrase_and_empty_phrase(spark):
     c = spark.createDataFrame([("a", "x", "Licensed, under licensed under"), ("a", "y", "under licensed"), ("a", "z", None)], "repository_id string, path string, content string")
     assert [tuple(r) for r in index.phrase_matches(c, "licensed under").collect()] == [("a", "x", 2)]
     assert index.phrase_matches(c, " ,").count() == 0
+
+
+def test_evidence_and_words_go_to_the_files(spark, tmp_path, monkeypatch):
+    """A request's few rows are sent, so texts and parts of names are not shuffled; more of them meet by shuffle, with the same result."""
+    texts = [(f"r{i % 3}", f"src/f{i}.py", f"head {i}\n" + "word " * 50 + f"\ndef run_{i}(x):\n  pass") for i in range(60)]
+    spark.createDataFrame(texts, "repository_id string, path string, content string").write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    evidence = spark.createDataFrame([(q, f"r{i % 3}", f"src/f{i}.py", 3, i + 1) for q in (1, 2) for i in range(0, 60, 5)], "query_id int, repository_id string, path string, line int, rank int")
+    words = spark.createDataFrame([(1, ["run_1", "of"]), (2, ["run_59"])], "query_id int, words array<string>")
+    want = None
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # texts are larger than what Spark sends by itself
+    try:
+        for most in (store.SENT, 0):
+            monkeypatch.setattr(store, "SENT", most)
+            joined = context.snippets(evidence, files, 15), symbols.find_each(symbols.symbols(files), words, 30)
+            for df in joined if most else ():
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            found = [sorted(df.collect()) for df in joined]
+            want = want or found
+            assert found == want and len(found[0]) == 24 and len(found[1]) == 12
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
