@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from brackenlake.operators import graph
+from brackenlake import queries, queries_code
+from brackenlake.operators import graph, store
 
 EDGE = "repository_id string, src string, dst string"
 FILE = "repository_id string, path string"
@@ -61,3 +63,33 @@ def test_graph_follows_its_files(spark):
         whole = spark.createDataFrame(list(files.values()), schema)
         assert {tuple(x) for x in graph.edges_of(resolved).collect()} == {tuple(x) for x in graph.dependencies(whole).collect()}
         assert sorted(map(tuple, tried.collect())) == sorted(map(tuple, graph.candidates(graph.imports(whole)).collect()))
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_edges_that_begin_at_some_files(spark, monkeypatch, sent):
+    monkeypatch.setattr(store, "SENT", sent)
+    r = random.Random(7)
+    lines = lambda: "\n".join([f"import pkg.m{r.randrange(30)}" for _ in range(3)] + [f"from pkg.m{r.randrange(30)}.part import x"])
+    files = [(repo, f"pkg/m{n}.py" if n % 3 else f"pkg/m{n}/__init__.py", "python", lines()) for repo in ("r", "s") for n in range(25)] + [("r", "pkg/m1.py", "python", "import pkg.m2")]
+    corpus = spark.createDataFrame(files, f"{FILE}, language string, content string")
+    every = {tuple(x) for x in graph.dependencies(corpus).collect()}
+    for some in (r.sample([x[:2] for x in files], 9), [("r", "nowhere")], [x[:2] for x in files]):
+        got = graph.dependencies_from(corpus, spark.createDataFrame(some, FILE)).collect()
+        assert sorted(map(tuple, got)) == sorted(e for e in every if e[:2] in some)
+    assert len(every) > 50
+
+
+def test_packs_heed_edges_whatever_the_number_of_files(spark, tmp_path):
+    """Beyond 5,000 files too; every other file of a like score imports one of the first three."""
+    first, own = [1, 9, 17], [25 + 8 * i for i in range(12)]  # src/core/Module{n}.rs, all of one repository
+    texts = {n: "config error config error function" for n in first} | {n: "config error" + f"\nuse crate::src::core::Module{first[i % 3]};" * (i % 2) for i, n in enumerate(own)}
+    docs = [(n, "rust" if n in texts else "en", "src0" if n in texts else "src1", texts.get(n, "of the")) for n in range(2800) if n % 8 != 3]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    sql = queries.ORACLE["request_packs"]
+    run = lambda q: sorted(con.execute(q).fetchall())
+    assert con.execute(f"{queries_code.ALL} SELECT count(*) FROM corpus").fetchone()[0] > 5000
+    got = sorted(map(tuple, queries.QUERIES["request_packs"](spark, str(tmp_path)).collect()))
+    assert got == run(sql)
+    assert "intent = 'Debugging'" in sql and got != run(sql.replace("WHERE intent = 'Debugging'", "WHERE false"))
